@@ -1,8 +1,9 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
+from tidechart.llm.decontamination import op4_decontamination
 from tidechart.llm.mixing import op6_mixing
 from tidechart.llm.secret_scans import op10_secret_scans
 from tidechart.llm.sharding import op7_sharding
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op7_sharding, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op4_decontamination, op6_mixing, op7_sharding, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
