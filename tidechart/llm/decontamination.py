@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidechart.llm.common import lower_ascii, stored, table
+from tidechart.llm.common import lower_ascii, numbered, stored, table
 
 WINDOW = 10
 #: Rows of a benchmark-side table that may be broadcast; about 100 bytes each.
@@ -117,10 +117,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("uid"), "text")
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    docs = numbered(table(spark, sf_dir, "documents"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).join(docs.select(F.col("uid").alias("__row"), "id"), F.col("uid") == F.col("__row"))
     return found.select(
-        F.col("uid.doc_id").alias("doc_id"),
+        F.col("id").alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
