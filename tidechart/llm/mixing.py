@@ -25,7 +25,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 EPOCHS = 2.0
 #: Rows of one source in a bucket of keys, on average at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
