@@ -60,15 +60,20 @@ def ranked_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column
     )
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, id, text): a row number that is the same in every later read.
+def with_uid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`docs` with __uid, a row number that is the same in every later read.
 
     Ids that are unique and not null serve as they are. Otherwise rows are numbered as they are written to the
     shared folder, so that repeated rows and null ids stay apart even if a task runs again.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
-        shared = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+    if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+        shared = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null")
         if shared.isEmpty():
-            return rows.select(F.col("id").cast("long").alias("uid"), "id", "text")
-    return stored(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text"), "numbered")
+            return docs.withColumn("__uid", F.col(id_col).cast("long"))
+    return stored(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(uid, id, text) of every row; see with_uid."""
+    rows = with_uid(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    return rows.select(F.col("__uid").alias("uid"), "id", "text")

@@ -267,17 +267,23 @@ def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return links.unionByName(rest.where(_linked(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(uid, id, n_shingles, component_id) of every row of `docs`."""
-    rows = numbered(docs, id_col, text_col)
+def joined(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(uid, id, n_shingles, component_id, kept) of every row of `rows` (uid, id, text).
+
+    kept: whether the row is its component's first, by id and row number; rows with empty sets are.
+    """
     sigs = stored(signatures(rows, k), "signatures")
     roots = components(set_links(rows.select("uid", "text"), sigs, k))
     own = rows.select(F.col("uid").alias("__u"), "id").join(sigs.select("uid", "n", "sid"), F.col("__u") == F.col("uid"))
     label = F.coalesce("root", F.col("sid"))
     labelled = stored(own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("uid", "id", "n", F.when(F.col("n") > 0, label).alias("label")), "labels")
-    least = labelled.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
-    return labelled.join(least, "label", "left").select("uid", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid"))
+    least = labelled.where("n > 0").groupBy("label").agg(first.alias("first"))
+    filled = F.col("n") > 0
+    out = labelled.join(least, "label", "left")
+    return out.select("uid", "id", F.col("n").alias("n_shingles"), F.when(filled, F.col("first.id")).otherwise(F.col("id")).alias("component_id"), (~filled | (F.col("first.uid") == F.col("uid"))).alias("kept"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    done = joined(numbered(table(spark, sf_dir, "documents")))
+    return done.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -67,11 +67,11 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[floa
     return first.select(F.col(source).alias("source"), "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: float = EPOCHS) -> DataFrame:
-    """(id, text_hash, source, size, source_size, target, key, taken) of every row; `taken` counts repeats."""
+def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: float = EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(*carry, id, text_hash, source, size, source_size, target, key, taken) of every row; `taken` counts repeats."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"), unit.alias("unit"))
+    rows = docs.select(*carry, F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"), unit.alias("unit"))
     rows = stored(rows.withColumn("key", -F.log("unit") / F.col("weight")), "sizes")
     targets = stored(source_targets(rows, "source", "size", weights, budget, epochs), "targets")
     most = rows.groupBy("source").count().agg(F.max("count").alias("n")).first()["n"] or 0
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", s
     rest = F.col("target") - complete * F.col("source_size")
     # a document belongs to the fraction if most of it does, so the sum ends within half a document of the target
     inside = (F.col("size") > 0) & (F.col("before") + F.col("size") / 2.0 <= rest)
-    return joined.select("id", "text_hash", "source", "size", "source_size", "target", "key", (F.col("size") * (complete + inside.cast("int"))).cast("long").alias("taken"))
+    return joined.select(*carry, "id", "text_hash", "source", "size", "source_size", "target", "key", (F.col("size") * (complete + inside.cast("int"))).cast("long").alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

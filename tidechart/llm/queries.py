@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
+import corpus_pipeline
 from tidechart.llm.decontamination import op4_decontamination
 from tidechart.llm.html_extraction import op2_html_extraction
 from tidechart.llm.jaccard_join import op3_jaccard_join
@@ -12,4 +13,5 @@ from tidechart.llm.substring_dedup import op1_substring_dedup
 from tidechart.llm.toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_jaccard_join, op4_decontamination, op5_lm_scores, op6_mixing, op7_sharding, op8_nearest, op9_toxicity, op10_secret_scans)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}

@@ -233,6 +233,17 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, below: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose score is below a limit."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(batch.column(at)) < below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
