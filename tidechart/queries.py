@@ -1,4 +1,672 @@
-"""Registered queries and their SQL."""
+"""Registered queries: operators bound to the relations of `bindings`, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidechart.bindings import duck, spark_relation
+from tidechart.functions import scoring, text
+from tidechart.operators import detection, ranking, snapshots
+from tidechart.plans import insights, popularity, regional, resolution, serving, similarity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+Rel = Callable[[str], DataFrame]
+
+#: Times of the driver's tables that queries take as "now".
+AS_OF = datetime(2024, 1, 30)
+
+
+def query(sql: str | None = None):
+    """Register a function of relations under its name, with the SQL that states the same."""
+
+    def put(f: Callable[[Rel], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark_relation(spark, sf_dir, name))
+        if sql is not None:
+            ORACLES[f.__name__] = duck(sql)
+        return f
+
+    return put
+
+
+def r6(*names: str) -> list:
+    return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
+
+
+# ---------------------------------------------------------------- popularity
+LATEST = """latest AS (SELECT c.*, coalesce(w.chart_weight, 0.3) AS w FROM {chart_entries} c
+  JOIN (SELECT chart_id, max(snapshot_id) AS snapshot_id FROM {chart_entries} GROUP BY 1) m USING (chart_id, snapshot_id)
+  LEFT JOIN {chart_weights} w USING (chart_id)),
+ pts AS (SELECT *, w * (chart_size - rank + 1) / chart_size AS points,
+         CASE WHEN previous_rank > 0 THEN w * (previous_rank - rank) / chart_size END AS gain FROM latest)"""
+NATIONAL = LATEST + """, best AS (SELECT item, source, max(points) AS points FROM pts GROUP BY 1, 2),
+ tot AS (SELECT item, sum(points) AS points FROM best GROUP BY 1),
+ nat AS (SELECT p.item, t.points, count(DISTINCT p.source) AS n_platforms, sum(coalesce(p.gain, 0.0)) AS rank_gain,
+   count(*) FILTER (WHERE p.previous_rank IS NULL OR p.previous_rank = 0) AS new_entries, min(p.rank) AS best_rank
+   FROM pts p JOIN tot t USING (item) GROUP BY 1, 2)"""
+
+
+def _national(rel: Rel) -> DataFrame:
+    return popularity.national_popularity(rel("chart_entries"), rel("chart_weights"))
+
+
+@query("WITH " + NATIONAL + """ SELECT item, round(points, 6) AS points, n_platforms, round(rank_gain, 6) AS rank_gain, new_entries, best_rank,
+  round(points / (SELECT max(points) FROM nat), 6) AS national_score FROM nat""")
+def national_popularity(rel: Rel) -> DataFrame:
+    return _national(rel).select("item", "n_platforms", "new_entries", "best_rank", *r6("points", "rank_gain", "national_score"))
+
+
+@query("WITH " + NATIONAL + """ SELECT item, round(rank_gain + 0.05 * new_entries, 6) AS momentum, new_entries FROM nat
+  WHERE rank_gain > 0 OR new_entries > 0 ORDER BY round(rank_gain + 0.05 * new_entries, 9) DESC, item LIMIT 40""")
+def rising_items(rel: Rel) -> DataFrame:
+    return popularity.rising(_national(rel)).select("item", "new_entries", *r6("momentum"))
+
+
+@query("""WITH now AS (SELECT DISTINCT chart_id, item FROM {chart_entries} JOIN (SELECT chart_id, max(snapshot_id) AS snapshot_id FROM {chart_entries} GROUP BY 1) m
+  USING (chart_id, snapshot_id) WHERE rank <= 10 AND chart_id LIKE '%|R') SELECT chart_id, item, snapshot_id, min(rank) AS rank FROM {chart_entries} JOIN now USING (chart_id, item) GROUP BY 1, 2, 3""")
+def chart_history_top10(rel: Rel) -> DataFrame:
+    return popularity.rank_history(rel("chart_entries"), F.col("chart_id").endswith("|R"))
+
+
+@query("WITH " + LATEST + """, a AS (SELECT 'all' AS scope, i.artist, sum(p.points) AS points, count(DISTINCT p.item) AS items, count(DISTINCT p.source) AS platforms
+   FROM pts p JOIN {items} i USING (item) GROUP BY 2
+  UNION ALL SELECT c_mktsegment, artist, CAST(count(*) AS DOUBLE), count(DISTINCT item), NULL FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+   JOIN {customer} ON o_custkey = c_custkey JOIN {items} i ON i.item = l_partkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY round(points, 6) DESC, artist) AS rank FROM a)
+ SELECT scope, artist, round(points, 6) AS points, items, platforms, CAST(rank AS INT) AS rank FROM r WHERE rank <= 30""")
+def artist_ranking(rel: Rel) -> DataFrame:
+    points = popularity.latest_points(rel("chart_entries"), rel("chart_weights")).join(rel("items").select("item", "artist"), "item")
+    sold = rel("lineitem").join(rel("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(rel("customer"), F.col("o_custkey") == F.col("c_custkey")).join(rel("items"), F.col("l_partkey") == F.col("item"))
+    plays = sold.select(F.col("c_mktsegment").alias("region"), "artist", "item", F.when(F.col("l_returnflag") == "R", "play").alias("action"))
+    return popularity.artist_ranking(points, plays).select("scope", "artist", "items", "platforms", "rank", *r6("points"))
+
+
+OVERLAP = """now AS (SELECT chart_id, item, min(rank) AS rank FROM {chart_entries} JOIN (SELECT chart_id, max(snapshot_id) AS snapshot_id FROM {chart_entries} GROUP BY 1) m
+  USING (chart_id, snapshot_id) GROUP BY 1, 2), n AS (SELECT chart_id, count(*) AS n FROM now GROUP BY 1),
+ p AS (SELECT x.chart_id AS a, y.chart_id AS b, x.item, x.rank AS ra, y.rank AS rb FROM now x JOIN now y ON x.item = y.item AND x.chart_id < y.chart_id),
+ q AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY ra, item) AS r1, row_number() OVER (PARTITION BY a, b ORDER BY rb, item) AS r2 FROM p),
+ s AS (SELECT a, b, count(*) AS common, sum((r1 - r2) * (r1 - r2)) AS d2 FROM q GROUP BY 1, 2)"""
+
+
+@query("WITH " + OVERLAP + """ SELECT a, b, common, x.n AS n_a, y.n AS n_b, round(common / (x.n + y.n - common), 6) AS jaccard,
+  CASE WHEN common >= 3 THEN round(1 - 6.0 * d2 / (common * (common * common - 1)), 6) END AS rho FROM s JOIN n x ON x.chart_id = a JOIN n y ON y.chart_id = b""")
+def chart_overlap(rel: Rel) -> DataFrame:
+    return popularity.chart_overlap(rel("chart_entries")).select("a", "b", "common", "n_a", "n_b", *r6("jaccard", "rho"))
+
+
+@query("""SELECT period, item, count(DISTINCT country) AS n_countries, string_agg(DISTINCT country, ',' ORDER BY country) AS countries
+  FROM {country_charts} WHERE rank <= 50 GROUP BY 1, 2 HAVING count(DISTINCT country) >= 2""")
+def shared_across_countries(rel: Rel) -> DataFrame:
+    return popularity.shared_across(rel("country_charts"))
+
+
+@query("""WITH x AS (SELECT title, source, max((chart_size - rank + 1) / chart_size) AS points FROM {chart_entries} JOIN {items} USING (item) GROUP BY 1, 2)
+  SELECT title, round(sum(points), 6) AS points FROM x GROUP BY 1 ORDER BY round(sum(points), 9) DESC, title LIMIT 40""")
+def candidate_ranking(rel: Rel) -> DataFrame:
+    return popularity.rank_candidates(rel("chart_entries").join(rel("items"), "item")).select("title", *r6("points"))
+
+
+@query("""SELECT item, round(max((1 - least(rank, 100) / 101.0) * CASE WHEN chart_id LIKE '%|N' THEN 0.3 ELSE 1.0 END), 6) AS score FROM {chart_entries} GROUP BY 1""")
+def raw_popularity(rel: Rel) -> DataFrame:
+    return popularity.raw_popularity(rel("chart_entries"), "item", "rank", F.col("chart_id").endswith("|N")).select("item", *r6("score"))
+
+
+@query("""WITH c AS (SELECT item, count(DISTINCT fine) AS coverage FROM {trend_obs} GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY coverage DESC, item) AS place FROM c)
+  SELECT item, coverage, CAST(place AS INT) AS place, place = 1 AS is_anchor, CASE WHEN place > 1 THEN CAST(floor((place - 2) / 4) AS BIGINT) END AS query_group FROM p""")
+def anchor_selection(rel: Rel) -> DataFrame:
+    return popularity.select_anchor(rel("trend_obs"), "fine", "item", [F.col("item")])
+
+
+# ---------------------------------------------------------------- snapshots and checks
+@query("SELECT chart_id, snapshot_id, item, rank, chart_size FROM {chart_entries} JOIN (SELECT chart_id, max(snapshot_id) AS snapshot_id FROM {chart_entries} GROUP BY 1) m USING (chart_id, snapshot_id)")
+def latest_snapshot(rel: Rel) -> DataFrame:
+    return snapshots.latest_snapshot(rel("chart_entries"), ["chart_id"], "snapshot_id").select("chart_id", "snapshot_id", "item", "rank", "chart_size")
+
+
+@query("""WITH t AS (SELECT source, substr(snapshot_id, 1, 4) AS yr, snapshot_id, max(month_no) AS m FROM (SELECT *, CAST(substr(snapshot_id, 1, 4) AS INT) * 12 + CAST(substr(snapshot_id, 6, 2) AS INT) AS month_no FROM {chart_entries}) x GROUP BY 1, 2, 3),
+  w AS (SELECT *, row_number() OVER (PARTITION BY source, yr ORDER BY m DESC, snapshot_id DESC) AS r FROM t)
+  SELECT c.source, c.snapshot_id, c.chart_id, c.item, c.rank FROM {chart_entries} c JOIN w ON w.source = c.source AND w.snapshot_id = c.snapshot_id AND w.r = 1""")
+def latest_per_year(rel: Rel) -> DataFrame:
+    own = rel("chart_entries").withColumns({"yr": F.substring("snapshot_id", 1, 4), "month_no": F.substring("snapshot_id", 1, 4).cast("int") * 12 + F.substring("snapshot_id", 6, 2).cast("int")})
+    return snapshots.latest_per_period(own, ["source"], "yr", "snapshot_id", "month_no").select("source", "snapshot_id", "chart_id", "item", "rank")
+
+
+@query("""SELECT chart_id, snapshot_id, count(*) AS rows, max(chart_size) AS expected, count(*) = max(chart_size) AND count(DISTINCT item) = count(*) AND count(DISTINCT rank) = count(*) AND min(rank) = 1 AND max(rank) = max(chart_size) AS is_complete
+  FROM {chart_entries} GROUP BY 1, 2""")
+def snapshot_completeness(rel: Rel) -> DataFrame:
+    return snapshots.completeness(rel("chart_entries"), ["chart_id", "snapshot_id"], "item", "rank", "chart_size")
+
+
+@query("""SELECT chart_id, snapshot_id, count(*) AS rows, concat_ws(',', CASE WHEN count(*) <> 50 THEN 'unexpected_size' END,
+  CASE WHEN min(rank) <> 1 OR max(rank) <> count(*) OR count(DISTINCT rank) <> count(*) THEN 'ranks_not_contiguous' END,
+  CASE WHEN count(DISTINCT item) <> count(item) THEN 'duplicate_ids' END) AS issues FROM {chart_entries} WHERE rank % 7 <> 3 OR chart_id LIKE 'A%' GROUP BY 1, 2""")
+def chart_validation(rel: Rel) -> DataFrame:
+    broken = rel("chart_entries").where("rank % 7 <> 3 OR chart_id LIKE 'A%'")
+    return snapshots.validate_chart(broken, ["chart_id", "snapshot_id"], "item", "rank", F.lit(50), "source")
+
+
+@query("""SELECT 'discount_below_10' AS rule, count(*) AS checked, count(*) FILTER (WHERE NOT l_discount < 0.1) AS broken FROM {lineitem}
+  UNION ALL SELECT 'quantity_positive', count(*), count(*) FILTER (WHERE NOT l_quantity > 0) FROM {lineitem}
+  UNION ALL SELECT 'known_flag', count(*), count(*) FILTER (WHERE l_returnflag NOT IN ('R', 'A')) FROM {lineitem}""")
+def quality_rules(rel: Rel) -> DataFrame:
+    rules = {"discount_below_10": F.col("l_discount") < 0.1, "quantity_positive": F.col("l_quantity") > 0, "known_flag": F.col("l_returnflag").isin("R", "A")}
+    return snapshots.quality_report(rel("lineitem"), rules)
+
+
+@query("""SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderdate FROM {orders}) d) AS unique_keys, count(DISTINCT o_orderpriority) AS items, count(DISTINCT o_orderstatus) AS groups,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderdate FROM {orders}) d) AS duplicates FROM {orders}""")
+def input_profile(rel: Rel) -> DataFrame:
+    return snapshots.input_profile(rel("orders"), ["o_custkey", "o_orderdate"], "o_orderpriority", "o_orderstatus")
+
+
+@query(" UNION ALL ".join(f"SELECT source, count(*) AS rows, '{c}' AS field, count({c}) AS filled, count(DISTINCT {c}) AS distinct_values, round(count({c}) / count(*), 6) AS rate FROM {{chart_entries}} GROUP BY 1" for c in ("item", "previous_rank", "chart_size")))
+def field_fill_rate(rel: Rel) -> DataFrame:
+    return snapshots.fill_profile(rel("chart_entries"), "source", ["item", "previous_rank", "chart_size"])
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey, o_orderstatus, o_totalprice) AS r FROM {orders}) x WHERE r = 1""")
+def dedup_latest(rel: Rel) -> DataFrame:
+    return snapshots.dedup_latest(rel("orders"), ["o_custkey"], "o_orderdate").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id, region, item, action FROM {listens} WHERE ts >= TIMESTAMP '2024-01-23 00:00:00'")
+def recent_window(rel: Rel) -> DataFrame:
+    return snapshots.recent(rel("listens"), "ts", 7, AS_OF).select("event_id", "region", "item", "action")
+
+
+@query("SELECT event_id, region FROM {listens} WHERE ts >= TIMESTAMP '2024-01-27 00:00:00' AND ts < TIMESTAMP '2024-01-30 00:00:00'")
+def day_window(rel: Rel) -> DataFrame:
+    return snapshots.day_window(rel("listens"), snapshots.event_time(["ts_ms"], []), 3, datetime(2024, 1, 29)).select("event_id", "region")
+
+
+@query("""WITH m AS (SELECT *, max(snapshot_id) OVER (PARTITION BY source) AS mx FROM {chart_entries})
+  SELECT source, snapshot_id, rank, item, chart_id FROM (SELECT *, row_number() OVER (PARTITION BY source, rank ORDER BY chart_id, snapshot_id, item) AS r FROM m WHERE snapshot_id = mx) x WHERE r = 1""")
+def latest_in_batch(rel: Rel) -> DataFrame:
+    own = rel("chart_entries").select("chart_id", "source", "snapshot_id", "item", "rank")
+    return snapshots.latest_in_batch(own, ["source"], "snapshot_id", "rank")
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type IN ('view', 'click')) AS editorial, count(*) FILTER (WHERE event_type = 'purchase') AS chart_mirror,
+  count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase')) AS unknown FROM {events}""")
+def classify_lists(rel: Rel) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("view", "click"), "editorial").when(F.col("event_type") == "purchase", "chart_mirror")
+    return snapshots.classify_lists(rel("events").withColumn("kind", kind), "kind")[1]
+
+
+@query("""WITH a AS (SELECT item, rank AS old_pos FROM {country_charts} WHERE country = 'NATION_1' AND period = '1999'), b AS (SELECT item, rank AS new_pos FROM {country_charts} WHERE country = 'NATION_1' AND period = '2000')
+  SELECT coalesce(a.item, b.item) AS item, old_pos, new_pos, CASE WHEN old_pos IS NULL THEN 'entered' WHEN new_pos IS NULL THEN 'left' WHEN old_pos <> new_pos THEN 'moved' ELSE 'same' END AS change FROM a FULL JOIN b ON a.item = b.item""")
+def snapshot_diff(rel: Rel) -> DataFrame:
+    own = rel("country_charts").where("country = 'NATION_1'")
+    return snapshots.snapshot_diff(own.where("period = '1999'"), own.where("period = '2000'"), "item", "rank")
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM {events} GROUP BY 1, 2)
+  SELECT b.event_type, CAST(b.n - a.n AS BIGINT) AS delta, CAST(86400 AS BIGINT) AS seconds FROM d a JOIN d b ON a.event_type = b.event_type WHERE a.day = DATE '2024-01-10' AND b.day = DATE '2024-01-11'""")
+def counter_delta(rel: Rel) -> DataFrame:
+    day = rel("events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).withColumn("at", F.col("day").cast("timestamp"))
+    return snapshots.counter_delta(day.where("day = '2024-01-10'"), day.where("day = '2024-01-11'"), ["event_type"], "n", "at")
+
+
+# ---------------------------------------------------------------- regional scores
+INTEREST = """ratio AS (SELECT *, CASE WHEN is_anchor THEN 1.0 WHEN has_data THEN share / greatest(anchor_share, 0.5) ELSE 0.0 END AS ratio FROM {trend_obs} WHERE anchor_share IS NOT NULL),
+ g AS (SELECT coarse, item, sum(ratio * fine_weight) / sum(fine_weight) AS trend_ratio FROM ratio GROUP BY 1, 2 HAVING sum(ratio * fine_weight) > 0),
+ gi AS (SELECT g.coarse AS region, g.item, trend_ratio, trend_ratio / avg(trend_ratio) OVER (PARTITION BY g.item) AS trend_lift, trend_ratio / max(trend_ratio) OVER (PARTITION BY g.coarse) AS trends FROM g)"""
+POPULATION = "pop AS (SELECT r_name AS region, CAST(count(*) AS DOUBLE) * 1.25 AS population FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY 1)"
+COVERAGE = POPULATION + ", cov AS (SELECT d.region, least(1.0, sum(fine_weight) / max(p.population)) AS trend_coverage FROM (SELECT DISTINCT coarse AS region, fine, fine_weight FROM ratio) d JOIN pop p USING (region) GROUP BY 1)"
+# listens and orders tell of items; comments of orders with a high priority, votes by customer
+EVENTS = """ev AS (SELECT r_name AS region, l_partkey AS item, count(*) AS plays, CAST(count(*) AS DOUBLE) AS x FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+   JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+VOTES = """au AS (SELECT r_name AS region, l_partkey AS item, o_custkey AS author, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0e0 ELSE 0.3e0 END) AS w, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS s
+   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE l_returnflag = 'A' GROUP BY 1, 2, 3),
+ vo AS (SELECT region, item, sum(w) AS mentions, count(*) AS authors, CAST(sum(s) AS BIGINT) AS self_mentions FROM au GROUP BY 1, 2)"""
+
+
+def _smooth(table: str, value: str, k: int, out: str) -> str:
+    return f"""{out}_t AS (SELECT c.region, c.item, coalesce(v.{value}, 0) AS {value}, (coalesce(v.{value}, 0) + {k}.0 * coalesce(s.s, 0)) / (coalesce(x.x, 0) + {k}.0) AS {out}, coalesce(s.s, 0) AS s
+   FROM cells c LEFT JOIN {table} v ON v.region = c.region AND v.item = c.item LEFT JOIN (SELECT region, sum({value}) AS x FROM {table} GROUP BY 1) x ON x.region = c.region
+   LEFT JOIN (SELECT item, sum({value}) / greatest((SELECT sum({value}) FROM {table}), 1) AS s FROM {table} GROUP BY 1) s ON s.item = c.item)"""
+
+
+CELLS = "cells AS (SELECT r_name AS region, item FROM {region} CROSS JOIN (SELECT item FROM gi UNION SELECT item FROM ev UNION SELECT item FROM vo UNION SELECT item FROM nat) u)"
+EVIDENCE = """evd AS (SELECT r_name AS region, coalesce(n.n, 0) AS trend_items, coalesce(c.trend_coverage, 0.0) AS trend_coverage, coalesce(a.authors, 0) AS authors, CAST(coalesce(a.selfs, 0) AS BIGINT) AS self_mentions, CAST(coalesce(e.plays, 0) AS BIGINT) AS plays
+   FROM {region} LEFT JOIN (SELECT region, count(*) AS n FROM gi GROUP BY 1) n ON n.region = r_name LEFT JOIN cov c ON c.region = r_name
+   LEFT JOIN (SELECT region, count(DISTINCT author) AS authors, sum(s) AS selfs FROM au GROUP BY 1) a ON a.region = r_name LEFT JOIN (SELECT region, sum(plays) AS plays FROM ev GROUP BY 1) e ON e.region = r_name)"""
+STACK = "WITH " + NATIONAL + ", natn AS (SELECT item, points / (SELECT max(points) FROM nat) AS national_score FROM nat), " + INTEREST + ", " + COVERAGE + ", " + EVENTS + ", " + VOTES + ", " + CELLS + ", " + EVIDENCE + ", " + _smooth("vo", "mentions", 10, "c_share") + ", " + _smooth("ev", "plays", 30, "e_share")
+TREND = STACK + """, a AS (SELECT *, CASE WHEN trend_items >= 3 THEN 1.0 ELSE 0.0 END AS a_t, CASE WHEN authors >= 3 THEN 1.0 ELSE 0.0 END AS a_c, CASE WHEN plays >= 20 THEN 1.0 ELSE 0.0 END AS a_e FROM evd),
+ sc AS (SELECT c.region, c.item, coalesce(n.national_score, 0) AS ns, coalesce(g.trends, 0) AS tr, m.c_share / greatest(max(m.c_share) OVER (PARTITION BY c.region), 1e-9) AS ca, e.e_share / greatest(max(e.e_share) OVER (PARTITION BY c.region), 1e-9) AS ea,
+   0.35 + 0.35 * a_t + 0.15 * a_c + 0.15 * a_e AS den, a_t, a_c, a_e
+   FROM cells c LEFT JOIN natn n ON n.item = c.item LEFT JOIN gi g ON g.region = c.region AND g.item = c.item JOIN c_share_t m ON m.region = c.region AND m.item = c.item JOIN e_share_t e ON e.region = c.region AND e.item = c.item JOIN a ON a.region = c.region),
+ scored AS (SELECT region, item, 0.35 * ns / den AS c_national, 0.35 * a_t * tr / den AS c_trends, 0.15 * a_c * ca / den AS c_mentions, 0.15 * a_e * ea / den AS c_events FROM sc),
+ summed AS (SELECT *, c_national + c_trends + c_mentions + c_events AS score FROM scored),
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY round(score, 9) DESC, item) AS INT) AS rank FROM summed)"""
+
+
+def _sold(rel: Rel, flag: str) -> DataFrame:
+    return (
+        rel("lineitem").where(F.col("l_returnflag") == flag).join(rel("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(rel("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(rel("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(rel("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("r_name").alias("region"), F.col("l_partkey").alias("item"), "o_custkey", "o_orderpriority")
+    )
+
+
+def _interest(rel: Rel) -> DataFrame:
+    return regional.regional_interest(rel("trend_obs")).withColumnRenamed("coarse", "region")
+
+
+def _plays(rel: Rel) -> DataFrame:
+    return _sold(rel, "R").groupBy("region", "item").agg(F.count("*").alias("plays"))
+
+
+def _posts(rel: Rel) -> DataFrame:
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "self").otherwise("mention")
+    own = _sold(rel, "A").withColumn("kind", kind)
+    return own.withColumn("weight", detection.mention_weight(F.col("kind")))
+
+
+def _votes(rel: Rel) -> DataFrame:
+    return detection.one_vote_per_author(_posts(rel), "region", "item", "o_custkey", "weight", "kind")
+
+
+def _cells(rel: Rel) -> DataFrame:
+    items = ranking.key_universe("item", _national(rel), _interest(rel), _votes(rel), _plays(rel))
+    return ranking.universe(rel("region").select(F.col("r_name").alias("region")), items)
+
+
+def _evidence(rel: Rel) -> DataFrame:
+    people = rel("customer").join(rel("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(rel("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    population = people.groupBy(F.col("r_name").alias("coarse")).agg((F.count("*") * 1.25).alias("population"))
+    covered = regional.coverage(rel("trend_obs"), population).withColumnRenamed("coarse", "region")
+    best = _posts(rel).groupBy("region", "item", "o_custkey").agg(F.max((F.col("kind") == "self").cast("int")).alias("s"))
+    votes = best.groupBy("region").agg(F.countDistinct("o_custkey").alias("authors"), F.sum("s").alias("self_mentions"))
+    plays = _plays(rel).groupBy("region").agg(F.sum("plays").alias("plays"))
+    return regional.evidence(rel("region").select(F.col("r_name").alias("region")), _interest(rel), covered, votes, plays)
+
+
+def _comments(rel: Rel) -> DataFrame:
+    return ranking.smoothed_share(_votes(rel), _cells(rel), "region", "item", "mentions", 10.0, "c_share")
+
+
+def _trending(rel: Rel, n: int | None = 50) -> DataFrame:
+    events = ranking.smoothed_share(_plays(rel), _cells(rel), "region", "item", "plays", 30.0, "e_share")
+    return regional.trending(_cells(rel), _national(rel), _interest(rel), _comments(rel), events, _evidence(rel), n=n)
+
+
+@query("WITH " + INTEREST + " SELECT region, item, round(trend_ratio, 6) AS trend_ratio, round(trend_lift, 6) AS trend_lift, round(trends, 9) AS trends FROM gi")
+def regional_interest(rel: Rel) -> DataFrame:
+    return _interest(rel).select("region", "item", *r6("trend_ratio", "trend_lift"), F.round("trends", 9).alias("trends"))
+
+
+@query(STACK + " SELECT region, round(trend_coverage, 6) AS trend_coverage FROM cov")
+def coverage(rel: Rel) -> DataFrame:
+    return _evidence(rel).select("region", *r6("trend_coverage"))
+
+
+@query(STACK + " SELECT region, item, round(mentions, 6) AS mentions, round(c_share, 6) AS c_share, round(CASE WHEN s > 0 THEN c_share / s END, 6) AS c_share_lift FROM c_share_t")
+def smoothed_share(rel: Rel) -> DataFrame:
+    return _comments(rel).select("region", "item", *r6("mentions", "c_share", "c_share_lift"))
+
+
+@query(STACK + """ SELECT region, trend_items, authors, self_mentions, plays, round(0.7 * least(1.0, trend_items / 20.0) * trend_coverage + 0.3 * least(1.0, authors / 30.0), 3) AS confidence,
+  CASE WHEN round(0.7 * least(1.0, trend_items / 20.0) * trend_coverage + 0.3 * least(1.0, authors / 30.0), 3) >= 0.6 THEN 'high' WHEN round(0.7 * least(1.0, trend_items / 20.0) * trend_coverage + 0.3 * least(1.0, authors / 30.0), 3) >= 0.3 THEN 'medium' ELSE 'low' END AS confidence_label,
+  concat_ws(',', 'national', CASE WHEN trend_items >= 3 THEN 'trends' END, CASE WHEN authors >= 3 THEN 'mentions' END, CASE WHEN plays >= 20 THEN 'events' END) AS signals FROM evd""")
+def evidence_confidence(rel: Rel) -> DataFrame:
+    return _evidence(rel).select("region", "trend_items", "authors", "self_mentions", "plays", "confidence", "confidence_label", "signals")
+
+
+@query(TREND + " SELECT region, item, rank, round(score, 6) AS score, round(c_national, 6) AS c_national, round(c_trends, 6) AS c_trends, round(c_mentions, 6) AS c_mentions, round(c_events, 6) AS c_events FROM ranked WHERE rank <= 50")
+def trending_score(rel: Rel) -> DataFrame:
+    return _trending(rel).select("region", "item", "rank", *r6("score", "c_national", "c_trends", "c_mentions", "c_events"))
+
+
+@query(STACK + """, b AS (SELECT gi.region, gi.item, trend_ratio, mentions FROM gi JOIN vo ON vo.region = gi.region AND vo.item = gi.item),
+ q AS (SELECT region, row_number() OVER (PARTITION BY region ORDER BY round(trend_ratio, 9) DESC, item) AS x, row_number() OVER (PARTITION BY region ORDER BY round(mentions, 9) DESC, item) AS y FROM b)
+ SELECT region, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(1 - 6.0 * sum((x - y) * (x - y)) / (count(*) * (count(*) * count(*) - 1.0)), 6) END AS rho FROM q GROUP BY 1""")
+def signal_agreement(rel: Rel) -> DataFrame:
+    return regional.signal_agreement(_interest(rel), _votes(rel), "region", "item", "trend_ratio", "mentions").select("region", "n", *r6("rho"))
+
+
+GENRES = """gm AS (SELECT coalesce(a.region, b.region) AS region, coalesce(a.genre, b.genre) AS genre, CAST(coalesce(plays, 0) AS BIGINT) AS plays, coalesce(mentions, 0) AS mentions
+  FROM (SELECT region, genre, sum(plays) AS plays FROM ev JOIN {items} USING (item) GROUP BY 1, 2) a FULL JOIN (SELECT region, genre, sum(mentions) AS mentions FROM vo JOIN {items} USING (item) GROUP BY 1, 2) b ON a.region = b.region AND a.genre = b.genre)"""
+
+
+def _genres(rel: Rel) -> DataFrame:
+    items = rel("items").select("item", "genre")
+    return regional.genre_mix(_plays(rel).join(items, "item").withColumn("value", F.col("plays")), _votes(rel).join(items, "item").withColumn("value", F.col("mentions")))
+
+
+@query("WITH " + EVENTS + ", " + VOTES + ", " + GENRES + """ SELECT region, genre, plays, round(mentions, 6) AS mentions, round(plays / greatest(sum(plays) OVER (PARTITION BY region), 1), 6) AS play_share, round(mentions / greatest(sum(mentions) OVER (PARTITION BY region), 1), 6) AS mention_share FROM gm""")
+def genre_mix(rel: Rel) -> DataFrame:
+    return _genres(rel).select("region", "genre", "plays", *r6("mentions", "play_share", "mention_share"))
+
+
+@query("""SELECT macro, CAST(dayofweek(ts) + 1 AS INT) AS dow, CAST(hour(ts) AS INT) AS hour, count(*) AS listens, round(count(*) FILTER (WHERE action = 'skip') / count(*), 6) AS skip_rate FROM {listens} WHERE action IN ('play', 'skip') GROUP BY 1, 2, 3""")
+def hourly_habits(rel: Rel) -> DataFrame:
+    return regional.listening_habits(rel("listens"), "macro").select("macro", "dow", "hour", "listens", *r6("skip_rate"))
+
+
+@query(TREND + ", " + GENRES + """, l AS (SELECT coalesce(g.region, v.region) AS region, coalesce(g.item, v.item) AS item, greatest(coalesce(g.trend_lift, 0), coalesce(CASE WHEN v.authors >= 2 AND v.self_mentions >= 1 THEN 1 + (v.lift - 1) * least(1.0, v.authors / 5.0) END, 0)) AS lift
+   FROM gi g FULL JOIN (SELECT v.*, m.c_share / nullif(m.s, 0) AS lift FROM vo v JOIN c_share_t m ON m.region = v.region AND m.item = v.item) v ON v.region = g.region AND v.item = g.item),
+ f AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(lift, 9) DESC, item) AS r FROM l WHERE lift > 1.3),
+ tg AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY plays DESC, mentions DESC, genre) AS r FROM gm)
+ SELECT e.region, e.plays, tg.genre AS top_genre, k.item AS top_item, f.item AS favourite, round(f.lift, 2) AS favourite_lift FROM evd e LEFT JOIN tg ON tg.region = e.region AND tg.r = 1 LEFT JOIN ranked k ON k.region = e.region AND k.rank = 1 LEFT JOIN f ON f.region = e.region AND f.r = 1""")
+def region_profile(rel: Rel) -> DataFrame:
+    comments = _comments(rel).select("region", "item", "c_share_lift").join(_votes(rel).select("region", "item", "authors", "self_mentions"), ["region", "item"])
+    regions = rel("region").select(F.col("r_name").alias("region"))
+    return regional.region_profile(regions, _genres(rel), _trending(rel), _interest(rel), comments, _evidence(rel).select("region", "plays"))
+
+
+@query(STACK + """ SELECT c.region, c.item, round(least(1.0, 0.5 * least(1.0, coalesce(g.trends, 0) * 100 / 100.0) + 0.15 * least(1.0, coalesce(v.authors, 0) / 5.0) + 0.35 * least(1.0, coalesce(e.plays, 0) / 10.0)), 6) AS score,
+  round((CASE WHEN g.trends > 0 THEN 1 ELSE 0 END + CASE WHEN v.authors > 0 THEN 1 ELSE 0 END + CASE WHEN e.plays > 0 THEN 1 ELSE 0 END) / 3.0, 6) AS confidence
+  FROM cells c LEFT JOIN gi g ON g.region = c.region AND g.item = c.item LEFT JOIN vo v ON v.region = c.region AND v.item = c.item LEFT JOIN ev e ON e.region = c.region AND e.item = c.item""")
+def interest_estimate(rel: Rel) -> DataFrame:
+    trend = _interest(rel).select("region", "item", (F.col("trends") * 100).alias("interest"))
+    return regional.interest_estimate(_cells(rel), trend, _votes(rel).select("region", "item", F.col("authors").alias("n")), _plays(rel).select("region", "item", F.col("plays").alias("n"))).select("region", "item", *r6("score", "confidence"))
+
+
+# ---------------------------------------------------------------- similarity
+BASKETS = """one AS (SELECT basket, item, w, row_number() OVER (PARTITION BY basket, item ORDER BY position, w) AS r, position FROM {baskets}),
+ capped AS (SELECT basket, item, w FROM (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY position, item) AS c FROM one WHERE r = 1) x WHERE c <= 40),
+ nn AS (SELECT item, sum(w) AS n FROM capped GROUP BY 1),
+ co AS (SELECT a.item AS ka, b.item AS kb, sum(a.w) AS co, count(*) AS baskets FROM capped a JOIN capped b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 2),
+ sm AS (SELECT ka, kb, co / (sqrt(x.n * y.n) + 3) AS sim, baskets FROM co JOIN nn x ON x.item = ka JOIN nn y ON y.item = kb),
+ art AS (SELECT item, artist FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY item) AS r FROM {items}) x WHERE r <= 200),
+ same AS (SELECT a.item AS ka, b.item AS kb, 0.15 AS bonus FROM art a JOIN art b ON a.artist = b.artist AND a.item < b.item),
+ both_ AS (SELECT coalesce(s.ka, t.ka) AS ka, coalesce(s.kb, t.kb) AS kb, coalesce(sim, 0) + coalesce(bonus, 0) AS sim, coalesce(baskets, 0) AS baskets FROM sm s FULL JOIN same t ON s.ka = t.ka AND s.kb = t.kb),
+ each_ AS (SELECT ka AS item, kb AS neighbour, sim, baskets FROM both_ UNION ALL SELECT kb, ka, sim, baskets FROM both_),
+ top_ AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY round(sim, 9) DESC, neighbour) AS INT) AS rank FROM each_) x WHERE rank <= 30)"""
+
+
+def _similar(rel: Rel) -> DataFrame:
+    return similarity.item_similarity(rel("baskets"), rel("items"))
+
+
+@query("WITH " + BASKETS + " SELECT item, neighbour, round(sim, 6) AS sim, baskets, rank FROM top_")
+def item_similarity(rel: Rel) -> DataFrame:
+    return _similar(rel).select("item", "neighbour", "baskets", "rank", *r6("sim"))
+
+
+@query("WITH " + BASKETS + " SELECT t.item, string_agg(concat(CAST(t.rank AS STRING), ':', CAST(t.neighbour AS STRING), ':', i.title), ',' ORDER BY t.rank) AS neighbours FROM top_ t LEFT JOIN {items} i ON i.item = t.neighbour GROUP BY 1")
+def item_neighbours(rel: Rel) -> DataFrame:
+    docs = similarity.neighbour_docs(_similar(rel), rel("items"))
+    return docs.select("item", F.array_join(F.transform("neighbours", lambda n: F.concat_ws(":", n["rank"].cast("string"), n["neighbour"].cast("string"), n["title"])), ",").alias("neighbours"))
+
+
+@query("""SELECT basket, count(*) AS items, min(position) AS first_ms FROM {sessions} GROUP BY 1""")
+def session_baskets(rel: Rel) -> DataFrame:
+    return rel("sessions").groupBy("basket").agg(F.count("*").alias("items"), F.min("position").alias("first_ms"))
+
+
+@query("""WITH s AS (SELECT DISTINCT country AS g, item FROM {country_charts} WHERE period = '2000' AND rank <= 50), n AS (SELECT g, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.g AS a, y.g AS b, count(*) AS common FROM s x JOIN s y ON x.item = y.item AND x.g < y.g GROUP BY 1, 2)
+  SELECT a, b, common, x.n AS n_a, y.n AS n_b, round(common / (x.n + y.n - common), 6) AS jaccard FROM p JOIN n x ON x.g = a JOIN n y ON y.g = b""")
+def country_overlap(rel: Rel) -> DataFrame:
+    return ranking.jaccard_pairs(rel("country_charts").where("period = '2000' AND rank <= 50"), "country", "item").select("a", "b", "common", "n_a", "n_b", *r6("jaccard"))
+
+
+# ---------------------------------------------------------------- insights
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY country, item ORDER BY period DESC) AS r FROM {country_charts}),
+ t AS (SELECT country, item, min(rank) AS best_rank, count(*) AS periods, max(period) AS last_period, min(period) AS first_period, max(CASE WHEN r = 1 THEN rank END) AS r1, max(CASE WHEN r = 2 THEN rank END) AS r2, max(CASE WHEN r = 3 THEN rank END) AS r3 FROM o GROUP BY 1, 2),
+ e AS (SELECT country, max(period) AS e FROM {country_charts} GROUP BY 1)
+ SELECT country AS chart, item, best_rank, periods, last_period, first_period, CASE WHEN last_period < e THEN 'left_chart' WHEN periods < 3 THEN 'insufficient_data' WHEN r3 > r2 AND r2 > r1 THEN 'rising' WHEN r3 < r2 AND r2 < r1 THEN 'falling' WHEN greatest(r1, r2, r3) - least(r1, r2, r3) <= 3 THEN 'stable' ELSE 'fluctuating' END AS status FROM t JOIN e USING (country)""")
+def track_lifecycle(rel: Rel) -> DataFrame:
+    return insights.track_lifecycle(rel("country_charts").withColumnRenamed("country", "chart"))
+
+
+DAILY = """daily AS (SELECT action AS source, region AS chart, item, CAST(ts AS DATE) AS date, count(*) AS n FROM {listens} GROUP BY 1, 2, 3, 4),
+ ch AS (SELECT source, chart, item, date, CAST(row_number() OVER (PARTITION BY source, chart, date ORDER BY n DESC, item) AS INT) AS rank FROM daily),
+ li AS (SELECT action AS source, item, CAST(ts AS DATE) AS date, user_id AS list, hour(ts) + 1 AS position, ts_ms, row_number() OVER (PARTITION BY action, item, CAST(ts AS DATE), user_id ORDER BY ts_ms DESC, hour(ts) + 1) AS r FROM {listens}),
+ ex AS (SELECT source, item, date, count(*) AS lists, sum(1 / log2(position + 1)) AS placement FROM li WHERE r = 1 GROUP BY 1, 2, 3)"""
+
+
+def _exposure(rel: Rel) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    own = rel("listens").withColumn("date", F.to_date("ts"))
+    daily = own.groupBy(F.col("action").alias("source"), F.col("region").alias("chart"), "item", "date").agg(F.count("*").alias("n"))
+    charts = daily.withColumn("rank", F.row_number().over(W.partitionBy("source", "chart", "date").orderBy(F.desc("n"), "item"))).drop("n")
+    lists = own.select(F.col("action").alias("source"), "item", "date", F.col("user_id").alias("list"), (F.hour("ts") + 1).alias("position"), F.col("ts_ms").alias("ts"))
+    return insights.exposure_vs_rank(insights.exposures(lists), charts)
+
+
+@query("WITH " + DAILY + """ SELECT x.source, x.item, a.chart, x.date, lag_days, lists, round(placement, 6) AS placement, a.rank AS rank_before, b.rank AS rank_after, a.rank - b.rank AS improvement
+  FROM ex x JOIN ch a ON a.source = x.source AND a.item = x.item AND a.date = x.date CROSS JOIN (SELECT unnest([1, 3, 7]) AS lag_days) l
+  JOIN ch b ON b.source = a.source AND b.chart = a.chart AND b.item = a.item AND b.date = a.date + CAST(lag_days AS INT)""")
+def exposure_rank_change(rel: Rel) -> DataFrame:
+    return _exposure(rel).select("source", "item", "chart", "date", "lag_days", "lists", "rank_before", "rank_after", "improvement", *r6("placement"))
+
+
+@query("WITH " + DAILY + """ SELECT a.source, lag_days, count(*) AS observations, round(median(a.rank - b.rank), 6) AS median_improvement
+  FROM ex x JOIN ch a ON a.source = x.source AND a.item = x.item AND a.date = x.date CROSS JOIN (SELECT unnest([1, 3, 7]) AS lag_days) l
+  JOIN ch b ON b.source = a.source AND b.chart = a.chart AND b.item = a.item AND b.date = a.date + CAST(lag_days AS INT) GROUP BY 1, 2""")
+def exposure_median(rel: Rel) -> DataFrame:
+    return insights.median_improvement(_exposure(rel), ["source", "lag_days"]).select("source", "lag_days", "observations", *r6("median_improvement"))
+
+
+@query("""WITH o AS (SELECT *, sum(metric_value) OVER (PARTITION BY country) AS t FROM {country_charts} WHERE country IN ('NATION_1', 'NATION_2', 'NATION_3') AND period = (SELECT max(period) FROM {country_charts}))
+  SELECT i.item, c.country, o.rank, round((chart_size - rank + 1) / chart_size, 6) AS rank_score, round(metric_value / t, 6) AS stream_share
+  FROM (SELECT DISTINCT item FROM o WHERE rank <= 50) i CROSS JOIN (SELECT DISTINCT country FROM o) c LEFT JOIN o ON o.item = i.item AND o.country = c.country""")
+def country_comparison(rel: Rel) -> DataFrame:
+    return insights.compare_countries(rel("country_charts"), ["NATION_1", "NATION_2", "NATION_3"]).select("item", "country", "rank", *r6("rank_score", "stream_share"))
+
+
+@query("""SELECT item AS grp, count(*) FILTER (WHERE action = 'play') AS play, count(*) FILTER (WHERE action = 'skip') AS skip, count(*) FILTER (WHERE action = 'like') AS likes,
+  round(count(*) FILTER (WHERE action = 'skip') / nullif(count(*) FILTER (WHERE action IN ('play', 'skip')), 0), 6) AS skip_rate, count(DISTINCT user_id) AS users, count(*) AS events FROM {listens} WHERE action <> 'other' GROUP BY 1""")
+def feedback_summary(rel: Rel) -> DataFrame:
+    return insights.feedback_summary(rel("listens"), F.col("item")).select("grp", "play", "skip", "likes", "users", "events", *r6("skip_rate"))
+
+
+@query("SELECT source, count(*) AS events FROM {listens} WHERE action <> 'other' GROUP BY 1")
+def feedback_sources(rel: Rel) -> DataFrame:
+    return insights.source_counts(rel("listens"))
+
+
+# ---------------------------------------------------------------- resolution
+SLUG = "trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^0-9a-z]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _slug(c: str) -> str:
+    return f"replace({SLUG.format(c)}, ' ', '-')"
+
+
+@query(f"""WITH s AS (SELECT CAST(l_partkey AS STRING) AS key, {_slug('title')} AS t, {_slug('artist')} AS a, count(*) AS n FROM {{lineitem}} JOIN {{items}} ON item = l_partkey GROUP BY 1, 2, 3),
+  h AS (SELECT *, first_value(key) OVER (PARTITION BY t, a ORDER BY n DESC, key) AS canonical_key FROM s) SELECT key AS alias_key, canonical_key FROM h WHERE key <> canonical_key""")
+def entity_resolution(rel: Rel) -> DataFrame:
+    recs = rel("lineitem").join(rel("items"), F.col("item") == F.col("l_partkey")).select(F.col("item").cast("string").alias("key"), "title", "artist")
+    return resolution.equal_names(recs, "key", "title", "artist")
+
+
+@query()
+def entity_resolution_greedy(rel: Rel) -> DataFrame:
+    recs = rel("lineitem").join(rel("items"), F.col("item") == F.col("l_partkey")).select(F.col("item").cast("string").alias("key"), "title", F.array("artist").alias("artists"))
+    return resolution.resolve_entities(recs, "key", "title", "artists")
+
+
+@query(f"""SELECT o_custkey AS key, arg_max(p_name, (o_orderdate, p_name, p_brand)) AS title, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS genres, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sources, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen,
+   {SLUG.format("concat(arg_max(p_name, (o_orderdate, p_name, p_brand)), ' ', arg_max(p_brand, (1, o_orderdate, p_brand)))")} AS search_text
+   FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON p_partkey = l_partkey GROUP BY 1""")
+def catalog(rel: Rel) -> DataFrame:
+    own = rel("lineitem").join(rel("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(rel("part"), F.col("p_partkey") == F.col("l_partkey"))
+    recs = own.select(F.col("o_custkey").alias("key"), F.col("p_name").alias("title"), F.array("p_brand").alias("artists"), F.col("p_type").alias("genre"), F.col("p_brand").alias("source"), F.col("o_orderdate").alias("seen"))
+    return resolution.build_catalog(recs).select("key", "title", F.array_join("genres", ",").alias("genres"), F.array_join("sources", ",").alias("sources"), "first_seen", "last_seen", "search_text")
+
+
+@query(f"""WITH k AS (SELECT *, concat({SLUG.format('title')}, '::', {SLUG.format('artist')}) AS match_key FROM {{items}})
+  SELECT concat('trk_', substr(sha256(match_key), 1, 12)) AS track_id, match_key, min(title) AS title, min(artist) AS artist, count(*) AS n_records, string_agg(DISTINCT genre, ',' ORDER BY genre) AS sources,
+  string_agg(DISTINCT concat(genre, ':', CAST(item AS STRING)), ',' ORDER BY concat(genre, ':', CAST(item AS STRING))) AS ids FROM k GROUP BY match_key""")
+def canonical_tracks(rel: Rel) -> DataFrame:
+    return resolution.canonical_tracks(rel("items").select("title", "artist", F.col("genre").alias("source"), F.col("item").alias("id")))
+
+
+@query(f"""WITH s AS (SELECT p_name AS block, item, replace(replace({SLUG.format('artist')}, ' ', ''), '-', '') AS c FROM {{items}} JOIN {{part}} ON p_partkey = item)
+  SELECT x.block, x.item AS a, y.item AS b FROM s x JOIN s y ON x.block = y.block AND x.item < y.item AND (contains(x.c, y.c) OR contains(y.c, x.c)) WHERE length(x.c) >= 3 AND length(y.c) >= 3""")
+def overlap_pairs(rel: Rel) -> DataFrame:
+    return resolution.overlap_pairs(rel("items").withColumnRenamed("title", "block"), "block", "item", "artist")
+
+
+# ---------------------------------------------------------------- text
+@query(f"SELECT doc_id, {SLUG.format('text')} AS norm, length({_slug('text')}) AS slug_length, strip_accents(text) <> text AS accented FROM {{documents}}")
+def norm_text(rel: Rel) -> DataFrame:
+    return rel("documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"), F.length(text.slug(F.col("text"))).cast("long").alias("slug_length"), text.has_diacritics(F.col("text")).alias("accented"))
+
+
+@query(f"SELECT p_partkey, concat({_slug('p_name')}, '__', {_slug('p_brand')}) AS key FROM {{part}}")
+def track_key(rel: Rel) -> DataFrame:
+    return rel("part").select("p_partkey", text.track_key(F.col("p_name"), F.array("p_brand")).alias("key"))
+
+
+@query("SELECT item_id, CAST(CASE WHEN item_id % 3 = 0 THEN floor(item_id * 1.5 * 1000) WHEN item_id % 3 = 1 THEN item_id * 1000000 ELSE item_id END AS BIGINT) AS n FROM {benchmark}")
+def parse_count(rel: Rel) -> DataFrame:
+    shown = F.when(F.col("item_id") % 3 == 0, F.concat(F.replace(F.format_string("%.1f", F.col("item_id") * 1.5), F.lit("."), F.lit(",")), F.lit("K"))).when(F.col("item_id") % 3 == 1, F.concat(F.col("item_id").cast("string"), F.lit(" M"))).otherwise(F.col("item_id").cast("string"))
+    return rel("benchmark").select("item_id", text.parse_count(shown).alias("n"))
+
+
+# words of invented prose that stand for names; 'of the' has two words
+NAMES = [("the", "T"), ("ou", "O"), ("of the", "OT"), ("der", "D"), ("être", "E"), ("est", "S")]
+TERMS = "names AS (SELECT * FROM (VALUES ('the', 'T'), ('ou', 'O'), ('of the', 'OT'), ('der', 'D'), ('est', 'S')) v(gram, code))"
+
+
+def _terms(df: DataFrame) -> DataFrame:
+    names = df.sparkSession.createDataFrame(NAMES, "name string, code string")
+    return detection.aliases(names, "name", "code", ["etre"])
+
+
+@query("""WITH """ + TERMS + """, w AS (SELECT post_id, string_split(trim(regexp_replace(lower(text), '[^0-9a-z_]+', ' ', 'g')), ' ') AS w FROM {posts} WHERE strip_accents(lower(text)) = lower(text)),
+  g AS (SELECT post_id, w[i] AS gram FROM w, (SELECT unnest(range(1, 3000)) AS i) r WHERE i <= len(w) UNION ALL SELECT post_id, concat(w[i], ' ', w[i + 1]) FROM w, (SELECT unnest(range(1, 3000)) AS i) r WHERE i < len(w))
+  SELECT post_id, code, count(*) AS n FROM g JOIN names USING (gram) GROUP BY 1, 2""")
+def term_mentions(rel: Rel) -> DataFrame:
+    posts = rel("posts").where(~text.has_diacritics(F.lower("text")))
+    return detection.term_matches(posts, "post_id", "text", _terms(posts)).groupBy("post_id", "code").agg(F.count("*").alias("n"))
+
+
+@query()
+def mention_votes(rel: Rel) -> DataFrame:
+    posts = rel("posts")
+    found = detection.mentions(posts, "post_id", "text", None, _terms(posts)).join(posts.select("post_id", "author", "role"), "post_id")
+    return detection.one_vote_per_author(found, "code", "role", "author", "weight", "kind").select("code", "role", "authors", "self_mentions", *r6("mentions"))
+
+
+@query()
+def mention_coverage(rel: Rel) -> DataFrame:
+    posts = rel("posts")
+    return detection.mention_coverage(posts, detection.mentions(posts, "post_id", "text", None, _terms(posts)), "post_id")
+
+
+# ---------------------------------------------------------------- serving
+LIVE = """lp AS (SELECT macro AS region, item, count(*) FILTER (WHERE action = 'play') AS plays, count(*) FILTER (WHERE action = 'like') AS likes FROM {listens} WHERE ts >= TIMESTAMP '2024-01-29 23:00:00' - INTERVAL 7 DAY GROUP BY 1, 2)"""
+
+
+def _live(rel: Rel) -> DataFrame:
+    own = rel("listens").where(F.col("ts") >= F.lit(datetime(2024, 1, 22, 23)))
+    return own.groupBy(F.col("macro").alias("region"), "item").agg(F.count_if(F.col("action") == "play").alias("plays"), F.count_if(F.col("action") == "like").alias("likes"))
+
+
+@query("""SELECT region, CAST(sum(plays) AS BIGINT) AS plays, CAST(sum(likes) AS BIGINT) AS likes, max(mentions) AS mentions, max(authors) AS authors FROM
+  (SELECT region, count(*) FILTER (WHERE action = 'play') AS plays, count(*) FILTER (WHERE action = 'like') AS likes, NULL AS mentions, NULL AS authors FROM {listens} WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1
+   UNION ALL SELECT region, NULL, NULL, round(sum(CASE WHEN action = 'like' THEN 1.0e0 ELSE 0.3e0 END), 1), count(DISTINCT user_id) FROM {listens} WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' GROUP BY 1) x GROUP BY 1""")
+def realtime_totals(rel: Rel) -> DataFrame:
+    own = rel("listens").withColumns({"plays": (F.col("action") == "play").cast("long"), "likes": (F.col("action") == "like").cast("long"), "author": F.col("user_id"), "weight": F.when(F.col("action") == "like", 1.0).otherwise(0.3)})
+    return serving.realtime_totals(own, own, F.lit(datetime(2024, 1, 29)), F.lit(datetime(2024, 1, 23)))
+
+
+@query("""SELECT n_name AS region, coalesce(p.items, 0) AS items, coalesce(l.plays, 0) AS plays FROM {nation} LEFT JOIN (SELECT country, count(DISTINCT item) AS items FROM {country_charts} WHERE rank <= 10 GROUP BY 1) p ON p.country = n_name
+  LEFT JOIN (SELECT region, count(*) AS plays FROM {listens} WHERE action = 'play' AND ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1) l ON l.region = n_name""")
+def region_overview(rel: Rel) -> DataFrame:
+    profile = rel("country_charts").where("rank <= 10").groupBy(F.col("country").alias("region")).agg(F.countDistinct("item").alias("items"))
+    live = rel("listens").where((F.col("action") == "play") & (F.col("ts") >= F.lit(datetime(2024, 1, 29)))).groupBy("region").agg(F.count("*").alias("plays"))
+    return serving.region_overview(rel("nation").select(F.col("n_name").alias("region")), profile, live)
+
+
+@query("SELECT event_id, region, item, ts_ms FROM {listens} WHERE action = 'like' ORDER BY ts_ms DESC, event_id LIMIT 50")
+def latest_rows(rel: Rel) -> DataFrame:
+    return serving.latest_rows(rel("listens"), F.col("action") == "like", [F.desc("ts_ms"), F.col("event_id")], 50).select("event_id", "region", "item", "ts_ms")
+
+
+@query("WITH " + NATIONAL + " SELECT item, round(points, 6) AS points FROM nat WHERE points > 0 ORDER BY round(points, 9) DESC, item LIMIT 50")
+def national_ranking(rel: Rel) -> DataFrame:
+    return serving.ranking(_national(rel), "points", "item", 50).select("item", *r6("points"))
+
+
+@query("SELECT chart_id, source, count(*) AS entries, max(snapshot_id) AS last_snapshot FROM {chart_entries} GROUP BY 1, 2")
+def chart_list(rel: Rel) -> DataFrame:
+    return serving.chart_list(rel("chart_entries"))
+
+
+@query("SELECT item, rank, metric_value FROM {country_charts} WHERE country = 'NATION_3' AND period = '1998'")
+def filtered_lookup(rel: Rel) -> DataFrame:
+    return serving.lookup(rel("country_charts"), country="NATION_3", period="1998", item=None).select("item", "rank", "metric_value")
+
+
+@query("SELECT date_trunc('minute', ts) AS at, count(*) FILTER (WHERE action = 'play') AS plays, count(*) FILTER (WHERE action = 'skip') AS skips, count(*) FILTER (WHERE action = 'like') AS likes, count(DISTINCT user_id) AS users FROM {listens} GROUP BY 1")
+def timeline_minute(rel: Rel) -> DataFrame:
+    return serving.timeline(rel("listens")).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("SELECT strftime(date_trunc('minute', ts), '%Y%m%d%H%M') AS minute, region, item, count(*) FILTER (WHERE action = 'play') AS plays, count(*) FILTER (WHERE action = 'skip') AS skips, count(*) FILTER (WHERE action = 'like') AS likes, max(ts_ms) AS last_ts_ms FROM {listens} GROUP BY 1, 2, 3")
+def plays_per_minute(rel: Rel) -> DataFrame:
+    from tidechart.streaming.jobs import plays_by_minute
+
+    return plays_by_minute(rel("listens")).select(F.date_format("window.start", "yyyyMMddHHmm").alias("minute"), "region", "item", "plays", "skips", "likes", "last_ts_ms")
+
+
+@query(f"SELECT p_partkey, p_name, p_retailprice FROM {{part}} WHERE contains({SLUG.format('p_name')}, 're') ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def item_search(rel: Rel) -> DataFrame:
+    own = rel("part").withColumn("search_text", text.norm_text(F.col("p_name")))
+    return serving.search(own, "Ré", "search_text", "p_retailprice", "p_partkey").select("p_partkey", "p_name", "p_retailprice")
+
+
+MERGE = TREND + ", " + LIVE.replace("item, count", "CAST(substr(item, 2) AS BIGINT) + 1 AS item, count") + """, top50 AS (SELECT * FROM ranked WHERE rank <= 50),
+ ba AS (SELECT region, item, rank AS batch_rank, score / max(score) OVER (PARTITION BY region) AS batch, c_national / score AS s_n, c_trends / score AS s_t, c_mentions / score AS s_m, c_events / score AS s_e FROM top50),
+ pl AS (SELECT region, item, (plays + 2 * likes) / nullif(max(plays + 2 * likes) OVER (PARTITION BY region), 0) AS live FROM lp),
+ me AS (SELECT region, item, mentions / max(mentions) OVER (PARTITION BY region) AS said FROM vo),
+ mg AS (SELECT region, item, batch_rank, coalesce(batch, 0) AS b, coalesce(s_n, 0) AS s_n, coalesce(s_t, 0) AS s_t, coalesce(s_m, 0) AS s_m, coalesce(s_e, 0) AS s_e, coalesce(live, 0) AS live, coalesce(said, 0) AS said FROM ba FULL JOIN pl USING (region, item) FULL JOIN me USING (region, item)),
+ fin AS (SELECT *, 0.6 * b * s_n + 0.6 * b * s_t + (0.6 * b * s_m + 0.1 * said) + (0.6 * b * s_e + 0.3 * live) AS score FROM mg),
+ rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY round(score, 9) DESC, item) AS INT) AS rank FROM fin WHERE score > 0)"""
+
+
+@query(MERGE + " SELECT region, item, round(score, 6) AS score, rank, batch_rank, batch_rank - rank AS rank_change FROM rk")
+def merge_trending(rel: Rel) -> DataFrame:
+    live = _live(rel).withColumn("item", F.substring("item", 2, 20).cast("long") + 1)
+    return serving.merge_trending(_trending(rel), live, _votes(rel)).select("region", "item", "rank", "batch_rank", "rank_change", *r6("score"))
+
+
+SEEDS = """sd AS (SELECT o_custkey AS user_id, r_name AS region, l_partkey AS item, sum(CASE WHEN l_returnflag = 'R' THEN 2.0 WHEN l_returnflag = 'A' THEN 1.0 ELSE -0.7 END * exp(-date_diff('day', o_orderdate, TIMESTAMP '2001-09-01') / 365.0)) AS w
+  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY 1, 2, 3)"""
+
+
+@query(TREND + ", " + BASKETS + ", " + SEEDS + """, tr AS (SELECT region, item, score / max(score) OVER (PARTITION BY region) AS trend FROM ranked WHERE rank <= 50),
+ gain AS (SELECT user_id, region, neighbour AS item, sum(w * sim) AS cf FROM sd JOIN top_ USING (item) WHERE w > 0 GROUP BY 1, 2, 3), cf AS (SELECT user_id, region, item, cf / max(cf) OVER (PARTITION BY user_id) AS cf FROM gain),
+ hot AS (SELECT user_id, u.region, item, trend FROM (SELECT DISTINCT user_id, region FROM sd) u JOIN tr ON tr.region = u.region),
+ al AS (SELECT user_id, region, item, coalesce(cf, 0) AS cf, coalesce(trend, 0) AS trend FROM cf FULL JOIN hot USING (user_id, region, item)),
+ rc AS (SELECT *, cf + 0.35 * trend AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(cf + 0.35 * trend, 9) DESC, item) AS INT) AS rank FROM al a WHERE NOT EXISTS (SELECT 1 FROM sd s WHERE s.user_id = a.user_id AND s.item = a.item))
+ SELECT user_id, region, item, rank, round(score, 6) AS score FROM rc WHERE rank <= 20""")
+def recommend(rel: Rel) -> DataFrame:
+    own = rel("lineitem").join(rel("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(rel("customer"), F.col("o_custkey") == F.col("c_custkey")).join(rel("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(rel("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    age = F.date_diff(F.lit("2001-09-01").cast("date"), F.col("o_orderdate").cast("date"))
+    weight = scoring.action_weight(F.col("l_returnflag"), {"R": 2.0, "A": 1.0, "N": -0.7}) * scoring.recency_decay(F.lit(0), age, 365.0)
+    seeds = own.groupBy(F.col("o_custkey").alias("user_id"), F.col("r_name").alias("region"), F.col("l_partkey").alias("item")).agg(F.sum(weight).alias("w"))
+    hot = _trending(rel).select("region", "item", ranking.norm_by_max("score", ["region"]).alias("trend"))
+    return serving.recommend(seeds, _similar(rel), hot).select("user_id", "region", "item", "rank", *r6("score"))
+
+
+@query(TREND + """, u AS (SELECT c_custkey AS user_id, r_name AS region FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE year(o_orderdate) >= 1999)),
+ c AS (SELECT user_id, item, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item) AS INT) AS rank FROM u JOIN ranked k ON k.region = u.region AND k.rank <= 50) SELECT user_id, item, rank FROM c WHERE rank <= 20""")
+def cold_start(rel: Rel) -> DataFrame:
+    users = rel("customer").join(rel("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(rel("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("c_custkey").alias("user_id"), F.col("r_name").alias("region"))
+    known = rel("orders").where(F.year("o_orderdate") >= 1999).select(F.col("o_custkey").alias("user_id"))
+    return serving.cold_start(users, known, _trending(rel).drop("rank")).select("user_id", "item", "rank")
+
+
+@query("""SELECT source, count(*) AS records, count(DISTINCT snapshot_id) AS snapshots, max(snapshot_id) AS last_snapshot, (SELECT count(*) FROM {listens}) AS listens, (SELECT count(*) FROM {items}) AS items FROM {chart_entries} GROUP BY 1""")
+def kpi_document(rel: Rel) -> DataFrame:
+    return serving.kpis(rel("chart_entries"), rel("listens"), rel("items"))
+
+
+@query("""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS row_no, regexp_extract(m, '<a href="([^"]*)"', 1) AS link, regexp_extract(m, '>([^<]*)</a>', 1) AS title
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>.*?</li>')) AS m, generate_subscripts(regexp_extract_all(html, '<li>.*?</li>'), 1) AS i FROM {pages}) x""")
+def page_rows(rel: Rel) -> DataFrame:
+    from tidechart.sources.captured import extract_page_rows
+
+    return extract_page_rows(rel("pages"), "page_id", "html", r"(?s)<li>.*?</li>", {"link": r'<a href="([^"]*)"', "title": r">([^<]*)</a>"})
