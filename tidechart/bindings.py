@@ -29,7 +29,7 @@ RELATIONS = {
         FROM (SELECT concat(c_mktsegment, '|', l_returnflag) AS chart_id, c_mktsegment AS source,
                      concat(CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0')) AS snapshot_id,
                      CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month_no, l_partkey AS item,
-                     round(sum(l_extendedprice * (1 - l_discount)), 2) AS metric_value
+                     round(sum(l_extendedprice * (1 - l_discount)), 4) AS metric_value
               FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
               GROUP BY 1, 2, 3, 4, 5) t""",
     "chart_weights": """
@@ -39,7 +39,7 @@ RELATIONS = {
         SELECT country, period, item, CAST(row_number() OVER (PARTITION BY country, period ORDER BY metric_value DESC, item) AS INT) AS rank,
                CAST(count(*) OVER (PARTITION BY country, period) AS INT) AS chart_size, metric_value
         FROM (SELECT n_name AS country, CAST(year(o_orderdate) AS STRING) AS period, l_partkey AS item,
-                     round(sum(l_extendedprice * (1 - l_discount)), 2) AS metric_value
+                     round(sum(l_extendedprice * (1 - l_discount)), 4) AS metric_value
               FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
               GROUP BY 1, 2, 3) t""",
     "listens": """
