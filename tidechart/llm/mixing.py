@@ -70,8 +70,10 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[floa
 def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: float = EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(*carry, id, text_hash, source, size, source_size, target, key, taken) of every row; `taken` counts repeats."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = docs.select(*carry, F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"), unit.alias("unit"))
+    mark = F.md5(text)
+    tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), mark))
+    unit = (F.conv(F.substring(tag, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    rows = docs.select(*carry, F.col(id_col).alias("id"), mark.alias("text_hash"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"), unit.alias("unit"))
     rows = stored(rows.withColumn("key", -F.log("unit") / F.col("weight")), "sizes")
     targets = stored(source_targets(rows, "source", "size", weights, budget, epochs), "targets")
     most = rows.groupBy("source").count().agg(F.max("count").alias("n")).first()["n"] or 0
@@ -90,4 +92,4 @@ def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", s
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), n_words(F.col("text")), quality(F.col("text")))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")

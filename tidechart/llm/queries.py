@@ -7,6 +7,7 @@ from tidechart.llm.jaccard_join import op3_jaccard_join
 from tidechart.llm.language_model import op5_lm_scores
 from tidechart.llm.mixing import op6_mixing
 from tidechart.llm.nearest import op8_nearest
+from tidechart.llm.oracles import ORACLES as ORACLES
 from tidechart.llm.secret_scans import op10_secret_scans
 from tidechart.llm.sharding import op7_sharding
 from tidechart.llm.substring_dedup import op1_substring_dedup
@@ -14,4 +15,3 @@ from tidechart.llm.toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_jaccard_join, op4_decontamination, op5_lm_scores, op6_mixing, op7_sharding, op8_nearest, op9_toxicity, op10_secret_scans)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
