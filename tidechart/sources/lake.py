@@ -62,7 +62,7 @@ def read_jsonl(spark: SparkSession, paths: list[str], schema: T.StructType) -> t
 
     errors: file, line and what is wrong, as file:line: text.
     """
-    lines = spark.read.option("wholetext", "true").text(paths).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("at", "line"))
+    lines = spark.read.text(paths, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"^\x{FEFF}", ""), "\r?\n")).alias("at", "line"))
     lines = lines.where(F.trim("line") != "")
     inner = F.coalesce(F.get_json_object("line", "$.value"), F.col("line"))
     opened = F.when(F.ltrim(inner).startswith("{"), inner).otherwise(F.col("line"))
@@ -95,7 +95,7 @@ def read_chart_csv(spark: SparkSession, path: str, names: dict[str, list[str]] |
     """
     names = names or CSV_NAMES
     known = [x for options in names.values() for x in options]
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"^\x{FEFF}", ""), "\r?\n").alias("lines"))
     is_head = lambda x: F.size(F.array_intersect(F.transform(F.split(F.lower(F.replace(x, F.lit('"'), F.lit(""))), ","), lambda y: F.trim(y)), F.array(*[F.lit(k) for k in known]))) >= 2
     at = F.array_position(F.transform(F.slice("lines", 1, head), is_head), F.lit(True))
     found = text.withColumn("at", at).where("at > 0").withColumn("head", F.transform(F.split(F.lower(F.replace(F.element_at("lines", F.col("at").cast("int")), F.lit('"'), F.lit(""))), ","), lambda y: F.trim(y)))
