@@ -61,14 +61,13 @@ def evidence(regions: DataFrame, interest: DataFrame, covered: DataFrame, votes:
     return own.withColumn("confidence", conf).withColumns({"confidence_label": label, "signals": names})
 
 
-def trending(cells: DataFrame, national: DataFrame, interest: DataFrame, comments: DataFrame, events: DataFrame, available: DataFrame, w: Weights = Weights(), n: int | None = 50) -> DataFrame:
+def trending(cells: DataFrame, national: DataFrame, interest: DataFrame, available: DataFrame, w: Weights = Weights(), n: int | None = 50) -> DataFrame:
     """region, item, rank, score and what each signal adds to it: a mean over the signals a region has.
 
-    cells: region, item; national: item, national_score; interest: region, item, trends; comments: region,
-    item, c_share; events: region, item, e_share.
+    cells: region, item, c_share, e_share (smoothed shares of mentions and plays); national: item,
+    national_score; interest: region, item, trends; available: what `evidence` returns.
     """
     own = cells.join(national.select("item", "national_score"), "item", "left").join(interest.select("region", "item", "trends"), ["region", "item"], "left")
-    own = own.join(comments.select("region", "item", "c_share"), ["region", "item"], "left").join(events.select("region", "item", "e_share"), ["region", "item"], "left")
     own = own.join(available.select("region", "a_trends", "a_mentions", "a_events"), "region").fillna(0.0, ["national_score", "trends", "c_share", "e_share"])
     own = own.withColumns({"mention_affinity": norm_by_max("c_share", ["region"], 1e-9), "event_affinity": norm_by_max("e_share", ["region"], 1e-9)})
     whole = w.national + w.trends * F.col("a_trends") + w.mentions * F.col("a_mentions") + w.events * F.col("a_events")

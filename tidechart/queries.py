@@ -291,8 +291,8 @@ def _comments(rel: Rel) -> DataFrame:
 
 
 def _trending(rel: Rel, n: int | None = 50) -> DataFrame:
-    events = ranking.smoothed_share(_plays(rel), _cells(rel), "region", "item", "plays", 30.0, "e_share")
-    return regional.trending(_cells(rel), _national(rel), _interest(rel), _comments(rel), events, _evidence(rel), n=n)
+    shares = ranking.smoothed_share(_plays(rel), _comments(rel), "region", "item", "plays", 30.0, "e_share")
+    return regional.trending(shares.select("region", "item", "c_share", "e_share"), _national(rel), _interest(rel), _evidence(rel), n=n)
 
 
 @query("WITH " + INTEREST + " SELECT region, item, round(trend_ratio, 6) AS trend_ratio, round(trend_lift, 6) AS trend_lift, round(trends, 9) AS trends FROM gi")
