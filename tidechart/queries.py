@@ -11,11 +11,29 @@ from pyspark.sql import functions as F
 from tidechart.bindings import duck, spark_relation
 from tidechart.functions import scoring, text
 from tidechart.operators import detection, ranking, snapshots
+from tidechart.operators.materialize import materialized
 from tidechart.plans import insights, popularity, regional, resolution, serving, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-Rel = Callable[[str], DataFrame]
+
+
+class Rel:
+    """Relations of one query call by name, each built once, and intermediate results that are written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.known = spark, sf_dir, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self.known:
+            self.known[name] = spark_relation(self.spark, self.sf_dir, name)
+        return self.known[name]
+
+    def kept(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if f"kept {key}" not in self.known:
+            self.known[f"kept {key}"] = materialized(make())
+        return self.known[f"kept {key}"]
+
 
 #: Times of the driver's tables that queries take as "now".
 AS_OF = datetime(2024, 1, 30)
@@ -25,7 +43,7 @@ def query(sql: str | None = None):
     """Register a function of relations under its name, with the SQL that states the same."""
 
     def put(f: Callable[[Rel], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark_relation(spark, sf_dir, name))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Rel(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = duck(sql)
         return f
@@ -253,33 +271,40 @@ def _sold(rel: Rel, flag: str) -> DataFrame:
     )
 
 
+def _observations(rel: Rel) -> DataFrame:
+    return rel.kept("trend_obs", lambda: rel("trend_obs"))
+
+
+def _item_scores(rel: Rel) -> DataFrame:
+    return rel.kept("national", lambda: _national(rel).select("item", "national_score"))
+
+
 def _interest(rel: Rel) -> DataFrame:
-    return regional.regional_interest(rel("trend_obs")).withColumnRenamed("coarse", "region")
+    return rel.kept("interest", lambda: regional.regional_interest(_observations(rel)).withColumnRenamed("coarse", "region"))
 
 
 def _plays(rel: Rel) -> DataFrame:
-    return _sold(rel, "R").groupBy("region", "item").agg(F.count("*").alias("plays"))
+    return rel.kept("plays", lambda: _sold(rel, "R").groupBy("region", "item").agg(F.count("*").alias("plays")))
 
 
 def _posts(rel: Rel) -> DataFrame:
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "self").otherwise("mention")
-    own = _sold(rel, "A").withColumn("kind", kind)
-    return own.withColumn("weight", detection.mention_weight(F.col("kind")))
+    return rel.kept("posts", lambda: _sold(rel, "A").withColumn("kind", kind).withColumn("weight", detection.mention_weight(F.col("kind"))).drop("o_orderpriority"))
 
 
 def _votes(rel: Rel) -> DataFrame:
-    return detection.one_vote_per_author(_posts(rel), "region", "item", "o_custkey", "weight", "kind")
+    return rel.kept("votes", lambda: detection.one_vote_per_author(_posts(rel), "region", "item", "o_custkey", "weight", "kind"))
 
 
 def _cells(rel: Rel) -> DataFrame:
-    items = ranking.key_universe("item", _national(rel), _interest(rel), _votes(rel), _plays(rel))
+    items = ranking.key_universe("item", _item_scores(rel), _interest(rel), _votes(rel), _plays(rel))
     return ranking.universe(rel("region").select(F.col("r_name").alias("region")), items)
 
 
 def _evidence(rel: Rel) -> DataFrame:
     people = rel("customer").join(rel("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(rel("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     population = people.groupBy(F.col("r_name").alias("coarse")).agg((F.count("*") * 1.25).alias("population"))
-    covered = regional.coverage(rel("trend_obs"), population).withColumnRenamed("coarse", "region")
+    covered = regional.coverage(_observations(rel), population).withColumnRenamed("coarse", "region")
     best = _posts(rel).groupBy("region", "item", "o_custkey").agg(F.max((F.col("kind") == "self").cast("int")).alias("s"))
     votes = best.groupBy("region").agg(F.countDistinct("o_custkey").alias("authors"), F.sum("s").alias("self_mentions"))
     plays = _plays(rel).groupBy("region").agg(F.sum("plays").alias("plays"))
@@ -287,12 +312,12 @@ def _evidence(rel: Rel) -> DataFrame:
 
 
 def _comments(rel: Rel) -> DataFrame:
-    return ranking.smoothed_share(_votes(rel), _cells(rel), "region", "item", "mentions", 10.0, "c_share")
+    return rel.kept("comments", lambda: ranking.smoothed_share(_votes(rel), _cells(rel), "region", "item", "mentions", 10.0, "c_share"))
 
 
-def _trending(rel: Rel, n: int | None = 50) -> DataFrame:
+def _trending(rel: Rel) -> DataFrame:
     shares = ranking.smoothed_share(_plays(rel), _comments(rel), "region", "item", "plays", 30.0, "e_share")
-    return regional.trending(shares.select("region", "item", "c_share", "e_share"), _national(rel), _interest(rel), _evidence(rel), n=n)
+    return regional.trending(shares.select("region", "item", "c_share", "e_share"), _item_scores(rel), _interest(rel), _evidence(rel))
 
 
 @query("WITH " + INTEREST + " SELECT region, item, round(trend_ratio, 6) AS trend_ratio, round(trend_lift, 6) AS trend_lift, round(trends, 9) AS trends FROM gi")
