@@ -124,19 +124,25 @@ def open_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return texts.select("text", "spots").mapInArrow(run, "w1 long, w2 long, edge long, path long, i int")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(__u, text), stated alike wherever texts meet rows by uid, so that one shuffle serves all."""
+    return docs.where(F.col("uid").isNotNull()).select(F.col("uid").alias("__u"), "text")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = EDGE) -> DataFrame:
     """(uid, first, n): runs of n repeated windows from word `first` on; docs: uid, text. Runs may touch."""
     found = stored(edges(docs, window, k), "edges")
     kinds = found.groupBy("edge").agg(F.count("*").alias("times"), F.min("path").alias("lo"), F.max("path").alias("hi"))
-    again = kinds.where(F.col("times") > 1).select("edge", (F.col("lo") != F.col("hi")).alias("branches"))
+    # stored, so that the join below is one of plain shuffles, whose hot edges Spark can split
+    again = stored(kinds.where(F.col("times") > 1).select("edge", (F.col("lo") != F.col("hi")).alias("branches")), "again")
     repeated = stored(found.join(again, "edge"), "repeated")
     straight = repeated.where(~F.col("branches")).select("uid", "first", "n")
     # of each branching edge, one occurrence of each path; a path that recurs is repeated whole
     spot = F.struct("uid", "first", "n")
     paths = stored(repeated.where("branches").groupBy("edge", "path").agg(F.count("*").alias("times"), F.min(spot).alias("s")), "paths")
     to_open = paths.groupBy("s.uid").agg(F.collect_list(F.struct("edge", "path", "s.first", "s.n")).alias("spots"))
-    texts = docs.select(F.col("uid").alias("__u"), "text").join(to_open, F.col("__u") == F.col("uid")).select("text", "spots")
-    windows = stored(open_windows(texts, window), "windows")
+    texts = _texts(docs).join(to_open, F.col("__u") == F.col("uid")).select("text", "spots")
+    windows = open_windows(texts, window)
     shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
     partly = windows.join(shared, ["w1", "w2"]).groupBy("edge", "path").agg(F.collect_set("i").alias("marks"))
     whole = paths.where("times > 1").select("edge", "path", F.lit(True).alias("whole"))
@@ -148,17 +154,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = EDGE) -> Data
     return straight.unionByName(all_of_it).unionByName(some)
 
 
-def cut(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(uid, n_words, n_removed, kept, kept_sha256): every row of `docs` without the words of its repeated windows."""
+def cut(docs: DataFrame, spans: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+    """(uid, n_words, n_removed, kept, kept_sha256): every row of `docs` without the words of its repeated windows.
+
+    Without `texts`, kept is null and only its digest leaves the task.
+    """
     by_row = spans.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    rows = docs.join(by_row.withColumnRenamed("uid", "__u"), F.col("uid") == F.col("__u"), "left").select("uid", "text", "spans")
+    rows = _texts(docs).join(by_row, F.col("__u") == F.col("uid"), "left").select(F.col("__u").alias("uid"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spots = batch.column(1), batch.column(2)
+            column, spots = batch.column(1), batch.column(2)
             n_words, n_removed, kept, sha = [], [], [], []
             for i in range(batch.num_rows):
-                text = texts[i].as_py()
+                text = column[i].as_py()
                 words = text.encode().split() if text else []
                 drop = 0
                 if spots[i].is_valid:
@@ -173,22 +182,22 @@ def cut(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
                 line = b" ".join(words)
                 n_words.append(len(words) + drop)
                 n_removed.append(drop)
-                kept.append(line.decode())
+                kept.append(line.decode() if texts else None)
                 sha.append(hashlib.sha256(line).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], names=["uid", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return rows.mapInArrow(run, "uid long, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = EDGE) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = EDGE, texts: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept, kept_sha256) of every row of `docs`."""
     rows = numbered(docs, id_col, text_col)
     own = rows.select("uid", "text")
-    done = cut(own, repeated_spans(own, window, k), window)
+    done = cut(own, repeated_spans(own, window, k), window, texts)
     names = rows.select(F.col("uid").alias("__row"), "id")
     return names.join(done, F.col("__row") == F.col("uid")).drop("__row", "uid")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = deduplicated(table(spark, sf_dir, "documents"))
+    done = deduplicated(table(spark, sf_dir, "documents"), texts=False)
     return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
