@@ -76,10 +76,11 @@ def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", s
     rows = docs.select(*carry, F.col(id_col).alias("id"), mark.alias("text_hash"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"), unit.alias("unit"))
     rows = stored(rows.withColumn("key", -F.log("unit") / F.col("weight")), "sizes")
     targets = stored(source_targets(rows, "source", "size", weights, budget, epochs), "targets")
-    most = rows.groupBy("source").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    buckets = max(1, -(-most // BUCKET_ROWS))
-    # 1 - exp(-key) rises with the key and lies in [0, 1)
-    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    told = rows.groupBy("source").agg(F.count("*").alias("n"), F.min("weight").alias("w")).agg(F.max("n").alias("n"), F.min("w").alias("w")).first()
+    buckets = max(1, -(-(told["n"] or 0) // BUCKET_ROWS))
+    # 1 - exp(-key * w) rises with the key and lies in [0, 1). With the least weight as w it is uniform for that
+    # weight and at most weight / w times as dense for others, so no bucket stands out.
+    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key") * (told["w"] or 1.0))) * buckets), F.lit(buckets - 1)).cast("int"))
     summed = ranked_sums(rows, ["source"], "bucket", [F.col("key"), F.col("id"), F.col("text_hash")], {"before": "size"})
     goal = targets.withColumnRenamed("source", "__s")
     joined = summed.join(goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
