@@ -50,7 +50,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def phrase_starts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(uid, phrase_id, start) where the two rarest terms of a phrase lie at their places.
+    """(uid, phrase_id, start, term2, off2): where the rarest term of a phrase lies at its place, with the second rarest.
 
     docs: uid, w. asked: phrase_id, phrase. Each phrase's terms are ordered by their number of postings.
     """
@@ -63,18 +63,21 @@ def phrase_starts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     possible = rarest.where(F.col("by_df")[0]["df"] > 0)
     anchor = possible.select("phrase_id", F.col("by_df")[0]["term"].alias("term"), F.col("by_df")[0]["off"].alias("off"), F.get("by_df", F.lit(1))["term"].alias("term2"), F.get("by_df", F.lit(1))["off"].alias("off2"), F.size("by_df").alias("n"))
     anchor = small(stored(anchor, "anchors"))
-    # the word at the second place, if it is inside the text, decides before a row is made
+    # starts whose phrase would reach beyond the text make no row
     first = docs.select("uid", F.posexplode("w").alias("pos", "term"), F.size("w").alias("len"))
     hits = first.join(anchor, "term").select("uid", "phrase_id", (F.col("pos") - F.col("off")).alias("start"), "len", "n", "term2", "off2")
     return hits.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("len"))).select("uid", "phrase_id", "start", "term2", "off2")
 
 
 def phrase_matches(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(uid, n_words, hits): every document, with the sorted (start, phrase_id) of all exact phrase matches."""
-    starts = phrase_starts(docs, asked)
+    """(uid, phrase_id, start, n, items): all exact phrase matches. docs: uid, text.
+
+    Texts meet their candidates as texts, and are cut into words after that: words take twice the room.
+    """
+    starts = phrase_starts(docs.select("uid", words(F.col("text")).alias("w")), asked)
     by_doc = starts.groupBy("uid").agg(F.collect_list(F.struct("start", "phrase_id", "term2", "off2")).alias("cand"))
-    texts = docs.select(F.col("uid").alias("__u"), "w")
-    near = by_doc.join(texts, F.col("uid") == F.col("__u"))
+    texts = docs.select(F.col("uid").alias("__u"), "text")
+    near = by_doc.join(texts, F.col("uid") == F.col("__u")).select("uid", "cand", words(F.col("text")).alias("w"))
     agreed = F.filter("cand", lambda c: c["term2"].isNull() | (F.get("w", c["start"] + c["off2"]) == c["term2"]))
     full = near.select("uid", "w", F.explode(agreed).alias("c")).select("uid", "c.phrase_id", "c.start", "w")
     checked = full.join(small(asked), "phrase_id").where(F.slice("w", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
@@ -99,7 +102,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """(uid, n_words, n_hit, item_ids) of every row of `docs` (uid, text)."""
     asked = stored(phrases(items, window=window).withColumn("phrase_id", F.xxhash64("phrase")), "phrases")
     read = docs.select("uid", words(F.col("text")).alias("w"))
-    covered = phrase_matches(read, asked)
+    covered = phrase_matches(docs.select("uid", "text"), asked)
     by_doc = covered.groupBy("uid").agg(
         F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
