@@ -256,4 +256,4 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     done = scored(docs, trained(docs, table(spark, sf_dir, "labels")))
-    return done.select(F.col("id").alias("doc_id"), (fold_of("id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return done.select(F.col("id").alias("doc_id"), F.coalesce(fold_of("id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
