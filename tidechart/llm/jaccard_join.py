@@ -278,7 +278,8 @@ def joined(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
     label = F.coalesce("root", F.col("sid"))
     labelled = stored(own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("uid", "id", "n", F.when(F.col("n") > 0, label).alias("label")), "labels")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid"))
-    least = labelled.where("n > 0").groupBy("label").agg(first.alias("first"))
+    # stored, so that the join is one of plain shuffles, whose hot labels Spark can split
+    least = stored(labelled.where("n > 0").groupBy("label").agg(first.alias("first")), "least")
     filled = F.col("n") > 0
     out = labelled.join(least, "label", "left")
     return out.select("uid", "id", F.col("n").alias("n_shingles"), F.when(filled, F.col("first.id")).otherwise(F.col("id")).alias("component_id"), (~filled | (F.col("first.uid") == F.col("uid"))).alias("kept"))
