@@ -16,6 +16,9 @@ from tidechart.llm.mixing import mix, n_words, quality
 from tidechart.llm.sharding import OLD_SHARDS, by_text, reshard
 from tidechart.llm.toxicity import accepted, trained
 
+#: Near duplicates share at least 8/10 of their five-word shingles; op3's contract (3 words, 9/10) is not the stage's.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 8, 10
+
 #: The stages train and sample, which SQL does not express; tests hold them against plain versions.
 ORACLE_SQL = None
 
@@ -30,9 +33,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates; documents without words all stay."""
+    """The first document of each component of near duplicates (5-word similarity of 0.8 or more); documents without words all stay."""
     numbered = with_uid(docs)
-    gone = joined(_rows(numbered)).where(~F.col("kept")).select(F.col("uid").alias("__uid"))
+    gone = joined(_rows(numbered), NEAR_WORDS, NEAR_NUM, NEAR_DEN).where(~F.col("kept")).select(F.col("uid").alias("__uid"))
     return numbered.join(gone, "__uid", "left_anti").select(*docs.columns)
 
 

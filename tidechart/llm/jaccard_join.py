@@ -3,15 +3,15 @@
 Texts become sets of word shingles. Equal sets are one. The rest is an exact join with a prefix index whose
 lists are skipped in blocks and whose answers are derived from similar sets' answers:
 
-1. Order. Shingles whose hash lies in a fixed share of the hash space are counted over all texts. The global
+1. Order. Shingles whose hash lies in a share of the hash space are counted over all texts. The global
    order of shingles is: counted and held by one set; counted and shared, by count; the others, by hash. A
-   set links only with sets that share one of its first n - ceil(0.9 n) + 1 shingles. A set whose first
+   set links only with sets that share one of its first n - ceil(t n) + 1 shingles, t being the threshold. A set whose first
    shingles are all its own has no partner and ends here.
 2. Index. Lists of (set, size, position) by shingle. In each list the first set is the pivot. A posting is
-   skipped if sizes and positions bound its Jaccard similarity with the pivot under 0.3; other pairs with a
-   pivot are intersected.
+   skipped if sizes and positions bound its Jaccard similarity with the pivot under 0.4 - (1 - t); other
+   pairs with a pivot are intersected.
 3. Derived answers. 1 - J is a metric. If x lies within 0.6 of the pivot of a list, every partner of x in
-   that list lies within 0.7 of that pivot and within 0.1 of x's distance. So all partners of x in the list
+   that list lies within 0.6 + 1 - t of that pivot and within 1 - t of x's distance. So all partners of x in the list
    are found in the pivot's family, in the ring of x, and x's posting leaves the list. Sets already in one
    component are not compared again.
 4. What stays in the lists gets the next pivot; after two rounds the rest is compared in blocks, with
@@ -20,6 +20,9 @@ lists are skipped in blocks and whose answers are derived from similar sets' ans
 Families and lists are cut into blocks of at most BLOCK sets, so no task holds a whole hot group. Nothing is
 dropped: the components are those of all pairs with similarity of at least the threshold.
 
+The threshold is num / den, a parameter like the shingle length `k`. op3 asks for three words and 0.9; the
+pipeline's stage asks for five words and 0.8. It has to be above 0.6.
+
 Defined cases: a null text, or one without words, has an empty set and no links; texts under `k` words are
 one shingle; repeated rows are copies; an empty table gives no rows; other columns are ignored.
 """
@@ -40,10 +43,10 @@ from tidechart.llm.graph import components
 from tidechart.llm.tokens import _BASE, Piece, U, _powers, mix, pieces
 
 SHINGLE, NUM, DEN = 3, 9, 10
-#: Share of the hash space that is counted; enough for a prefix of a tenth in nearly every set.
-COUNTED = 0.16
-LIMIT = U(int(COUNTED * 2**64))
-FAMILY, CORE = 0.3, 0.4
+#: The share of the hash space that is counted is the prefix's share, 1 - t, and this: enough for nearly every set.
+COUNTED = 0.06
+#: Similarity with the pivot from which a set leaves the pivot's list.
+CORE = 0.4
 ROUNDS = 2
 BLOCK = 256
 BITS = 4096
@@ -52,6 +55,16 @@ BROADCAST_ROWS = 500_000
 I64 = np.int64
 
 
+def _limit(num: int, den: int) -> np.uint64:
+    """Hashes below this are counted."""
+    return U(int(((den - num) / den + COUNTED) * 2**64))
+
+
+def _family(num: int, den: int) -> float:
+    """Least similarity with a pivot of partners of sets in its core."""
+    return CORE - (den - num) / den - 1e-9
+
+
 def _sets(p: Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of the distinct shingles of each document of a piece, by document and hash."""
     counts = p.counts
@@ -80,8 +93,9 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(uid, n, sid, sid2, n0, counted): set size, two hashes of the set, and its counted shingles."""
+    limit = _limit(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +107,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 for salt in (U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47)):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ salt))])
                     sums.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
-                low = h < LIMIT
+                low = h < limit
                 n0 = np.bincount(doc[low], minlength=m)[:m] if len(doc) else np.zeros(m, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(p.first, m), pa.array(np.diff(at)), pa.array(sums[0].view(I64)), pa.array(sums[1].view(I64)), pa.array(n0.astype(np.int64)), _lists(h[low].view(I64), n0)],
@@ -103,8 +117,9 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "uid long, n long, sid long, sid2 long, n0 long, counted array<long>")
 
 
-def _prefixes(rows: DataFrame, k: int) -> DataFrame:
+def _prefixes(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(sid, n, shingles, prefix) of rows (sid, n, own, shared, text): all shingles, and the prefix that can be shared."""
+    limit = _limit(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,8 +133,8 @@ def _prefixes(rows: DataFrame, k: int) -> DataFrame:
                     row = p.first + i
                     shared = np.array(batch.column(3)[row].as_py() or [], I64)  # by count, then hash
                     mine = h[at[i] : at[i + 1]]
-                    rest = mine[mine >= LIMIT].view(I64)
-                    room = max(0, int(n[row] // DEN * (DEN - NUM) + (n[row] % DEN) * (DEN - NUM) // DEN + 1 - own[row]))
+                    rest = mine[mine >= limit].view(I64)
+                    room = max(0, int(n[row] // den * (den - num) + (n[row] % den) * (den - num) // den + 1 - own[row]))
                     take = np.concatenate([shared, rest])[:room]
                     tokens.append(take)
                     places.append(own[row] + np.arange(len(take)))
@@ -131,8 +146,8 @@ def _prefixes(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("sid", "n", "own", "shared", "text").mapInArrow(run, "sid long, n long, shingles array<long>, prefix array<struct<token:long,pos:long>>")
 
 
-def _linked(common: Column, n_a: Column, n_b: Column) -> Column:
-    return common * DEN >= (n_a + n_b - common) * NUM
+def _linked(common: Column, n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    return common * den >= (n_a + n_b - common) * num
 
 
 def intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,7 +173,7 @@ def _find(root: dict, x: int) -> int:
     return x
 
 
-def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b): links between members of one family that are in different components so far."""
     known = families.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", F.col("sid")))
     open_ = known.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("pivot")
@@ -172,9 +187,9 @@ def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame) -> Data
         root: dict = {}
         out = []
         for i in range(len(group)):
-            last = np.searchsorted(n, n[i] * DEN // NUM + 1, side="right")
+            last = np.searchsorted(n, n[i] * den // num + 1, side="right")
             near = np.arange(i + 1, last)
-            near = near[(np.abs(far[near] - far[i]) <= (DEN - NUM) / DEN + 1e-9) & ((far[near] <= 1 - CORE) | (far[i] <= 1 - CORE))]
+            near = near[(np.abs(far[near] - far[i]) <= (den - num) / den + 1e-9) & ((far[near] <= 1 - CORE) | (far[i] <= 1 - CORE))]
             if group["x"].iat[0] != group["y"].iat[0]:
                 near = near[block[near] != block[i]]
             for j in near:
@@ -182,7 +197,7 @@ def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame) -> Data
                 if a == b:
                     continue
                 common = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
-                if common * DEN >= (n[i] + n[j] - common) * NUM:
+                if common * den >= (n[i] + n[j] - common) * num:
                     root[a] = b
                     out.append((sid[i], sid[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -196,7 +211,7 @@ def _bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def rest_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
+def rest_pairs(postings: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b): distinct pairs of one list that sizes, positions and bitmaps allow."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +229,11 @@ def rest_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
         same = group["x"].iat[0] == group["y"].iat[0]
         out = []
         for i in range(len(group)):
-            last = np.searchsorted(n, n[i] * DEN // NUM + 1, side="right")
+            last = np.searchsorted(n, n[i] * den // num + 1, side="right")
             near = np.arange(i + 1, last)
             if not same:
                 near = near[block[near] != block[i]]
-            need = -(-NUM * (n[i] + n[near]) // (NUM + DEN))
+            need = -(-num * (n[i] + n[near]) // (num + den))
             most = np.minimum(pos[i], pos[near]) + 1 + np.minimum(n[i] - pos[i], n[near] - pos[near]) - 1
             near, need = near[most >= need], need[most >= need]
             if len(near):
@@ -229,8 +244,9 @@ def rest_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
     return with_bits.select("token", "x", "y", "block", "sid", "n", "pos", "bits").groupBy("token", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
-def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(a, b): links between distinct sets (by sid) that make the components of the join. rows: uid, text."""
+def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(a, b): links between distinct sets (by sid) that make the components of the join. rows: uid, text; sigs: of the same k, num and den."""
+    family = _family(num, den)
     reps = sigs.where("n > 0").groupBy("sid", "sid2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("n0").alias("n0"))
     reps = stored(reps, "reps")
     tokens = sigs.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select("sid", F.explode("counted").alias("token"))
@@ -238,22 +254,22 @@ def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE) -> DataFrame:
     shared = tokens.join(counts.where("lo != hi").select("token", "df"), "token")
     by_set = stored(shared.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")), "shared")
     left = reps.join(by_set, "sid", "left").withColumn("own", F.col("n0") - F.coalesce(F.size("shared"), F.lit(0)))
-    room = F.floor(F.col("n") * (DEN - NUM) / DEN) + 1
+    room = F.floor(F.col("n") * (den - num) / den) + 1
     left = stored(left.where(F.col("own") < room).select("sid", F.col("rep").alias("uid"), "n", "own", F.transform(F.coalesce("shared", F.array().cast("array<struct<df:long,token:long>>")), lambda s: s["token"]).alias("shared")), "left")
     ids = left.select("uid")
     texts = rows.join(F.broadcast(ids) if left.count() <= BROADCAST_ROWS else ids, "uid", "left_semi")
-    sets = stored(_prefixes(left.join(texts.select("uid", "text"), "uid"), k), "sets")
+    sets = stored(_prefixes(left.join(texts.select("uid", "text"), "uid"), k, num, den), "sets")
     lists = sets.select("sid", "n", F.explode("prefix").alias("p")).select("sid", "n", "p.token", "p.pos")
     links, families = None, None
     for turn in range(ROUNDS):
         pivots = lists.groupBy("token").agg(F.min(F.struct("sid", "n", "pos")).alias("v"), F.count("*").alias("len")).where("len > 1").drop("len")
         lists = stored(lists.join(pivots, "token"), f"lists{turn}")
         bound = F.least("pos", F.col("v.pos")) + F.least(F.col("n") - F.col("pos"), F.col("v.n") - F.col("v.pos"))
-        worth = (F.col("sid") != F.col("v.sid")) & (bound >= FAMILY * (F.col("n") + F.col("v.n") - bound))
+        worth = (F.col("sid") != F.col("v.sid")) & (bound >= family * (F.col("n") + F.col("v.n") - bound))
         pairs = lists.where(worth).select(F.col("sid").alias("a"), F.col("v.sid").alias("b")).distinct()
         found = stored(intersected(pairs, sets).withColumn("far", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))), f"found{turn}")
-        own_links = found.where(_linked(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-        own_families = found.where(F.col("far") <= 1 - FAMILY).select(F.col("b").alias("pivot"), F.col("a").alias("sid"), "far")
+        own_links = found.where(_linked(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+        own_families = found.where(F.col("far") <= 1 - family).select(F.col("b").alias("pivot"), F.col("a").alias("sid"), "far")
         links = own_links if links is None else links.unionByName(own_links)
         families = own_families if families is None else families.unionByName(own_families)
         core = found.where(F.col("far") <= 1 - CORE).select(F.col("a").alias("sid"), F.col("b").alias("__v"))
@@ -261,19 +277,23 @@ def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE) -> DataFrame:
         lists = stay.select("sid", "n", "token", "pos")
     families = families.groupBy("pivot", "sid").agg(F.min("far").alias("far"))
     links = stored(links, "links")
-    more = stored(family_links(families, sets, components(links)), "more")
+    more = stored(family_links(families, sets, components(links), num, den), "more")
     links = links.unionByName(more)
-    rest = intersected(rest_pairs(lists, sets), sets)
-    return links.unionByName(rest.where(_linked(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    rest = intersected(rest_pairs(lists, sets, num, den), sets)
+    return links.unionByName(rest.where(_linked(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b"))
 
 
-def joined(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
+def joined(rows: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(uid, id, n_shingles, component_id, kept) of every row of `rows` (uid, id, text).
 
+    Sets of `k`-word shingles link from a similarity of num / den.
+
     kept: whether the row is its component's first, by id and row number; rows with empty sets are.
     """
-    sigs = stored(signatures(rows, k), "signatures")
-    roots = components(set_links(rows.select("uid", "text"), sigs, k))
+    if not den * 6 < num * 10 <= den * 10:
+        raise ValueError("the threshold has to be above 0.6 and 1 at most")
+    sigs = stored(signatures(rows, k, num, den), "signatures")
+    roots = components(set_links(rows.select("uid", "text"), sigs, k, num, den))
     own = rows.select(F.col("uid").alias("__u"), "id").join(sigs.select("uid", "n", "sid"), F.col("__u") == F.col("uid"))
     label = F.coalesce("root", F.col("sid"))
     labelled = stored(own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("uid", "id", "n", F.when(F.col("n") > 0, label).alias("label")), "labels")
