@@ -124,6 +124,21 @@ def test_similarity(spark):
     assert pairs.count() == 0 and rows(large) == [("a", 2)]
 
 
+def test_similarity_of_an_artist_with_many_items(spark):
+    baskets = spark.createDataFrame([(b, i, p, 1.0) for b in ("x", "y") for p, i in enumerate((2, 240, 250))], "basket string, item int, position int, w double")
+    artists = {i: "a" for i in range(1, 251)} | {i: "b" for i in range(251, 290)}
+    items = spark.createDataFrame([*artists.items(), (300, None)], "item int, artist string")
+    got = {}
+    for r in similarity.item_similarity(baskets, items).collect():
+        got.setdefault(r.item, []).append((r.rank, r.neighbour, round(r.sim, 6), r.baskets))
+    co = round(2 / (2 + 3.0) + 0.15, 6)
+    met = {2: (240, 250), 240: (2, 250), 250: (2, 240)}
+    for i, a in artists.items():
+        near = [(n, co, 2) for n in met.get(i, ())] + [(n, 0.15, 0) for n in sorted(artists) if artists[n] == a and n != i and n not in met.get(i, ())]
+        assert sorted(got[i]) == [(place + 1, *x) for place, x in enumerate(near[:30])], i
+    assert set(got) == set(artists)
+
+
 def test_merge_and_recommend(spark):
     batch = spark.createDataFrame([("r", "a", 1, 1.0, 0.5, 0.5, 0.0, 0.0)], "region string, item string, rank int, score double, c_national double, c_trends double, c_mentions double, c_events double")
     plays = spark.createDataFrame([("r", "b", 10, 0), ("r", "z", 0, 0)], "region string, item string, plays long, likes long")

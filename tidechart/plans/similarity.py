@@ -37,13 +37,23 @@ def artist_pairs(items: DataFrame, max_group: int = 200) -> tuple[DataFrame, Dat
     return pairs, large
 
 
-def item_similarity(baskets: DataFrame, items: DataFrame | None, max_basket: int = 40, shrink: float = 3.0, min_support: int = 2, bonus: float = 0.15, k: int = 30, max_group: int = 200) -> DataFrame:
-    """item, neighbour, sim, baskets, rank: the k most similar items of each."""
+def item_similarity(baskets: DataFrame, items: DataFrame | None, max_basket: int = 40, shrink: float = 3.0, min_support: int = 2, bonus: float = 0.15, k: int = 30) -> DataFrame:
+    """item, neighbour, sim, baskets, rank: the k most similar items of each. items: item, artist.
+
+    All items of an artist get the bonus with one another. Pairs that only share the artist tie at the bonus and
+    rank by id, below pairs that also share baskets; so an item meets just its artist's k + 1 smallest ids (one
+    may be itself), and the first k are those of all pairs. bonus and w are not negative.
+    """
     sim = pair_similarity(capped_baskets(baskets, max_basket), shrink, min_support)
-    if items is not None:
-        same = artist_pairs(items, max_group)[0].withColumn("bonus", F.lit(bonus))
-        sim = sim.join(same, ["ka", "kb"], "full_outer").fillna(0.0, ["sim", "bonus"]).fillna(0, ["baskets"]).select("ka", "kb", (F.col("sim") + F.col("bonus")).alias("sim"), "baskets")
     each = sim.select(F.col("ka").alias("item"), F.col("kb").alias("neighbour"), "sim", "baskets").unionByName(sim.select(F.col("kb").alias("item"), F.col("ka").alias("neighbour"), "sim", "baskets"))
+    if items is not None:
+        own = items.where(F.col("artist").isNotNull()).select("item", "artist").distinct()
+        theirs = own.withColumnRenamed("item", "neighbour")
+        both = each.select("item", "neighbour").join(own, "item").join(theirs, ["neighbour", "artist"]).select("item", "neighbour").distinct()
+        first = cap_group(theirs, ["artist"], [F.col("neighbour")], k + 1)
+        alone = own.join(first, "artist").where("item != neighbour").select("item", "neighbour").distinct()
+        same = both.unionByName(alone).distinct().withColumn("bonus", F.lit(bonus))
+        each = each.join(same, ["item", "neighbour"], "full_outer").fillna(0.0, ["sim", "bonus"]).fillna(0, ["baskets"]).select("item", "neighbour", (F.col("sim") + F.col("bonus")).alias("sim"), "baskets")
     return top_n(each, ["item"], [F.desc(F.round("sim", 9)), F.col("neighbour")], k)
 
 
