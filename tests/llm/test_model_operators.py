@@ -197,6 +197,31 @@ def test_only_affected_shards_are_rewritten(docs, tmp_path):
     assert {r.shard for r in got.select("shard").distinct().collect()} == set(done)
 
 
+def test_rewrite_of_a_layout_in_place(spark, tmp_path):
+    path = str(tmp_path / "layout")
+    # shards 0 and 1 are even, 2 is too large, 3 is missing and 6 has to go
+    rows = [(n * 1000 + i, f"t{n} {i:04d} " + "x" * 91, n) for n, count in ((0, 200), (1, 200), (2, 300), (6, 100)) for i in range(count)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(1).write.partitionBy("shard").parquet(path)
+    files = lambda n: {f.name for f in (tmp_path / "layout" / f"shard={n}").glob("*.parquet")}
+    before = {n: files(n) for n in range(8)}
+    layout = spark.read.parquet(path)
+    placed = sharding.reshard(layout, F.col("shard"), 4).select("id", "old_shard", "shard").toPandas()
+    moves = placed[placed["old_shard"] != placed["shard"]]
+    touched = set(moves["old_shard"]) | set(moves["shard"])
+    done = sharding.rewrite(layout, F.col("shard"), path, 4)
+    assert set(done) == touched & set(range(4)) and {0, 1} - touched, "the case has shards that stay"
+    for n in {0, 1} - touched:
+        assert files(n) == before[n]
+    for n in done:
+        assert files(n) and not files(n) & before[n]
+    assert not (tmp_path / "layout" / "shard=6").exists()
+    got = spark.read.parquet(path)
+    assert got.columns == ["doc_id", "text", "shard"]
+    assert {(r.doc_id, r.shard) for r in got.collect()} == set(placed[["id", "shard"]].itertuples(index=False, name=None))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(r[:2] for r in rows)
+
+
+
 # ---------------------------------------------------------------- neighbours
 def test_neighbours(spark, small):
     vectors = nearest.usable(spark.read.parquet(f"{small}/embeddings.parquet"))
