@@ -44,6 +44,44 @@ def test_views_keep_the_last_versions(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "v").iterdir() if p.name.startswith("run_id")) == ["run_id=r2", "run_id=r3", "run_id=r4"]
 
 
+def test_views_are_kept_by_time_and_not_by_name(spark, tmp_path):
+    base = str(tmp_path)
+    runs = lambda: sorted(p.name for p in (tmp_path / "v").iterdir() if p.name.startswith("run_id"))
+    for k in (8, 9, 10, 11):
+        sinks.write_view(spark.range(k).toDF("x"), base, "v", str(k), datetime(2024, 1, k), keep=2)
+        assert lake.read_view(spark, base, "v").count() == k
+    assert runs() == ["run_id=10", "run_id=11"]
+    sinks.write_view(spark.range(3).toDF("x"), base, "v", "late", datetime(2023, 1, 1), keep=2)
+    assert runs() == ["run_id=11", "run_id=late"] and lake.read_view(spark, base, "v").count() == 3
+    sinks.replace_view(spark.range(4).toDF("x"), base, "v", "only", datetime(2024, 2, 1))
+    assert runs() == ["run_id=only"] and lake.read_view(spark, base, "v").count() == 4
+
+
+def test_upsert_takes_the_last_write_of_equal_times(spark, tmp_path):
+    base = str(tmp_path)
+    put = lambda *rows, **k: sinks.upsert(spark.createDataFrame(rows, "id string, plays int, at int"), base, "t", "id", "at", 4, **k)
+    told = lambda: sorted(tuple(r) for r in sinks.read_upserted(spark, base, "t").select("id", "plays", "at").collect())
+    put(("a", 9, 5), ("b", 1, 1))
+    put(("a", 2, 5))
+    put(("a", 2, 5))
+    assert told() == [("a", 2, 5), ("b", 1, 1)]
+    put(("a", 7, 4))
+    assert told() == [("a", 2, 5), ("b", 1, 1)]
+    reader = sinks.read_upserted(spark, base, "t")
+    put(("c", 3, 1), bucket_bytes=1)
+    assert told() == [("a", 2, 5), ("b", 1, 1), ("c", 3, 1)] and reader.count() == 2, "a reader that has begun keeps its files"
+    assert {r["buckets"] for r in sinks.published(spark, f"{base}/t/_manifest", sinks.TABLE)} == {8}
+
+
+def test_a_late_event_changes_the_count_that_is_served(spark, tmp_path):
+    at = 1_700_000_000_000 // 60_000 * 60_000
+    rows = [(1, "u", "r", "a", "play", at + 50_000), (2, "v", "r", "a", "play", at + 10_000), (3, "w", "r", "a", "play", at + 50_000)]
+    stream = _events(spark, str(tmp_path / "in"), [rows[:1], rows[1:2], rows[2:]])
+    q = jobs.keyed_sink(jobs.plays_per_minute(stream), str(tmp_path / "out"), "plays", "last_ts_ms", str(tmp_path / "ck"), trigger=ONCE)
+    q.awaitTermination(120)
+    assert [(r.plays, r.listeners) for r in sinks.read_upserted(spark, str(tmp_path / "out"), "plays").collect()] == [(3, 3)]
+
+
 def test_upsert_and_archive_ids(spark, tmp_path):
     base = str(tmp_path)
     sinks.upsert(spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "id string, v int, at int"), base, "t", "id", "at", 4)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidechart.functions.scoring import record_type
+from tidechart.sources.pointer import published
 
 RAW = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("kafka_ts", T.TimestampType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("topic", T.StringType()), T.StructField("dt", T.StringType())])
 
@@ -113,7 +114,5 @@ def read_chart_csv(spark: SparkSession, path: str, names: dict[str, list[str]] |
 
 def read_view(spark: SparkSession, base: str, name: str) -> DataFrame | None:
     """The published version of a view, or None."""
-    if not _exists(spark, f"{base}/{name}/_latest"):
-        return None
-    run = spark.read.schema("run_id string, at timestamp").parquet(f"{base}/{name}/_latest").first()
-    return spark.read.parquet(f"{base}/{name}/run_id={run['run_id']}") if run else None
+    told = published(spark, f"{base}/{name}/_latest", "run_id string, at timestamp, seq int")
+    return spark.read.parquet(f"{base}/{name}/run_id={max(told, key=lambda r: r['seq'])['run_id']}") if told else None

@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidechart.operators.snapshots import dedup_latest
+from tidechart.operators.snapshots import dedup
+from tidechart.sources.pointer import delete, publish, published, size_of
 
-BUCKETS = 64
-
-
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+#: Buckets of a new keyed table; a table whose buckets hold more than BUCKET_BYTES on average gets twice as many.
+BUCKETS, BUCKET_BYTES = 16, 256 << 20
+VIEW, TABLE = "run_id string, at timestamp, seq int", "bucket int, buckets int, path string, bytes long"
 
 
 def ingest(stream: DataFrame, base: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -37,46 +35,69 @@ def ingest_keyed(stream: DataFrame, base: str, name: str, checkpoint: str, trigg
 
 
 def write_view(df: DataFrame, base: str, name: str, run_id: str, at: datetime, keep: int = 3) -> None:
-    """Write a version of a view, point to it, then delete all but the newest `keep`."""
+    """Write a version of a view, point to it, then delete all but the newest `keep` by time (then by turn)."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{base}/{name}/run_id={run_id}")
-    spark.createDataFrame([(run_id, at)], "run_id string, at timestamp").coalesce(1).write.mode("overwrite").parquet(f"{base}/{name}/_latest")
-    fs, root = _fs(spark, f"{base}/{name}")
-    runs = sorted(p.getPath().getName() for p in fs.listStatus(root) if p.getPath().getName().startswith("run_id="))
-    for old in runs[:-keep]:
-        if old != f"run_id={run_id}":
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/{old}"), True)
+    known = published(spark, f"{base}/{name}/_latest", VIEW)
+    told = [(r["run_id"], r["at"], r["seq"]) for r in known if r["run_id"] != run_id]
+    told = sorted([*told, (run_id, at, max([r["seq"] for r in known], default=0) + 1)], key=lambda r: r[1:])
+    # the run just written is what readers get, so it stays even where its time is an early one
+    last = [*[r for r in told if r[0] != run_id][max(0, len(told) - keep) :], *[r for r in told if r[0] == run_id]]
+    publish(spark.createDataFrame(last, VIEW), f"{base}/{name}/_latest", keep=1)
+    for old in {r[0] for r in told} - {r[0] for r in last}:
+        delete(spark, f"{base}/{name}/run_id={old}")
+
 
+def replace_view(df: DataFrame, base: str, name: str, run_id: str, at: datetime) -> None:
+    """The rows of a new run in place of all others: readers see the old rows until the pointer turns, then the new."""
+    write_view(df, base, name, run_id, at, keep=1)
 
-#: Replacing a view's rows by those of a new run is what flipping the pointer does.
-replace_view = write_view
 
+def _buckets(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    return df.withColumn("__bucket", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
 
-def upsert(df: DataFrame, base: str, name: str, id_col: str, order_col: str, buckets: int = BUCKETS) -> None:
+
+def upsert(df: DataFrame, base: str, name: str, id_col: str, order_col: str, buckets: int = BUCKETS, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Rows by id, a later write overwriting: only hash buckets that the new rows touch are rewritten.
 
-    One writer at a time. The greatest `order_col` of an id wins, so a replayed batch changes nothing. Touched
-    buckets are merged into a staging folder first, which readers do not see.
+    The greatest `order_col` of an id wins, and of equal ones the row written last, so a replayed batch changes
+    nothing and a corrected row takes its place. New files are written beside the old ones, then a manifest of
+    buckets turns to them in one step: readers and a crash in between see the old table. One writer at a time.
+    A table that has grown over `bucket_bytes` a bucket is dealt out over twice as many.
     """
-    spark = df.sparkSession
-    path = f"{base}/{name}"
-    # written first: a rewrite of what is being read has to start from files
-    stage = f"{base}/_stage/{name}-{uuid.uuid4().hex}"
-    df.withColumn("__bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")).write.parquet(f"{stage}/new")
-    new = spark.read.parquet(f"{stage}/new")
-    touched = [r[0] for r in new.select("__bucket").distinct().collect()]
-    fs, root = _fs(spark, path)
-    if fs.exists(root):
-        old = spark.read.parquet(path).where(F.col("__bucket").isin(touched))
-        new = new.unionByName(old.select(*[c for c in new.columns if c in old.columns]), allowMissingColumns=True)
-    dedup_latest(new, [id_col], order_col).write.parquet(f"{stage}/merged")
-    merged = spark.read.parquet(f"{stage}/merged")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(path)
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
+    spark, root = df.sparkSession, f"{base}/{name}"
+    known = published(spark, f"{root}/_manifest", TABLE)
+    had = known[0]["buckets"] if known else buckets
+    n = had * 2 if sum(r["bytes"] for r in known) > had * bucket_bytes else had
+    run = f"{root}/data/{uuid.uuid4().hex}"
+    # written first: the batch is read twice
+    _buckets(df, id_col, n).write.parquet(f"{run}/new")
+    new = spark.read.parquet(f"{run}/new")
+    touched = {r[0] for r in new.select("__bucket").distinct().collect()}
+    old = [r for r in known if n != had or r["bucket"] in touched]
+    merged = new.withColumn("__turn", F.lit(1))
+    if old:
+        rows = _buckets(spark.read.parquet(*[r["path"] for r in old]), id_col, n)
+        merged = merged.unionByName(rows.withColumn("__turn", F.lit(0)), allowMissingColumns=True)
+    newest = dedup(merged, [id_col], [F.desc(order_col), F.desc("__turn")]).drop("__turn")
+    newest.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{run}/rows")
+    filled = [r[0] for r in merged.select("__bucket").distinct().collect()]
+    now = [(k, n, at := f"{run}/rows/__bucket={k}", size_of(spark, at)) for k in sorted(filled)]
+    now += [(r["bucket"], n, r["path"], r["bytes"]) for r in known if r not in old]
+    publish(spark.createDataFrame(now, TABLE), f"{root}/_manifest")
+    delete(spark, f"{run}/new")
+    # files that the manifest before last pointed to have no readers left
+    before = f"{root}/_garbage"
+    for r in published(spark, before, "path string"):
+        delete(spark, r["path"])
+    publish(spark.createDataFrame([(r["path"],) for r in old], "path string"), before, keep=1)
 
 
 def read_upserted(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}").drop("__bucket")
+    known = published(spark, f"{base}/{name}/_manifest", TABLE)
+    if not known:
+        raise FileNotFoundError(f"no table at {base}/{name}")
+    return spark.read.option("mergeSchema", "true").parquet(*[r["path"] for r in known])
 
 
 def put_meta(spark: SparkSession, base: str, name: str, row: dict) -> None:
