@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ from tidechart.llm.common import numbered
 from tidechart.llm.decontamination import contamination, proximity_matches, words
 from tidechart.llm.graph import components
 from tidechart.llm.jaccard_join import joined
-from tidechart.llm.secret_scans import RULES, Rule, findings, scan_unseen, with_blobs
+from tidechart.llm.secret_scans import RULES, Rule, findings, scan_unseen, update_ledger, with_blobs
 from tidechart.llm.substring_dedup import deduplicated
 from tidechart.llm.tokens import pieces, sliding_min
 
@@ -37,6 +38,33 @@ def test_pieces_give_the_words_of_each_text():
     assert p.hash[0] == p.hash[2] != p.hash[1]
 
 
+def thue_morse(steps: int) -> tuple[str, str]:
+    """Two words of 2**steps letters that collide under any polynomial hash modulo 2**64, if they are long enough."""
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("steps", [3, 6, 8, 10, 12])
+def test_words_that_defeat_polynomial_hashes(steps):
+    a, b = thue_morse(steps)
+    p = next(iter(pieces(pa.array([f"{a} {b} {a.upper()} {a}x", f"{a}", "a", "a\0"]))))
+    assert p.hash[0] == p.hash[4] and len(set(p.hash.tolist())) == len(p.hash) - 1 == len(set(p.hash2.tolist()))
+    low = next(iter(pieces(pa.array([f"{a} {a.upper()}"]), lower=True)))
+    assert low.hash[0] == low.hash[1]
+
+
+def test_operators_tell_such_words_apart(spark):
+    a, b = thue_morse(10)
+    rng = np.random.default_rng(8)
+    tail = " ".join(f"v{x}" for x in rng.integers(0, 10**9, 40))
+    half = " ".join(f"u{x}" for x in rng.integers(0, 10**9, 17))
+    df = spark.createDataFrame([(1, f"{half} {a} {half}"), (2, f"{half} {b} {half}"), (3, f"{a} {a} {a} {a}"), (4, f"{b} {b} {b} {b}"), (5, tail)], "doc_id long, text string")
+    check_dedup(df)
+    check_join(df)
+
+
 def test_sliding_min():
     v = np.random.default_rng(1).integers(0, 99, 50).astype(np.uint64)
     for w in (1, 2, 3, 5, 8, 28):
@@ -259,6 +287,32 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert scan_unseen(v.limit(0), None).count() == 0
 
 
+def test_a_ledger_lasts_between_runs(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    v = with_blobs(spark.createDataFrame([(1, SECRETS[0]), (2, SECRETS[0]), (3, "x")], "doc_id long, text string"))
+    assert update_ledger(v, path, RULES[:3]).count() == 2 * 3
+    assert update_ledger(v, path).count() == 2 * len(RULES)
+    more = v.unionByName(with_blobs(spark.createDataFrame([(4, SECRETS[2]), (4, SECRETS[2]), (5, None)], "doc_id long, text string")))
+    ledger = update_ledger(more, path)
+    assert ledger.count() == ledger.select("blob", "kind", "version").distinct().count() == 4 * len(RULES)
+    assert update_ledger(more, path).count() == ledger.count()
+    assert Counter(map(repr, findings(more, ledger).collect())) == Counter(map(repr, findings(more, scan_unseen(more, None)).collect()))
+    # findings of a rule's old version are not those of the new one
+    changed = (*RULES[:2], Rule("hex", 2, "[0-9a-f]{99,}", 0, 99), *RULES[3:])
+    now = findings(more, update_ledger(more, path, changed), changed).collect()
+    assert {s.kind for r in now for s in r.spans} == {"assign", "access"}
+
+
+def test_a_text_with_very_many_secrets(spark):
+    text = " ".join(f"{i:024x}" for i in range(20_000))
+    v = with_blobs(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    scan_unseen(v, None).count()
+    began = time.time()
+    spans = findings(v, scan_unseen(v, None)).first().spans
+    assert time.time() - began < 10
+    assert [(s.start, s.end) for s in spans] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_window_hashes_tell_order(k):
     p = next(iter(pieces(pa.array(["a b c", "b a c"]))))

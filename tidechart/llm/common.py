@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidechart.operators.materialize import materialized
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm_dir = context._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a step's rows to the shared folder and read them back, so that what follows starts from files."""
-    path = f"{shared_dir(df.sparkSession)}/tidechart-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Write a step's rows to the shared folder and read them back, so that what follows starts from files.
+stored = materialized
 
 
 def lower_ascii(text: Column) -> Column:

@@ -4,18 +4,28 @@ Every distinct text is a blob, addressed by its SHA-256. A ledger holds one row
 version that was scanned, with its findings. A run scans only blob and rule-version pairs that the ledger
 lacks, then joins findings back to every row (path) that holds the blob. All of it is DataFrame functions.
 
+A ledger lasts: `update_ledger` appends what a run has scanned, and the next run starts from it.
+
 Defined cases: a null text is the empty blob; empty tables give empty results; rows with equal ids or equal
-texts are kept one by one; other columns are ignored, whatever their names.
+texts are kept one by one; of spans that start together the rule listed first comes first; a very long text,
+or one with very many matches, is scanned whole, at a cost in proportion; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidechart.llm.common import stored, table
+from tidechart.llm.common import table
+from tidechart.operators.materialize import shared_folder
+
+SPANS = "array<struct<start:int,at:int,kind:string,end:int>>"
+LEDGER = f"blob string, kind string, version int, spans {SPANS}"
 
 
 @dataclass(frozen=True)
@@ -44,23 +54,16 @@ MORE_RULES = (
 RULES = (*BASE_RULES, *MORE_RULES)
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, at, kind, end) in code points for one rule: matches and the text between them give the places."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.keep else None
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    parts = F.arrays_zip(F.transform(found, F.length).alias("n"), between.alias("gap"), (kept if rule.keep else F.transform(found, F.length)).alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,at:int,kind:string,end:int>>").alias("spans"))
-
-    def add(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.coalesce(part["gap"], F.lit(0))
-        end = begin + F.coalesce(part["n"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(order).alias("at"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        taken = part["n"].isNotNull() & (part["kept"] >= rule.keep)
-        return F.struct(end.alias("at"), F.when(taken, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+def rule_parts(text: Column, rule: Rule) -> Column:
+    """Array of (n, gap, kept) by match: its length, the text before it since the last match, the length that counts.
 
-    spans = F.aggregate(parts, start, add, lambda s: s["spans"])
-    return F.when(text.rlike(rule.needs), spans) if rule.needs else spans
+    The text after the last match comes as one more entry, without n and kept.
+    """
+    found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
+    kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.keep else found
+    between = F.transform(F.split(text, rule.pattern, -1), F.length)
+    parts = F.arrays_zip(found.alias("n"), between.alias("gap"), kept.alias("kept"))
+    return F.when(text.rlike(rule.needs), parts) if rule.needs else parts
 
 
 def with_blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +76,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule
     """New ledger rows (blob, kind, version, spans) for the blob and rule-version pairs that `ledger` lacks.
 
     One row of each blob is scanned. Rows are chosen by blob and path before any text moves, and copies meet
-    in the partial aggregation, so a text that a third of all rows hold costs no more than another.
+    in the partial aggregation, so a text that a third of all rows hold costs no more than another; rows that
+    repeat a chosen path are one again before the scan. Places are running sums over a blob's matches, so the
+    cost of a text follows its length.
     """
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     first = versions.groupBy("blob").agg(F.min("path").alias("path"))
@@ -84,27 +89,54 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule
         unseen = pairs.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
         todo = unseen.groupBy("blob", "path").agg(F.collect_list(F.struct("kind", "version")).alias("todo"))
     texts = versions.select(F.col("path").alias("__p"), F.col("blob").alias("__b"), "text")
-    chosen = todo.join(texts, (F.col("blob") == F.col("__b")) & F.col("path").eqNullSafe(F.col("__p"))).select("blob", "todo", "text")
+    met = todo.join(texts, (F.col("blob") == F.col("__b")) & F.col("path").eqNullSafe(F.col("__p")))
+    chosen = met.dropDuplicates(["blob", "path"]).select("blob", "todo", "text")
     due = lambda r: F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
-    found = chosen.select(
-        "blob",
-        F.explode(
-            F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(due(r), rule_spans(F.col("text"), r, k)).alias("spans"), due(r).alias("due")) for k, r in enumerate(rules)])
-        ).alias("f"),
-    ).where("f.due").select("blob", "f.kind", "f.version", "f.spans")
-    return found.dropDuplicates(["blob", "kind", "version"])
+    each = F.array(
+        *[
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(k).alias("at"), F.lit(r.keep).alias("keep"), F.when(due(r), rule_parts(F.col("text"), r)).alias("parts"), due(r).alias("due"))
+            for k, r in enumerate(rules)
+        ]
+    )
+    pairs = chosen.select("blob", F.explode(each).alias("f")).where("f.due").select("blob", "f.kind", "f.version", "f.at", "f.keep", "f.parts")
+    opened = pairs.select("blob", "kind", "version", "at", "keep", F.posexplode_outer("parts").alias("i", "p"))
+    upto = W.partitionBy("blob", "kind", "version").orderBy("i")
+    placed = opened.withColumn("end", F.sum(F.col("p.gap") + F.col("p.n")).over(upto).cast("int"))
+    span = F.struct((F.col("end") - F.col("p.n")).alias("start"), "at", "kind", "end")
+    # collect_list leaves nulls out: matches that are too short fall away, their pair stays
+    taken = F.collect_list(F.when(F.col("p.kept") >= F.col("keep"), span))
+    return placed.groupBy("blob", "kind", "version").agg(F.array_sort(taken).cast(SPANS).alias("spans"))
+
+
+def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger at `path` after a scan of what it lacks, which is appended to it. No ledger there: an empty one.
+
+    A pair that is in the ledger is never scanned again, by this run or a later one; a run that dies has appended
+    nothing or all. One writer at a time.
+    """
+    spark = versions.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    ledger = spark.read.schema(LEDGER).parquet(path) if there else None
+    scan_unseen(versions, ledger, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
-def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(path, spans): every path with all spans of its blob, in order of start, then kind."""
-    spans = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return versions.select("path", "blob").join(spans, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, spans): every path with all spans of its blob by `rules`, in order of start, then kind."""
+    asked = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    now = ledger.where(F.size("spans") > 0).where(F.array_contains(asked, F.struct("kind", "version")))
+    spans = now.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return versions.select("path", "blob").join(spans, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = with_blobs(table(spark, sf_dir, "documents"))
-    ledger = stored(scan_unseen(versions, None), "ledger")
-    found = findings(versions, ledger)
+    at = f"{shared_folder(spark)}/tidechart-ledger-{uuid.uuid4().hex}"
+    # two turns on one ledger, as sources come in: the second scans only blobs that the first source lacks
+    source = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
+    update_ledger(with_blobs(table(spark, sf_dir, "documents").where(F.col("source") == source)), at)
+    found = findings(versions, update_ledger(versions, at))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["at"] < len(BASE_RULES))

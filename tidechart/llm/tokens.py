@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWER_BYTE = _BYTE.copy()
-_LOWER_BYTE[65:91] = _BYTE[97:123]
+#: Keys of the two word hashes; words over LONG_WORD bytes are hashed by BLAKE2.
+KEY, KEY2 = 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B
+LONG_WORD = 256
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3
@@ -41,9 +45,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = KEY) -> np.ndarray:
+    """A keyed 64-bit hash of each word data[start:end].
+
+    Words are taken in by eight bytes at a time, each time scrambled by `mix`: words of equal length up to eight
+    bytes never collide, and no algebra of the bytes makes longer ones collide.
+    """
+    size = end - start
+    h = mix(U(key) + size.astype(np.uint64))
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    todo, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(todo):
+        chunk = np.ascontiguousarray(wide[(start[todo] + at)[:, None] + np.arange(8)]).view("<u8").ravel()
+        h[todo] = mix((h[todo] ^ (chunk & _FIRST[np.minimum(size[todo] - at, 8)])) + U(0x9E3779B97F4A7C15))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        own = blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little"))
+        h[i] = U(int.from_bytes(own.digest(), "little"))
+    return h
+
+
 @dataclass
 class Piece:
-    """Words of the documents first..last-1 of a column, in order. doc: each word's document less `first`."""
+    """Words of the documents first..last-1 of a column, in order. doc: each word's document less `first`.
+
+    data: the documents' bytes, with A-Z in lower case where that was asked for; offsets, start, end: places in them.
+    """
 
     first: int
     last: int
@@ -58,10 +86,14 @@ class Piece:
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.last - self.first)
 
+    @cached_property
+    def hash2(self) -> np.ndarray:
+        """A second hash of each word's bytes, under another key."""
+        return word_hashes(self.data, self.start, self.end, KEY2)
+
     def windows(self, k: int, second: bool = False) -> np.ndarray:
         """Hashes of the k words from each word on; the last k-1 windows of a document run into the next."""
-        h = mix(self.hash ^ U(0x5851F42D4C957F2D)) if second else self.hash
-        return window_hashes(h, k, _BASE2 if second else _BASE)
+        return window_hashes(self.hash2, k, _BASE2) if second else window_hashes(self.hash, k, _BASE)
 
 
 def window_hashes(h: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
@@ -111,11 +143,9 @@ def piece(data: np.ndarray, offsets: np.ndarray, first: int, last: int, lower: b
     after = np.empty(len(own), bool)
     after[-1], after[:-1] = False, word[1:]
     end = np.flatnonzero(word & (~after | cut[1:])) + 1
-    up, down = _powers(_BASE, len(own) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER_BYTE if lower else _BYTE)[own] * up[:-1])])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     doc = np.searchsorted(at, start, side="right") - 1
-    return Piece(first, last, own, at, start, end, doc, h)
+    own = _LOWER[own] if lower else own
+    return Piece(first, last, own, at, start, end, doc, word_hashes(own, start, end))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
