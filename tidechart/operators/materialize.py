@@ -37,12 +37,12 @@ def removed(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """`df` as files at `path`, which are deleted when the session's JVM ends."""
+def written(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """`df` as files at `path`, in folders by some columns; they are deleted when the session's JVM ends."""
     spark = df.sparkSession
     fs, where = _folder(spark, path)
     fs.deleteOnExit(where)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
