@@ -133,9 +133,10 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = with_blobs(table(spark, sf_dir, "documents"))
     at = f"{shared_folder(spark)}/tidechart-ledger-{uuid.uuid4().hex}"
-    # two turns on one ledger, as sources come in: the second scans only blobs that the first source lacks
-    source = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
-    update_ledger(with_blobs(table(spark, sf_dir, "documents").where(F.col("source") == source)), at)
+    # two turns on one ledger, as sources come in: the second scans only blobs that the first, the smallest, lacks
+    docs = table(spark, sf_dir, "documents")
+    least = docs.groupBy("source").count().orderBy("count", "source").limit(1).select("source").collect()
+    update_ledger(with_blobs(docs.where(F.col("source").eqNullSafe(least[0][0] if least else None))), at)
     found = findings(versions, update_ledger(versions, at))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
