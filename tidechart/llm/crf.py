@@ -42,32 +42,32 @@ class Crf:
         return out[::-1]
 
 
-def fit_crf(sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 160, rate: float = 0.1, ridge: float = 2e-3) -> Crf:
-    """Maximum likelihood with a ridge, by Adam on gradients from forward-backward over all sequences at once."""
-    sequences = [s for s in sequences if s[0]]
-    names = sorted({f for items, _ in sequences for item in items for f in item})
-    index = {f: i for i, f in enumerate(names)}
-    n, longest = len(sequences), max((len(s[0]) for s in sequences), default=1)
-    x = np.zeros((n, longest, len(names)), np.float32)
-    y, mask = np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for r, (items, labels) in enumerate(sequences):
-        mask[r, : len(items)] = True
-        y[r, : len(items)] = labels
-        for t, item in enumerate(items):
-            x[r, t, [index[f] for f in item]] = 1
-    ends = mask.sum(1) - 1
-    rows = np.arange(n)
-    parts = [np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2), np.zeros(2)]
-    first = [np.zeros_like(p) for p in parts]
-    second = [np.zeros_like(p) for p in parts]
-    both = mask[:, 1:]
-    seen_move = np.zeros((2, 2))
-    np.add.at(seen_move, (y[:, :-1][both], y[:, 1:][both]), 1)
-    seen = [np.einsum("rtf,rt->f", x, (y * mask).astype(np.float32)), seen_move, np.bincount(y[:, 0], minlength=2), np.bincount(y[rows, ends], minlength=2)]
-    for k in range(1, rounds + 1):
+class _Data:
+    """Sequences as padded arrays, and what is seen in them."""
+
+    def __init__(self, sequences: list[tuple[list[list[str]], list[int]]], index: dict[str, int]):
+        n, longest = len(sequences), max((len(s[0]) for s in sequences), default=1)
+        self.x = np.zeros((n, longest, len(index)), np.float32)
+        self.mask = np.zeros((n, longest), bool)
+        y = np.zeros((n, longest), int)
+        for r, (items, labels) in enumerate(sequences):
+            self.mask[r, : len(items)] = True
+            y[r, : len(items)] = labels
+            for t, item in enumerate(items):
+                self.x[r, t, [index[f] for f in item]] = 1
+        self.rows, self.ends, self.both = np.arange(n), self.mask.sum(1) - 1, self.mask[:, 1:]
+        move = np.zeros((2, 2))
+        np.add.at(move, (y[:, :-1][self.both], y[:, 1:][self.both]), 1)
+        of = np.einsum("rtf,rt->f", self.x, (y * self.mask).astype(np.float32))
+        self.seen = [of, move, np.bincount(y[:, 0], minlength=2), np.bincount(y[self.rows, self.ends], minlength=2)]
+
+    def gradient(self, parts: list[np.ndarray], ridge: float) -> list[np.ndarray]:
+        """Of the mean negative log-likelihood with a ridge, by forward-backward over all sequences at once."""
         weight, move, start, stop = parts
+        n, longest, _ = self.x.shape
+        mask, rows, ends, both = self.mask, self.rows, self.ends, self.both
         own = np.zeros((n, longest, 2))
-        own[..., 1] = x @ weight
+        own[..., 1] = self.x @ weight.astype(np.float32)
         ahead = np.zeros((n, longest, 2))
         ahead[:, 0] = start + own[:, 0]
         for t in range(1, longest):
@@ -80,10 +80,28 @@ def fit_crf(sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 16
             behind[:, t] = np.where(mask[:, t + 1, None], step, stop)
         total = np.logaddexp.reduce(ahead[rows, ends] + stop, axis=1)
         prob = np.exp(ahead + behind - total[:, None, None]) * mask[..., None]
-        pair = np.exp(ahead[:, :-1, :, None] + move + (own[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]) * both[..., None, None]
-        expected = [np.einsum("rtf,rt->f", x, prob[..., 1]), pair.sum((0, 1)), prob[:, 0].sum(0), prob[rows, ends].sum(0)]
-        for p, a, b, f, s in zip(parts, expected, seen, first, second, strict=True):
-            g = (a - b) / n + ridge * p
+        onward = (own[:, 1:] + behind[:, 1:])[:, :, None, :]
+        pair = np.exp(ahead[:, :-1, :, None] + move + onward - total[:, None, None, None]) * both[..., None, None]
+        of = np.einsum("rtf,rt->f", self.x, prob[..., 1].astype(np.float32))
+        expected = [of, pair.sum((0, 1)), prob[:, 0].sum(0), prob[rows, ends].sum(0)]
+        return [(a - b) / n + ridge * p for p, a, b in zip(parts, expected, self.seen, strict=True)]
+
+
+def gradient(sequences: list[tuple[list[list[str]], list[int]]], index: dict[str, int], parts: list[np.ndarray], ridge: float) -> list[np.ndarray]:
+    return _Data(sequences, index).gradient(parts, ridge)
+
+
+def fit_crf(sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 160, rate: float = 0.1, ridge: float = 2e-3) -> Crf:
+    """Maximum likelihood with a ridge, by Adam."""
+    sequences = [s for s in sequences if s[0]]
+    names = sorted({f for items, _ in sequences for item in items for f in item})
+    index = {f: i for i, f in enumerate(names)}
+    data = _Data(sequences, index)
+    parts = [np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2), np.zeros(2)]
+    first = [np.zeros_like(p) for p in parts]
+    second = [np.zeros_like(p) for p in parts]
+    for k in range(1, rounds + 1):
+        for p, g, f, s in zip(parts, data.gradient(parts, ridge), first, second, strict=True):
             f *= 0.9
             f += 0.1 * g
             s *= 0.99

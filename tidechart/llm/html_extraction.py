@@ -8,17 +8,22 @@ article are joined in page order.
 Text inside a block: character references are decoded, white space becomes one space, ends are trimmed;
 <br> is white space. Nothing else is dropped or cut.
 
-Defined cases: a null or empty page has empty text; broken markup is read as far as it goes; repeated rows
-are read one by one; an empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty page has empty text; broken markup is read as far as it goes; a very long page is
+read whole, in time proportional to its length, however it is broken; elements nested deeper than DEPTH count as
+siblings; where two labellings are equally probable, a block is left out; repeated rows are read one by one; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +32,10 @@ from tidechart.llm.common import table
 from tidechart.llm.crf import Crf, fit_crf
 from tidechart.llm.labelled_pages import training_pages
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page.
+RAW = {t: re.compile(rf"</{t}\s{{0,99}}>", re.I) for t in "script style noscript template svg iframe object textarea select title".split()}
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+PLAIN = re.compile(r"[^'\">]*")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label link mark meta q s samp small source span strike strong sub sup time track tt u var wbr br picture".split())
 VOID = set("img input br hr meta link source wbr area base col embed param track".split())
@@ -39,100 +44,212 @@ SCOPE = set("table ul ol dl article section div body main nav aside header foote
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def blocks(page: str) -> Iterator[tuple[str, list[tuple[str, tuple[str, ...]]], int]]:
-    """(text, open elements as (tag, name words), characters inside links) of each leaf block."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+#: Elements deeper than this are read, but count as siblings of those at this depth, as browsers have it.
+DEPTH = 512
+
+
+class Open:
+    """An open element: its and its ancestors' features, and how much text lies in it outside links, up to three deep."""
+
+    __slots__ = ("tag", "parent", "features", "weight", "depth")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Open | None, known: dict | None):
+        self.tag, self.parent, self.weight = tag, parent, 0
+        self.depth = parent.depth + 1 if parent else 1
+        own = [f for f in (f"in:{tag}", *(f"name:{w}" for w in names)) if known is None or f in known]
+        above = parent.features if parent else frozenset()
+        # the same set where nothing is new: depth costs nothing
+        self.features = above if above.issuperset(own) else above.union(own)
+
+
+@dataclass
+class Block:
+    """A leaf block: its text, where in the page it begins, the innermost open element, characters inside links."""
+
+    text: str
+    at: int
+    inside: Open | None
+    linked: int
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "" or "/", tag, attributes) of all tags; comments and raw elements are one token without a tag.
+
+    Every character is passed a bounded number of times. A quote that never closes is no quote; from the first such
+    tag on, tags end at their first ">".
+    """
+    at, n, quotes = page.find("<"), len(page), True
+    last = page.rfind(">")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, "", "", ""
+        elif at > last:
+            end = at + 1
+        elif m := TAG.match(page, at):
+            end, j = -1, m.end()
+            while quotes:
+                j = PLAIN.match(page, j).end()
+                if j >= n:
+                    quotes = False
+                elif page[j] == ">":
+                    end = j + 1
+                    break
+                else:
+                    j = page.find(page[j], j + 1) + 1
+                    quotes = j > 0
+            if end < 0:
+                end = page.find(">", m.end()) + 1
+            tag = m[2].lower()
+            if tag in RAW and not m[1]:
+                close = RAW[tag].search(page, end)
+                yield at, (close.end() if close else n), "", tag, ""
+                end = close.end() if close else n
+            else:
+                yield at, end, m[1], tag, page[m.end() : end - 1]
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            end = page.find(">", at) + 1
+            yield at, end, "", "", ""
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
+def blocks(page: str, known: dict | None = None) -> Iterator[Block]:
+    """The leaf blocks of a page. known: the features that are kept of open elements, all if None."""
+    top: Open | None = None
     run: list[str] = []
-    at, links, linked = 0, 0, 0
+    at, begin, links, linked = 0, -1, 0, 0
+    open_: Counter[str] = Counter()
 
-    def leaf():
-        nonlocal linked
+    def leaf() -> Block | None:
+        nonlocal begin, linked
         text = " ".join(html.unescape("".join(run)).split())
-        out = (text, list(stack), linked) if text else None
+        out = Block(text, begin, top, linked) if text else None
+        node = top
+        for _ in range(3 if out else 0):
+            if node is not None:
+                node.weight += max(0, len(text) - linked)
+                node = node.parent
         run.clear()
-        linked = 0
+        begin, linked = -1, 0
         return out
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            run.append(piece)
-            linked += len(piece) if links else 0
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and m[1].lower() == "title" and (done := leaf()):
+    def add(piece: str, where: int) -> None:
+        nonlocal begin, linked
+        if begin < 0 and not piece.isspace():
+            begin = where + len(piece) - len(piece.lstrip())
+        run.append(piece)
+        linked += len(piece) if links else 0
+
+    def close(until: Open | None) -> None:
+        """End all elements above and with `until`."""
+        nonlocal top, links
+        while top is not None:
+            gone, top = top, top.parent
+            open_[gone.tag] -= 1
+            if gone is until:
+                break
+
+    for start, end, slash, tag, attributes in tokens(page):
+        if start > at:
+            add(page[at:start], at)
+        at = end
+        if not tag:
+            continue
+        if tag in RAW:
+            if tag == "title" and (done := leaf()):
                 yield done
             continue
-        tag = tag.lower()
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if slash else 1
         if tag in INLINE:
             if tag == "br":
-                run.append(" ")
+                add(" ", start)
             continue
         if done := leaf():
             yield done
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag or (tag in HEADINGS and stack[k][0] in HEADINGS):
-                    del stack[k:]
-                    links = 0
-                    break
+        if slash:
+            group = HEADINGS if tag in HEADINGS else {tag}
+            if any(open_[t] > 0 for t in group):
+                node = top
+                while node.tag not in group:
+                    node = node.parent
+                close(node)
+                links = 0
             continue
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                elif stack[k][0] in SCOPE:
-                    break
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
-            names = " ".join(a or b or c for a, b, c in NAMES.findall(m[4])) if "=" in m[4] else ""
-            stack.append((tag, tuple(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()) if w)))
+        if tag in CLOSES and any(open_[t] > 0 for t in CLOSES[tag]):
+            node, last = top, None
+            while node is not None and (node.tag in CLOSES[tag] or node.tag not in SCOPE):
+                last = node if node.tag in CLOSES[tag] else last
+                node = node.parent
+            if last is not None:
+                close(last)
+        if tag not in VOID and not attributes.rstrip().endswith("/") and (top is None or top.depth < DEPTH):
+            names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if "=" in attributes else ""
+            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())
+            top = Open(tag, tuple(w for w in words if w), top, known)
+            open_[tag] += 1
     if at < len(page):
-        run.append(page[at:])
-        linked += len(page) - at if links else 0
+        add(page[at:], at)
     if done := leaf():
         yield done
 
 
-def _features(found: list[tuple[str, list, int]]) -> list[list[str]]:
-    out = []
+def _bucket(part: float) -> int:
+    return min(4, int(part * 5))
+
+
+def _features(found: list[Block]) -> list[list[str]]:
     n = len(found)
-    for k, (text, stack, linked) in enumerate(found):
-        tags = {t for t, _ in stack}
-        item = [f"in:{t}" for t in tags]
-        item += {f"name:{w}" for _, names in stack for w in names}
-        item.append(f"leaf:{stack[-1][0] if stack else ''}")
-        words = text.count(" ") + 1
-        item.append(f"words:{min(words.bit_length(), 7)}")
-        item.append(f"linked:{min(4, linked * 4 // max(len(text), 1))}")
-        if text[-1] in ".!?…:;":
+    shape = [(min((b.text.count(" ") + 1).bit_length(), 7), min(4, b.linked * 4 // max(len(b.text), 1))) for b in found]
+    total = max(1, sum(len(b.text) - min(len(b.text), b.linked) for b in found))
+    marked = any(b.inside and not b.inside.features.isdisjoint(("in:article", "in:main")) for b in found)
+    out = []
+    for k, b in enumerate(found):
+        own = b.inside.features if b.inside else frozenset()
+        item = [*own, f"leaf:{b.inside.tag if b.inside else ''}"]
+        item += [f"words:{shape[k][0]}", f"linked:{shape[k][1]}"]
+        for name, other in (("before", k - 1), ("after", k + 1)):
+            item.append(f"{name}:{shape[other][0]}" if 0 <= other < n else f"{name}:none")
+            item.append(f"{name} linked:{shape[other][1]}" if 0 <= other < n else f"{name} linked:none")
+        if not marked:
+            # the share of the page's text that lies in the innermost element, and in the one around it
+            around = b.inside.parent if b.inside else None
+            box = _bucket(b.inside.weight / total) if b.inside else "none"
+            outer = _bucket(around.weight / total) if around else "none"
+            item += [f"box:{box}", f"around:{outer}", f"leaf:{b.inside.tag if b.inside else ''} {box} {outer}"]
+        if b.text[-1] in ".!?…:;":
             item.append("ends")
-        if "©" in text or text.lower().startswith("copyright"):
+        if "©" in b.text or b.text.lower().startswith("copyright"):
             item.append("copyright")
         item.append(f"place:{k * 4 // n}")
-        if not tags & {"article", "main"}:
-            item.append("outside")
+        inside = not own.isdisjoint(("in:article", "in:main"))
+        item.append("page without article" if not marked else "inside" if inside else "outside")
         out.append(item)
     return out
 
 
+def labelled(parts: list[tuple[str, bool]]) -> tuple[list[Block], list[int]]:
+    """The blocks of a page given as parts, and whether each begins in a part of the article."""
+    ends, found = np.cumsum([len(h) for h, _ in parts]), list(blocks("".join(h for h, _ in parts)))
+    return found, [int(parts[int(np.searchsorted(ends, b.at, side="right"))][1]) for b in found]
+
+
 @lru_cache(maxsize=1)
 def trained() -> Crf:
     """The model of this module's labelled pages."""
     data = []
     for parts in training_pages():
-        page = "".join(h for h, _ in parts)
-        inside = {t for h, own in parts if own for t, _, _ in blocks(h)}
-        found = list(blocks(page))
-        data.append((_features(found), [int(t in inside) for t, _, _ in found]))
+        found, labels = labelled(parts)
+        data.append((_features(found), labels))
     return fit_crf(data)
 
 
 def main_text(page: str | None, model: Crf) -> str:
-    found = list(blocks(page or ""))
-    return "\n".join(t for (t, _, _), keep in zip(found, model.decode(_features(found)), strict=True) if keep)
+    found = list(blocks(page or "", model.index))
+    return "\n".join(b.text for b, keep in zip(found, model.decode(_features(found)), strict=True) if keep)
 
 
 def extracted(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,14 +1,15 @@
 """Labelled pages for training the page extractor: layouts whose parts are known to be article or not.
 
-Each page is a list of (html, text) parts; text is None outside the article. Words are drawn at random, so
-only structure and shape can be learned.
+Each page is a list of (html, whether it is of the article) parts. A third have an article element; the others
+tell it by names of plain elements, by table cells, or by shape alone. Words are drawn at random, so only
+structure and shape can be learned.
 """
 
 from __future__ import annotations
 
 import random
 
-PAGES = 240
+PAGES = 480
 
 
 def _words(rng: random.Random, low: int, high: int) -> str:
@@ -30,6 +31,10 @@ def _links(rng: random.Random, n: int, item: str = "li") -> str:
 def _article(rng: random.Random) -> str:
     """The inside of an article: headings, paragraphs of any length, lists, quotes, tables, captions."""
     out = []
+    if rng.random() < 0.25:  # hardly any text
+        line = _sentence(rng, 1, 4)
+        out.append(f"<h1>{line}</h1>" + rng.choice(["<p><b>{}<br>", "<p>{}</p>", "<p>{}", ""]).format(line))
+        return "".join(out) + "".join(f"<p>{_sentence(rng, 1, 4)}</p>" for _ in range(rng.choice([0, 0, 1, 2])))
     if rng.random() < 0.8:
         out.append(f"<h1>{_words(rng, 3, 12)}</h1>")
     for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 14])):
@@ -74,14 +79,59 @@ def _noise(rng: random.Random, kind: str) -> str:
     return rng.choice(['<section id="comments">{}</section>', '<div class="comments">{}</div>', '<ol class="comment-list">{}</ol>', '<div id="disqus" class="reader-comments">{}</div>', '<section class="responses discussion">{}</section>']).format(f"<h3>{_words(rng, 1, 3)}</h3>" + inside)
 
 
+def _outside(rng: random.Random, kinds: tuple[str, ...], often: float, one: str = "{}") -> list[tuple[str, bool]]:
+    return [(one.format(_noise(rng, kind)), False) for kind in kinds if rng.random() < (0.7 if kind == "footer" else often)]
+
+
+BEFORE, AFTER = ("notice", "header", "nav", "ad", "form", "sidebar"), ("comments", "share", "sidebar", "form", "nav", "ad", "footer")
+MARKED = (
+    "<article>|</article>", "<main><article>|</article></main>", "<main>|</main>", '<article class="post">|</article>',
+    '<div id="page"><article>|</article></div>', '<section><article itemprop="articleBody">|</article></section>',
+)
+PLAIN = (
+    '<div class="content">|</div>', '<div id="content"><div class="post-body">|</div></div>', '<div class="entry-content">|</div>',
+    '<section class="story">|</section>', "<div id='wrap'>|</div>", "<div>|</div>", "<div class='container'><div class='row'>|</div></div>",
+    "<section>|</section>", '<div id="main">|</div>', '<div class="text"><div>|</div></div>', "<center>|</center>", "<body>|</body>", "|",
+)
+
+
+def _bare(rng: random.Random) -> str:
+    """A menu, a footer or the like that only its name, or only its shape, tells apart."""
+    kind = rng.random()
+    name = rng.choice(["nav", "menu", "navigation", "topbar", "links"])
+    if kind < 0.4:
+        return rng.choice([f"<div id='{name}'>{{}}</div>", f"<div class='{name}'><ul>{{}}</ul></div>", "<ul>{}</ul>", "<div>{}</div>", "<p>{}</p>"]).format(_links(rng, rng.randint(1, 8), rng.choice(["li", "span"])))
+    if kind < 0.55:
+        return f"<div id='{name}'>" + " | ".join(_words(rng, 1, 2) for _ in range(rng.randint(1, 5))) + "</div>"
+    if kind < 0.7:
+        return rng.choice(["<div id='foot'>{}</div>", "<div class='bottom'>{}</div>", "<hr><small>{}</small>", "<p class='legal'>{}</p>"]).format(rng.choice(["&copy; ", "Copyright "]) + _words(rng, 1, 12))
+    if kind < 0.85:
+        return rng.choice(["<div id='top'>{}</div>", "<div class='logo'>{}</div>", "<div class='brand'><a href='/'>{}</a></div>"]).format(_words(rng, 1, 4))
+    return rng.choice(["<div class='side'>{}</div>", "<div id='right-column'>{}</div>", "<div class='box widget'>{}</div>"]).format(f"<h3>{_words(rng, 1, 3)}</h3><ul>{_links(rng, rng.randint(2, 5))}</ul>")
+
+
+def _table_page(rng: random.Random) -> list[tuple[str, bool]]:
+    """A page laid out by table cells: a menu or a column of links beside the article."""
+    side = (f"<td width=150>{rng.choice([_links(rng, rng.randint(1, 8), 'p'), _words(rng, 1, 2), _links(rng, rng.randint(2, 6), 'div'), _bare(rng)])}</td>", False)
+    story = [("<td>", False), (_article(rng), True), ("</td>", False)]
+    cells = [side, *story] if rng.random() < 0.7 else [*story, side]
+    top = [(f"<tr><td colspan=2>{_bare(rng)}</td></tr>", False)] if rng.random() < 0.6 else []
+    foot = [(f"<tr><td colspan=2>{rng.choice(['&copy; ', 'Copyright '])}{_words(rng, 1, 12)}</td></tr>", False)] if rng.random() < 0.6 else []
+    return [("<table>", False), *top, ("<tr>", False), *cells, ("</tr>", False), *foot, ("</table>", False)]
+
+
 def page(rng: random.Random) -> list[tuple[str, bool]]:
     """Parts of a body in order, and whether each belongs to the article."""
-    wrap = rng.choice(["<article>|</article>"] * 5 + ["<main><article>|</article></main>", '<div class="content">|</div>', '<main>|</main>', '<div id="content"><div class="post-body">|</div></div>', '<article class="post">|</article>', '<div class="entry-content">|</div>', '<section class="story">|</section>'])
-    open_, close = wrap.split("|")
     parts: list[tuple[str, bool]] = [("<html><head><title>" + _words(rng, 2, 9) + "</title><style>p{}</style></head><body>", False)]
-    for kind in ("notice", "header", "nav", "ad", "form", "sidebar"):
-        if rng.random() < 0.4:
-            parts.append((_noise(rng, kind), False))
+    kind = rng.random()
+    if kind < 0.15:
+        return [*parts, *_table_page(rng), ("</body></html>", False)]
+    marked = kind < 0.5
+    open_, close = rng.choice(MARKED if marked else PLAIN).split("|")
+    if rng.random() < 0.15:  # nothing but the article
+        return [*parts[: rng.randint(0, 1)], (open_, False), (_article(rng), True), (close, False)]
+    parts += _outside(rng, BEFORE, 0.4)
+    parts += [(_bare(rng), False) for _ in range(rng.randint(0, 2) if not marked else int(rng.random() < 0.2))]
     parts.append((open_, False))
     for k in range(rng.randint(1, 3)):
         if k:
@@ -90,9 +140,8 @@ def page(rng: random.Random) -> list[tuple[str, bool]]:
     if rng.random() < 0.3:
         parts.append((_noise(rng, rng.choice(["share", "comments", "ad"])), False))
     parts.append((close, False))
-    for kind in ("comments", "share", "sidebar", "form", "nav", "ad", "footer"):
-        if rng.random() < (0.7 if kind == "footer" else 0.35):
-            parts.append((_noise(rng, kind), False))
+    parts += [(_bare(rng), False) for _ in range(rng.randint(0, 2) if not marked else int(rng.random() < 0.2))]
+    parts += _outside(rng, AFTER, 0.35)
     parts.append(("</body></html>", False))
     return parts
 
