@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir), with docs as the stage before left them, and returns a DataFrame.
 run() writes each stage's rows to the shared folder and reads them back for the next.
+
+Defined cases, in every stage: documents with a null or empty text have no features, no shingles, no benchmark
+words and size 0, so they pass the first three stages, and the mix, which takes words, leaves them out; very long
+texts are read whole; null ids and repeated rows are kept apart by row numbers, so one of several equal texts
+stays whatever their ids, and of near copies the one with the least id (null last); an empty table passes through
+all stages as an empty table; columns that documents have beyond the usual ones come through as they are, unless
+they have the name of a column that the last stage adds.
 """
 
 from __future__ import annotations
@@ -13,12 +20,15 @@ from tidechart.llm.common import stored, table, with_uid
 from tidechart.llm.decontamination import contamination
 from tidechart.llm.jaccard_join import joined
 from tidechart.llm.mixing import mix, n_words, quality
-from tidechart.llm.sharding import OLD_SHARDS, by_text, reshard
+from tidechart.llm.sharding import LAYOUT, laid_out, reshard
 from tidechart.llm.toxicity import accepted, trained
 
 #: Near duplicates share at least 8/10 of their five-word shingles; op3's contract (3 words, 9/10) is not the stage's.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 8, 10
 
+#: Columns that the last stage adds; columns of documents by these names give way.
+PLACED = ("size", "text_crc32", "law", "shard", "slot", "old_shard")
+
 #: The stages train and sample, which SQL does not express; tests hold them against plain versions.
 ORACLE_SQL = None
 
@@ -57,9 +67,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, old_shard) of every row."""
-    placed = reshard(docs, by_text(OLD_SHARDS))
-    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", "old_shard")
+    """The corpus in shards: the columns of documents, and size, text_crc32, law, shard, slot and old_shard of every row."""
+    placed = reshard(laid_out(docs.drop(*PLACED)), F.col(LAYOUT), carry=True)
+    return placed.select("doc.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", "old_shard")
 
 
 STAGES = [
