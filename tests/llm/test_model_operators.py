@@ -338,19 +338,61 @@ def test_rewrite_of_a_layout_in_place(spark, tmp_path):
 
 
 # ---------------------------------------------------------------- neighbours
+def drawn(kind, n, d=64):
+    """Vectors that are hard to search: without clusters, a third of them equal, or of very unequal length."""
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(n, d))
+    if kind == "a third equal":
+        v[rng.random(n) < 1 / 3] = v[0]
+    if kind == "log-normal lengths":
+        v *= np.exp(rng.normal(size=(n, 1)))
+    return v
+
+
+def exact(v, ids, q, k=20):
+    score = v @ v[ids == q][0]
+    score[ids == q] = -np.inf
+    return ids[np.lexsort((ids, -score))[:k]]
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "a third equal", "log-normal lengths"])
+def test_recall_of_a_graph(kind):
+    v = drawn(kind, 6000)
+    ids = np.arange(len(v))
+    distinct, first, node = nearest._distinct(v, ids)
+    graph = nearest.build(nearest._lifted(distinct, float((v * v).sum(1).max())), first)
+    asked = ids[::20]
+    r, own, _ = nearest.answers(graph, distinct, ids, node, v[asked], asked, 20)
+    assert np.mean([len(set(exact(v, ids, q)) & set(own[r == i])) / 20 for i, q in enumerate(asked)]) >= 0.97
+
+
+@pytest.mark.parametrize("kind", ["a third equal", "log-normal lengths"])
+def test_recall_over_shards(spark, kind):
+    v = drawn(kind, 8000, 32)
+    ids = np.arange(len(v)) * 3
+    df = nearest.usable(spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(4))
+    got = nearest.neighbours(df, df.where("id % 60 = 0"), shards=3).toPandas()
+    hits = [len(set(exact(v, ids, q)) & set(own["id"])) / 20 for q, own in got.groupby("query_id")]
+    assert len(hits) == (ids % 60 == 0).sum() and np.mean(hits) >= 0.97
+
+
+def test_equal_vectors_are_one_node():
+    v = np.array([[1.0, 0.0], [0.0, 2.0], [1.0, -0.0], [1.0, 0.0]])
+    distinct, first, node = nearest._distinct(v, np.array([3, 5, 8, 9]))
+    assert distinct.tolist() == [[1.0, 0.0], [0.0, 2.0]] and first.tolist() == [3, 5] and node.tolist() == [0, 1, 0, 0]
+
+
 def test_neighbours(spark, small):
     vectors = nearest.usable(spark.read.parquet(f"{small}/embeddings.parquet"))
     pdf = vectors.toPandas()
     v, ids = np.stack(pdf["v"].to_list()), pdf["id"].to_numpy()
-    got = nearest.neighbours(vectors, vectors.where("id % 20 = 0"), shard=150).toPandas()
+    got = nearest.neighbours(vectors, vectors.where("id % 20 = 0"), shards=2).toPandas()
     hits = []
     for q, own in got.sort_values("rank").groupby("query_id"):
-        s = v @ v[ids == q][0]
-        s[ids == q] = -np.inf
-        best = ids[np.lexsort((ids, -s))[:20]]
-        hits.append(len(set(best) & set(own["id"])) / 20)
+        score = v @ v[ids == q][0]
+        hits.append(len(set(exact(v, ids, q)) & set(own["id"])) / 20)
         assert list(own["rank"]) == list(range(1, len(own) + 1)) and len(own) == 20
-        assert np.allclose(own["score"], [s[ids == i][0] for i in own["id"]], atol=1e-12)
+        assert np.allclose(own["score"], [score[ids == i][0] for i in own["id"]], atol=1e-12)
     assert np.mean(hits) >= 0.9 and len(hits) == (ids % 20 == 0).sum()
 
 

@@ -1,20 +1,21 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, results merged.
 
-Vectors are dealt to shards of at most about SHARD vectors by id hash. Each shard builds a hierarchical
-graph: levels drawn from the id, M links a node and level (2M on the ground), chosen so that a link is not
-nearer to another link than to the node; neighbours lie in flat integer arrays, -1 where open. Nodes join in
-batches that each search the graph built so far and one another; queries of a block walk in step, so a hop
-is a few numpy calls for the whole block. Every shard answers every block of queries with its k best; the
-answers of all shards are merged.
-
-The measure is the inner product. Vectors get one more component, sqrt(R^2 - |x|^2), with R the greatest
-length, which turns largest inner product into nearest by angle on one sphere; scores are computed on the
-original vectors in double precision.
-
-Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or
-non-finite components take no part; equal vectors are neighbours like others; repeated ids are kept as rows
-and may both be returned, but never answer for their own id; ties go to the smaller id; with fewer than k
-candidates all are returned; an empty table gives no rows.
+Vectors are dealt to shards by id hash; the number of shards and their size both grow with the square root of the
+rows, so the walks in all do not grow with their square. Each shard builds a hierarchical graph over its distinct
+vectors (equal ones are one node with its ids in order): levels drawn from the vector, M links a node and level (2M
+on the ground), chosen so that a link is not nearer to another link than to the node; neighbours lie in flat integer
+arrays, -1 where open. Nodes join in batches that each search the graph built so far and one another; queries of a
+block walk in step, so a hop is a few numpy calls for the whole block. A query's beam is doubled until its k best
+stay the same. Every shard answers every block of queries with its k best; the answers of all shards are merged.
+
+The measure is the inner product. Vectors get one more component, sqrt(R^2 - |x|^2), with R the greatest length,
+which turns largest inner product into nearest by angle on one sphere; the beam keeps its best by that, and scores
+are computed on the original vectors in double precision.
+
+Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
+components take no part; equal vectors are neighbours like others; repeated ids are kept as rows and may both be
+returned, but never answer for their own id; ties go to the smaller id; with fewer than k candidates all are
+returned; an empty table gives no rows; other columns are ignored, whatever their names; there are no texts.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from tidechart.llm.common import stored, table
 
 K, EVERY = 20, 20
-SHARD = 6_000
-LINKS, BUILD, SEARCH = 16, 96, 160
-#: Queries that walk in step.
-BLOCK = 1024
+#: Rows of a shard: the square root of SHARD times all rows, at most MOST.
+SHARD, MOST = 2_000, 500_000
+LINKS, BUILD, SEARCH = 16, 96, 64
+#: Queries of a block. Of them, as many walk in step as marks of seen nodes fit in SEEN bytes.
+BLOCK, SEEN = 4096, 32 << 20
 
 
 @dataclass
@@ -64,29 +66,48 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, w
     order = np.argsort(-sim, axis=1, kind="stable")
     ids, sim, done = (np.take_along_axis(a, order, 1) for a in (ids, sim, done))
     live = rows
+    # several open nodes of a walk are left in one step: fewer, larger calls
+    most = max(1, width // 16)
     while len(live):
-        open_ = ~done[live]
+        open_ = ~done[live] & (ids[live] >= 0)
         some = open_.any(1)
         live, open_ = live[some], open_[some]
         if not len(live):
             break
-        # the best open node of each walk
-        at = open_.argmax(1)
-        done[live, at] = True
-        new = links[ids[live, at]]
-        fresh = (new >= 0) & ~seen[live[:, None], np.maximum(new, 0)]
-        r, c = np.nonzero(fresh)
-        if not len(r):
+        # the best open nodes of each walk
+        take = open_ & (np.cumsum(open_, axis=1) <= most)
+        done[live] |= take
+        r, c = np.nonzero(take)
+        near = links[ids[live[r], c]]
+        walk, node = np.repeat(live[r], near.shape[1]), near.ravel()
+        fresh = node >= 0
+        walk, node = walk[fresh], node[fresh]
+        fresh = ~seen[walk, node]
+        walk, node = walk[fresh], node[fresh]
+        if not len(walk):
             continue
-        node = new[r, c]
-        seen[live[r], node] = True
-        score = np.full(new.shape, -np.inf, np.float32)
-        score[r, c] = np.einsum("ij,ij->i", q[live[r]], x[node])
-        ids_all = np.concatenate([ids[live], np.where(fresh, new, -1)], axis=1)
-        sim_all = np.concatenate([sim[live], score], axis=1)
-        done_all = np.concatenate([done[live], ~fresh], axis=1)
+        # one of each pair, in order of the walks
+        pair = np.unique(walk * n + node)
+        walk, node = pair // n, pair % n
+        seen[walk, node] = True
+        score = np.einsum("ij,ij->i", q[walk], x[node])
+        better = score > sim[walk, -1]
+        walk, node, score = walk[better], node[better], score[better]
+        count = np.bincount(walk, minlength=m)
+        grown = np.flatnonzero(count)
+        if not len(grown):
+            continue
+        wide = int(count.max())
+        col = np.arange(len(walk)) - np.repeat(np.cumsum(count[grown]) - count[grown], count[grown])
+        at = np.searchsorted(grown, walk)
+        new_ids = np.full((len(grown), wide), -1, np.int64)
+        new_sim = np.full((len(grown), wide), -np.inf, np.float32)
+        new_ids[at, col], new_sim[at, col] = node, score
+        ids_all = np.concatenate([ids[grown], new_ids], axis=1)
+        sim_all = np.concatenate([sim[grown], new_sim], axis=1)
+        done_all = np.concatenate([done[grown], new_ids < 0], axis=1)
         best = np.argsort(-sim_all, axis=1, kind="stable")[:, :width]
-        ids[live], sim[live], done[live] = (np.take_along_axis(a, best, 1) for a in (ids_all, sim_all, done_all))
+        ids[grown], sim[grown], done[grown] = (np.take_along_axis(a, best, 1) for a in (ids_all, sim_all, done_all))
     return ids, sim
 
 
@@ -136,6 +157,7 @@ def _linked(x: np.ndarray, links: np.ndarray, nodes: np.ndarray, chosen: np.ndar
 
 
 def build(x: np.ndarray, ids: np.ndarray, links: int = LINKS, width: int = BUILD) -> Graph:
+    """A graph over distinct unit vectors; ids: any number of each, which draws its level."""
     n = len(x)
     draw = (np.asarray(ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float) / 2**53
     level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(links)).astype(int), 4)
@@ -146,7 +168,7 @@ def build(x: np.ndarray, ids: np.ndarray, links: int = LINKS, width: int = BUILD
     entry = 0
     at = 1
     while at < n:
-        step = min(n - at, max(1, min(at, 512)))
+        step = min(n - at, max(1, min(at, 512, SEEN // n)))
         nodes = np.arange(at, at + step)
         start = np.full((step, 1), entry)
         for k in range(top, -1, -1):
@@ -169,16 +191,32 @@ def build(x: np.ndarray, ids: np.ndarray, links: int = LINKS, width: int = BUILD
     return Graph(x, layers, level, entry, order)
 
 
-def search(graph: Graph, q: np.ndarray, k: int, width: int = SEARCH) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the given vectors, similarities) of the k best found for each query; -1 pads."""
+def search(graph: Graph, q: np.ndarray, k: int, width: int = SEARCH) -> np.ndarray:
+    """Places in the given vectors of the k best found for each query, best first; -1 pads.
+
+    The beam of a query is doubled until its k best stay the same.
+    """
     n = len(graph.x)
-    start = np.full((len(q), 1), graph.entry)
-    for level in range(len(graph.layers) - 1, 0, -1):
-        m = len(graph.layers[level])
-        start = _beam(graph.x[:m], graph.layers[level], q, start, 8)[0]
-    found, sim = _beam(graph.x, graph.layers[0], q, start, min(width, n) if n >= 8 else 8)
-    found, sim = found[:, :k], sim[:, :k]
-    return np.where(found >= 0, graph.order[np.maximum(found, 0)], -1), sim
+    out = np.full((len(q), k), -1, np.int64)
+    some = max(1, SEEN // max(n, 1))
+    for lo in range(0, len(q), some):
+        todo = np.arange(lo, min(lo + some, len(q)))
+        start = np.full((len(todo), 1), graph.entry)
+        for level in range(len(graph.layers) - 1, 0, -1):
+            m = len(graph.layers[level])
+            start = _beam(graph.x[:m], graph.layers[level], q[todo], start, 8)[0]
+        beam, last = max(width, k), None
+        while len(todo):
+            found = _beam(graph.x, graph.layers[0], q[todo], start, max(8, min(beam, n)))[0]
+            best = np.full((len(todo), k), -1, np.int64)
+            best[:, : min(k, found.shape[1])] = found[:, :k]
+            out[todo] = np.where(best >= 0, graph.order[np.maximum(best, 0)], -1)
+            moved = np.ones(len(todo), bool) if last is None else (best != last).any(1)
+            if beam >= n:
+                break
+            todo, start, last = todo[moved], found[moved, :8], best[moved]
+            beam *= 2
+    return out
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -196,24 +234,62 @@ def _lifted(v: np.ndarray, radius2: float) -> np.ndarray:
     return (np.concatenate([v, rest[:, None]], axis=1) / np.sqrt(radius2)).astype(np.float32)
 
 
-GRAPH = "shard long, ids array<long>, v array<double>, place array<int>, level array<int>, links array<array<int>>"
+def _distinct(v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct vectors, their first ids, the vector of each id) in order of the least id of each; ids ascend."""
+    v = v + 0.0  # -0.0 is 0.0
+    _, first, of = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return v[first[order]], ids[first[order]], place[of.ravel()]
+
+
+GRAPH = "shard long, ids array<long>, node array<int>, v array<double>, place array<int>, level array<int>, links array<array<int>>"
+NONE = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
 
 def graphs(vectors: DataFrame, shards: int, radius2: float) -> DataFrame:
-    """A row for each shard: its vectors, and its graph as flat arrays. vectors: id, v."""
+    """A row for each shard: its ids, the node of each, the nodes' vectors, and the graph as flat arrays. vectors: id, v."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
-        v, ids = np.stack(group["v"].to_list()), group["id"].to_numpy()
-        g = build(_lifted(v, radius2), ids)
-        row = {"shard": group["shard"].iat[0], "ids": ids, "v": v.ravel(), "place": g.order.astype(np.int32), "level": g.level.astype(np.int32), "links": [x.ravel().astype(np.int32) for x in g.layers]}
+        v, first, node = _distinct(np.stack(group["v"].to_list()), group["id"].to_numpy())
+        g = build(_lifted(v, radius2), first)
+        row = {
+            "shard": group["shard"].iat[0], "ids": group["id"].to_numpy(), "node": node.astype(np.int32), "v": v.ravel(), "place": g.order.astype(np.int32),
+            "level": g.level.astype(np.int32), "links": [x.ravel().astype(np.int32) for x in g.layers],
+        }
         return pd.DataFrame([row])
 
     dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
     return dealt.groupBy("shard").applyInPandas(run, GRAPH)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
+def answers(graph: Graph, v: np.ndarray, ids: np.ndarray, node: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): up to k best ids of each query, other than its own, from one graph.
+
+    ids ascend; node: the place in v of each. A node answers with its k + 1 least ids, of which one may be the query's.
+    """
+    size = np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+    found = search(graph, np.concatenate([q / size, np.zeros((len(q), 1))], axis=1).astype(np.float32), k + 8)
+    by_node = np.argsort(node, kind="stable")
+    begin = np.searchsorted(node[by_node], np.arange(len(v) + 1))
+    row, c = np.nonzero(found >= 0)
+    place = found[row, c]
+    score = np.einsum("nd,nd->n", q[row], v[place])
+    many = np.minimum(np.diff(begin)[place], k + 1)
+    row, score = np.repeat(row, many), np.repeat(score, many)
+    at = np.repeat(begin[place], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    own = ids[by_node[at]]
+    keep = own != qid[row]
+    row, own, score = row[keep], own[keep], score[keep]
+    order = np.lexsort((own, -score, row))
+    row, own, score = row[order], own[order], score[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], own[rank < k], score[rank < k]
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, shards: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query among vectors of other ids. Both: id, v.
 
     A task holds one shard's graph and one block of queries.
@@ -222,7 +298,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int =
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stats = vectors.select(length.alias("s")).agg(F.count("*").alias("n"), F.max("s").alias("r")).first()
     radius2 = float(stats["r"] or 1.0)
-    shards = max(1, -(-stats["n"] // shard))
+    shards = shards or max(1, round(max((stats["n"] / SHARD) ** 0.5, stats["n"] / MOST)))
     blocks = max(1, -(-queries.count() // BLOCK))
     built = stored(graphs(vectors, shards, radius2), "graphs")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -231,24 +307,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int =
 
     def answer(key, one: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return NONE
         row = one.iloc[0]
-        ids = np.asarray(row["ids"])
-        v = np.asarray(row["v"]).reshape(len(ids), -1)
-        place, level = np.asarray(row["place"], np.int64), np.asarray(row["level"])
+        ids, node, place, level = (np.asarray(row[c], np.int64) for c in ("ids", "node", "place", "level"))
+        v = np.asarray(row["v"]).reshape(len(place), -1)
         layers = [np.asarray(x, np.int64).reshape(int((level >= i).sum()), -1) for i, x in enumerate(row["links"])]
         graph = Graph(_lifted(v, radius2)[place], layers, level, 0, place)
-        q, qid = np.stack(right["q"].to_list()), right["query_id"].to_numpy()
-        size = np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-        found, _ = search(graph, np.concatenate([q / size, np.zeros((len(q), 1))], axis=1).astype(np.float32), min(2 * k + 8, SEARCH))
-        near = np.maximum(found, 0)
-        score = np.einsum("md,mkd->mk", q, v[near])
-        ok = (found >= 0) & (ids[near] != qid[:, None])
-        score = np.where(ok, score, -np.inf)
-        order = np.stack([np.lexsort((ids[near[i]], -score[i])) for i in range(len(q))])[:, :k]
-        r, c = np.nonzero(np.take_along_axis(ok, order, 1))
-        pick = order[r, c]
-        return pd.DataFrame({"query_id": qid[r], "id": ids[near[r, pick]], "score": score[r, pick]})
+        qid = right["query_id"].to_numpy()
+        r, own, score = answers(graph, v, ids, node, np.stack(right["q"].to_list()), qid, k)
+        return pd.DataFrame({"query_id": qid[r], "id": own, "score": score})
 
     found = left.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "query_id long, id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
