@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import ASCII_LOWER
 from tidechart.llm.common import numbered
-from tidechart.llm.decontamination import contamination, proximity_matches, words
+from tidechart.llm.decontamination import contamination, postings, proximity_matches, word_counts
 from tidechart.llm.graph import components
 from tidechart.llm.jaccard_join import joined
 from tidechart.llm.secret_scans import RULES, Rule, findings, scan_unseen, update_ledger, with_blobs
@@ -236,10 +236,34 @@ def test_contamination_odd(odd, empty, spark):
     assert contamination(numbered(empty), items).count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a x x b x x x x a"), (2, "b"), (3, None)], "uid long, text string").select("uid", words(F.col("text")).alias("w"))
-    pairs = spark.createDataFrame([(9, "a", "b")], "pair_id int, term_a string, term_b string")
-    assert [tuple(r) for r in proximity_matches(docs, pairs, 3).collect()] == [(1, 9, 0, 3)]
+def test_contamination_by_shuffles(docs, spark, small, monkeypatch):
+    monkeypatch.setattr("tidechart.llm.decontamination.BROADCAST_ROWS", 3)
+    check_contamination(docs, spark.read.parquet(f"{small}/benchmark.parquet"))
+
+
+def test_items_without_id_hit_but_are_not_listed(spark):
+    docs = numbered(spark.createDataFrame([(1, "one two three four"), (2, "five six")], "doc_id long, text string"))
+    items = spark.createDataFrame([(None, "two three"), (7, "four"), (8, "five seven")], "item_id long, text string")
+    got = {r.uid: (r.n_words, r.n_hit, r.item_ids) for r in contamination(docs, items).collect()}
+    assert got == {1: (4, 3, ["7"]), 2: (2, 0, [])}
+
+
+def plain_near(text, a, b, within):
+    w = WORD.findall((text or "").translate(ASCII_LOWER))
+    return {(i, j) for i, x in enumerate(w) for j, y in enumerate(w) if x == a and y == b and 0 < abs(i - j) <= within}
+
+
+@pytest.mark.parametrize("within", [0, 1, 3, 40])
+def test_proximity(spark, within):
+    rng = np.random.default_rng(within)
+    texts = {1: "a x x b x x x x a", 2: "b", 3: None, 4: " ".join(rng.choice(list("abcxyz"), 300)), 5: "a a b b a"}
+    docs = spark.createDataFrame(list(texts.items()), "uid long, text string")
+    pairs = {8: ("a", "b"), 9: ("a", "a"), 10: ("c", "missing")}
+    asked = spark.createDataFrame([(k, *v) for k, v in pairs.items()], "pair_id int, term_a string, term_b string")
+    index = postings(docs, asked.select(F.explode(F.array("term_a", "term_b")).alias("term")))
+    got = Counter((r.uid, r.pair_id, r.a_pos, r.b_pos) for r in proximity_matches(index, asked, within).collect())
+    assert got == Counter((u, k, i, j) for u, t in texts.items() for k, (a, b) in pairs.items() for i, j in plain_near(t, a, b, within))
+    assert {r.uid: r.n_words for r in word_counts(index).collect()} == {1: 9, 2: 1, 3: 0, 4: 300, 5: 5}
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)

@@ -1,16 +1,19 @@
-"""Benchmark decontamination by a positional inverted index.
+"""Benchmark decontamination by a distributed positional inverted index.
 
-Training texts become postings (document, position) of terms. A query phrase is found by intersecting the
-offset-adjusted postings of its rarest terms: a posting of term t at position p, t being word o of the
-phrase, says that the phrase may start at p - o. Starts that the two rarest terms agree on are then checked
-word by word. Only terms that some phrase uses have postings, since no other list is ever read.
+One scan of the texts stores postings (term, document, position) of every term that some phrase asks for, and of the
+end of each text. All that follows reads them: document frequencies, numbers of words, and the lists of the two
+rarest terms of each phrase. A posting of term t at position p, t being word o of a phrase, says that the phrase may
+start at p - o; the two lists, so adjusted, are joined on phrase, document and start. Starts that both lists hold are
+then checked word by word against a slice of the text, since postings hold terms as 64-bit hashes.
 
 All of it is DataFrame functions. Tables made of the benchmark are broadcast only under a checked number of
-rows; beyond it they are joined by shuffles.
+rows; beyond it they are joined by shuffles, of which none carries more of a text than a phrase's words, but for the
+one that brings texts to the starts in them.
 
-Defined cases: a null text has no words; items or documents without words match nothing; items with equal
-phrases each count; repeated documents are answered one by one; empty tables give no hits; other columns are
-ignored, whatever their names.
+Defined cases: a null text has no words; items or documents without words match nothing; items with equal phrases
+each count; an item without id cannot be listed or counted, but its windows hit; of terms that are equally rare, the
+one that stands first in the phrase comes first; repeated documents are answered one by one; very long texts are
+read whole; empty tables give no hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ WINDOW = 10
 #: Rows of a benchmark-side table that may be broadcast; about 100 bytes each.
 BROADCAST_ROWS = 200_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What the index holds at the end of each text; no word is a line break.
+END = "\n"
 
 
 def words(text: Column) -> Column:
@@ -37,72 +42,86 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(phrase, items): distinct word windows and the items that hold them. A short item is one window."""
+    """(phrase_id, phrase, items): distinct word windows and the items that hold them. A short item is one window."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.size("w") - window, F.lit(0))
     each = w.select("item", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("w", i + 1, window))).alias("phrase"))
-    return each.groupBy("phrase").agg(F.collect_set("item").alias("items"))
+    return each.groupBy("phrase").agg(F.collect_set("item").alias("items")).withColumn("phrase_id", F.xxhash64("phrase"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(uid, pos, term) of every word of `docs` (uid, w) that `terms` lists."""
-    return docs.select("uid", F.posexplode("w").alias("pos", "term")).join(terms, "term")
+    """The index, stored: (term, uid, pos) of every word of `docs` (uid, text) that `terms` (term) lists, and of ends.
 
+    Terms are hashes of words. The posting of a text's end has the number of its words as its position.
+    """
+    own = terms.select(F.xxhash64("term").alias("term")).unionByName(terms.sparkSession.range(1).select(F.xxhash64(F.lit(END)).alias("term"))).distinct()
+    each = docs.select("uid", F.posexplode(F.array_append(words(F.col("text")), F.lit(END))).alias("pos", "word"))
+    found = each.select(F.xxhash64("word").alias("term"), "uid", "pos")
+    return stored(found.join(small(stored(own, "terms")), "term"), "postings")
 
-def phrase_starts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(uid, phrase_id, start, term2, off2): where the rarest term of a phrase lies at its place, with the second rarest.
 
-    docs: uid, w. asked: phrase_id, phrase. Each phrase's terms are ordered by their number of postings.
-    """
-    slots = stored(asked.select("phrase_id", F.posexplode("phrase").alias("off", "term")), "slots")
-    vocabulary = small(slots.select("term").distinct())
-    lists = postings(docs, vocabulary).groupBy("term").agg(F.count("*").alias("df"))
+def word_counts(index: DataFrame) -> DataFrame:
+    """(uid, n_words) of every document."""
+    return index.where(F.col("term") == F.xxhash64(F.lit(END))).select("uid", F.col("pos").cast("long").alias("n_words"))
+
+
+def phrase_starts(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(uid, phrase_id, start): where the lists of a phrase's two rarest terms agree. asked: phrase_id, phrase."""
+    slots = asked.select("phrase_id", F.posexplode("phrase").alias("off", "word")).select("phrase_id", "off", F.xxhash64("word").alias("term"))
+    lists = stored(index.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    cost = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term")
+    by_df = F.array_sort(F.collect_list(cost)).alias("by_df")
+    ordered = slots.join(lists, "term", "left").groupBy("phrase_id").agg(by_df).where(F.col("by_df")[0]["df"] > 0)
     # the two rarest terms of each phrase; a one-word phrase has one
-    cost = F.struct("df", "off", "term")
-    rarest = stored(slots.join(lists, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).groupBy("phrase_id").agg(F.array_sort(F.collect_list(cost)).alias("by_df")), "rarest")
-    possible = rarest.where(F.col("by_df")[0]["df"] > 0)
-    anchor = possible.select("phrase_id", F.col("by_df")[0]["term"].alias("term"), F.col("by_df")[0]["off"].alias("off"), F.get("by_df", F.lit(1))["term"].alias("term2"), F.get("by_df", F.lit(1))["off"].alias("off2"), F.size("by_df").alias("n"))
-    anchor = small(stored(anchor, "anchors"))
-    # starts whose phrase would reach beyond the text make no row
-    first = docs.select("uid", F.posexplode("w").alias("pos", "term"), F.size("w").alias("len"))
-    hits = first.join(anchor, "term").select("uid", "phrase_id", (F.col("pos") - F.col("off")).alias("start"), "len", "n", "term2", "off2")
-    return hits.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("len"))).select("uid", "phrase_id", "start", "term2", "off2")
+    rarest = stored(ordered.select("phrase_id", F.slice("by_df", 1, 2).alias("by_df")), "rarest")
+
+    def places(k: int, *more: Column) -> DataFrame:
+        own = rarest.where(F.size("by_df") > k).select("phrase_id", F.col("by_df")[k]["term"].alias("term"), F.col("by_df")[k]["off"].alias("off"), *more)
+        hits = index.join(small(own), "term").withColumn("start", F.col("pos") - F.col("off"))
+        return hits.where(F.col("start") >= 0).drop("term", "pos", "off")
+
+    both = places(0, (F.size("by_df") == 1).alias("alone")).join(places(1).withColumn("agreed", F.lit(True)), ["uid", "phrase_id", "start"], "left")
+    return both.where(F.col("alone") | F.col("agreed")).select("uid", "phrase_id", "start")
 
 
-def phrase_matches(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(uid, phrase_id, start, n, items): all exact phrase matches. docs: uid, text.
+def phrase_matches(docs: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(uid, phrase_id, start, n, items): all exact phrase matches. docs: uid, text, as `index` has them.
 
     Texts meet their candidates as texts, and are cut into words after that: words take twice the room.
     """
-    starts = phrase_starts(docs.select("uid", words(F.col("text")).alias("w")), asked)
-    by_doc = starts.groupBy("uid").agg(F.collect_list(F.struct("start", "phrase_id", "term2", "off2")).alias("cand"))
+    starts = phrase_starts(index, asked).join(small(asked.select("phrase_id", F.size("phrase").alias("n"))), "phrase_id")
+    by_doc = starts.groupBy("uid").agg(F.collect_list(F.struct("start", "phrase_id", "n")).alias("cand"))
     texts = docs.select(F.col("uid").alias("__u"), "text")
     near = by_doc.join(texts, F.col("uid") == F.col("__u")).select("uid", "cand", words(F.col("text")).alias("w"))
-    agreed = F.filter("cand", lambda c: c["term2"].isNull() | (F.get("w", c["start"] + c["off2"]) == c["term2"]))
-    full = near.select("uid", "w", F.explode(agreed).alias("c")).select("uid", "c.phrase_id", "c.start", "w")
-    checked = full.join(small(asked), "phrase_id").where(F.slice("w", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
+    cut = F.transform("cand", lambda c: F.struct(c["phrase_id"].alias("phrase_id"), c["start"].alias("start"), F.slice("w", c["start"] + 1, c["n"]).alias("found")))
+    found = near.select("uid", F.explode(cut).alias("c")).select("uid", "c.phrase_id", "c.start", "c.found")
+    checked = found.join(small(asked), "phrase_id").where(F.col("found") == F.col("phrase"))
     return checked.select("uid", "phrase_id", "start", F.size("phrase").alias("n"), "items")
 
 
-def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
-    """(uid, pair_id, a_pos, b_pos): places where term_b follows or precedes term_a by at most `within` words.
+def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
+    """(uid, pair_id, a_pos, b_pos): places where term_b follows or precedes term_a by 1 to `within` words.
 
-    pairs: pair_id, term_a, term_b. Postings of both terms meet in blocks of `within` positions, so a list is
-    only compared with neighbouring blocks of the other.
+    pairs: pair_id, term_a, term_b. Lists of both terms meet in blocks of `within` positions, so a list is only
+    compared with neighbouring blocks of the other. Within less than one word there is nothing. Terms are compared
+    by their hashes.
     """
-    terms = pairs.select(F.explode(F.array("term_a", "term_b")).alias("term")).distinct()
-    found = postings(docs, small(terms)).withColumn("block", F.floor(F.col("pos") / within))
-    a = found.join(small(pairs.select("pair_id", F.col("term_a").alias("term"))), "term").select("pair_id", "uid", F.col("pos").alias("a_pos"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    b = found.join(small(pairs.select("pair_id", F.col("term_b").alias("term"))), "term").select("pair_id", "uid", F.col("pos").alias("b_pos"), "block")
-    near = a.join(b, ["pair_id", "uid", "block"]).where((F.abs(F.col("a_pos") - F.col("b_pos")) <= within) & (F.col("a_pos") != F.col("b_pos")))
+    block = F.floor(F.col("pos") / max(within, 1)).cast("int")
+    one = pairs.select("pair_id", F.xxhash64("term_a").alias("term"))
+    two = pairs.select("pair_id", F.xxhash64("term_b").alias("term"))
+    around = F.explode(F.array(block - 1, block, block + 1)).alias("block")
+    a = index.join(small(one), "term").select("pair_id", "uid", F.col("pos").alias("a_pos"), around)
+    b = index.join(small(two), "term").select("pair_id", "uid", F.col("pos").alias("b_pos"), block.alias("block"))
+    apart = F.abs(F.col("a_pos") - F.col("b_pos"))
+    near = a.join(b, ["pair_id", "uid", "block"]).where((apart <= within) & (apart > 0))
     return near.select("uid", "pair_id", "a_pos", "b_pos")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(uid, n_words, n_hit, item_ids) of every row of `docs` (uid, text)."""
-    asked = stored(phrases(items, window=window).withColumn("phrase_id", F.xxhash64("phrase")), "phrases")
-    read = docs.select("uid", words(F.col("text")).alias("w"))
-    covered = phrase_matches(docs.select("uid", "text"), asked)
+    asked = stored(phrases(items, window=window), "phrases")
+    index = postings(docs, asked.select(F.explode("phrase").alias("term")))
+    covered = phrase_matches(docs.select("uid", "text"), index, asked)
     by_doc = covered.groupBy("uid").agg(
         F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
@@ -115,8 +134,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     hit = F.aggregate("runs", start, add, lambda s: s["hit"])
     marks = by_doc.select(F.col("uid").alias("__u"), hit.alias("n_hit"), "item_ids")
-    counts = read.select("uid", F.size("w").cast("long").alias("n_words"))
-    return counts.join(marks, F.col("uid") == F.col("__u"), "left").select("uid", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    none = F.array().cast("array<string>")
+    joined = word_counts(index).join(marks, F.col("uid") == F.col("__u"), "left")
+    return joined.select("uid", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
