@@ -75,22 +75,22 @@ def with_blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, kind, version, spans) for the blob and rule-version pairs that `ledger` lacks.
 
-    One row of each blob is scanned. Rows are chosen by blob and path before any text moves, and copies meet
-    in the partial aggregation, so a text that a third of all rows hold costs no more than another; rows that
-    repeat a chosen path are one again before the scan. Places are running sums over a blob's matches, so the
+    One row of each blob is scanned. Rows are chosen by blob and path (its hash) before any text moves, and copies
+    meet in the partial aggregation, so a text that a third of all rows hold costs no more than another; rows that
+    repeat a chosen path are one again where the join has put them, before the scan. Places are running sums over a blob's matches, so the
     cost of a text follows its length.
     """
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    first = versions.groupBy("blob").agg(F.min("path").alias("path"))
+    chosen = versions.select("blob", F.xxhash64("path").alias("row")).groupBy("blob").agg(F.min("row").alias("row"))
     if ledger is None:
-        todo = first.select("blob", "path", wanted.alias("todo"))
+        todo = chosen.select("blob", "row", wanted.alias("todo"))
     else:
-        pairs = first.select("blob", "path", F.explode(wanted).alias("r")).select("blob", "path", "r.kind", "r.version")
+        pairs = chosen.select("blob", "row", F.explode(wanted).alias("r")).select("blob", "row", "r.kind", "r.version")
         unseen = pairs.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-        todo = unseen.groupBy("blob", "path").agg(F.collect_list(F.struct("kind", "version")).alias("todo"))
-    texts = versions.select(F.col("path").alias("__p"), F.col("blob").alias("__b"), "text")
-    met = todo.join(texts, (F.col("blob") == F.col("__b")) & F.col("path").eqNullSafe(F.col("__p")))
-    chosen = met.dropDuplicates(["blob", "path"]).select("blob", "todo", "text")
+        todo = unseen.groupBy("blob", "row").agg(F.collect_list(F.struct("kind", "version")).alias("todo"))
+    texts = versions.select(F.col("blob").alias("__b"), F.xxhash64("path").alias("__r"), "text")
+    met = todo.join(texts, (F.col("blob") == F.col("__b")) & (F.col("row") == F.col("__r")))
+    chosen = met.dropDuplicates(["blob", "row"]).select("blob", "todo", "text")
     due = lambda r: F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
     each = F.array(
         *[
