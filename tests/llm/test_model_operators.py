@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,11 +14,13 @@ import corpus_pipeline
 from tests.llm.conftest import ASCII_LOWER
 from tidechart.llm import language_model as lm
 from tidechart.llm import nearest, sharding, toxicity
+from tidechart.llm.common import numbered
 from tidechart.llm.boosting import calibrated, fit_isotonic, fit_trees
 from tidechart.llm.crf import Crf, fit_crf, gradient
 from tidechart.llm.html_extraction import _features, blocks, extracted, labelled, main_text, op2_html_extraction, trained
 from tidechart.llm.labelled_pages import training_pages
 from tidechart.llm.mixing import mix, n_words, quality
+from tidechart.llm.tokens import pieces
 
 
 # ---------------------------------------------------------------- pages
@@ -154,13 +157,64 @@ def test_language_model_without_training_rows(odd):
     assert all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in got)
 
 
-def test_model_is_normalised():
-    noise = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    m = lm.Bilinear.start(noise)
-    z = m.log_normalisers()
-    q = m.context[3] * m.place[0] + m.context[5] * m.place[1]
-    p = np.exp(q @ m.target.T + m.bias - z[3, 5])
-    assert abs(p.sum() - 1) < 1e-4
+@pytest.fixture(scope="module")
+def language(spark, docs):
+    """Rows, stored counts, vocabulary and model of the training documents."""
+    rows = numbered(docs)
+    training = rows.where(~lm.held_out())
+    counts = lm.word_counts(training).cache()
+    vocab = lm.vocabulary(counts, training.count())
+    return rows, counts, vocab, lm.trained(training, vocab)
+
+
+def test_probabilities_sum_to_one(language):
+    """Over all words with vectors, the end, each group's counted words, and the words that training lacks."""
+    _, counts, vocab, model = language
+    frequent = set(vocab.words.tolist())
+    tail = [(r.part, r.c) for r in counts.collect() if r.word % (1 << 64) not in frequent]
+    of_group = np.zeros(lm.GROUPS)
+    for g in range(lm.GROUPS):
+        own = np.array([c for part, c in tail if part == g] + [0])
+        of_group[g] = np.exp(lm.log_rare(vocab, np.full(len(own), g), own)).sum()
+    assert np.allclose(of_group, 1) and len(tail) > 100
+    everything = np.arange(vocab.symbols)
+    for one, two in [(vocab.end, vocab.end), (0, vocab.end), (5, 0), (vocab.n_words + 3, 7), (vocab.n_words - 1, vocab.n_words)]:
+        p = np.exp(model.log_p(vocab, everything, np.full(vocab.symbols, one), np.full(vocab.symbols, two)))
+        p[vocab.n_words : vocab.end] *= of_group
+        assert abs(p.sum() - 1) < 1e-4
+
+
+def test_scores_against_a_plain_version(language):
+    rows, counts, vocab, model = language
+    count = {r.word % (1 << 64): r.c for r in counts.collect()}
+    symbol = dict(zip(vocab.words.tolist(), vocab.place.tolist()))
+    got = {r.uid: r.score for r in lm.scores(rows, counts, vocab, model).collect()}
+    cls, first = vocab.cls.tolist(), vocab.first.tolist()
+    soft = lambda x, i: x[i] - np.logaddexp.reduce(x)
+    f8 = lambda x: x.astype(float)
+    for r in rows.where("uid % 20 = 3").collect():
+        p = next(iter(pieces(pa.array([r.text]), lower=True)))
+        total, one, two = 0.0, vocab.end, vocab.end
+        for h, group in [*zip(p.hash.tolist(), lm._group(p).tolist()), (None, None)]:
+            s = vocab.end if h is None else symbol.get(h, vocab.n_words + group)
+            q = f8(model.context[one]) * model.place[0] + f8(model.context[two]) * model.place[1]
+            lo, hi = first[cls[s]], first[cls[s] + 1]
+            total += soft(f8(model.target) @ q + model.bias, cls[s]) + soft(f8(model.word[lo:hi, : lm.SIZE]) @ q + model.word[lo:hi, lm.SIZE], s - lo)
+            if vocab.n_words <= s < vocab.end:
+                g, c = s - vocab.n_words, count.get(h, 0)
+                tokens = max(vocab.rare[g], 1)
+                share = (c - vocab.discount) / tokens if c else vocab.discount * vocab.rare_types[g] / tokens if vocab.rare[g] else 1.0
+                total += np.log(share)
+            one, two = s, one
+        assert got[r.uid] == pytest.approx(total / np.log(10), rel=1e-4, abs=1e-3)
+
+
+def test_vocabulary_grows_with_the_tokens(language, spark):
+    _, counts, vocab, _ = language
+    assert vocab.n_words == round(lm.ROOT * vocab.tokens**0.5) > lm.LEAST
+    assert np.diff(vocab.first).max() < 12 * vocab.n_words**0.5 and len(vocab.mass) < 2 * vocab.n_words**0.5 + lm.GROUPS
+    more = lm.vocabulary(counts.withColumn("c", F.col("c") * 4), 4 * vocab.ends)
+    assert more.n_words == pytest.approx(2 * vocab.n_words, abs=2)
 
 
 # ---------------------------------------------------------------- mixing
