@@ -202,9 +202,46 @@ def genre_hint(c: Column) -> Column:
     return _strip(F.regexp_replace(t, _U + r"^bài hát\s+", ""))
 
 
+@lru_cache(maxsize=1)
+def _compositions() -> list[tuple[str, str, str]]:
+    """(mark, letters, composed letters) for each combining mark that composes with Latin letters, by combining class.
+
+    Twice: a letter takes two marks at most, and marks of one class may come in either order.
+    """
+    pairs: dict[str, dict[str, str]] = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        d = unicodedata.decomposition(chr(code)).split()
+        if len(d) == 2 and not d[0].startswith("<"):
+            letter, mark = (chr(int(x, 16)) for x in d)
+            if unicodedata.normalize("NFC", letter + mark) == chr(code):
+                pairs.setdefault(mark, {})[letter] = chr(code)
+    order = sorted(pairs, key=lambda m: (unicodedata.combining(m), m))
+    return [(m, "".join(pairs[m]), "".join(pairs[m].values())) for m in order] * 2
+
+
+def nfc(c: Column) -> Column:
+    """Latin letters and the marks behind them as composed letters; text without marks is left alone."""
+    field = lambda name, v: F.lit(v).alias(name)
+    marks = F.array(*[F.struct(field("mark", m), field("letters", x), field("composed", y)) for m, x, y in _compositions()])
+
+    def compose(text: Column, m: Column) -> Column:
+        """The parts between one mark, joined again: by nothing where the letter before composes with it."""
+        parts = F.call_function("split", text, m["mark"], F.lit(-1))
+
+        def part(p: Column, i: Column) -> Column:
+            last = F.right(p, F.lit(1))
+            other = F.call_function("translate", last, m["letters"], m["composed"])
+            held = F.concat(F.left(p, F.length(p) - 1), other)
+            return F.when(i == F.size(parts) - 1, p).when(other != last, held).otherwise(F.concat(p, m["mark"]))
+
+        return F.when(F.contains(text, m["mark"]), F.array_join(F.transform(parts, part), "")).otherwise(text)
+
+    return F.when(c.rlike(r"\p{Mn}"), F.aggregate(marks, c, compose)).otherwise(c)
+
+
 def light_text(c: Column) -> Column:
-    """Lower case with accents; tone marks on one place; punctuation becomes single spaces."""
-    t = F.lower(F.coalesce(c, F.lit("")))
+    """Lower case with composed accents; tone marks on one place; punctuation becomes single spaces."""
+    t = F.lower(nfc(F.coalesce(c, F.lit(""))))
     for a, b in TONE_PAIRS.items():
         t = F.replace(t, F.lit(a), F.lit(b))
     return _strip(F.regexp_replace(t, r"(?U)[^\w]+", " "))

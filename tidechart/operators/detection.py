@@ -1,7 +1,7 @@
 """Finding dictionary terms in texts, and what a mention says about its writer.
 
-Texts become word n-grams that meet the table of names in a join, so the cost follows the text and not the
-number of names. Spark chooses the join; nothing is broadcast by force.
+Words of texts meet words of names in a join, so the cost follows the text and not the number of names. Spark
+chooses the join; nothing is broadcast by force.
 """
 
 from __future__ import annotations
@@ -28,24 +28,24 @@ def aliases(names: DataFrame, name: str, code: str, ambiguous: list[str]) -> Dat
     return with_.unionByName(without.where(~F.col("gram").isin(ambiguous)) if ambiguous else without).where("gram != ''").distinct()
 
 
-def term_matches(docs: DataFrame, doc: str, text: str, terms: DataFrame, max_words: int = 5) -> DataFrame:
-    """doc, code, start, end, target: each place where a name of up to `max_words` words stands in a text.
+def term_matches(docs: DataFrame, doc: str, text: str, terms: DataFrame) -> DataFrame:
+    """doc, code, start, end, target: each place where a name stands in a text, whatever its number of words.
 
-    A text with accents is compared with accented names, one without with plain names. start and end are
-    character offsets in `target`, the normalised text.
+    A text with accents is compared with accented names, one without with plain names. Words of texts meet words of
+    names; a name stands where all its words agree on one place, so the cost follows the text and not the length of
+    names. start and end are character offsets in `target`, the normalised text. doc: unique.
     """
     light = light_text(F.col(text))
     own = docs.select(doc, light.alias("light")).withColumn("accented", has_diacritics(F.col("light")))
-    own = own.withColumn("target", F.when(F.col("accented"), F.col("light")).otherwise(norm_text(F.col("light")))).withColumn("w", F.split("target", " "))
-    n = F.size("w")
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_words), n)),
-            lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(F.array_join(F.slice("w", i + 1, k), " ").alias("gram"), (F.length(F.array_join(F.slice("w", F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)).alias("start"))),
-        )
-    )
-    each = own.where("target != ''").select(doc, "accented", "target", F.explode(grams).alias("g"))
-    found = each.select(doc, "accented", "target", "g.gram", "g.start").join(terms, ["gram", "accented"])
+    own = own.select(doc, "accented", F.when(F.col("accented"), F.col("light")).otherwise(norm_text(F.col("light"))).alias("target")).where("target != ''")
+    words = own.select(doc, "accented", F.posexplode(F.split("target", " ")).alias("i", "word"))
+    parts = terms.select("gram", "accented", "code", F.posexplode(F.split("gram", " ")).alias("k", "word"))
+    met = words.join(parts, ["word", "accented"]).select(doc, "gram", "code", "k", (F.col("i") - F.col("k")).alias("at"))
+    of_name = F.size(F.split("gram", " "))
+    # each word of a name stands once at each place, so as many rows as words mean all of them
+    whole = met.groupBy(doc, "gram", "code", "at").agg(F.count("*").alias("n")).where(F.col("n") == of_name)
+    before = F.length(F.array_join(F.slice(F.split("target", " "), F.lit(1), F.col("at")), " ")) + F.when(F.col("at") > 0, 1).otherwise(0)
+    found = whole.join(own.select(doc, "target"), doc).withColumn("start", before)
     return found.select(doc, "code", "start", (F.col("start") + F.length("gram")).alias("end"), "target")
 
 
@@ -81,7 +81,7 @@ def mentions(docs: DataFrame, doc: str, text: str, title: str | None, terms: Dat
     found = term_matches(kept, doc, text, terms)
     if title is not None:
         found = drop_in_title(found, term_matches(kept, doc, title, terms), doc)
-    each = mention_kind(found).groupBy(doc, "code").agg(F.max("kind").alias("kind"))  # 'self' sorts after 'mention'
+    each = mention_kind(found).select(doc, "code", "kind").groupBy(doc, "code").agg(F.max("kind").alias("kind"))  # 'self' sorts after 'mention'
     return each.withColumn("weight", mention_weight(F.col("kind")))
 
 

@@ -548,9 +548,8 @@ def parse_count(rel: Rel) -> DataFrame:
     return rel("benchmark").select("item_id", text.parse_count(shown).alias("n"))
 
 
-# words of invented prose that stand for names; 'of the' has two words
-NAMES = [("the", "T"), ("ou", "O"), ("of the", "OT"), ("der", "D"), ("être", "E"), ("est", "S")]
-TERMS = "names AS (SELECT * FROM (VALUES ('the', 'T'), ('ou', 'O'), ('of the', 'OT'), ('der', 'D'), ('est', 'S')) v(gram, code))"
+# words of invented prose that stand for names; some have several words, one is ambiguous without its accent
+NAMES = [("the", "T"), ("ou", "O"), ("of the", "OT"), ("der", "D"), ("être", "E"), ("est", "S"), ("on the and of in the", "LONG")]
 
 
 def _terms(df: DataFrame) -> DataFrame:
@@ -558,22 +557,47 @@ def _terms(df: DataFrame) -> DataFrame:
     return detection.aliases(names, "name", "code", ["etre"])
 
 
-@query("""WITH """ + TERMS + """, w AS (SELECT post_id, string_split(trim(regexp_replace(lower(text), '[^0-9a-z_]+', ' ', 'g')), ' ') AS w FROM {posts} WHERE strip_accents(lower(text)) = lower(text)),
-  g AS (SELECT post_id, w[i] AS gram FROM w, (SELECT unnest(range(1, 3000)) AS i) r WHERE i <= len(w) UNION ALL SELECT post_id, concat(w[i], ' ', w[i + 1]) FROM w, (SELECT unnest(range(1, 3000)) AS i) r WHERE i < len(w))
-  SELECT post_id, code, count(*) AS n FROM g JOIN names USING (gram) GROUP BY 1, 2""")
+def _toned(c: str) -> str:
+    for a, b in text.TONE_PAIRS.items():
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+_LIGHT = f"trim(regexp_replace({_toned('nfc_normalize(lower(text))')}, '[^\\pL\\pM\\pN_]+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(lower(strip_accents({})), '[^0-9a-z]+', ' ', 'g'))"
+_VALUES = ", ".join(f"('{n}', '{c}')" for n, c in NAMES)
+#: places of names in posts: post_id, code, start, target; posts that are credits or lyrics in `skipped`
+MATCHES = f"""names AS (SELECT name AS gram, true AS accented, code FROM (VALUES {_VALUES}) v(name, code)
+   UNION ALL SELECT strip_accents(name), false, code FROM (VALUES {_VALUES}) v(name, code) WHERE strip_accents(name) <> 'etre'),
+ parts AS (SELECT gram, accented, code, string_split(gram, ' ') AS gw FROM names),
+ light AS (SELECT post_id, text, {_LIGHT} AS light FROM {{posts}}),
+ tg AS (SELECT post_id, strip_accents(light) <> light AS accented, CASE WHEN strip_accents(light) <> light THEN light ELSE {_NORM.format("light")} END AS target,
+   length(text) - length(replace(text, chr(10), '')) > 3 OR regexp_matches({_NORM.format("text")}, '{detection.CREDIT_WORDS}') AS skipped FROM light),
+ ws AS (SELECT post_id, accented, target, skipped, string_split(target, ' ') AS w FROM tg WHERE target <> ''),
+ pl AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ws),
+ ma AS (SELECT post_id, code, skipped, target, length(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS start, length(gram) AS n
+   FROM pl JOIN parts p ON p.accented = pl.accented AND w[i] = gw[1] AND w[i:i + len(gw) - 1] = gw)"""
+_LEAD, _TAIL = _NORM.format("target[greatest(1, start - 29):start]"), _NORM.format("target[start + n + 1:start + n + 30]")
+KINDS = MATCHES + f""", le AS (SELECT *, {_LEAD} AS lead, {_TAIL} AS tail FROM ma WHERE NOT skipped),
+ mk AS (SELECT post_id, code, max(CASE WHEN regexp_matches(lead, '{detection.SELF_BEFORE}') OR regexp_matches(lead, '{detection.SELF_NEAR}') OR regexp_matches(tail, '{detection.SELF_AFTER}') THEN 'self' ELSE 'mention' END) AS kind FROM le GROUP BY 1, 2)"""
+
+
+@query("WITH " + MATCHES + " SELECT post_id, code, count(*) AS n, min(start) AS first_at FROM ma GROUP BY 1, 2")
 def term_mentions(rel: Rel) -> DataFrame:
-    posts = rel("posts").where(~text.has_diacritics(F.lower("text")))
-    return detection.term_matches(posts, "post_id", "text", _terms(posts)).groupBy("post_id", "code").agg(F.count("*").alias("n"))
+    found = detection.term_matches(rel("posts"), "post_id", "text", _terms(rel("posts")))
+    return found.groupBy("post_id", "code").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_at"))
 
 
-@query()
+@query("WITH " + KINDS + """, be AS (SELECT code, role, author, max(CASE WHEN kind = 'self' THEN 1.0e0 ELSE 0.3e0 END) AS w, max(CASE WHEN kind = 'self' THEN 1 ELSE 0 END) AS s FROM mk JOIN {posts} USING (post_id) GROUP BY 1, 2, 3)
+  SELECT code, role, count(*) AS authors, CAST(sum(s) AS BIGINT) AS self_mentions, round(sum(w), 6) AS mentions FROM be GROUP BY 1, 2""")
 def mention_votes(rel: Rel) -> DataFrame:
     posts = rel("posts")
     found = detection.mentions(posts, "post_id", "text", None, _terms(posts)).join(posts.select("post_id", "author", "role"), "post_id")
     return detection.one_vote_per_author(found, "code", "role", "author", "weight", "kind").select("code", "role", "authors", "self_mentions", *r6("mentions"))
 
 
-@query()
+@query("WITH " + KINDS + """ SELECT (SELECT count(*) FROM {posts}) AS documents, count(DISTINCT post_id) AS with_mention, count(*) FILTER (WHERE kind = 'self') AS self_mentions,
+  count(*) FILTER (WHERE kind = 'mention') AS plain_mentions, count(DISTINCT code) AS codes FROM mk""")
 def mention_coverage(rel: Rel) -> DataFrame:
     posts = rel("posts")
     return detection.mention_coverage(posts, detection.mentions(posts, "post_id", "text", None, _terms(posts)), "post_id")
