@@ -140,7 +140,7 @@ def track_key(title: Column, artists: Column) -> Column:
 
 
 def parse_count(c: Column) -> Column:
-    """'1,2K', '3.4M', '12 N' or '1.234' as a whole number; 0 if it starts with none."""
+    """The whole number that a counter shows: a unit scales it, without one its separators go; 0 if no digits lead."""
     t = F.upper(F.trim(F.replace(c, F.lit(" "), F.lit(" "))))
     found = r"^([\d.,]+)\s*(K|M|B|N|TR|T)?"
     number, unit = F.regexp_extract(t, found, 1), F.regexp_extract(t, found, 2)
@@ -152,21 +152,21 @@ def parse_count(c: Column) -> Column:
     return F.coalesce(F.when(unit != "", scaled).otherwise(plain), F.lit(0).cast("long"))
 
 
-# Buckets of genres and the words that lead to them, first match wins. The third entry of a
-# rule: whether the text must be free of accents ("foreign"), or which bucket a domestic text gets.
+# Buckets of genres and the words that lead to them, first match wins, and patterns of list names.
 GENRE_RULES = [
-    (("trinh", "tien chien"), "Nhạc Trịnh/Tiền Chiến", None),
-    (("tru tinh", "bolero", "nhac vang"), "Nhạc Trữ Tình", None),
-    (("cai luong", "que huong", "dan ca", "cach mang"), "Quê Hương/Cải Lương", None),
-    (("au my", "us uk"), "US-UK", "foreign, not viet"),
-    (("han quoc", "k pop", "kpop", "nhat ban", "j pop", "hoa ngu", "c pop", "chau a"), "K-Pop/Châu Á", "foreign"),
-    (("rap", "hip hop"), "US-UK", "Rap Việt"),
-    (("edm", "remix", "dance", "electronic", "house", "trance"), "US-UK", "EDM/Remix"),
-    (("indie", "rock", "alternative"), "US-UK", "Indie/Rock Việt"),
-    (("v pop", "nhac tre", "viet nam", "nhac phim", "vietnamese"), "V-Pop", None),
-    (("pop", "r b", "soul", "singer"), "US-UK", "V-Pop"),
+    {"words": ("trinh", "tien chien"), "bucket": "Nhạc Trịnh/Tiền Chiến"},
+    {"words": ("tru tinh", "bolero", "nhac vang"), "bucket": "Nhạc Trữ Tình"},
+    {"words": ("cai luong", "que huong", "dan ca", "cach mang"), "bucket": "Quê Hương/Cải Lương"},
+    {"words": ("au my", "us uk"), "bucket": "US-UK", "only_without_accents": True, "only_without_viet": True},
+    {"words": ("han quoc", "k pop", "kpop", "nhat ban", "j pop", "hoa ngu", "c pop", "chau a"), "bucket": "K-Pop/Châu Á", "only_without_accents": True},
+    {"words": ("rap", "hip hop"), "bucket": "US-UK", "domestic_bucket": "Rap Việt"},
+    {"words": ("edm", "remix", "dance", "electronic", "house", "trance"), "bucket": "US-UK", "domestic_bucket": "EDM/Remix"},
+    {"words": ("indie", "rock", "alternative"), "bucket": "US-UK", "domestic_bucket": "Indie/Rock Việt"},
+    {"words": ("v pop", "nhac tre", "viet nam", "nhac phim", "vietnamese"), "bucket": "V-Pop"},
+    {"words": ("pop", "r b", "soul", "singer"), "bucket": "US-UK", "domestic_bucket": "V-Pop"},
 ]
 DOMESTIC_WORDS = ("viet", "v pop", "nhac tre")
+LIST_TOP, LIST_PRAISE, LIST_SONGS = r"^top\s*\d+\s*", r"\s*(hay nhất|việt nam hay nhất)$", r"^bài hát\s+"
 # End of fixed values.
 
 
@@ -184,22 +184,23 @@ def genre_bucket(genres: Column, title: Column, artists: Column) -> Column:
 
     domestic = accents | has(*DOMESTIC_WORDS)
     out = F.when(domestic, F.lit("V-Pop")).otherwise(F.lit("Khác"))
-    for words, bucket, more in reversed(GENRE_RULES):
-        if more is None:
-            out = F.when(has(*words), F.lit(bucket)).otherwise(out)
-        elif more.startswith("foreign"):
-            also = ~has("viet") if "not viet" in more else F.lit(True)
-            out = F.when(has(*words) & ~accents & also, F.lit(bucket)).otherwise(out)
-        else:
-            out = F.when(has(*words), F.when(domestic, F.lit(more)).otherwise(F.lit(bucket))).otherwise(out)
+    for rule in reversed(GENRE_RULES):
+        bucket, applies = F.lit(rule["bucket"]), has(*rule["words"])
+        if "domestic_bucket" in rule:
+            bucket = F.when(domestic, F.lit(rule["domestic_bucket"])).otherwise(bucket)
+        if rule.get("only_without_accents"):
+            applies = applies & ~accents
+        if rule.get("only_without_viet"):
+            applies = applies & ~has("viet")
+        out = F.when(applies, bucket).otherwise(out)
     return out
 
 
 def genre_hint(c: Column) -> Column:
     """The genre in a list's name: without a leading 'top N' and praise at the end."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), _U + r"^top\s*\d+\s*", "")
-    t = F.regexp_replace(t, _U + r"\s*(hay nhất|việt nam hay nhất)$", "")
-    return _strip(F.regexp_replace(t, _U + r"^bài hát\s+", ""))
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), _U + LIST_TOP, "")
+    t = F.regexp_replace(t, _U + LIST_PRAISE, "")
+    return _strip(F.regexp_replace(t, _U + LIST_SONGS, ""))
 
 
 @lru_cache(maxsize=1)

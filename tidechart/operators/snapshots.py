@@ -140,3 +140,19 @@ def counter_delta(old: DataFrame, new: DataFrame, keys: list[str], value: str, t
     a = old.select(*keys, F.col(value).alias("__v0"), F.col(ts).alias("__t0"))
     b = new.select(*keys, F.col(value).alias("__v1"), F.col(ts).alias("__t1"))
     return a.join(b, keys).select(*keys, (F.col("__v1") - F.col("__v0")).alias("delta"), (F.unix_seconds("__t1") - F.unix_seconds("__t0")).alias("seconds"))
+
+
+def fingerprint(*fields: str) -> Column:
+    """An identity made of fields, for records without an id of their own; nulls count as a value."""
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
+def feed_overlap(old: DataFrame, new: DataFrame, fields: list[str], ts: str, cursor: Column) -> DataFrame:
+    """One row on two reads of a feed: rows of each, fingerprints that both hold, new rows behind a cursor, newest time.
+
+    fields: what a fingerprint is made of; cursor: where the first read ended, in the units of `ts`.
+    """
+    a, b = (df.select(fingerprint(*fields).alias("mark")).distinct() for df in (old, new))
+    both = a.join(b, "mark", "left_semi").agg(F.count("*").alias("overlap"))
+    told = new.agg(F.count("*").alias("new_rows"), F.count_if(F.col(ts) > cursor).alias("after_cursor"), F.max(ts).alias("newest"))
+    return old.agg(F.count("*").alias("old_rows")).crossJoin(F.broadcast(told)).crossJoin(F.broadcast(both))

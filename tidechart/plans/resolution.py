@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidechart.functions.text import clean_title, compact, norm_text, slug, split_artists
+from tidechart.functions.text import clean_title, compact, genre_bucket, norm_text, slug, split_artists
 
 # Words by which an artist's slug is that of a label or a channel.
 LABEL_WORDS = r"(entertainment|music|records|media|official|channel|studio|production|vevo|yeah1|vie-channel|pho-nhac-viet|-tv$|-ent$)"
@@ -61,18 +61,32 @@ def equal_names(recs: DataFrame, key: str, title: str, artist: str) -> DataFrame
 
 
 def build_catalog(recs: DataFrame, key: str = "key") -> DataFrame:
-    """One row for each key: newest title, longest then newest artists, genres, sources, first and last seen, search text.
+    """One row for each key: newest title, longest then newest artists, genres and their bucket, sources, links, times.
 
-    recs: key, title, artists array, genre, source, seen.
+    recs: key, title, artists array, genre, source, seen; platform_id, url, thumbnail, duration_s and release_date
+    where a source has them. A link is a source, its id of the item and an address. Genres are names as sources
+    give them; `genre` is the common bucket that they, the title and the artists lead to.
     """
     tie = F.struct("seen", "title", "source")
+    has = set(recs.columns)
+    more = []
+    if {"platform_id", "url"} <= has:
+        link = F.when(F.col("platform_id").isNotNull(), F.struct("source", "platform_id", "url"))
+        more.append(F.array_sort(F.collect_set(link)).alias("links"))
+    if "thumbnail" in has:
+        more.append(F.max_by("thumbnail", F.when(F.col("thumbnail").isNotNull(), F.struct("seen", "thumbnail"))).alias("thumbnail"))
+    if "duration_s" in has:
+        more.append(F.max("duration_s").alias("duration_s"))
+    if "release_date" in has:
+        more.append(F.min("release_date").alias("release_date"))
     told = recs.groupBy(key).agg(
         F.max_by("title", tie).alias("title"),
         F.max_by("artists", F.struct(F.size("artists"), F.col("seen"), F.array_join("artists", "|"))).alias("artists"),
         F.array_sort(F.collect_set("genre")).alias("genres"), F.array_sort(F.collect_set("source")).alias("sources"),
-        F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"),
+        F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), *more,
     )
-    return told.withColumn("search_text", norm_text(F.concat_ws(" ", "title", F.array_join("artists", " "))))
+    named = told.withColumn("search_text", norm_text(F.concat_ws(" ", "title", F.array_join("artists", " "))))
+    return named.withColumn("genre", genre_bucket(F.col("genres"), F.col("title"), F.col("artists")))
 
 
 def canonical_tracks(recs: DataFrame) -> DataFrame:

@@ -91,16 +91,48 @@ def kpis(charts: DataFrame, listens: DataFrame, items: DataFrame) -> DataFrame:
     return told.crossJoin(F.broadcast(listens.agg(F.count("*").alias("listens")))).crossJoin(F.broadcast(items.agg(F.count("*").alias("items"))))
 
 
-def recommend(seeds: DataFrame, similar: DataFrame, trending: DataFrame, n: int = 20, trend_weight: float = 0.35) -> DataFrame:
+def system_kpis(totals: dict[str, DataFrame], evidence: DataFrame, trends: DataFrame, sources: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """One document of what a run has covered: totals by name, regions by confidence, trends, sources, weights.
+
+    totals: relations whose rows are counted, under the name of the figure; evidence: region, confidence_label,
+    self_mentions; trends: item, seen; sources: source, records, snapshots, last_snapshot. Trends are a source too.
+    """
+    by_label = evidence.agg(F.count_if(F.col("confidence_label") == "high").alias("regions_high_confidence"), F.count_if(F.col("confidence_label") == "medium").alias("regions_medium_confidence"), F.coalesce(F.sum("self_mentions"), F.lit(0)).alias("self_mentions"))
+    observed = trends.agg(F.count("*").alias("trend_records"), F.countDistinct("item").alias("trend_items"), F.max("seen").alias("last"))
+    as_source = observed.where("trend_records > 0").select(F.lit("trends").alias("source"), F.col("trend_records").alias("records"), F.col("trend_items").alias("snapshots"), F.col("last").cast("string").alias("last_snapshot"))
+    listed = sources.select("source", "records", "snapshots", F.col("last_snapshot").cast("string").alias("last_snapshot")).unionByName(as_source)
+    by_source = listed.agg(F.array_sort(F.collect_list(F.struct("source", "records", "snapshots", "last_snapshot"))).alias("sources"))
+    out = by_label.crossJoin(F.broadcast(observed.drop("last"))).crossJoin(F.broadcast(by_source))
+    for name, rows in totals.items():
+        out = out.crossJoin(F.broadcast(rows.agg(F.count("*").alias(name))))
+    return out.withColumn("weights", F.create_map(*[F.lit(x) for k, v in sorted(weights.items()) for x in (k, float(v))]))
+
+
+def recommend(seeds: DataFrame, similar: DataFrame | None, trending: DataFrame | None, n: int = 20, trend_weight: float = 0.35, popular: DataFrame | None = None, most_popular: int = 50) -> DataFrame:
     """user_id, region, item, score, cf, trend, because, rank.
 
     seeds: user_id, region, item, w (decayed weight of what a user did); similar: item, neighbour, sim;
-    trending: region, item, trend (0 to 1). Items already heard do not come back.
+    trending: region, item, trend (0 to 1). Items already heard do not come back. Users of a region without trending items (all users, if
+    there is no such view) get the `most_popular` first of `popular` (item, national_score) in their place.
     """
-    liked = seeds.where("w > 0").join(similar.select("item", "neighbour", "sim"), "item").withColumn("gain", F.col("w") * F.col("sim"))
-    cf = liked.groupBy("user_id", "region", F.col("neighbour").alias("cand")).agg(F.sum("gain").alias("cf"), F.max_by("item", F.struct("gain", "item")).alias("because"))
-    cf = cf.withColumn("cf", F.try_divide(F.col("cf"), F.max("cf").over(W.partitionBy("user_id"))))
-    hot = seeds.select("user_id", "region").distinct().join(trending.select("region", F.col("item").alias("cand"), "trend"), "region")
+    users = seeds.select("user_id", "region").distinct()
+    if similar is not None:
+        liked = seeds.where("w > 0").join(similar.select("item", "neighbour", "sim"), "item").withColumn("gain", F.col("w") * F.col("sim"))
+        cf = liked.groupBy("user_id", "region", F.col("neighbour").alias("cand")).agg(F.sum("gain").alias("cf"), F.max_by("item", F.struct("gain", "item")).alias("because"))
+        cf = cf.withColumn("cf", F.try_divide(F.col("cf"), F.max("cf").over(W.partitionBy("user_id"))))
+    else:
+        cf = users.select("user_id", "region", F.lit(None).cast(seeds.schema["item"].dataType).alias("cand"), F.lit(0.0).alias("cf"), F.lit(None).cast(seeds.schema["item"].dataType).alias("because")).limit(0)
+    hot = None
+    if trending is not None:
+        hot = users.join(trending.select("region", F.col("item").alias("cand"), "trend"), "region")
+    if popular is not None:
+        top = popular.orderBy(F.desc("national_score"), "item").limit(most_popular).select(F.col("item").alias("cand"), F.col("national_score").alias("trend"))
+        without = users if trending is None else users.join(trending.select("region").distinct(), "region", "left_anti")
+        # fifty rows at most, for users that have no other
+        fallback = without.join(F.broadcast(top))
+        hot = fallback if hot is None else hot.unionByName(fallback)
+    if hot is None:
+        hot = cf.select("user_id", "region", "cand", F.lit(0.0).alias("trend")).limit(0)
     both = cf.join(hot, ["user_id", "region", "cand"], "full_outer").fillna(0.0, ["cf", "trend"])
     fresh = both.join(seeds.select("user_id", F.col("item").alias("cand")), ["user_id", "cand"], "left_anti")
     scored = fresh.select("user_id", "region", F.col("cand").alias("item"), (F.col("cf") + trend_weight * F.col("trend")).alias("score"), "cf", "trend", "because")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,19 +62,35 @@ def valid_events(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("ts", F.timestamp_millis("ts_ms"))
 
 
+def _line_numbers(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """`some` of `lines` (path, block, id, ...) with `number`, their line in the file.
+
+    ids rise within a block; a block's first line follows those of the blocks before it, whose counts are summed up.
+    """
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    begins = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return some.join(begins, ["path", "block"]).withColumn("number", F.col("before") + F.col("id") - F.col("first") + 1)
+
+
 def read_jsonl(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(records, errors) of JSON lines: BOM and blank lines pass, envelopes open, equal records are one.
 
-    errors: file, line and what is wrong, as file:line: text.
+    Files are read by lines, in as many parts as Spark splits them into. errors: file, line and kind of error, as
+    file:line: kind. A line that is no JSON is a JSONDecodeError, JSON that is no object a TypeError.
     """
-    lines = spark.read.text(paths, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"^\x{FEFF}", ""), "\r?\n")).alias("at", "line"))
-    lines = lines.where(F.trim("line") != "")
+    at = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(paths).select(*at, F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("line"))
+    some = lines.where(F.trim("line") != "")
     inner = F.coalesce(F.get_json_object("line", "$.value"), F.col("line"))
     opened = F.when(F.ltrim(inner).startswith("{"), inner).otherwise(F.col("line"))
     told = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = lines.withColumn("v", F.from_json(opened, told, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
+    parsed = some.withColumn("v", F.from_json(opened, told, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
     bad = F.col("v").isNull() | F.col("v._corrupt").isNotNull() | ~F.ltrim("line").startswith("{")
-    errors = parsed.where(bad).select(F.concat_ws(":", "file", (F.col("at") + 1).cast("string"), F.lit(" not a JSON object")).alias("error"))
+    kind = F.when(F.try_parse_json("line").isNull(), "JSONDecodeError").otherwise("TypeError")
+    numbered = _line_numbers(lines, parsed.where(bad).select("path", "block", "id", kind.alias("kind")))
+    file = F.element_at(F.split("path", "/"), -1)
+    errors = numbered.select(F.concat(file, F.lit(":"), F.col("number").cast("string"), F.lit(": "), F.col("kind")).alias("error"))
     records = parsed.where(~bad).select("v.*").drop("_corrupt").dropDuplicates()
     names = set(schema.names)
     if {"record_type", "action", "rank", "chart_id"} <= names:
@@ -116,3 +136,25 @@ def read_view(spark: SparkSession, base: str, name: str) -> DataFrame | None:
     """The published version of a view, or None."""
     told = published(spark, f"{base}/{name}/_latest", "run_id string, at timestamp, seq int")
     return spark.read.parquet(f"{base}/{name}/run_id={max(told, key=lambda r: r['seq'])['run_id']}") if told else None
+
+
+class ViewCache:
+    """Published views that are read again once they are older than `ttl` seconds; each is kept in memory meanwhile.
+
+    A view that is not published is looked for at every call. clock: seconds, for tests.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, ttl: float = 300.0, clock: Callable[[], float] = time.time):
+        self.spark, self.base, self.ttl, self.clock = spark, base, ttl, clock
+        self._known: dict[str, tuple[DataFrame | None, float]] = {}
+
+    def get(self, name: str) -> DataFrame | None:
+        old, read_at = self._known.get(name, (None, 0.0))
+        if old is not None and self.clock() - read_at < self.ttl:
+            return old
+        new = read_view(self.spark, self.base, name)
+        new = new.persist() if new is not None else None
+        if old is not None:
+            old.unpersist()
+        self._known[name] = (new, self.clock())
+        return new

@@ -7,6 +7,7 @@ replay writes the same rows. State may lie in RocksDB: see `with_rocksdb`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,8 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidechart.functions.scoring import action_weight, doc_id, recency_decay
 from tidechart.operators.detection import mentions
-from tidechart.operators.snapshots import latest_in_batch
+from tidechart.operators.ranking import rewrite_keys
+from tidechart.operators.snapshots import latest_in_batch, mention_rows
 from tidechart.plans.serving import recommend
+from tidechart.sources.lake import ViewCache
 from tidechart.sources.sinks import upsert
 
 
@@ -64,7 +67,7 @@ def mention_docs(comments: DataFrame, terms: DataFrame, title: str | None = "tit
     comments: comment_id, text, title, published_ms, crawled_ms. Made for one micro-batch of them.
     """
     found = mentions(comments, "comment_id", "text", title, terms)
-    told = comments.select("comment_id", F.substring("text", 1, 300).alias("snippet"), F.coalesce("published_ms", "crawled_ms").alias("published_ms"), "crawled_ms")
+    told = mention_rows(comments, "published_ms", "crawled_ms", "text").select("comment_id", "snippet", "published_ms", "crawled_ms")
     return found.join(told, "comment_id").withColumn("doc_id", doc_id("comment_id", "code"))
 
 
@@ -85,9 +88,10 @@ def stream_charts(stream: DataFrame, base: str, name: str, checkpoint: str, trig
 
 
 def user_history(stream: DataFrame, span: str = "30 minutes", slide: str = "5 minutes", watermark: str = "2 minutes") -> DataFrame:
-    """user_id, window, hist: what a user did in each sliding window; the state holds four fields an event."""
+    """user_id, window, hist: what a user did in each sliding window; the state holds four fields an event, and titles."""
     own = stream.withWatermark("ts", watermark)
-    return own.groupBy(F.window("ts", span, slide), "user_id").agg(F.collect_list(F.struct("ts_ms", "item", "action", "region")).alias("hist"))
+    fields = ["ts_ms", "item", "action", "region", *(["title"] if "title" in stream.columns else [])]
+    return own.groupBy(F.window("ts", span, slide), "user_id").agg(F.collect_list(F.struct(*fields)).alias("hist"))
 
 
 def history_rows(histories: DataFrame, span_ms: int = 30 * 60_000) -> DataFrame:
@@ -104,23 +108,62 @@ def seeds_of(rows: DataFrame, as_of_ms: Column, weights: dict[str, float] | None
     return rows.withColumn("region", place).groupBy("user_id", "region", "item").agg(F.sum(w).alias("w"))
 
 
-def recommendation_docs(histories: DataFrame, similar: DataFrame, trending: DataFrame, as_of_ms: Column, size: int = 20, trend_weight: float = 0.35) -> DataFrame:
-    """doc_id (user), items (rank, item, score, reason), recent (the last five), events."""
+@dataclass
+class Views:
+    """Published views that recommendations read; None where one is not published.
+
+    similar: item, neighbour, sim; trending: region, item, trend; catalog: item, title, national_score and, where
+    known, artists, genre, thumbnail; alias: alias_key, canonical_key.
+    """
+
+    similar: DataFrame | None = None
+    trending: DataFrame | None = None
+    catalog: DataFrame | None = None
+    alias: DataFrame | None = None
+
+    @classmethod
+    def of(cls, cache: ViewCache) -> Views:
+        return cls(cache.get("item_sim"), cache.get("trending_batch"), cache.get("catalog"), cache.get("track_alias"))
+
+
+ABOUT = {"title": "string", "artists": "array<string>", "genre": "string", "thumbnail": "string"}
+
+
+def recommendation_docs(histories: DataFrame, views: Views, as_of_ms: Column, size: int = 20, trend_weight: float = 0.35) -> DataFrame:
+    """doc_id (user), items (rank, item, what the catalog says of it, score and its parts, reason), recent, events.
+
+    Items are counted under their canonical keys. Without a ranking of a user's region the most popular items of
+    the catalog stand in. A reason names the title of what was heard; `recent` has the last five events as they came.
+    """
     rows = history_rows(histories)
-    told = recommend(seeds_of(rows, as_of_ms), similar, trending, size, trend_weight)
-    reason = F.when(F.col("because").isNotNull() & (F.col("cf") > 0), F.concat(F.lit("because of "), F.col("because").cast("string"))).otherwise(F.lit("popular in your region"))
-    items = told.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item", F.round("score", 4).alias("score"), reason.alias("reason")))).alias("items"))
+    heard = rewrite_keys(rows, views.alias, "item") if views.alias is not None else rows
+    popular = views.catalog if views.catalog is not None and "national_score" in views.catalog.columns else None
+    told = recommend(seeds_of(heard, as_of_ms), views.similar, views.trending, size, trend_weight, popular)
+    titled = "title" in rows.columns
+    names = heard.groupBy("item").agg((F.max("title") if titled else F.lit(None).cast("string")).alias("heard_title"))
+    if views.catalog is not None:
+        about = views.catalog.select("item", *[(F.col(c) if c in views.catalog.columns else F.lit(None).cast(t)).alias(c) for c, t in ABOUT.items()])
+    else:
+        about = names.select("item", F.col("heard_title").alias("title"), *[F.lit(None).cast(t).alias(c) for c, t in ABOUT.items() if c != "title"])
+    known = told.join(about, "item", "left").join(names.withColumnRenamed("item", "because"), "because", "left")
+    because = F.concat(F.lit("because of "), F.coalesce("heard_title", F.col("because").cast("string")))
+    reason = F.when(F.col("because").isNotNull() & (F.col("cf") > 0), because).otherwise(F.lit("popular in your region"))
+    parts = [F.round(c, 4).alias(c) for c in ("score", "cf", "trend")]
+    items = known.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item", *ABOUT, *parts, reason.alias("reason")))).alias("items"))
     seat = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts_ms"), "item", "action"))
-    recent = rows.withColumn("r", seat).groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "item", "action")))).alias("recent"), F.count("*").alias("events"), F.max("ts_ms").alias("last_ts_ms"))
+    last = F.struct("r", "item", *(["title"] if titled else []), "action")
+    recent = rows.withColumn("r", seat).groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, last))).alias("recent"), F.count("*").alias("events"), F.max("ts_ms").alias("last_ts_ms"))
     return items.join(recent, "user_id").withColumn("doc_id", F.col("user_id").cast("string"))
 
 
-def stream_recommendations(stream: DataFrame, views: Callable[[], tuple[DataFrame, DataFrame]], as_of_ms: Callable[[], Column], base: str, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Recommendations by user. views: gives (similar, trending) as they are published when a batch starts."""
+def stream_recommendations(stream: DataFrame, views: Callable[[], Views], as_of_ms: Callable[[], Column], base: str, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Recommendations by user. views: gives what is published when a batch starts, such as Views.of a ViewCache.
+
+    Without any of the views that items come from, a batch writes nothing.
+    """
 
     def each(df: DataFrame) -> DataFrame:
-        similar, trending = views()
-        return recommendation_docs(df, similar, trending, as_of_ms())
+        return recommendation_docs(df, views(), as_of_ms())
 
     return keyed_sink(user_history(stream), base, name, "last_ts_ms", checkpoint, "update", trigger, each)
 
