@@ -120,8 +120,6 @@ def test_similarity(spark):
     got = {(r.item, r.neighbour): (round(r.sim, 4), r.baskets) for r in similarity.item_similarity(baskets, items).collect()}
     assert got[(2, 3)] == (0.4, 2) and got[(1, 9)] == (0.15, 0) and (9, 2) not in got
     assert similarity.capped_baskets(baskets, 2).where("basket = 'x'").count() == 2
-    pairs, large = similarity.artist_pairs(items, 1)
-    assert pairs.count() == 0 and rows(large) == [("a", 2)]
 
 
 def test_similarity_of_an_artist_with_many_items(spark):

@@ -17,11 +17,11 @@ DUCK_WORDS = {"@epoch_us(": "epoch_us(", "@ts(": "(", "@double": "DOUBLE"}
 RELATIONS = {
     # a chart is a market segment and a return flag; a snapshot is a month; items are parts
     "chart_entries": """
-        SELECT g.chart_id, g.source, g.snapshot_id, g.month_no, g.item, CAST(g.rnk AS INT) AS rank, CAST(least(50, g.n) AS INT) AS chart_size,
-               g.metric_value, CAST(p.rnk AS INT) AS previous_rank
-        FROM {ranked_parts} g LEFT JOIN {ranked_parts} p
-          ON p.chart_id = g.chart_id AND p.item = g.item AND p.month_no = g.month_no - 1 AND p.rnk <= 50
-        WHERE g.rnk <= 50""",
+        SELECT chart_id, source, snapshot_id, month_no, item, CAST(rnk AS INT) AS rank, CAST(least(50, n) AS INT) AS chart_size,
+               metric_value, CAST(CASE WHEN before_month = month_no - 1 AND before_rnk <= 50 THEN before_rnk END AS INT) AS previous_rank
+        FROM (SELECT *, lag(month_no) OVER (PARTITION BY chart_id, item ORDER BY month_no) AS before_month,
+                     lag(rnk) OVER (PARTITION BY chart_id, item ORDER BY month_no) AS before_rnk FROM {ranked_parts}) g
+        WHERE rnk <= 50""",
     "ranked_parts": """
         SELECT chart_id, source, snapshot_id, month_no, item, metric_value,
                row_number() OVER (PARTITION BY chart_id, month_no ORDER BY metric_value DESC, item) AS rnk,
@@ -55,7 +55,7 @@ RELATIONS = {
                share > 0 AS has_data, is_anchor, fine_weight
         FROM (SELECT s.*, s.item = a.anchor AS is_anchor, w.fine_weight
               FROM {shares} s
-              CROSS JOIN (SELECT item AS anchor FROM (SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS r FROM {shares} GROUP BY item) x WHERE r = 1) a
+              CROSS JOIN (SELECT item AS anchor FROM {shares} GROUP BY item ORDER BY count(*) DESC, item LIMIT 1) a
               JOIN (SELECT n_name AS fine, CAST(count(*) AS @double) AS fine_weight FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name) w
                 ON w.fine = s.fine) t""",
     "shares": """
@@ -108,7 +108,8 @@ def duck(sql: str) -> str:
     ctes = [f"{n} AS ({RELATIONS[n]})" for n in order]
     body = sql.strip()
     if ctes:
-        body = f"WITH {', '.join(ctes)}" + (", " + body[5:] if body.upper().startswith("WITH ") else f" {body}")
+        word = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(w)), "")
+        body = f"{word or 'WITH '}{', '.join(ctes)}" + (f", {body[len(word):]}" if word else f" {body}")
     for word, spelled in DUCK_WORDS.items():
         body = body.replace(word, spelled)
     return re.sub(r"\{(\w+)\}", r"\1", body)

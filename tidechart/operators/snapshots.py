@@ -128,11 +128,12 @@ def fill_profile(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     return long.withColumn("rate", F.round(F.try_divide(F.col("filled"), F.col("rows")), 6))
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, pos: str) -> DataFrame:
-    """key, old_pos, new_pos, change: entered, left, moved or same."""
-    a, b = old.select(key, F.col(pos).alias("old_pos")), new.select(key, F.col(pos).alias("new_pos"))
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str | list[str], pos: str) -> DataFrame:
+    """key, old_pos, new_pos, change: entered, left, moved or same. key: a column or several."""
+    keys = [key] if isinstance(key, str) else key
+    a, b = old.select(*keys, F.col(pos).alias("old_pos")), new.select(*keys, F.col(pos).alias("new_pos"))
     kind = F.when(F.col("old_pos").isNull(), "entered").when(F.col("new_pos").isNull(), "left").when(F.col("old_pos") != F.col("new_pos"), "moved").otherwise("same")
-    return a.join(b, key, "full_outer").withColumn("change", kind)
+    return a.join(b, keys, "full_outer").withColumn("change", kind)
 
 
 def counter_delta(old: DataFrame, new: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:

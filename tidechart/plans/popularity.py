@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidechart.functions.scoring import rank_gain, rank_points
+from tidechart.operators.materialize import materialized
 from tidechart.operators.ranking import best_then_sum, jaccard_pairs, spearman, top_n, with_global
 from tidechart.operators.snapshots import latest_snapshot
 
@@ -84,10 +86,19 @@ def shared_across(charts: DataFrame, n: int = 50) -> DataFrame:
     return first.groupBy("period", "item").agg(F.countDistinct("country").alias("n_countries"), F.array_join(F.array_sort(F.collect_set("country")), ",").alias("countries")).where("n_countries >= 2")
 
 
-def select_anchor(obs: DataFrame, region: str, item: str, order: list[Column], group: int = 4) -> DataFrame:
-    """item, coverage, place, is_anchor, query_group: the anchor covers most regions; the others go in groups."""
-    from pyspark.sql import Window as W
+def select_anchor(obs: DataFrame, region: str, item: str, order: list[Column], group: int = 4, bucket_items: int = 50_000) -> DataFrame:
+    """item, coverage, place, is_anchor, query_group: the anchor covers most regions; the others go in groups.
 
-    told = obs.groupBy(item).agg(F.countDistinct(region).alias("coverage"))
-    ranked = told.withColumn("place", F.row_number().over(W.orderBy(F.desc("coverage"), *order)))
+    Places are counted by coverage, and within one coverage by ranges of the order, so no task ranks all items.
+    """
+    told = materialized(obs.groupBy(item).agg(F.countDistinct(region).alias("coverage")), "coverage")
+    parts = max(1, -(-told.count() // bucket_items))
+    dealt = told.repartitionByRange(parts, F.desc("coverage"), *order).withColumn("__part", F.spark_partition_id())
+    dealt = materialized(dealt, "ranges")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    earlier = W.partitionBy().orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    # one row for each range
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(F.desc("coverage"), *order))
+    ranked = dealt.withColumn("__in", inside).join(F.broadcast(before), "__part").withColumn("place", (F.col("__before") + F.col("__in")).cast("int"))
     return ranked.select(item, "coverage", "place", (F.col("place") == 1).alias("is_anchor"), F.when(F.col("place") > 1, F.floor((F.col("place") - 2) / group)).alias("query_group"))

@@ -2,54 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidechart.functions.text import clean_title, compact, genre_bucket, norm_text, slug, split_artists
+from tidechart.operators.materialize import Rounds, materialized
 
 # Words by which an artist's slug is that of a label or a channel.
 LABEL_WORDS = r"(entertainment|music|records|media|official|channel|studio|production|vevo|yeah1|vie-channel|pho-nhac-viet|-tv$|-ent$)"
 # End of fixed values.
-_ITEM = "struct<n:long,key:string,names:array<string>>"
-
 
-def _meet(a: Column, b: Column) -> Column:
-    """Some name of one holds or is held by a name of the other, both of three characters at least."""
-    plain = lambda c: F.filter(F.transform(c, lambda x: F.replace(x, F.lit("-"), F.lit(""))), lambda x: F.length(x) >= 3)
-    return F.exists(plain(a), lambda x: F.exists(plain(b), lambda y: F.contains(x, y) | F.contains(y, x)))
 
-
-def greedy_clusters(df: DataFrame, block: str, key: str, n: str, names: str) -> DataFrame:
+def greedy_clusters(df: DataFrame, block: str, key: str, n: str, names: str, rounds: int = 1000) -> DataFrame:
     """alias_key, canonical_key: within a block, keys by count join the first cluster whose head shares a name.
 
-    Heads whose names are all labels then join the only other head, if the block's title is long enough. A
-    block is the keys of one title; it is folded in one expression, so titles with very many keys cost most.
+    Names meet if one holds the other; keys meet by names of three characters at least. Heads whose names are all
+    labels then join the only other head, if the block's title is long enough.
+
+    The outcome is that of taking keys one by one, found in few rounds: an open key that meets no open key before it
+    is a head, and keys that meet a head leave. Keys meet by way of the distinct names of their block, so neither
+    pairs of keys nor a block in one row come up. At the end each key joins the first head that it meets. More than
+    `rounds` rounds are an error.
     """
-    own = df.groupBy(block).agg(F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("n"), F.col(key).alias("key"), F.col(names).alias("names")))).alias("keys")).where(F.size("keys") > 1)
-    empty = F.struct(F.array().cast(f"array<{_ITEM}>").alias("heads"), F.array().cast("array<struct<alias_key:string,canonical_key:string>>").alias("pairs"))
-
-    def add(state: Column, item: Column) -> Column:
-        head = F.get(F.filter(state["heads"], lambda h: _meet(h["names"], item["names"])), F.lit(0))
-        pair = F.array(F.struct(item["key"].alias("alias_key"), head["key"].alias("canonical_key")))
-        grown = F.concat(state["heads"], F.array(item.cast(_ITEM)))
-        return F.struct(F.when(head.isNull(), grown).otherwise(state["heads"]).alias("heads"), F.when(head.isNull(), state["pairs"]).otherwise(F.concat(state["pairs"], pair)).alias("pairs"))
-
-    folded = own.select(block, F.aggregate("keys", empty, add).alias("s")).select(block, "s.heads", "s.pairs")
-    is_label = lambda h: (F.size(h["names"]) > 0) & F.forall(h["names"], lambda x: x.rlike(LABEL_WORDS))
-    labels, others = F.filter("heads", is_label), F.filter("heads", lambda h: ~is_label(h))
-    merge = (F.size(labels) > 0) & (F.size(others) == 1) & (F.length(F.replace(F.col(block), F.lit("-"), F.lit(""))) >= 8)
-    target = others[0]["key"]
-    label_keys = F.transform(labels, lambda h: h["key"])
-    moved = F.transform("pairs", lambda p: F.struct(p["alias_key"].alias("alias_key"), F.when(F.array_contains(label_keys, p["canonical_key"]), target).otherwise(p["canonical_key"]).alias("canonical_key")))
-    more = F.transform(label_keys, lambda k: F.struct(k.alias("alias_key"), target.alias("canonical_key")))
-    return folded.select(F.explode(F.when(merge, F.concat(moved, more)).otherwise(F.col("pairs"))).alias("p")).select("p.*")
+    own = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct((-F.col(n)).alias("n"), F.col(key).alias("key")).alias("ord"), F.col(names).alias("names"))
+    several = own.groupBy("block").agg(F.count("*").alias("keys")).where("keys > 1").select("block")
+    own = materialized(own.join(several, "block"), "keys")
+    plain = F.explode(F.transform("names", lambda x: F.replace(x, F.lit("-"), F.lit("")))).alias("x")
+    named = materialized(own.select("block", "ord", plain).where(F.length("x") >= 3).distinct(), "names")
+    distinct = named.select("block", "x").distinct()
+    meets = distinct.join(distinct.withColumnRenamed("x", "y"), "block").where(F.contains("x", F.col("y")) | F.contains("y", F.col("x")))
+    meets = materialized(meets, "meets")
+
+    def first_met(some: DataFrame) -> DataFrame:
+        """(block, ord, first): of each named key, the first key of `some` (block, ord, x) that it meets."""
+        lowest = some.groupBy("block", F.col("x").alias("y")).agg(F.min("ord").alias("first"))
+        by_name = meets.join(lowest, ["block", "y"]).groupBy("block", "x").agg(F.min("first").alias("first"))
+        return named.join(by_name, ["block", "x"]).groupBy("block", "ord").agg(F.min("first").alias("first"))
+
+    # keys without such names meet nobody
+    steps, open_, heads = Rounds(df.sparkSession, "clusters"), named, []
+    for _ in range(rounds):
+        among = first_met(open_).join(open_.select("block", "ord").distinct(), ["block", "ord"], "left_semi")
+        found = materialized(named.join(among.where("ord = first").select("block", "ord"), ["block", "ord"], "left_semi"), "heads")
+        heads.append(found)
+        open_ = steps.put(open_.join(first_met(found).select("block", "ord"), ["block", "ord"], "left_anti"))
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"clusters did not settle within {rounds} rounds")
+    pairs = materialized(first_met(reduce(DataFrame.unionByName, heads)).where("ord != first").select("block", F.col("ord.key").alias("key"), F.col("first.key").alias("canonical_key")), "pairs")
+    every = own.join(pairs.select("block", "key"), ["block", "key"], "left_anti")
+    label = (F.size("names") > 0) & F.forall("names", lambda x: x.rlike(LABEL_WORDS))
+    long_ = F.length(F.replace(F.col("block"), F.lit("-"), F.lit(""))) >= 8
+    told = every.groupBy("block").agg(F.count_if(label).alias("labels"), F.count_if(~label).alias("others"), F.min(F.when(~label, F.col("key"))).alias("target"))
+    merge = told.where((F.col("labels") > 0) & (F.col("others") == 1) & long_).select("block", "target")
+    moved = every.where(label).join(merge, "block").select("block", F.col("key").alias("canonical_key"), "target")
+    aliases = pairs.join(moved, ["block", "canonical_key"], "left").select(F.col("key").alias("alias_key"), F.coalesce("target", "canonical_key").alias("canonical_key"))
+    return aliases.unionByName(moved.select(F.col("canonical_key").alias("alias_key"), F.col("target").alias("canonical_key")))
 
 
 def resolve_entities(recs: DataFrame, key: str, title: str, artists: str) -> DataFrame:
     """alias_key, canonical_key of records (key, title, artists array)."""
     slugs = F.transform(F.coalesce(F.col(artists), F.array().cast("array<string>")), lambda a: slug(a))
     stats = recs.select(F.col(key).alias("key"), slug(clean_title(F.col(title))).alias("block"), slugs.alias("names"))
-    told = stats.groupBy("key").agg(F.min("block").alias("block"), F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    # equal rows are one before a key's names come together
+    counted = stats.groupBy("key", "block", "names").agg(F.count("*").alias("n"))
+    told = counted.groupBy("key").agg(F.min("block").alias("block"), F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"))
     return greedy_clusters(told, "block", "key", "n", "names")
 
 
@@ -105,7 +125,10 @@ def canonical_tracks(recs: DataFrame) -> DataFrame:
 
 
 def overlap_pairs(df: DataFrame, block: str, key: str, name: str) -> DataFrame:
-    """a, b: keys of one block whose compact names hold one another."""
+    """a, b: keys of one block whose compact names hold one another. Distinct names of a block are compared, then opened."""
     own = df.select(block, F.col(key).alias("k"), compact(F.col(name)).alias("c")).where("length(c) >= 3")
-    left, right = own.select(block, F.col("k").alias("a"), F.col("c").alias("ca")), own.select(block, F.col("k").alias("b"), F.col("c").alias("cb"))
-    return left.join(right, block).where("a < b and (contains(ca, cb) or contains(cb, ca))").select(block, "a", "b")
+    names = own.select(block, "c").distinct()
+    met = names.withColumnRenamed("c", "ca").join(names.withColumnRenamed("c", "cb"), block).where("contains(ca, cb) or contains(cb, ca)")
+    left = own.select(block, F.col("k").alias("a"), F.col("c").alias("ca"))
+    right = own.select(block, F.col("k").alias("b"), F.col("c").alias("cb"))
+    return left.join(met, [block, "ca"]).join(right, [block, "cb"]).where("a < b").select(block, "a", "b")

@@ -25,18 +25,6 @@ def pair_similarity(baskets: DataFrame, shrink: float = 3.0, min_support: int =
     return sized.select("ka", "kb", (F.col("co") / (F.sqrt(F.col("na") * F.col("nb")) + shrink)).alias("sim"), "baskets")
 
 
-def artist_pairs(items: DataFrame, max_group: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(pairs ka < kb of one artist, artists with more than `max_group` items). items: item, artist.
-
-    Of such an artist the first items by id make pairs; the second frame says whom that affects.
-    """
-    own = items.where(F.col("artist").isNotNull())
-    large = own.groupBy("artist").agg(F.count("*").alias("items")).where(F.col("items") > max_group)
-    some = cap_group(own, ["artist"], [F.col("item")], max_group)
-    pairs = some.select("artist", F.col("item").alias("ka")).join(some.select("artist", F.col("item").alias("kb")), "artist").where("ka < kb").select("ka", "kb")
-    return pairs, large
-
-
 def item_similarity(baskets: DataFrame, items: DataFrame | None, max_basket: int = 40, shrink: float = 3.0, min_support: int = 2, bonus: float = 0.15, k: int = 30) -> DataFrame:
     """item, neighbour, sim, baskets, rank: the k most similar items of each. items: item, artist.
 

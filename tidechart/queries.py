@@ -161,10 +161,9 @@ def snapshot_completeness(rel: Rel) -> DataFrame:
 
 @query("""SELECT chart_id, snapshot_id, count(*) AS rows, concat_ws(',', CASE WHEN count(*) <> 50 THEN 'unexpected_size' END,
   CASE WHEN min(rank) <> 1 OR max(rank) <> count(*) OR count(DISTINCT rank) <> count(*) THEN 'ranks_not_contiguous' END,
-  CASE WHEN count(DISTINCT item) <> count(item) THEN 'duplicate_ids' END) AS issues FROM {chart_entries} WHERE rank % 7 <> 3 OR chart_id LIKE 'A%' GROUP BY 1, 2""")
+  CASE WHEN count(DISTINCT item) <> count(item) THEN 'duplicate_ids' END) AS issues FROM {chart_entries} GROUP BY 1, 2""")
 def chart_validation(rel: Rel) -> DataFrame:
-    broken = rel("chart_entries").where("rank % 7 <> 3 OR chart_id LIKE 'A%'")
-    return snapshots.validate_chart(broken, ["chart_id", "snapshot_id"], "item", "rank", F.lit(50), "source")
+    return snapshots.validate_chart(rel("chart_entries"), ["chart_id", "snapshot_id"], "item", "rank", F.lit(50), "source")
 
 
 @query("""SELECT 'discount_below_10' AS rule, count(*) AS checked, count(*) FILTER (WHERE NOT l_discount < 0.1) AS broken FROM {lineitem}
@@ -215,18 +214,25 @@ def classify_lists(rel: Rel) -> DataFrame:
     return snapshots.classify_lists(rel("events").withColumn("kind", kind), "kind")[1]
 
 
-@query("""WITH a AS (SELECT item, rank AS old_pos FROM {country_charts} WHERE country = 'NATION_1' AND period = '1999'), b AS (SELECT item, rank AS new_pos FROM {country_charts} WHERE country = 'NATION_1' AND period = '2000')
-  SELECT coalesce(a.item, b.item) AS item, old_pos, new_pos, CASE WHEN old_pos IS NULL THEN 'entered' WHEN new_pos IS NULL THEN 'left' WHEN old_pos <> new_pos THEN 'moved' ELSE 'same' END AS change FROM a FULL JOIN b ON a.item = b.item""")
+@query("""WITH a AS (SELECT country, CAST(period AS INT) + 1 AS year, item, rank AS old_pos FROM {country_charts} WHERE period < (SELECT max(period) FROM {country_charts})),
+  b AS (SELECT country, CAST(period AS INT) AS year, item, rank AS new_pos FROM {country_charts} WHERE period > (SELECT min(period) FROM {country_charts}))
+  SELECT coalesce(a.country, b.country) AS country, coalesce(a.year, b.year) AS year, coalesce(a.item, b.item) AS item, old_pos, new_pos,
+   CASE WHEN old_pos IS NULL THEN 'entered' WHEN new_pos IS NULL THEN 'left' WHEN old_pos <> new_pos THEN 'moved' ELSE 'same' END AS change
+  FROM a FULL JOIN b ON a.country = b.country AND a.year = b.year AND a.item = b.item""")
 def snapshot_diff(rel: Rel) -> DataFrame:
-    own = rel("country_charts").where("country = 'NATION_1'")
-    return snapshots.snapshot_diff(own.where("period = '1999'"), own.where("period = '2000'"), "item", "rank")
+    own = rel("country_charts").withColumn("year", F.col("period").cast("int"))
+    ends = own.agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
+    old = own.join(ends, own.year < ends.hi).withColumn("year", F.col("year") + 1)
+    new = own.join(ends, own.year > ends.lo)
+    return snapshots.snapshot_diff(old, new, ["country", "year", "item"], "rank")
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM {events} GROUP BY 1, 2)
-  SELECT b.event_type, CAST(b.n - a.n AS BIGINT) AS delta, CAST(86400 AS BIGINT) AS seconds FROM d a JOIN d b ON a.event_type = b.event_type WHERE a.day = DATE '2024-01-10' AND b.day = DATE '2024-01-11'""")
+  SELECT b.day, b.event_type, CAST(b.n - a.n AS BIGINT) AS delta, CAST(86400 AS BIGINT) AS seconds FROM d a JOIN d b ON a.event_type = b.event_type AND b.day = a.day + 1""")
 def counter_delta(rel: Rel) -> DataFrame:
     day = rel("events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).withColumn("at", F.col("day").cast("timestamp"))
-    return snapshots.counter_delta(day.where("day = '2024-01-10'"), day.where("day = '2024-01-11'"), ["event_type"], "n", "at")
+    before = day.withColumn("day", F.date_add("day", 1))
+    return snapshots.counter_delta(before, day, ["day", "event_type"], "n", "at")
 
 
 # ---------------------------------------------------------------- regional scores
@@ -398,8 +404,7 @@ BASKETS = """one AS (SELECT basket, item, w, row_number() OVER (PARTITION BY bas
  nn AS (SELECT item, sum(w) AS n FROM capped GROUP BY 1),
  co AS (SELECT a.item AS ka, b.item AS kb, sum(a.w) AS co, count(*) AS baskets FROM capped a JOIN capped b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 2),
  sm AS (SELECT ka, kb, co / (sqrt(x.n * y.n) + 3) AS sim, baskets FROM co JOIN nn x ON x.item = ka JOIN nn y ON y.item = kb),
- art AS (SELECT item, artist FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY item) AS r FROM {items}) x WHERE r <= 200),
- same AS (SELECT a.item AS ka, b.item AS kb, 0.15 AS bonus FROM art a JOIN art b ON a.artist = b.artist AND a.item < b.item),
+ same AS (SELECT a.item AS ka, b.item AS kb, 0.15 AS bonus FROM {items} a JOIN {items} b ON a.artist = b.artist AND a.item < b.item),
  both_ AS (SELECT coalesce(s.ka, t.ka) AS ka, coalesce(s.kb, t.kb) AS kb, coalesce(sim, 0) + coalesce(bonus, 0) AS sim, coalesce(baskets, 0) AS baskets FROM sm s FULL JOIN same t ON s.ka = t.ka AND s.kb = t.kb),
  each_ AS (SELECT ka AS item, kb AS neighbour, sim, baskets FROM both_ UNION ALL SELECT kb, ka, sim, baskets FROM both_),
  top_ AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY round(sim, 9) DESC, neighbour) AS INT) AS rank FROM each_) x WHERE rank <= 30)"""
@@ -425,10 +430,11 @@ def session_baskets(rel: Rel) -> DataFrame:
     return rel("sessions").groupBy("basket").agg(F.count("*").alias("items"), F.min("position").alias("first_ms"))
 
 
-@query("""WITH s AS (SELECT DISTINCT country AS g, item FROM {country_charts} WHERE period = '2000' AND rank <= 50), n AS (SELECT g, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.g AS a, y.g AS b, count(*) AS common FROM s x JOIN s y ON x.item = y.item AND x.g < y.g GROUP BY 1, 2)
+@query("""WITH s AS (SELECT DISTINCT concat(country, ' ', period) AS g, item FROM {country_charts} WHERE rank <= 50), n AS (SELECT g, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.g AS a, y.g AS b, count(*) AS common FROM s x JOIN s y ON x.item = y.item AND x.g < y.g GROUP BY 1, 2)
   SELECT a, b, common, x.n AS n_a, y.n AS n_b, round(common / (x.n + y.n - common), 6) AS jaccard FROM p JOIN n x ON x.g = a JOIN n y ON y.g = b""")
 def country_overlap(rel: Rel) -> DataFrame:
-    return ranking.jaccard_pairs(rel("country_charts").where("period = '2000' AND rank <= 50"), "country", "item").select("a", "b", "common", "n_a", "n_b", *r6("jaccard"))
+    top = rel("country_charts").where("rank <= 50").withColumn("g", F.concat_ws(" ", "country", "period"))
+    return ranking.jaccard_pairs(top, "g", "item").select("a", "b", "common", "n_a", "n_b", *r6("jaccard"))
 
 
 # ---------------------------------------------------------------- insights
@@ -503,19 +509,35 @@ def entity_resolution(rel: Rel) -> DataFrame:
     return resolution.equal_names(recs, "key", "title", "artist")
 
 
-@query()
+_MEETS = "len(list_filter(h.plain, lambda x: len(list_filter(o.plain, lambda y: contains(x, y) OR contains(y, x))) > 0)) > 0"
+
+
+@query(f"""WITH RECURSIVE recs AS (SELECT CAST(l_partkey AS STRING) AS key, {_slug('title')} AS block, {_slug('artist')} AS name FROM {{lineitem}} JOIN {{items}} ON item = l_partkey),
+  ky AS (SELECT key, min(block) AS block, count(*) AS n, list_sort(list(DISTINCT name)) AS names FROM recs GROUP BY 1),
+  od AS (SELECT *, list_filter(list_transform(names, lambda x: replace(x, '-', '')), lambda x: length(x) >= 3) AS plain, row_number() OVER (PARTITION BY block ORDER BY n DESC, key) AS r FROM ky),
+  fd AS (SELECT block, r, key, CAST(NULL AS STRING) AS head, [struct_pack(key := key, names := names, plain := plain)] AS heads FROM od WHERE r = 1
+   UNION ALL SELECT o.block, o.r, o.key, list_filter(f.heads, lambda h: {_MEETS})[1].key,
+     CASE WHEN len(list_filter(f.heads, lambda h: {_MEETS})) = 0 THEN list_append(f.heads, struct_pack(key := o.key, names := o.names, plain := o.plain)) ELSE f.heads END
+   FROM fd f JOIN od o ON o.block = f.block AND o.r = f.r + 1),
+  hd AS (SELECT block, unnest(heads) AS h FROM (SELECT block, arg_max(heads, r) AS heads FROM fd GROUP BY 1) e),
+  lb AS (SELECT block, h.key AS key, len(h.names) > 0 AND len(list_filter(h.names, lambda x: NOT regexp_matches(x, '{resolution.LABEL_WORDS}'))) = 0 AS is_label FROM hd),
+  mg AS (SELECT block, min(key) FILTER (WHERE NOT is_label) AS target FROM lb GROUP BY 1
+   HAVING count(*) FILTER (WHERE is_label) > 0 AND count(*) FILTER (WHERE NOT is_label) = 1 AND length(replace(block, '-', '')) >= 8),
+  mv AS (SELECT lb.block, key, target FROM lb JOIN mg USING (block) WHERE is_label)
+  SELECT fd.key AS alias_key, coalesce(mv.target, fd.head) AS canonical_key FROM fd LEFT JOIN mv ON mv.block = fd.block AND mv.key = fd.head WHERE fd.head IS NOT NULL
+  UNION ALL SELECT key, target FROM mv""")
 def entity_resolution_greedy(rel: Rel) -> DataFrame:
     recs = rel("lineitem").join(rel("items"), F.col("item") == F.col("l_partkey")).select(F.col("item").cast("string").alias("key"), "title", F.array("artist").alias("artists"))
     return resolution.resolve_entities(recs, "key", "title", "artists")
 
 
-@query(f"""SELECT o_custkey AS key, arg_max(p_name, (o_orderdate, p_name, p_brand)) AS title, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS genres, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sources, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen,
+@query(f"""SELECT o_custkey AS key, arg_max(p_name, (o_orderdate, p_name, p_brand)) AS title, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS genres, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sources, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen, arg_max(p_brand, (1, o_orderdate, p_brand)) AS artists,
    {SLUG.format("concat(arg_max(p_name, (o_orderdate, p_name, p_brand)), ' ', arg_max(p_brand, (1, o_orderdate, p_brand)))")} AS search_text
    FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON p_partkey = l_partkey GROUP BY 1""")
 def catalog(rel: Rel) -> DataFrame:
     own = rel("lineitem").join(rel("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(rel("part"), F.col("p_partkey") == F.col("l_partkey"))
     recs = own.select(F.col("o_custkey").alias("key"), F.col("p_name").alias("title"), F.array("p_brand").alias("artists"), F.col("p_type").alias("genre"), F.col("p_brand").alias("source"), F.col("o_orderdate").alias("seen"))
-    return resolution.build_catalog(recs).select("key", "title", F.array_join("genres", ",").alias("genres"), F.array_join("sources", ",").alias("sources"), "first_seen", "last_seen", "search_text")
+    return resolution.build_catalog(recs).select("key", "title", F.array_join("genres", ",").alias("genres"), F.array_join("sources", ",").alias("sources"), F.array_join("artists", "|").alias("artists"), "first_seen", "last_seen", "search_text")
 
 
 @query(f"""WITH k AS (SELECT *, concat({SLUG.format('title')}, '::', {SLUG.format('artist')}) AS match_key FROM {{items}})
@@ -653,11 +675,11 @@ def timeline_minute(rel: Rel) -> DataFrame:
     return serving.timeline(rel("listens")).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-@query("SELECT strftime(date_trunc('minute', ts), '%Y%m%d%H%M') AS minute, region, item, count(*) FILTER (WHERE action = 'play') AS plays, count(*) FILTER (WHERE action = 'skip') AS skips, count(*) FILTER (WHERE action = 'like') AS likes, max(ts_ms) AS last_ts_ms FROM {listens} GROUP BY 1, 2, 3")
+@query("SELECT strftime(date_trunc('minute', ts), '%Y%m%d%H%M') AS minute, region, item, count(*) FILTER (WHERE action = 'play') AS plays, count(*) FILTER (WHERE action = 'skip') AS skips, count(*) FILTER (WHERE action = 'like') AS likes, count(DISTINCT user_id) AS listeners, max(ts_ms) AS last_ts_ms FROM {listens} GROUP BY 1, 2, 3")
 def plays_per_minute(rel: Rel) -> DataFrame:
     from tidechart.streaming.jobs import plays_by_minute
 
-    return plays_by_minute(rel("listens")).select(F.date_format("window.start", "yyyyMMddHHmm").alias("minute"), "region", "item", "plays", "skips", "likes", "last_ts_ms")
+    return plays_by_minute(rel("listens")).select(F.date_format("window.start", "yyyyMMddHHmm").alias("minute"), "region", "item", "plays", "skips", "likes", "listeners", "last_ts_ms")
 
 
 @query(f"SELECT p_partkey, p_name, p_retailprice FROM {{part}} WHERE contains({SLUG.format('p_name')}, 're') ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
