@@ -38,7 +38,7 @@ from tidechart.llm.tokens import Piece, pieces
 
 CHUNK_BYTES = 8 << 20
 #: Words with vectors: this times the square root of the training tokens, LEAST at least.
-ROOT, LEAST = 4.0, 256
+ROOT, LEAST = 3.0, 256
 GROUPS, SIZE = 64, 16
 BATCH, NOISE, SAMPLES, WORD_NOISE, RATE, SCALE = 4096, 8, 32, 2, 0.1, 128.0
 #: Tasks that train at most, and words whose vectors travel in one row.
@@ -155,16 +155,14 @@ def sequence(p: Piece, symbols: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
     return out, one, two, doc, at
 
 
-def log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row of scores, the log of one entry's share of the sum of exponentials. Overwrites the scores."""
-    own = s[np.arange(len(s)), at]
-    top = s.max(1) if len(s) and (s.max() > 60 or s.min() < -60) else np.zeros(1, np.float32)
-    if len(top) == len(s) > 1:
-        s -= top[:, None]
-    elif len(s):
-        s -= top[0]
+def log_sum_exp(s: np.ndarray) -> np.ndarray:
+    """Of each row of scores, the log of the sum of exponentials. Overwrites the scores."""
+    if not len(s):
+        return np.zeros(0, np.float32)
+    top = s.max(1) if s.max() > 60 or s.min() < -60 else np.zeros(1, np.float32)
+    s -= top[:, None]
     np.exp(s, out=s)
-    return own - top - np.log(s.sum(1))
+    return top + np.log(s.sum(1))
 
 
 @dataclass
@@ -189,12 +187,6 @@ class Bilinear:
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] * self.place[0] + self.context[two] * self.place[1]
 
-    def log_class(self, q: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log P(class) of each row's class."""
-        s = q @ self.target.T
-        s += self.bias
-        return log_softmax_at(s, cls)
-
     def log_word(self, q: np.ndarray, symbol: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log P(symbol | class) of each row: rows of one class at a time, in blocks."""
         out = np.zeros(len(q), np.float32)
@@ -208,17 +200,22 @@ class Bilinear:
                 rows = todo[at : min(at + step, hi)]
                 s = q[rows] @ u.T
                 s += d
-                out[rows] = log_softmax_at(s, symbol[rows] - first[c])
+                own = s[np.arange(len(rows)), symbol[rows] - first[c]]
+                out[rows] = own - log_sum_exp(s)
         return out
 
     def log_p(self, vocab: Vocabulary, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of symbols after their contexts."""
+        """Natural log-probabilities of symbols after their contexts. Class normalisers are made once a context."""
         q, cls = self.hidden(one, two), vocab.cls[symbol]
         out = self.log_word(q, symbol, cls, vocab.first).astype(float)
-        for lo in range(0, len(symbol), 8192):
-            part = slice(lo, lo + 8192)
-            out[part] += self.log_class(q[part], cls[part])
-        return out
+        out += np.einsum("nd,nd->n", q, self.target[cls]) + self.bias[cls]
+        _, first, of = np.unique(one.astype(I64) * vocab.symbols + two, return_index=True, return_inverse=True)
+        total = np.empty(len(first))
+        for lo in range(0, len(first), 8192):
+            s = q[first[lo : lo + 8192]] @ self.target.T
+            s += self.bias
+            total[lo : lo + 8192] = log_sum_exp(s)
+        return out - total[of.ravel()]
 
 
 class Trainer:
