@@ -7,7 +7,9 @@ id hash; scoring takes every text whole.
 
 Defined cases: a null or empty text gets the score of no features; labels that are null are left out, and a
 document with several labels counts as toxic if one of them says so; with labels of one class or none the
-score is that class's share or 0.5; repeated rows are scored one by one; other columns are ignored.
+score is that class's share or 0.5; of entries with equal z-scores the lexicon takes words before stems; very long
+texts are read whole, a piece each; repeated rows are scored one by one; without documents there are no rows, and
+the model is that of no labels; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidechart.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees
-from tidechart.llm.common import table
+from tidechart.llm.common import stored, table
 from tidechart.llm.tokens import _BASE, U, _powers, mix, text_buffers
 
 #: Labelled rows that training takes at most.
@@ -29,7 +31,7 @@ MAX_LABELS = 20_000
 #: Entries of the lexicon at most, and the least z-score and number of toxic texts of an entry.
 LEXICON, LEAST_Z, LEAST_TEXTS = 512, 3.5, 5
 STEMS = (4, 5, 6)
-NEAR = 4
+NEAR, FOLDS = 4, 5
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch euer sie ihr tu te toi ton ta tes vous votre vos usted ustedes ti tus su sus vosotros"
 PIECE = 1 << 20
 
@@ -150,25 +152,49 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """(stem, key, toxic, clean): labelled texts (text, toxic) that hold each word or stem."""
+    """(stem, key, fold, toxic, clean): labelled texts (text, toxic, fold) of each fold that hold each word or stem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            y, fold = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
             for first, last, own, at in _split(batch.column(0)):
                 w = _words(own, at, _FOLD, _ALNUM)
                 for stem in (0, *STEMS):
                     pair = np.unique(np.stack([w.keys(stem), w.doc.astype(np.uint64)]), axis=1)
                     pair = pair[:, pair[0] != 0]
+                    doc = pair[1].astype(np.int64)
                     keys, back = np.unique(pair[0], return_inverse=True)
-                    label = y[first:last][pair[1].astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), stem, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.bincount(back, label == 1, len(keys)).astype(np.int64)), pa.array(np.bincount(back, label == 0, len(keys)).astype(np.int64))],
-                        names=["stem", "key", "toxic", "clean"],
-                    )
-
-    counted = labelled.select("text", "toxic").mapInArrow(run, "stem int, key long, toxic long, clean long")
-    return counted.groupBy("stem", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+                    label, part = y[first:last][doc], fold[first:last][doc]
+                    for k in np.unique(part):
+                        in_fold = part == k
+                        held, at_key = np.unique(back[in_fold], return_inverse=True)
+                        count = lambda v, at_key=at_key, n=len(held), own=label[in_fold]: pa.array(np.bincount(at_key, own == v, n).astype(np.int64))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(held), stem, np.int32)), pa.array(keys[held].view(np.int64)), pa.array(np.full(len(held), k, np.int32)), count(1), count(0)],
+                            names=["stem", "key", "fold", "toxic", "clean"],
+                        )
+
+    counted = labelled.select("text", "toxic", "fold").mapInArrow(run, "stem int, key long, fold int, toxic long, clean long")
+    return counted.groupBy("stem", "key", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def lexicon_of(counts: DataFrame, sizes: dict[int, tuple[float, float]], without: int | None = None) -> Lexicon:
+    """The lexicon of all folds but one. counts: as of word_counts; sizes: toxic and clean texts by fold."""
+    nt, nc = (sum(v[i] for k, v in sizes.items() if k != without) for i in (0, 1))
+    kept = counts if without is None else counts.where(F.col("fold") != without)
+    summed = kept.groupBy("stem", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(a * (nc + 1) / (b * (nt + 1)))
+    found = summed.where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
+    top = found.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "stem", "key").limit(LEXICON).select("stem", "key", "odds").toPandas()
+    keys, values = [], []
+    for stem in (0, *STEMS):
+        own = top[top["stem"] == stem]
+        k, v = own["key"].to_numpy(np.int64).view(np.uint64), own["odds"].to_numpy(float)
+        order = np.argsort(k)
+        keys.append(k[order])
+        values.append(v[order])
+    return Lexicon(keys, values)
 
 
 @dataclass
@@ -189,37 +215,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_train: Column, max_lab
 
 
 def fit(rows: DataFrame) -> Model:
-    """A model of labelled rows (text, toxic), whose number the caller has bounded."""
-    both = rows.agg(F.sum(F.col("toxic")).alias("t"), F.count("*").alias("n")).first()
-    nt, nc = float(both["t"] or 0), float((both["n"] or 0) - (both["t"] or 0))
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a * (nc + 1) / (b * (nt + 1)))
-    found = word_counts(rows).where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    top = found.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "stem", "key").limit(LEXICON).select("stem", "key", "odds").toPandas()
-    keys, values = [], []
-    for stem in (0, *STEMS):
-        own = top[top["stem"] == stem]
-        k, v = own["key"].to_numpy(np.int64).view(np.uint64), own["odds"].to_numpy(float)
-        order = np.argsort(k)
-        keys.append(k[order])
-        values.append(v[order])
-    lexicon = Lexicon(keys, values)
+    """A model of labelled rows (text, toxic), whose number the caller has bounded.
+
+    Calibration learns from margins of rows that neither the trees nor the lexicon behind them have seen: in five
+    turns, both are learned from the other four folds.
+    """
+    folded = rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(23)), F.lit(FOLDS)).cast("int"))
+    told = folded.groupBy("fold").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
+    sizes = {r["fold"]: (float(r["t"]), float(r["n"] - r["t"])) for r in told}
+    counts = stored(word_counts(folded), "words")
+    lexica = [lexicon_of(counts, sizes, k) for k in (None, *range(FOLDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(0), lexicon)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.int64()), batch.column(2)], names=["x", "y", "k"])
+            x = np.concatenate([features(batch.column(0), own) for own in lexica], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.int64()), batch.column(2), batch.column(3)], names=["x", "y", "fold", "k"])
 
-    data = rows.select("text", "toxic", F.xxhash64("text").alias("k")).mapInArrow(run, "x array<double>, y long, k long").toPandas().sort_values("k")
+    data = folded.select("text", "toxic", "fold", F.xxhash64("text").alias("k")).mapInArrow(run, "x array<double>, y long, fold int, k long").toPandas().sort_values("k")
     if not len(data):
-        return Model(lexicon, fit_trees(np.zeros((0, 17)), np.zeros(0)), (np.array([0.0]), np.array([0.5])))
-    x, y = np.stack(data["x"].to_list()), data["y"].to_numpy(float)
-    # calibration on margins of rows that the trees did not see, in five turns
-    fold, margin = np.arange(len(x)) % 5, np.zeros(len(x))
-    for k in range(5):
-        if (fold != k).any():
-            margin[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(lexicon, fit_trees(x, y), fit_isotonic(margin, y))
+        return Model(lexica[0], fit_trees(np.zeros((0, 17)), np.zeros(0)), (np.array([0.0]), np.array([0.5])))
+    x, y, fold = np.stack(data["x"].to_list()), data["y"].to_numpy(float), data["fold"].to_numpy()
+    width, margin = x.shape[1] // len(lexica), np.zeros(len(x))
+    for k in range(FOLDS):
+        own = x[:, width * (k + 1) : width * (k + 2)]
+        if (fold != k).any() and (fold == k).any():
+            margin[fold == k] = fit_trees(own[fold != k], y[fold != k]).margin(own[fold == k])
+    return Model(lexica[0], fit_trees(x[:, :width], y), fit_isotonic(margin, y))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
