@@ -67,7 +67,7 @@ def _path_hash(p: Piece, first: np.ndarray, last: np.ndarray, at: np.ndarray, wi
     """A hash of the words first..last+window-1 and of the edge's place among them."""
     from tidechart.llm.tokens import _BASE2, U, _powers, mix
 
-    h = mix(p.hash ^ U(0x5851F42D4C957F2D))
+    h = mix(p.hash2 ^ U(0x5851F42D4C957F2D))
     up, down = _powers(_BASE2, len(h))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
     return mix((total[last + window] - total[first]) * down[first] + (last - first).astype(np.uint64))
