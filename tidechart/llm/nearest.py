@@ -1,12 +1,12 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, results merged.
 
-Vectors are dealt to shards by id hash; the number of shards and their size both grow with the square root of the
-rows, so the walks in all do not grow with their square. Each shard builds a hierarchical graph over its distinct
+Vectors are dealt to shards by id hash; the number of shards grows with the fourth root of the rows, their size with
+the rest, so the walks in all stay far from the square of the rows. Each shard builds a hierarchical graph over its distinct
 vectors (equal ones are one node with its ids in order): levels drawn from the vector, M links a node and level (2M
 on the ground), chosen so that a link is not nearer to another link than to the node; neighbours lie in flat integer
 arrays, -1 where open. Nodes join in batches that each search the graph built so far and one another; queries of a
-block walk in step, so a hop is a few numpy calls for the whole block. A query's beam is doubled until its k best
-stay the same. Every shard answers every block of queries with its k best; the answers of all shards are merged.
+block walk in step, so a hop is a few numpy calls for the whole block. A query's beam is doubled until all but one of its
+best stay the same: of a shard, twice its even share of the k nearest, and a few more. Every shard answers every block of queries with its k best; the answers of all shards are merged.
 
 The measure is the inner product. Vectors get one more component, sqrt(R^2 - |x|^2), with R the greatest length,
 which turns largest inner product into nearest by angle on one sphere; the beam keeps its best by that, and scores
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from tidechart.llm.common import stored, table
 
 K, EVERY = 20, 20
-#: Rows of a shard: the square root of SHARD times all rows, at most MOST.
-SHARD, MOST = 2_000, 500_000
-LINKS, BUILD, SEARCH = 16, 96, 64
+#: There are as many shards as the fourth root of the rows over SHARD says, and more where one would have over MOST rows.
+SHARD, MOST = 1_500, 500_000
+LINKS, BUILD = 16, 64
 #: Queries of a block. Of them, as many walk in step as marks of seen nodes fit in SEEN bytes.
 BLOCK, SEEN = 4096, 32 << 20
 
@@ -67,7 +67,7 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, w
     ids, sim, done = (np.take_along_axis(a, order, 1) for a in (ids, sim, done))
     live = rows
     # several open nodes of a walk are left in one step: fewer, larger calls
-    most = max(1, width // 16)
+    most = max(4, width // 12)
     while len(live):
         open_ = ~done[live] & (ids[live] >= 0)
         some = open_.any(1)
@@ -138,6 +138,13 @@ def _linked(x: np.ndarray, links: np.ndarray, nodes: np.ndarray, chosen: np.ndar
     order = np.argsort(to, kind="stable")
     to, back = to[order], back[order]
     targets, first, count = np.unique(to, return_index=True, return_counts=True)
+    held = (links[targets] >= 0).sum(1)
+    # where all fit, they stand behind what is there
+    easy = held + count <= most
+    row = np.repeat(np.flatnonzero(easy), count[easy])
+    col = np.arange(len(row)) - np.repeat(np.cumsum(count[easy]) - count[easy], count[easy])
+    links[targets[row], held[row] + col] = back[first[row] + col]
+    targets, first, count = targets[~easy], first[~easy], count[~easy]
     for lo in range(0, len(targets), 512):
         t, f, c = targets[lo : lo + 512], first[lo : lo + 512], count[lo : lo + 512]
         wide = np.full((len(t), most + int(c.max())), -1, np.int64)
@@ -153,7 +160,9 @@ def _linked(x: np.ndarray, links: np.ndarray, nodes: np.ndarray, chosen: np.ndar
         order2 = np.argsort(twice | (wide < 0), axis=1, kind="stable")[:, : most + 16]
         wide = np.take_along_axis(np.where(twice, -1, wide), order2, 1)
         sim = np.take_along_axis(np.where(twice, -np.inf, sim), order2, 1)
-        links[t] = _chosen(x, t, wide, sim, most)
+        # a quarter of the places stay open, so that a node is chosen for again only after some more links
+        links[t] = -1
+        links[t, : most * 3 // 4] = _chosen(x, t, wide, sim, most * 3 // 4)
 
 
 def build(x: np.ndarray, ids: np.ndarray, links: int = LINKS, width: int = BUILD) -> Graph:
@@ -191,10 +200,10 @@ def build(x: np.ndarray, ids: np.ndarray, links: int = LINKS, width: int = BUILD
     return Graph(x, layers, level, entry, order)
 
 
-def search(graph: Graph, q: np.ndarray, k: int, width: int = SEARCH) -> np.ndarray:
+def search(graph: Graph, q: np.ndarray, k: int, settle: int) -> np.ndarray:
     """Places in the given vectors of the k best found for each query, best first; -1 pads.
 
-    The beam of a query is doubled until its k best stay the same.
+    The beam of a query is doubled until all but one of its `settle` best stay the same.
     """
     n = len(graph.x)
     out = np.full((len(q), k), -1, np.int64)
@@ -205,16 +214,19 @@ def search(graph: Graph, q: np.ndarray, k: int, width: int = SEARCH) -> np.ndarr
         for level in range(len(graph.layers) - 1, 0, -1):
             m = len(graph.layers[level])
             start = _beam(graph.x[:m], graph.layers[level], q[todo], start, 8)[0]
-        beam, last = max(width, k), None
+        beam, last = 4 * settle, None
         while len(todo):
             found = _beam(graph.x, graph.layers[0], q[todo], start, max(8, min(beam, n)))[0]
             best = np.full((len(todo), k), -1, np.int64)
-            best[:, : min(k, found.shape[1])] = found[:, :k]
+            most = min(k, found.shape[1])
+            best[:, :most] = found[:, :most]
             out[todo] = np.where(best >= 0, graph.order[np.maximum(best, 0)], -1)
-            moved = np.ones(len(todo), bool) if last is None else (best != last).any(1)
             if beam >= n:
                 break
-            todo, start, last = todo[moved], found[moved, :8], best[moved]
+            # wider as long as more than one of the best is new
+            top = found[:, :settle]
+            moved = np.ones(len(todo), bool) if last is None else (top[:, :, None] != last[:, None, :]).all(2).sum(1) > 1
+            todo, start, last = todo[moved], found[moved, :8], top[moved]
             beam *= 2
     return out
 
@@ -265,13 +277,14 @@ def graphs(vectors: DataFrame, shards: int, radius2: float) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(run, GRAPH)
 
 
-def answers(graph: Graph, v: np.ndarray, ids: np.ndarray, node: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): up to k best ids of each query, other than its own, from one graph.
+def answers(graph: Graph, v: np.ndarray, ids: np.ndarray, node: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, shards: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): up to k best ids of each query, other than its own, from one graph of `shards`.
 
     ids ascend; node: the place in v of each. A node answers with its k + 1 least ids, of which one may be the query's.
     """
     size = np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-    found = search(graph, np.concatenate([q / size, np.zeros((len(q), 1))], axis=1).astype(np.float32), k + 8)
+    settle = min(k, -(-2 * k // shards) + 4)
+    found = search(graph, np.concatenate([q / size, np.zeros((len(q), 1))], axis=1).astype(np.float32), k + 8, settle)
     by_node = np.argsort(node, kind="stable")
     begin = np.searchsorted(node[by_node], np.arange(len(v) + 1))
     row, c = np.nonzero(found >= 0)
@@ -298,7 +311,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, shards: int |
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stats = vectors.select(length.alias("s")).agg(F.count("*").alias("n"), F.max("s").alias("r")).first()
     radius2 = float(stats["r"] or 1.0)
-    shards = shards or max(1, round(max((stats["n"] / SHARD) ** 0.5, stats["n"] / MOST)))
+    shards = shards or max(1, round(max((stats["n"] / SHARD) ** 0.25, stats["n"] / MOST)))
     blocks = max(1, -(-queries.count() // BLOCK))
     built = stored(graphs(vectors, shards, radius2), "graphs")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -314,7 +327,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, shards: int |
         layers = [np.asarray(x, np.int64).reshape(int((level >= i).sum()), -1) for i, x in enumerate(row["links"])]
         graph = Graph(_lifted(v, radius2)[place], layers, level, 0, place)
         qid = right["query_id"].to_numpy()
-        r, own, score = answers(graph, v, ids, node, np.stack(right["q"].to_list()), qid, k)
+        r, own, score = answers(graph, v, ids, node, np.stack(right["q"].to_list()), qid, k, shards)
         return pd.DataFrame({"query_id": qid[r], "id": own, "score": score})
 
     found = left.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "query_id long, id long, score double")
