@@ -17,14 +17,16 @@ lists are skipped in blocks and whose answers are derived from similar sets' ans
 4. What stays in the lists gets the next pivot; after two rounds the rest is compared in blocks, with
    positions, sizes and bitmaps as upper bounds, and then exactly.
 
-Families and lists are cut into blocks of at most BLOCK sets, so no task holds a whole hot group. Nothing is
+Families and lists are cut into blocks of about BLOCK sets by hash, so no task holds a whole hot group. Nothing is
 dropped: the components are those of all pairs with similarity of at least the threshold.
 
 The threshold is num / den, a parameter like the shingle length `k`. op3 asks for three words and 0.9; the
 pipeline's stage asks for five words and 0.8. It has to be above 0.6.
 
 Defined cases: a null text, or one without words, has an empty set and no links; texts under `k` words are
-one shingle; repeated rows are copies; an empty table gives no rows; other columns are ignored.
+one shingle; repeated rows are copies; of rows with equal ids, or none, the row number says which comes first; a
+very long text is a piece of its own and read whole; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidechart.llm.common import numbered, stored, table
@@ -48,7 +49,7 @@ COUNTED = 0.06
 #: Similarity with the pivot from which a set leaves the pivot's list.
 CORE = 0.4
 ROUNDS = 2
-BLOCK = 256
+BLOCK = 1024
 BITS = 4096
 #: Ids of sets that stay in the join are broadcast to thin out texts only up to this many (8 bytes each).
 BROADCAST_ROWS = 500_000
@@ -158,12 +159,24 @@ def intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
 
 
-def _blocked(members: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """`members` with (x, y): the pairs of blocks of its group that each member takes part in."""
-    seat = F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1
-    placed = members.withColumn("block", F.floor(seat / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(W.partitionBy(key)) + 1)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
-    return placed.withColumn("xy", F.explode(pairs)).select(*members.columns, "block", "xy.x", "xy.y")
+def _seated(members: DataFrame, key: str, comps: DataFrame) -> DataFrame:
+    """`members` with root, side and (x, y): the pairs of blocks of its group that each member takes part in.
+
+    Members of one component need not meet. Of each group's components the largest one is its main one; members
+    outside of it (side) meet everybody, those inside only the former, in as few rows as there are blocks of them.
+    Blocks hold about BLOCK members; seats come from the set's hash, so no task sees a whole group.
+    """
+    known = members.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", F.col("sid")))
+    known = stored(known, "known")
+    sizes = known.groupBy(key, "root").agg(F.count("*").alias("n")).groupBy(key).agg(F.max_by("root", F.struct("n", "root")).alias("__main"), F.max("n").alias("n_shut"), F.sum("n").alias("n_all"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.where("n_all > n_shut").select(F.col(key).alias("__k"), "__main", blocks(F.col("n_all") - F.col("n_shut")).alias("__open"), blocks(F.col("n_shut")).alias("__shut"))
+    seat = lambda n: F.pmod(F.xxhash64("sid", F.lit(11)), n).cast("int")
+    placed = known.join(stored(sizes, "sizes"), F.col(key) == F.col("__k")).withColumn("side", F.col("root") != F.col("__main"))
+    placed = placed.withColumn("block", F.when(F.col("side"), seat(F.col("__open"))).otherwise(F.col("__open") + seat(F.col("__shut"))))
+    others = F.when(F.col("side"), F.col("__open") + F.col("__shut")).otherwise(F.col("__open"))
+    pairs = F.transform(F.sequence(F.lit(0), others - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
+    return placed.withColumn("xy", F.explode(pairs)).select(*members.columns, "root", "side", "block", "xy.x", "xy.y")
 
 
 def _find(root: dict, x: int) -> int:
@@ -174,24 +187,30 @@ def _find(root: dict, x: int) -> int:
 
 
 def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b): links between members of one family that are in different components so far."""
-    known = families.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", F.col("sid")))
-    open_ = known.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("pivot")
-    members = _blocked(known.join(open_, "pivot"), "pivot", ["sid"])
+    """(a, b): links between members of one family that are in different components so far.
+
+    Pairs are thinned out by size, by their distances to the pivot and by bitmaps before sets are intersected.
+    """
+    members = _seated(families, "pivot", comps)
     rows = members.join(sets.select("sid", "n", "shingles"), "sid")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n", "sid"], ignore_index=True)
         sets_, n, far = group["shingles"].to_list(), group["n"].to_numpy(), group["far"].to_numpy()
-        block, sid, comp = group["block"].to_numpy(), group["sid"].to_numpy(), group["root"].to_numpy()
+        block, sid, comp, side = (group[c].to_numpy() for c in ("block", "sid", "root", "side"))
         root: dict = {}
         out = []
+        bits = np.stack([np.frombuffer(_bitmap(x).tobytes(), np.uint64) for x in sets_])
         for i in range(len(group)):
             last = np.searchsorted(n, n[i] * den // num + 1, side="right")
             near = np.arange(i + 1, last)
-            near = near[(np.abs(far[near] - far[i]) <= (den - num) / den + 1e-9) & ((far[near] <= 1 - CORE) | (far[i] <= 1 - CORE))]
+            near = near[comp[near] != comp[i]]
+            near = near[(np.abs(far[near] - far[i]) <= (den - num) / den + 1e-9) & ((far[near] <= 1 - CORE) | (far[i] <= 1 - CORE)) & (side[near] | side[i])]
             if group["x"].iat[0] != group["y"].iat[0]:
                 near = near[block[near] != block[i]]
+            # bits that differ are shingles that differ, so few enough in common rule a pair out
+            differ = np.bitwise_count(bits[near] ^ bits[i]).sum(1).astype(np.int64)
+            near = near[(n[i] + n[near] - differ) // 2 >= -(-num * (n[i] + n[near]) // (num + den))]
             for j in near:
                 a, b = _find(root, comp[i]), _find(root, comp[j])
                 if a == b:
@@ -202,7 +221,7 @@ def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame, num: in
                     out.append((sid[i], sid[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.select("pivot", "x", "y", "block", "sid", "root", "far", "n", "shingles").groupBy("pivot", "x", "y").applyInPandas(run, "a long, b long")
+    return rows.select("pivot", "x", "y", "block", "side", "sid", "root", "far", "n", "shingles").groupBy("pivot", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -211,8 +230,8 @@ def _bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def rest_pairs(postings: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b): distinct pairs of one list that sizes, positions and bitmaps allow."""
+def rest_pairs(postings: DataFrame, sets: DataFrame, comps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(a, b): distinct pairs of one list and of two components so far that sizes, positions and bitmaps allow."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,17 +239,18 @@ def rest_pairs(postings: DataFrame, sets: DataFrame, num: int = NUM, den: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["sid", "bits"])
 
     needed = sets.join(postings.select("sid").distinct(), "sid").select("sid", "shingles")
-    with_bits = _blocked(postings, "token", ["n", "pos", "sid"]).join(needed.mapInArrow(marks, "sid long, bits binary"), "sid")
+    with_bits = _seated(postings, "token", comps).join(needed.mapInArrow(marks, "sid long, bits binary"), "sid")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n", "pos", "sid"], ignore_index=True)
-        n, pos, block, sid = (group[c].to_numpy() for c in ("n", "pos", "block", "sid"))
+        n, pos, block, sid, root = (group[c].to_numpy() for c in ("n", "pos", "block", "sid", "root"))
         bits = np.stack([np.frombuffer(x, np.uint64) for x in group["bits"]])
         same = group["x"].iat[0] == group["y"].iat[0]
         out = []
         for i in range(len(group)):
             last = np.searchsorted(n, n[i] * den // num + 1, side="right")
             near = np.arange(i + 1, last)
+            near = near[root[near] != root[i]]
             if not same:
                 near = near[block[near] != block[i]]
             need = -(-num * (n[i] + n[near]) // (num + den))
@@ -241,7 +261,7 @@ def rest_pairs(postings: DataFrame, sets: DataFrame, num: int = NUM, den: int =
                 out.extend((min(sid[i], sid[j]), max(sid[i], sid[j])) for j in near[(n[i] + n[near] - differ) // 2 >= need])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return with_bits.select("token", "x", "y", "block", "sid", "n", "pos", "bits").groupBy("token", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    return with_bits.select("token", "x", "y", "block", "sid", "root", "n", "pos", "bits").groupBy("token", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
 def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -277,9 +297,10 @@ def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE, num: int = NUM
         lists = stay.select("sid", "n", "token", "pos")
     families = families.groupBy("pivot", "sid").agg(F.min("far").alias("far"))
     links = stored(links, "links")
-    more = stored(family_links(families, sets, components(links), num, den), "more")
+    comps = stored(components(links), "components")
+    more = stored(family_links(families, sets, comps, num, den), "more")
     links = links.unionByName(more)
-    rest = intersected(rest_pairs(lists, sets, num, den), sets)
+    rest = intersected(rest_pairs(lists, sets, comps, num, den), sets)
     return links.unionByName(rest.where(_linked(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b"))
 
 
