@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from tidechart.llm import fill_in_middle, importance
 from tidechart.llm.decontamination import NOT_WORD, WINDOW
 from tidechart.llm.mixing import BUDGET, EPOCHS, WEIGHTS
 from tidechart.llm.secret_scans import BASE_RULES, RULES
@@ -67,4 +68,31 @@ OP10 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a
    {_LINE} FILTER (WHERE o < {len(BASE_RULES)}) AS base, {_LINE} AS spans FROM a GROUP BY 1)
  SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN b USING (doc_id)"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op3_jaccard_join": OP3, "op4_decontamination": OP4, "op6_mixing": OP6, "op10_secret_scans": OP10}
+# CRC-32 by its table of 256 entries, for each distinct word
+_HEX = "CAST(('0x' || substr({}, {}, {})) AS BIGINT)"
+OP12 = f"""WITH b AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS e FROM (SELECT unnest(range(256)) AS i) x),
+ tab AS (SELECT list(e ORDER BY i) AS t FROM b),
+ d AS (SELECT doc_id, {_FIND.format(LOWER.format('text'))} AS w FROM documents),
+ q AS (SELECT unnest({_FIND.format(LOWER.format('text'))}) AS word FROM benchmark),
+ own AS (SELECT doc_id, unnest(w) AS word FROM d),
+ a AS (SELECT DISTINCT word FROM (SELECT word FROM own UNION ALL SELECT word FROM q) x),
+ h AS (SELECT word, list_transform(range(strlen(word)), lambda i: {_HEX.format('hex(word)', '2 * i + 1', 2)}) AS o FROM a),
+ c AS (SELECT word, xor(list_reduce(list_prepend(4294967295, o), lambda c, v: xor(c // 256, t[1 + (xor(c, v) & 255)])), 4294967295) % {importance.BUCKETS} AS bucket FROM h, tab),
+ s AS (SELECT bucket, count(*) AS n FROM own JOIN c USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM q JOIN c USING (word) GROUP BY 1),
+ k AS (SELECT (SELECT count(*) FROM own) + 0e0 AS s, (SELECT count(*) FROM q) + 0e0 AS t),
+ g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (k.s + {importance.BUCKETS}) / ((s.n + 1) * (k.t + {importance.BUCKETS})))) AS gain FROM s LEFT JOIN t ON s.bucket = t.bucket, k),
+ v AS (SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*)) AS weight FROM own JOIN c USING (word) JOIN g ON g.bucket = c.bucket GROUP BY 1),
+ f AS (SELECT d.doc_id, len(d.w) AS n, coalesce(v.weight, 0) AS weight, coalesce(v.weight, 0) + floor(-1000 * ln(-ln(({_HEX.format(f"sha256('{importance.SEED}:' || CAST(d.doc_id AS STRING))", 1, 8)} + 0.5e0) / 4294967296e0))) AS score FROM d LEFT JOIN v USING (doc_id)),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM f WHERE n >= {importance.MIN_WORDS}),
+ n AS (SELECT count(*) * {importance.SHARE} // 100 AS n FROM r)
+ SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN r.r <= n.n THEN r.r END AS rank FROM f LEFT JOIN r USING (doc_id), n"""
+
+_DIGITS = f"sha256('{fill_in_middle.SEED}:' || CAST(doc_id AS STRING))"
+OP13 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{fill_in_middle.UNIT}') AS u, {', '.join(f"{_HEX.format(_DIGITS, 8 * i + 1, 8)} AS h{i + 1}" for i in range(4))} FROM documents),
+ c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fill_in_middle.SHARE} THEN 'plain' WHEN h4 % 100 < {fill_in_middle.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form FROM d),
+ p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op3_jaccard_join": OP3, "op4_decontamination": OP4, "op6_mixing": OP6, "op10_secret_scans": OP10, "op12_importance": OP12, "op13_fill_in_middle": OP13}
