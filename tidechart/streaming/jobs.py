@@ -19,8 +19,10 @@ from tidechart.operators.detection import mentions
 from tidechart.operators.ranking import rewrite_keys
 from tidechart.operators.snapshots import latest_in_batch, mention_rows
 from tidechart.plans.serving import recommend
+from tidechart.shipping import ship
 from tidechart.sources.lake import ViewCache
 from tidechart.sources.sinks import upsert
+from tidechart.streaming.history import history_rows, user_history
 
 
 def with_rocksdb(spark: SparkSession) -> None:
@@ -87,20 +89,6 @@ def stream_charts(stream: DataFrame, base: str, name: str, checkpoint: str, trig
     return keyed_sink(stream.where("rank IS NOT NULL AND chart_id IS NOT NULL"), base, name, "crawled_ms", checkpoint, "append", trigger, whole)
 
 
-def user_history(stream: DataFrame, span: str = "30 minutes", slide: str = "5 minutes", watermark: str = "2 minutes") -> DataFrame:
-    """user_id, window, hist: what a user did in each sliding window; the state holds four fields an event, and titles."""
-    own = stream.withWatermark("ts", watermark)
-    fields = ["ts_ms", "item", "action", "region", *(["title"] if "title" in stream.columns else [])]
-    return own.groupBy(F.window("ts", span, slide), "user_id").agg(F.collect_list(F.struct(*fields)).alias("hist"))
-
-
-def history_rows(histories: DataFrame, span_ms: int = 30 * 60_000) -> DataFrame:
-    """user_id, region, item, action, ts_ms: each event once, those within `span_ms` of the user's last."""
-    each = histories.select("user_id", F.explode("hist").alias("h")).select("user_id", "h.*").distinct()
-    last = F.max("ts_ms").over(W.partitionBy("user_id"))
-    return each.withColumn("__last", last).where(F.col("ts_ms") > F.col("__last") - span_ms).drop("__last")
-
-
 def seeds_of(rows: DataFrame, as_of_ms: Column, weights: dict[str, float] | None = None) -> DataFrame:
     """user_id, region, item, w: decayed weight of what a user did with an item; the region is the latest."""
     place = F.max_by("region", F.struct("ts_ms", "region")).over(W.partitionBy("user_id"))
@@ -129,13 +117,15 @@ class Views:
 ABOUT = {"title": "string", "artists": "array<string>", "genre": "string", "thumbnail": "string"}
 
 
-def recommendation_docs(histories: DataFrame, views: Views, as_of_ms: Column, size: int = 20, trend_weight: float = 0.35) -> DataFrame:
+def recommendation_docs(history: DataFrame, views: Views, as_of_ms: Column, size: int = 20, trend_weight: float = 0.35) -> DataFrame:
     """doc_id (user), items (rank, item, what the catalog says of it, score and its parts, reason), recent, events.
 
+    history: what `user_history` gives for some users. Here it is cut again to events once each and to the span of the
+    user's last, which changes nothing unless a batch hands a user on twice.
     Items are counted under their canonical keys. Without a ranking of a user's region the most popular items of
     the catalog stand in. A reason names the title of what was heard; `recent` has the last five events as they came.
     """
-    rows = history_rows(histories)
+    rows = history_rows(history)
     heard = rewrite_keys(rows, views.alias, "item") if views.alias is not None else rows
     popular = views.catalog if views.catalog is not None and "national_score" in views.catalog.columns else None
     told = recommend(seeds_of(heard, as_of_ms), views.similar, views.trending, size, trend_weight, popular)
@@ -159,8 +149,11 @@ def recommendation_docs(histories: DataFrame, views: Views, as_of_ms: Column, si
 def stream_recommendations(stream: DataFrame, views: Callable[[], Views], as_of_ms: Callable[[], Column], base: str, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Recommendations by user. views: gives what is published when a batch starts, such as Views.of a ViewCache.
 
-    Without any of the views that items come from, a batch writes nothing.
+    Without any of the views that items come from, a batch writes nothing. Histories are kept in RocksDB, which the
+    session then uses for the state of all streams that start later.
     """
+    with_rocksdb(stream.sparkSession)
+    ship(stream.sparkSession)
 
     def each(df: DataFrame) -> DataFrame:
         return recommendation_docs(df, views(), as_of_ms())
