@@ -85,7 +85,8 @@ def local_dow(ts: Column, zone: str) -> Column:
 
 
 def doc_id(*cols: Column | str) -> Column:
-    return F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    """The parts with | between them. A null part is a mark of its own, so that ids of different parts differ."""
+    return F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(r"\N")) for c in cols])
 
 
 def record_type(given: Column, action: Column, rank: Column, chart_id: Column) -> Column:

@@ -24,6 +24,12 @@ def size_of(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is no such folder."""
+    fs, where = fs_of(spark, path)
+    return [p.getPath().getName() for p in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def _states(spark: SparkSession, root: str) -> list[int]:
     fs, where = fs_of(spark, root)
     if not fs.exists(where):

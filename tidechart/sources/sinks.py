@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidechart.operators.snapshots import dedup
-from tidechart.sources.pointer import delete, publish, published, size_of
+from tidechart.sources.keyed import TABLE as TABLE
+from tidechart.sources.keyed import read_upserted as read_upserted
+from tidechart.sources.keyed import record_id, upsert
+from tidechart.sources.pointer import delete, publish, published
 
-#: Buckets of a new keyed table; a table whose buckets hold more than BUCKET_BYTES on average gets twice as many.
-BUCKETS, BUCKET_BYTES = 16, 256 << 20
-VIEW, TABLE = "run_id string, at timestamp, seq int", "bucket int, buckets int, path string, bytes long"
+VIEW = "run_id string, at timestamp, seq int"
 
 
 def ingest(stream: DataFrame, base: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -23,13 +22,8 @@ def ingest(stream: DataFrame, base: str, checkpoint: str, trigger: dict | None =
     return own.writeStream.format("parquet").option("path", f"{base}/raw").option("checkpointLocation", checkpoint).partitionBy("topic", "dt").trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
-def record_id() -> Column:
-    """topic:partition:offset, the same for a record however often it is read."""
-    return F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
-
-
 def ingest_keyed(stream: DataFrame, base: str, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """A mirror of raw rows under their record ids; replays write the same rows again."""
+    """A mirror of raw rows under their record ids, which must be whole; replays write the same rows again."""
     put = lambda df, _: upsert(df.withColumn("doc_id", record_id()), base, name, "doc_id", "offset")
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
@@ -53,53 +47,6 @@ def replace_view(df: DataFrame, base: str, name: str, run_id: str, at: datetime)
     write_view(df, base, name, run_id, at, keep=1)
 
 
-def _buckets(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    return df.withColumn("__bucket", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
-
-
-def upsert(df: DataFrame, base: str, name: str, id_col: str, order_col: str, buckets: int = BUCKETS, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Rows by id, a later write overwriting: only hash buckets that the new rows touch are rewritten.
-
-    The greatest `order_col` of an id wins, and of equal ones the row written last, so a replayed batch changes
-    nothing and a corrected row takes its place. New files are written beside the old ones, then a manifest of
-    buckets turns to them in one step: readers and a crash in between see the old table. One writer at a time.
-    A table that has grown over `bucket_bytes` a bucket is dealt out over twice as many.
-    """
-    spark, root = df.sparkSession, f"{base}/{name}"
-    known = published(spark, f"{root}/_manifest", TABLE)
-    had = known[0]["buckets"] if known else buckets
-    n = had * 2 if sum(r["bytes"] for r in known) > had * bucket_bytes else had
-    run = f"{root}/data/{uuid.uuid4().hex}"
-    # written first: the batch is read twice
-    _buckets(df, id_col, n).write.parquet(f"{run}/new")
-    new = spark.read.parquet(f"{run}/new")
-    touched = {r[0] for r in new.select("__bucket").distinct().collect()}
-    old = [r for r in known if n != had or r["bucket"] in touched]
-    merged = new.withColumn("__turn", F.lit(1))
-    if old:
-        rows = _buckets(spark.read.parquet(*[r["path"] for r in old]), id_col, n)
-        merged = merged.unionByName(rows.withColumn("__turn", F.lit(0)), allowMissingColumns=True)
-    newest = dedup(merged, [id_col], [F.desc(order_col), F.desc("__turn")]).drop("__turn")
-    newest.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{run}/rows")
-    filled = [r[0] for r in merged.select("__bucket").distinct().collect()]
-    now = [(k, n, at := f"{run}/rows/__bucket={k}", size_of(spark, at)) for k in sorted(filled)]
-    now += [(r["bucket"], n, r["path"], r["bytes"]) for r in known if r not in old]
-    publish(spark.createDataFrame(now, TABLE), f"{root}/_manifest")
-    delete(spark, f"{run}/new")
-    # files that the manifest before last pointed to have no readers left
-    before = f"{root}/_garbage"
-    for r in published(spark, before, "path string"):
-        delete(spark, r["path"])
-    publish(spark.createDataFrame([(r["path"],) for r in old], "path string"), before, keep=1)
-
-
-def read_upserted(spark: SparkSession, base: str, name: str) -> DataFrame:
-    known = published(spark, f"{base}/{name}/_manifest", TABLE)
-    if not known:
-        raise FileNotFoundError(f"no table at {base}/{name}")
-    return spark.read.option("mergeSchema", "true").parquet(*[r["path"] for r in known])
-
-
 def put_meta(spark: SparkSession, base: str, name: str, row: dict) -> None:
     """Append one row of run metadata, values as strings."""
     spark.createDataFrame([{k: str(v) for k, v in row.items()} | {"name": name}]).coalesce(1).write.mode("append").parquet(f"{base}/_meta")
