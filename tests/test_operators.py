@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidechart.operators import detection, ranking, snapshots
+from tidechart.operators.smoothing import Smoothed
 from tidechart.plans import insights, regional, resolution, serving, similarity
 from tidechart.sources.captured import explode_trend_payload, extract_embedded_json, extract_page_rows, flatten_sales
 
@@ -47,7 +48,7 @@ def test_spearman_and_smoothing(spark):
     assert got == {"g": (4, -1.0), "h": (1, None)}
     counts = spark.createDataFrame([("r", "x", 9.0), ("s", "y", 1.0)], "region string, item string, v double")
     cells = ranking.universe(counts.select("region"), counts.select("item"))
-    got = {(r.region, r.item): round(r.share, 6) for r in ranking.smoothed_share(counts, cells, "region", "item", "v", 10.0, "share").collect()}
+    got = {(r.region, r.item): round(r.share, 6) for r in Smoothed(counts, "region", "item", "v", 10.0).over(cells, "share").collect()}
     assert got[("r", "x")] == round((9 + 9) / 19, 6) and got[("s", "x")] == round(9 / 11, 6)
 
 

@@ -67,20 +67,6 @@ def universe(regions: DataFrame, items: DataFrame) -> DataFrame:
     return regions.crossJoin(items)
 
 
-def smoothed_share(counts: DataFrame, cells: DataFrame, region: str, item: str, value: str, strength: float, out: str) -> DataFrame:
-    """`cells` with value, out, out_lift: (x + k s) / (X + k), with s the item's share over all regions.
-
-    Few observations pull a region's share towards the overall share; lift is the quotient of both.
-    """
-    per_region = counts.groupBy(region).agg(F.sum(value).alias("__X"))
-    per_item = counts.groupBy(item).agg(F.sum(value).alias("__x"))
-    all_ = counts.agg(F.greatest(F.coalesce(F.sum(value), F.lit(0)), F.lit(1)).alias("__all"))
-    overall = per_item.crossJoin(F.broadcast(all_)).select(item, (F.col("__x") / F.col("__all")).alias("__s"))
-    own = cells.join(counts.select(region, item, value), [region, item], "left").join(per_region, region, "left").join(overall, item, "left").fillna(0, [value, "__X", "__s"])
-    share = (F.col(value) + strength * F.col("__s")) / (F.col("__X") + strength)
-    return own.withColumn(out, share).select(*cells.columns, value, out, F.when(F.col("__s") > 0, F.col(out) / F.col("__s")).alias(f"{out}_lift"))
-
-
 def jaccard_pairs(df: DataFrame, group: str, item: str) -> DataFrame:
     """a, b, common, jaccard: overlap of item sets for pairs of groups that share an item.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidechart.functions.scoring import local_dow, local_hour
-from tidechart.operators.ranking import norm_by_max, share_of, skip_rate, spearman, top_n, weighted_rollup
+from tidechart.operators.ranking import key_universe, norm_by_max, share_of, skip_rate, spearman, top_n, weighted_rollup
+from tidechart.operators.smoothing import Smoothed, best_cells, merged_cells
 
 
 @dataclass(frozen=True)
@@ -61,26 +62,36 @@ def evidence(regions: DataFrame, interest: DataFrame, covered: DataFrame, votes:
     return own.withColumn("confidence", conf).withColumns({"confidence_label": label, "signals": names})
 
 
-def trending(cells: DataFrame, national: DataFrame, interest: DataFrame, available: DataFrame, w: Weights = Weights(), n: int | None = 50) -> DataFrame:
-    """region, item, rank, score and what each signal adds to it: a mean over the signals a region has.
+def trending(national: DataFrame, interest: DataFrame, mentions: Smoothed, plays: Smoothed, available: DataFrame, w: Weights = Weights(), n: int = 50) -> DataFrame:
+    """region, item, rank, score and what each signal adds to it: a mean over the signals that a region has.
 
-    cells: region, item, c_share, e_share (smoothed shares of mentions and plays); national: item,
-    national_score; interest: region, item, trends; available: what `evidence` returns.
+    The first n of all items in each region of `available`. national: item, national_score; interest: region, item,
+    trends; mentions and plays: smoothed counts by region and item; available: what `evidence` returns. An item counts
+    by its share relative to the best one of the region. Rows that are made follow what is observed: see best_cells.
     """
-    own = cells.join(national.select("item", "national_score"), "item", "left").join(interest.select("region", "item", "trends"), ["region", "item"], "left")
-    own = own.join(available.select("region", "a_trends", "a_mentions", "a_events"), "region").fillna(0.0, ["national_score", "trends", "c_share", "e_share"])
-    own = own.withColumns({"mention_affinity": norm_by_max("c_share", ["region"], 1e-9), "event_affinity": norm_by_max("e_share", ["region"], 1e-9)})
-    whole = w.national + w.trends * F.col("a_trends") + w.mentions * F.col("a_mentions") + w.events * F.col("a_events")
-    own = own.withColumns(
-        {
+    signals = {"mention": mentions, "event": plays}
+    observed = merged_cells("region", "item", trends=(interest, "trends"), **{f"{k}_x": (s.counts, s.value) for k, s in signals.items()})
+    regions = available.select("region", "a_trends", "a_mentions", "a_events")
+    for k, s in signals.items():
+        regions = regions.join(s.tops(available).select("region", F.col("total").alias(f"{k}_total"), F.greatest("best", F.lit(1e-9)).alias(f"{k}_best")), "region")
+    items = key_universe("item", national, interest, *[s.counts for s in signals.values()]).join(national.select("item", "national_score"), "item", "left")
+    for k, s in signals.items():
+        items = items.join(s.items.withColumnRenamed("prior", f"{k}_prior"), "item", "left")
+    gains = ["national_score", "mention_prior", "event_prior"]
+
+    def score(cells: DataFrame) -> DataFrame:
+        whole = w.national + w.trends * F.col("a_trends") + w.mentions * F.col("a_mentions") + w.events * F.col("a_events")
+        affinity = {k: s.share(F.col(f"{k}_x"), F.col(f"{k}_prior"), F.col(f"{k}_total")) / F.col(f"{k}_best") for k, s in signals.items()}
+        parts = {
             "c_national": w.national * F.col("national_score") / whole,
             "c_trends": w.trends * F.col("a_trends") * F.col("trends") / whole,
-            "c_mentions": w.mentions * F.col("a_mentions") * F.col("mention_affinity") / whole,
-            "c_events": w.events * F.col("a_events") * F.col("event_affinity") / whole,
+            "c_mentions": w.mentions * F.col("a_mentions") * affinity["mention"] / whole,
+            "c_events": w.events * F.col("a_events") * affinity["event"] / whole,
         }
-    ).withColumn("score", F.col("c_national") + F.col("c_trends") + F.col("c_mentions") + F.col("c_events"))
-    out = own.select("region", "item", "score", "c_national", "c_trends", "c_mentions", "c_events")
-    return top_n(out, ["region"], [F.desc(F.round("score", 9)), F.col("item")], n) if n else out
+        return cells.withColumns(parts).withColumn("score", F.col("c_national") + F.col("c_trends") + F.col("c_mentions") + F.col("c_events"))
+
+    parts = ["c_national", "c_trends", "c_mentions", "c_events"]
+    return best_cells(observed, regions, items.fillna(0.0, gains), gains, score, parts, "region", "item", n)
 
 
 def genre_mix(plays: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -118,12 +129,15 @@ def region_profile(regions: DataFrame, genres: DataFrame, ranked: DataFrame, int
     return regions.join(totals, "region", "left").join(genre, "region", "left").join(first, "region", "left").join(own, "region", "left")
 
 
-def interest_estimate(cells: DataFrame, trend: DataFrame, comments: DataFrame, events: DataFrame, a: float = 0.5, b: float = 0.15, c: float = 0.35) -> DataFrame:
+def interest_estimate(trend: DataFrame, comments: DataFrame, events: DataFrame, cells: DataFrame | None = None, a: float = 0.5, b: float = 0.15, c: float = 0.35) -> DataFrame:
     """region, item, score, confidence: a plain weighted sum, each part and the whole at most 1.
 
-    trend: region, item, interest (0-100); comments and events: region, item, n.
+    trend: region, item, interest (0-100); comments and events: region, item, n. Cells of which nothing is known score
+    0; they come up only if `cells` (region, item) asks for them.
     """
-    own = cells.join(trend, ["region", "item"], "left").join(comments.withColumnRenamed("n", "comments"), ["region", "item"], "left").join(events.withColumnRenamed("n", "events"), ["region", "item"], "left").fillna(0)
+    parts = {"interest": (trend, "interest"), "comments": (comments, "n"), "events": (events, "n")}
+    own = merged_cells("region", "item", **parts, **({"asked": (cells.withColumn("asked", F.lit(1)), "asked")} if cells is not None else {}))
+    own = own.where("asked = 1") if cells is not None else own
     one = lambda x: F.least(F.lit(1.0), x)
     score = one(a * one(F.col("interest") / 100.0) + b * one(F.col("comments") / 5.0) + c * one(F.col("events") / 10.0))
     active = sum((F.col(x) > 0).cast("int") for x in ("interest", "comments", "events"))

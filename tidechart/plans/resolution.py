@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidechart.functions.text import clean_title, compact, genre_bucket, norm_text, slug, split_artists
+from tidechart.operators.containment import containments
 from tidechart.operators.materialize import Rounds, materialized
 
 # Words by which an artist's slug is that of a label or a channel.
@@ -22,8 +23,8 @@ def greedy_clusters(df: DataFrame, block: str, key: str, n: str, names: str, rou
     labels then join the only other head, if the block's title is long enough.
 
     The outcome is that of taking keys one by one, found in few rounds: an open key that meets no open key before it
-    is a head, and keys that meet a head leave. Keys meet by way of the distinct names of their block, so neither
-    pairs of keys nor a block in one row come up. At the end each key joins the first head that it meets. More than
+    is a head, and keys that meet a head leave. Keys meet by way of the distinct names of their block, and names by
+    their rarest run of letters, so neither pairs of keys nor pairs of unlike names nor a block in one row come up. At the end each key joins the first head that it meets. More than
     `rounds` rounds are an error.
     """
     own = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct((-F.col(n)).alias("n"), F.col(key).alias("key")).alias("ord"), F.col(names).alias("names"))
@@ -31,9 +32,10 @@ def greedy_clusters(df: DataFrame, block: str, key: str, n: str, names: str, rou
     own = materialized(own.join(several, "block"), "keys")
     plain = F.explode(F.transform("names", lambda x: F.replace(x, F.lit("-"), F.lit("")))).alias("x")
     named = materialized(own.select("block", "ord", plain).where(F.length("x") >= 3).distinct(), "names")
-    distinct = named.select("block", "x").distinct()
-    meets = distinct.join(distinct.withColumnRenamed("x", "y"), "block").where(F.contains("x", F.col("y")) | F.contains("y", F.col("x")))
-    meets = materialized(meets, "meets")
+    held = containments(named, "block", "x")
+    # a name meets itself once
+    both = held.select("block", F.col("holder").alias("x"), F.col("held").alias("y"))
+    meets = materialized(both.unionByName(both.where("x != y").select("block", F.col("y").alias("x"), F.col("x").alias("y"))), "meets")
 
     def first_met(some: DataFrame) -> DataFrame:
         """(block, ord, first): of each named key, the first key of `some` (block, ord, x) that it meets."""
@@ -125,10 +127,11 @@ def canonical_tracks(recs: DataFrame) -> DataFrame:
 
 
 def overlap_pairs(df: DataFrame, block: str, key: str, name: str) -> DataFrame:
-    """a, b: keys of one block whose compact names hold one another. Distinct names of a block are compared, then opened."""
+    """a, b: keys of one block whose compact names hold one another. Distinct names of a block meet by their rarest run of letters, then are opened."""
     own = df.select(block, F.col(key).alias("k"), compact(F.col(name)).alias("c")).where("length(c) >= 3")
-    names = own.select(block, "c").distinct()
-    met = names.withColumnRenamed("c", "ca").join(names.withColumnRenamed("c", "cb"), block).where("contains(ca, cb) or contains(cb, ca)")
+    held = containments(own, block, "c")
+    met = held.select(block, F.col("holder").alias("ca"), F.col("held").alias("cb"))
+    met = met.unionByName(met.where("ca != cb").select(block, F.col("cb").alias("ca"), F.col("ca").alias("cb")))
     left = own.select(block, F.col("k").alias("a"), F.col("c").alias("ca"))
     right = own.select(block, F.col("k").alias("b"), F.col("c").alias("cb"))
     return left.join(met, [block, "ca"]).join(right, [block, "cb"]).where("a < b").select(block, "a", "b")

@@ -33,16 +33,22 @@ def item_similarity(baskets: DataFrame, items: DataFrame | None, max_basket: int
     may be itself), and the first k are those of all pairs. bonus and w are not negative.
     """
     sim = pair_similarity(capped_baskets(baskets, max_basket), shrink, min_support)
-    each = sim.select(F.col("ka").alias("item"), F.col("kb").alias("neighbour"), "sim", "baskets").unionByName(sim.select(F.col("kb").alias("item"), F.col("ka").alias("neighbour"), "sim", "baskets"))
+    order = [F.desc(F.round("sim", 9)), F.col("neighbour")]
     if items is not None:
         own = items.where(F.col("artist").isNotNull()).select("item", "artist").distinct()
-        theirs = own.withColumnRenamed("item", "neighbour")
-        both = each.select("item", "neighbour").join(own, "item").join(theirs, ["neighbour", "artist"]).select("item", "neighbour").distinct()
-        first = cap_group(theirs, ["artist"], [F.col("neighbour")], k + 1)
-        alone = own.join(first, "artist").where("item != neighbour").select("item", "neighbour").distinct()
-        same = both.unionByName(alone).distinct().withColumn("bonus", F.lit(bonus))
-        each = each.join(same, ["item", "neighbour"], "full_outer").fillna(0.0, ["sim", "bonus"]).fillna(0, ["baskets"]).select("item", "neighbour", (F.col("sim") + F.col("bonus")).alias("sim"), "baskets")
-    return top_n(each, ["item"], [F.desc(F.round("sim", 9)), F.col("neighbour")], k)
+        artists = own.groupBy("item").agg(F.collect_set("artist").alias("by"))
+        by = lambda end: artists.select(F.col("item").alias(end), F.col("by").alias(f"by_{end}"))
+        shared = F.coalesce(F.arrays_overlap("by_ka", "by_kb"), F.lit(False))
+        sim = sim.join(by("ka"), "ka", "left").join(by("kb"), "kb", "left").withColumn("sim", F.col("sim") + F.when(shared, bonus).otherwise(0.0))
+    each = sim.select(F.explode(F.array(F.struct(F.col("ka").alias("item"), F.col("kb").alias("neighbour")), F.struct(F.col("kb").alias("item"), F.col("ka").alias("neighbour")))).alias("p"), "sim", "baskets").select("p.*", "sim", "baskets")
+    best = top_n(each, ["item"], order, k)
+    if items is None:
+        return best
+    first = cap_group(own.withColumnRenamed("item", "neighbour"), ["artist"], [F.col("neighbour")], k + 1)
+    alone = own.join(first, "artist").where("item != neighbour").select("item", "neighbour", F.lit(bonus).alias("sim"), F.lit(0).cast("long").alias("baskets"))
+    # a pair that comes both ways has more than the bonus, or as much; one that is beyond the first k without `alone` stays so
+    both = best.drop("rank").unionByName(alone).groupBy("item", "neighbour").agg(F.max("sim").alias("sim"), F.max("baskets").alias("baskets"))
+    return top_n(both, ["item"], order, k)
 
 
 def neighbour_docs(similar: DataFrame, items: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tidechart.bindings import duck, spark_relation
 from tidechart.functions import scoring, text
 from tidechart.operators import detection, ranking, snapshots
 from tidechart.operators.materialize import materialized
+from tidechart.operators.smoothing import Smoothed
 from tidechart.plans import insights, popularity, regional, resolution, serving, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,13 +318,12 @@ def _evidence(rel: Rel) -> DataFrame:
     return regional.evidence(rel("region").select(F.col("r_name").alias("region")), _interest(rel), covered, votes, plays)
 
 
-def _comments(rel: Rel) -> DataFrame:
-    return rel.kept("comments", lambda: ranking.smoothed_share(_votes(rel), _cells(rel), "region", "item", "mentions", 10.0, "c_share"))
+def _said(rel: Rel) -> Smoothed:
+    return Smoothed(_votes(rel), "region", "item", "mentions", 10.0)
 
 
 def _trending(rel: Rel) -> DataFrame:
-    shares = ranking.smoothed_share(_plays(rel), _comments(rel), "region", "item", "plays", 30.0, "e_share")
-    return regional.trending(shares.select("region", "item", "c_share", "e_share"), _item_scores(rel), _interest(rel), _evidence(rel))
+    return regional.trending(_item_scores(rel), _interest(rel), _said(rel), Smoothed(_plays(rel), "region", "item", "plays", 30.0), _evidence(rel))
 
 
 @query("WITH " + INTEREST + " SELECT region, item, round(trend_ratio, 6) AS trend_ratio, round(trend_lift, 6) AS trend_lift, round(trends, 9) AS trends FROM gi")
@@ -338,7 +338,7 @@ def coverage(rel: Rel) -> DataFrame:
 
 @query(STACK + " SELECT region, item, round(mentions, 6) AS mentions, round(c_share, 6) AS c_share, round(CASE WHEN s > 0 THEN c_share / s END, 6) AS c_share_lift FROM c_share_t")
 def smoothed_share(rel: Rel) -> DataFrame:
-    return _comments(rel).select("region", "item", *r6("mentions", "c_share", "c_share_lift"))
+    return _said(rel).over(_cells(rel), "c_share").select("region", "item", *r6("mentions", "c_share", "c_share_lift"))
 
 
 @query(STACK + """ SELECT region, trend_items, authors, self_mentions, plays, round(0.7 * least(1.0, trend_items / 20.0) * trend_coverage + 0.3 * least(1.0, authors / 30.0), 3) AS confidence,
@@ -385,7 +385,8 @@ def hourly_habits(rel: Rel) -> DataFrame:
  tg AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY plays DESC, mentions DESC, genre) AS r FROM gm)
  SELECT e.region, e.plays, tg.genre AS top_genre, k.item AS top_item, f.item AS favourite, round(f.lift, 2) AS favourite_lift FROM evd e LEFT JOIN tg ON tg.region = e.region AND tg.r = 1 LEFT JOIN ranked k ON k.region = e.region AND k.rank = 1 LEFT JOIN f ON f.region = e.region AND f.r = 1""")
 def region_profile(rel: Rel) -> DataFrame:
-    comments = _comments(rel).select("region", "item", "c_share_lift").join(_votes(rel).select("region", "item", "authors", "self_mentions"), ["region", "item"])
+    # the lift of votes that there are
+    comments = _said(rel).over(_votes(rel).select("region", "item", "authors", "self_mentions"), "c_share")
     regions = rel("region").select(F.col("r_name").alias("region"))
     return regional.region_profile(regions, _genres(rel), _trending(rel), _interest(rel), comments, _evidence(rel).select("region", "plays"))
 
@@ -395,7 +396,8 @@ def region_profile(rel: Rel) -> DataFrame:
   FROM cells c LEFT JOIN gi g ON g.region = c.region AND g.item = c.item LEFT JOIN vo v ON v.region = c.region AND v.item = c.item LEFT JOIN ev e ON e.region = c.region AND e.item = c.item""")
 def interest_estimate(rel: Rel) -> DataFrame:
     trend = _interest(rel).select("region", "item", (F.col("trends") * 100).alias("interest"))
-    return regional.interest_estimate(_cells(rel), trend, _votes(rel).select("region", "item", F.col("authors").alias("n")), _plays(rel).select("region", "item", F.col("plays").alias("n"))).select("region", "item", *r6("score", "confidence"))
+    counts = [df.select("region", "item", F.col(c).alias("n")) for df, c in ((_votes(rel), "authors"), (_plays(rel), "plays"))]
+    return regional.interest_estimate(trend, *counts, _cells(rel)).select("region", "item", *r6("score", "confidence"))
 
 
 # ---------------------------------------------------------------- similarity
