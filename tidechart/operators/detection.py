@@ -1,7 +1,7 @@
 """Finding dictionary terms in texts, and what a mention says about its writer.
 
-Words of texts meet words of names in a join, so the cost follows the text and not the number of names. Spark
-chooses the join; nothing is broadcast by force.
+Each name meets the texts by its rarest word alone, so a word that many names share costs nothing. Spark chooses the
+join; nothing is broadcast by force.
 """
 
 from __future__ import annotations
@@ -28,31 +28,75 @@ def aliases(names: DataFrame, name: str, code: str, ambiguous: list[str]) -> Dat
     return with_.unionByName(without.where(~F.col("gram").isin(ambiguous)) if ambiguous else without).where("gram != ''").distinct()
 
 
-def term_matches(docs: DataFrame, doc: str, text: str, terms: DataFrame) -> DataFrame:
-    """doc, code, start, end, target: each place where a name stands in a text, whatever its number of words.
+#: Words of a text between two places whose character offsets are kept.
+STRIDE = 256
 
-    A text with accents is compared with accented names, one without with plain names. Words of texts meet words of
-    names; a name stands where all its words agree on one place, so the cost follows the text and not the length of
-    names. start and end are character offsets in `target`, the normalised text. doc: unique.
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns that are worked out once a row, also where later expressions use them again and again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _normal(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, accented, words of the normalised text: with accents if it has some, else plain. Texts without words go."""
+    lit = docs.select(doc, light_text(F.col(text)).alias("light")).withColumn("accented", has_diacritics(F.col("light")))
+    own = lit.select(doc, "accented", F.when(F.col("accented"), F.col("light")).otherwise(norm_text(F.col("light"))).alias("target")).where("target != ''")
+    return once(own, words=F.split("target", " ")).drop("target")
+
+
+def word_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """accented, word, n: how often texts have each word."""
+    return _normal(docs, doc, text).select("accented", F.explode("words").alias("word")).groupBy("accented", "word").agg(F.count("*").alias("n"))
+
+
+def anchors(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, accented, codes, word, k: each name by its word that texts have least often, its k-th from 0.
+
+    Names of which texts lack a word are left out, since they stand nowhere.
+    """
+    names = terms.groupBy("gram", "accented").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    parts = names.select("gram", "accented", "codes", F.posexplode(F.split("gram", " ")).alias("k", "word"))
+    counted = parts.join(counts, ["accented", "word"], "left")
+    rarest = counted.groupBy("gram", "accented", "codes").agg(F.min_by(F.struct("word", "k"), F.struct("n", "k")).alias("a"), F.count_if(F.col("n").isNull()).alias("absent"))
+    return rarest.where("absent = 0").select("gram", "accented", "codes", "a.word", "a.k")
+
+
+def term_matches(docs: DataFrame, doc: str, text: str, terms: DataFrame, ctx: int = 30, counts: DataFrame | None = None) -> DataFrame:
+    """doc, code, start, end, lead, tail: each place where a name stands in a text, whatever its number of words.
+
+    A text with accents is compared with accented names, one without with plain names. A name is looked for where its
+    rarest word stands, so the rows of the join follow the rarest words of names; its other words are then compared in
+    place, in the one row that brings a text and its places together. start and end are character offsets in the
+    normalised text, lead and tail the `ctx` characters before and after. doc: unique. counts: as of word_counts, for a
+    caller who knows them; any counts of all words find the same.
     """
-    light = light_text(F.col(text))
-    own = docs.select(doc, light.alias("light")).withColumn("accented", has_diacritics(F.col("light")))
-    own = own.select(doc, "accented", F.when(F.col("accented"), F.col("light")).otherwise(norm_text(F.col("light"))).alias("target")).where("target != ''")
-    words = own.select(doc, "accented", F.posexplode(F.split("target", " ")).alias("i", "word"))
-    parts = terms.select("gram", "accented", "code", F.posexplode(F.split("gram", " ")).alias("k", "word"))
-    met = words.join(parts, ["word", "accented"]).select(doc, "gram", "code", "k", (F.col("i") - F.col("k")).alias("at"))
-    of_name = F.size(F.split("gram", " "))
-    # each word of a name stands once at each place, so as many rows as words mean all of them
-    whole = met.groupBy(doc, "gram", "code", "at").agg(F.count("*").alias("n")).where(F.col("n") == of_name)
-    before = F.length(F.array_join(F.slice(F.split("target", " "), F.lit(1), F.col("at")), " ")) + F.when(F.col("at") > 0, 1).otherwise(0)
-    found = whole.join(own.select(doc, "target"), doc).withColumn("start", before)
-    return found.select(doc, "code", "start", (F.col("start") + F.length("gram")).alias("end"), "target")
-
-
-def mention_kind(matches: DataFrame, before: str = SELF_BEFORE, near: str = SELF_NEAR, after: str = SELF_AFTER, ctx: int = 30) -> DataFrame:
+    own = _normal(docs, doc, text)
+    places = own.select(doc, "accented", F.posexplode("words").alias("i", "word"))
+    named = anchors(terms, word_counts(docs, doc, text) if counts is None else counts)
+    met = places.join(named, ["accented", "word"]).where("i >= k").select(doc, F.struct((F.col("i") - F.col("k")).alias("at"), "gram", F.size(F.split("gram", " ")).alias("n"), "codes").alias("c"))
+    by_doc = met.groupBy(doc).agg(F.collect_list("c").alias("met"))
+    stands = lambda c: F.array_join(F.slice("words", c["at"] + 1, c["n"]), " ") == c["gram"]
+    found = own.select(doc, "words").join(by_doc, doc).withColumn("found", F.filter("met", stands)).where(F.size("found") > 0).drop("met")
+    # where every STRIDE-th word begins, so that an offset is told from there on
+    strides = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / STRIDE).cast("int"))
+    joined = lambda start, n: F.array_join(F.slice("words", start + 1, n), " ")
+    long = once(found, lengths=F.transform(strides, lambda b: F.length(joined(b * STRIDE, F.lit(STRIDE))) + 1))
+    begins = once(long, begins=F.transform(strides, lambda b: F.aggregate(F.slice("lengths", F.lit(1), b), F.lit(0), lambda x, y: x + y)))
+    each = begins.select(doc, "words", "begins", F.inline("found"))
+    rest = F.col("at") % STRIDE
+    start = F.get("begins", F.floor(F.col("at") / STRIDE).cast("int")) + F.length(joined(F.col("at") - rest, rest)) + F.when(rest > 0, 1).otherwise(0)
+    # a word has a letter at least, so so many words hold ctx characters
+    first = F.greatest(F.col("at") - ctx, F.lit(0))
+    lead = F.when(F.col("at") > 0, F.right(F.concat(joined(first, F.col("at") - first), F.lit(" ")), F.lit(ctx))).otherwise("")
+    after = F.col("at") + F.col("n")
+    tail = F.when(after < F.size("words"), F.left(F.concat(F.lit(" "), joined(after, F.lit(ctx))), F.lit(ctx))).otherwise("")
+    told = each.select(doc, "codes", start.alias("start"), F.length("gram").alias("size"), lead.alias("lead"), tail.alias("tail"))
+    return told.select(doc, F.explode("codes").alias("code"), "start", (F.col("start") + F.col("size")).alias("end"), "lead", "tail")
+
+
+def mention_kind(matches: DataFrame, before: str = SELF_BEFORE, near: str = SELF_NEAR, after: str = SELF_AFTER) -> DataFrame:
     """Matches with kind: 'self' if the text around says that the writer is from there, else 'mention'."""
-    lead = norm_text(F.expr(f"substring(target, greatest(1, start - {ctx} + 1), least(start, {ctx}))"))
-    tail = norm_text(F.expr(f"substring(target, `end` + 1, {ctx})"))
+    lead, tail = norm_text(F.col("lead")), norm_text(F.col("tail"))
     own = lead.rlike(before) | lead.rlike(near) | tail.rlike(after)
     return matches.withColumn("kind", F.when(own, "self").otherwise("mention"))
 
