@@ -743,3 +743,114 @@ def page_rows(rel: Rel) -> DataFrame:
     from tidechart.sources.captured import extract_page_rows
 
     return extract_page_rows(rel("pages"), "page_id", "html", r"(?s)<li>.*?</li>", {"link": r'<a href="([^"]*)"', "title": r">([^<]*)</a>"})
+
+
+# ---------------------------------------------------------------- modes, documents and parts that other queries leave out
+def _mode(batch: str, live: str, said: str) -> str:
+    """The merged scores with other weights of the three sides."""
+    return MERGE.replace("0.6 * b", f"{batch} * b").replace("0.3 * live", f"{live} * live").replace("0.1 * said", f"{said} * said") + " SELECT region, item, round(score, 6) AS score, rank, batch_rank, batch_rank - rank AS rank_change FROM rk"
+
+
+def _in_mode(rel: Rel, mode: str) -> DataFrame:
+    live = _live(rel).withColumn("item", F.substring("item", 2, 20).cast("long") + 1)
+    return serving.merge_trending(_trending(rel), live, _votes(rel), mode).select("region", "item", "rank", "batch_rank", "rank_change", *r6("score"))
+
+
+@query(_mode("1.0", "0.0", "0.0"))
+def merge_trending_batch(rel: Rel) -> DataFrame:
+    return _in_mode(rel, "batch")
+
+
+@query(_mode("0.0", "0.8", "0.2"))
+def merge_trending_realtime(rel: Rel) -> DataFrame:
+    return _in_mode(rel, "realtime")
+
+
+# the title of a post is what opens its conversation
+@query("WITH " + KINDS + """, op AS (SELECT conv_id, min(turn) AS turn FROM {conversations} GROUP BY 1), ti AS (SELECT DISTINCT CAST(conv_id AS STRING) AS author, code FROM op JOIN ma ON ma.post_id = concat(CAST(conv_id AS STRING), ':', CAST(turn AS STRING)))
+  SELECT post_id, mk.code, kind, CASE WHEN kind = 'self' THEN 1.0e0 ELSE 0.3e0 END AS weight FROM mk JOIN {posts} USING (post_id) ANTI JOIN ti ON ti.author = posts.author AND ti.code = mk.code""")
+def mentions_beside_title(rel: Rel) -> DataFrame:
+    turns = rel("conversations").select(F.col("conv_id").cast("string").alias("author"), "turn", F.col("text").alias("title"))
+    opened = turns.groupBy("author").agg(F.min_by("title", "turn").alias("title"))
+    posts = rel("posts")
+    return detection.mentions(posts.join(opened, "author"), "post_id", "text", "title", _terms(posts)).select("post_id", "code", "kind", "weight")
+
+
+@query(STACK + """, lb AS (SELECT self_mentions, round(0.7 * least(1.0, trend_items / 20.0) * trend_coverage + 0.3 * least(1.0, authors / 30.0), 3) AS confidence FROM evd),
+ so AS (SELECT source, count(*) AS records, count(DISTINCT snapshot_id) AS snapshots, max(snapshot_id) AS last_snapshot FROM {chart_entries} GROUP BY 1 UNION ALL SELECT 'trends', count(*), count(DISTINCT item), CAST(max(ts_ms) AS STRING) FROM {listens})
+ SELECT count(*) FILTER (WHERE confidence >= 0.6) AS regions_high_confidence, count(*) FILTER (WHERE confidence >= 0.3 AND confidence < 0.6) AS regions_medium_confidence, CAST(sum(self_mentions) AS BIGINT) AS self_mentions,
+   (SELECT count(*) FROM {listens}) AS trend_records, (SELECT count(DISTINCT item) FROM {listens}) AS trend_items, (SELECT count(*) FROM {items}) AS catalog_items,
+   (SELECT string_agg(concat_ws(':', source, CAST(records AS STRING), CAST(snapshots AS STRING), last_snapshot), ',' ORDER BY source) FROM so) AS sources FROM lb""")
+def coverage_document(rel: Rel) -> DataFrame:
+    sources = serving.kpis(rel("chart_entries"), rel("listens"), rel("items")).select("source", "records", "snapshots", "last_snapshot")
+    told = serving.system_kpis({"catalog_items": rel("items")}, _evidence(rel), rel("listens").select("item", F.col("ts_ms").alias("seen")), sources, {"national": 0.35})
+    listed = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["records"].cast("string"), s["snapshots"].cast("string"), s["last_snapshot"])), ",")
+    return told.select("regions_high_confidence", "regions_medium_confidence", F.col("self_mentions").cast("long").alias("self_mentions"), "trend_records", "trend_items", "catalog_items", listed.alias("sources"))
+
+
+_GENRE_OF = "CASE p_size % 4 WHEN 0 THEN 'Rap' WHEN 1 THEN 'V-Pop' WHEN 2 THEN 'Indie' ELSE 'Other' END"
+
+
+@query(f"""WITH r AS (SELECT l_partkey AS key, o_orderdate AS seen, CAST(l_suppkey AS STRING) AS id, CASE WHEN l_linenumber = 1 THEN concat('t', CAST(l_orderkey AS STRING)) END AS thumbnail, p_size, p_brand, {_GENRE_OF.replace('p_size', '(p_size + l_linenumber)')} AS g
+   FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON p_partkey = l_partkey),
+ c AS (SELECT key, string_agg(DISTINCT concat_ws('|', p_brand, id, concat('https://s/', id)), ',' ORDER BY concat_ws('|', p_brand, id, concat('https://s/', id))) AS links, arg_max(thumbnail, (seen, thumbnail)) FILTER (WHERE thumbnail IS NOT NULL) AS thumbnail,
+   max(p_size) AS duration_s, min(CAST(CAST(seen AS DATE) AS STRING)) AS release_date, bool_or(g = 'Rap') AS rap, bool_or(g = 'V-Pop') AS vpop, bool_or(g = 'Indie') AS indie FROM r GROUP BY 1)
+ SELECT key, links, thumbnail, duration_s, release_date, CASE WHEN rap THEN CASE WHEN vpop THEN 'Rap Việt' ELSE 'US-UK' END WHEN indie THEN CASE WHEN vpop THEN 'Indie/Rock Việt' ELSE 'US-UK' END WHEN vpop THEN 'V-Pop' ELSE 'Khác' END AS genre FROM c""")
+def catalog_links(rel: Rel) -> DataFrame:
+    own = rel("lineitem").join(rel("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(rel("part"), F.col("p_partkey") == F.col("l_partkey"))
+    recs = own.select(
+        F.col("l_partkey").alias("key"), F.col("p_name").alias("title"), F.array("p_brand").alias("artists"), F.expr(_GENRE_OF.replace("p_size", "(p_size + l_linenumber)")).alias("genre"), F.col("p_brand").alias("source"), F.col("o_orderdate").alias("seen"),
+        F.col("l_suppkey").cast("string").alias("platform_id"), F.concat(F.lit("https://s/"), F.col("l_suppkey").cast("string")).alias("url"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("t"), F.col("l_orderkey").cast("string"))).alias("thumbnail"),
+        F.col("p_size").alias("duration_s"), F.col("o_orderdate").cast("date").cast("string").alias("release_date"),
+    )
+    links = F.array_join(F.array_sort(F.transform("links", lambda x: F.concat_ws("|", x["source"], x["platform_id"], x["url"]))), ",")
+    return resolution.build_catalog(recs).select("key", links.alias("links"), "thumbnail", "duration_s", "release_date", "genre")
+
+
+@query("""SELECT chart_id, snapshot_id FROM {chart_entries} WHERE source IN ('AUTO', 'BUILDING', 'MACHINERY') OR chart_id LIKE '%|R' GROUP BY 1, 2 HAVING NOT (count(*) = 50 AND count(DISTINCT item) = 50 AND count(DISTINCT rank) = 50 AND min(rank) = 1 AND max(rank) = 50)""")
+def rejected_snapshots(rel: Rel) -> DataFrame:
+    charts = rel("chart_entries").where("source IN ('AUTO', 'BUILDING', 'MACHINERY') OR chart_id LIKE '%|R'")
+    own = charts.select(F.col("chart_id").alias("country"), F.col("snapshot_id").alias("period"), "item", "rank", F.lit(50).alias("chart_size"))
+    names = [r[0] for r in charts.select("chart_id").distinct().collect()]  # fifteen charts
+    return insights.complete_periods(own, names)[1].select(F.col("country").alias("chart_id"), F.col("period").alias("snapshot_id"))
+
+
+# ---------------------------------------------------------------- titles and records as sources print them, told back by their parts
+SHOWN = """CASE p_size % 5 WHEN 0 THEN concat(p_name, ' (Official MV) ft. ', p_brand) WHEN 1 THEN concat(p_brand, ' - ', p_name, ' | Official Video') WHEN 2 THEN concat(p_name, ' | ', p_brand)
+ WHEN 3 THEN concat('  ', p_name, '  [Lyrics 4K] ') ELSE p_name END"""
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 1 THEN concat(p_brand, ' - ', p_name) ELSE p_name END AS title, p_name AS video_title, concat_ws('|', p_brand, p_type, p_name) AS artists, p_brand AS channel, p_type AS hint,
+  CASE p_size % 4 WHEN 0 THEN 'Rap Việt' WHEN 1 THEN 'US-UK' WHEN 2 THEN 'US-UK' ELSE 'V-Pop' END AS bucket, concat(p_name, ' ', p_brand) AS search, CAST(p_size * 1000 AS BIGINT) AS plays FROM {part}""")
+def title_forms(rel: Rel) -> DataFrame:
+    shown = F.expr(SHOWN)
+    names = F.expr("concat(p_brand, CASE p_size % 3 WHEN 0 THEN ' ft. ' WHEN 1 THEN ' & ' ELSE ', ' END, p_type, ' x ', p_name)")
+    genres = F.array(F.expr("CASE p_size % 4 WHEN 0 THEN 'Rap Việt' WHEN 1 THEN 'Hip-Hop' WHEN 2 THEN 'Indie Rock' ELSE 'V-Pop' END"))
+    first = F.get(F.split("p_name", " "), F.lit(0))
+    return rel("part").select(
+        "p_partkey", text.clean_title(shown).alias("title"), text.clean_video_title(shown, F.array("p_brand")).alias("video_title"), F.array_join(text.split_artists(names), "|").alias("artists"),
+        text.clean_channel_name(F.concat("p_brand", F.lit(" Official Channel"))).alias("channel"), text.genre_hint(F.concat(F.lit("Top "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"), F.lit(" hay nhất"))).alias("hint"),
+        text.genre_bucket(genres, F.col("p_name"), F.array("p_brand")).alias("bucket"), text.search_query(F.col("p_name"), F.array(F.concat("p_brand", F.lit(" "), first))).alias("search"),
+        text.parse_count(F.concat(F.col("p_size").cast("string"), F.expr("CASE p_size % 3 WHEN 0 THEN 'K' WHEN 1 THEN ' N' ELSE '.000' END"))).alias("plays"),
+    )
+
+
+@query("""SELECT event_id, event_id % 90000 AS seconds, concat('c@', strftime(make_timestamp(CAST(floor(epoch_us(ts) / 1800000000) AS BIGINT) * 1800000000), '%Y%m%dT%H%M')) AS snapshot, substr(sha256(concat('s:', CAST(user_id AS STRING))), 1, 16) AS salted,
+  substr(sha256(CAST(user_id AS STRING)), 1, 20) AS plain, CASE event_id % 4 WHEN 0 THEN user_id + 3 WHEN 1 THEN user_id - 2 WHEN 2 THEN user_id END AS before, CAST(ts AS DATE) - 20 AS week_start, CAST(ts AS DATE) - 14 AS week_end,
+  CASE event_type WHEN 'click' THEN 'up' WHEN 'view' THEN 'down' WHEN 'error' THEN 'same' WHEN 'signup' THEN 'new' END AS direction, concat_ws('|', CAST(user_id AS STRING), event_type) AS id,
+  CASE WHEN event_type = 'view' THEN 'event' WHEN event_id % 3 > 0 THEN 'chart_entry' END AS kind FROM {events}""")
+def event_forms(rel: Rel) -> DataFrame:
+    n, day = F.col("event_id"), F.to_date("ts")
+    s = n % 90000
+    part = lambda c, unit: F.concat(F.floor(c).cast("string"), F.lit(unit))
+    length = F.concat(F.lit("PT"), part(s / 3600, "H"), part(s % 3600 / 60, "M"), part(s % 60, "S"))
+    move = F.when(n % 4 == 0, "+3").when(n % 4 == 1, "-2").when(n % 4 == 2, "=").otherwise("new")
+    start, end = F.date_sub(day, 20), F.date_sub(day, 14)
+    week = scoring.week_period(F.concat(F.date_format(start, "dd.MM"), F.lit(" - "), F.date_format(end, "dd.MM.yyyy")), F.lit(None).cast("string"))
+    image = F.concat(F.lit("https://x/img/"), F.create_map(*[F.lit(x) for x in ("click", "arrow_up", "view", "falling", "error", "stay", "signup", "new", "purchase", "star")])[F.col("event_type")], F.lit(".png?v=1"))
+    kind = scoring.record_type(F.lit(None).cast("string"), F.when(F.col("event_type") == "view", "play"), (n % 3).cast("int"), F.lit("c"))
+    user = F.col("user_id").cast("string")
+    return rel("events").select(
+        "event_id", scoring.iso_duration_s(length).alias("seconds"), scoring.snapshot_id(F.lit("c"), F.unix_millis(F.col("ts").cast("timestamp"))).alias("snapshot"), scoring.salted_hash(user, "s").alias("salted"), scoring.salted_hash(user, n=20).alias("plain"),
+        scoring.previous_rank(F.col("user_id"), move).alias("before"), week["start"].alias("week_start"), week["end"].alias("week_end"), scoring.movement_direction(image).alias("direction"), scoring.doc_id("user_id", "event_type").alias("id"), kind.alias("kind"),
+    )
