@@ -17,7 +17,7 @@ from tidechart.llm import nearest, sharding, toxicity
 from tidechart.llm.common import numbered
 from tidechart.llm.boosting import calibrated, fit_isotonic, fit_trees
 from tidechart.llm.crf import Crf, fit_crf, gradient
-from tidechart.llm.html_extraction import _features, blocks, extracted, labelled, main_text, op2_html_extraction, trained
+from tidechart.llm.html_extraction import _features, barred, blocks, extracted, labelled, main_text, op2_html_extraction, trained
 from tidechart.llm.labelled_pages import training_pages
 from tidechart.llm.mixing import mix, n_words, quality
 from tidechart.llm.tokens import pieces
@@ -39,9 +39,9 @@ def test_labelled_pages_that_training_lacks():
     model, right, total = trained(), 0, 0
     for parts in training_pages(80, seed=99):
         found, labels = labelled(parts)
-        right += sum(a == b for a, b in zip(labels, model.decode(_features(found)), strict=True))
+        right += sum(a == b for a, b in zip(labels, model.decode(_features(found), barred(found)), strict=True))
         total += len(found)
-    assert right / total > 0.99
+    assert right / total > 0.995
 
 
 STORY = "<h1>Title of it</h1><p>First one of the story is here.</p><p>And a second one follows it, longer than the first.</p>"
@@ -60,6 +60,44 @@ def test_pages_without_an_article_element(page):
     assert main_text(page, trained()) == "\n".join(re.findall(r"(?<=[>])[A-Z][^<]+(?=</h1>|</p>)", STORY))
 
 
+LINES = ["Title of it", "First one of the story is here.", "And a second one follows it, longer than the first."]
+END = "<p>And so it ends, they said.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main>{STORY}<form><p>Sign up for our letter today.</p></form>{END}</main>",
+        f"<article>{STORY}<form><p>Sign up for our letter today.</p></form>{END}</article>",
+        f"<article>{STORY}{END}</article><div class='reactions'><p>Anna: great post!</p><p>Bob: I do not think so at all.</p></div>",
+        f"<article>{STORY}{END}<ul class='thread'><li><cite>Ann</cite> I liked it.</li><li><cite>Bo</cite> So did I, very much.</li></ul></article>",
+        f"<article>{STORY}{END}</article><ul class='thread'><li><cite>Ann</cite> I liked it.</li><li><cite>Bo</cite> So did I, very much.</li></ul>",
+        f"<div id='wrap'>{STORY}{END}</div><div class='reactions'><p>Anna: great post!</p><p>Bob: I do not think so at all.</p></div>",
+        f"<main>{STORY}<aside><p>Related: other stories you may like to read.</p></aside>{END}</main>",
+        f"<article>{STORY}<div class='gads'>Buy now cheap shoes</div>{END}</article>",
+        f"<form id='whole'><div id='nav'><a href=/>Home</a></div><div class='content'>{STORY}{END}</div></form>",
+        f"<nav><form><p>Find it here</p></form></nav><article>{STORY}{END}</article><footer><p>One line of a footer, as long as others.</p></footer>",
+    ],
+)
+def test_what_is_no_part_of_the_article_by_kind_or_form(page):
+    assert main_text(f"<html><body>{page}</body></html>", trained()).split("\n") == [*LINES, "And so it ends, they said."]
+
+
+@pytest.mark.parametrize("page", ["Just a page of text without any tags at all.", "Short text", "<html><body>Only some words in a body.</body></html>"])
+def test_bare_text_is_the_article(page):
+    assert main_text(page, trained()) == re.sub("<[^>]+>", "", page)
+
+
+def test_barred_blocks_in_viterbi():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        model = Crf({f"f{i}": i for i in range(5)}, rng.normal(size=5), rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=2))
+        items = [[f"f{i}" for i in range(6) if rng.random() < 0.5] for _ in range(rng.integers(1, 8))]
+        barred = (rng.random(len(items)) < 0.4).tolist()
+        allowed = [z for z in all_labels(len(items)) if not any(a and b for a, b in zip(z, barred))]
+        assert model.decode(items, barred) == max(allowed, key=lambda z: log_score(model, items, z))
+
+
 @pytest.mark.parametrize("unit", ["<a '", "<a '>' ", "<div>", "<", "<x><p>", "<!-- ", "<script>", "<div class='q'><li>", "<td><ul>", "&#", "<p title=\"'>"])
 def test_broken_pages_are_read_in_linear_time(unit):
     trained()

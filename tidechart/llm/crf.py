@@ -17,8 +17,8 @@ class Crf:
     start: np.ndarray
     stop: np.ndarray
 
-    def decode(self, items: list[list[str]]) -> list[int]:
-        """The most probable labels of a sequence (Viterbi)."""
+    def decode(self, items: list[list[str]], barred: list[bool] | None = None) -> list[int]:
+        """The most probable labels of a sequence (Viterbi), of those that give barred items label 0."""
         if not items:
             return []
         find, weight = self.index.get, self.weight
@@ -26,7 +26,7 @@ class Crf:
         back: list[tuple[int, int]] = []
         move = self.move.tolist()
         for k, names in enumerate(items):
-            own = float(sum(weight[i] for i in map(find, names) if i is not None))
+            own = -1e9 if barred and barred[k] else float(sum(weight[i] for i in map(find, names) if i is not None))
             if k == 0:
                 score = [float(self.start[0]), float(self.start[1]) + own]
                 continue

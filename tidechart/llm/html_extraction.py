@@ -1,9 +1,13 @@
 """Main text of web pages by a conditional random field over leaf blocks of the DOM.
 
 A page is read into leaf blocks: runs of text between block-level tags, with the tags and class words of all
-elements around them. Features are tags and name words of ancestors and shape of the text (length, links,
-punctuation, place). A linear-chain CRF, trained on labelled pages, labels blocks by Viterbi; blocks of the
-article are joined in page order.
+elements around them. Features are tags, name words and letter runs of names of ancestors and shape of the text
+(length, links, punctuation, place). A linear-chain CRF, trained on labelled pages, labels blocks by Viterbi; blocks
+of the article are joined in page order.
+
+Some elements say by their kind that they are no part of an article: what lies in a form, aside, nav or footer, with
+no article or main element between, is label 0 whatever else speaks for it, and Viterbi finds the best labelling of
+those that keep to that. A form around a whole page without article and main elements is none in this sense.
 
 Text inside a block: character references are decoded, white space becomes one space, ends are trimmed;
 <br> is white space. Nothing else is dropped or cut.
@@ -41,6 +45,10 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 VOID = set("img input br hr meta link source wbr area base col embed param track".split())
 CLOSES = {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 SCOPE = set("table ul ol dl article section div body main nav aside header footer form".split())
+#: Elements that are no part of an article, and those inside of which an article begins anew.
+APART, WITHIN = {"form", "aside", "nav", "footer"}, {"article", "main"}
+#: A form with so much of a page's text is the page.
+WHOLE = 0.8
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -48,15 +56,25 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 DEPTH = 512
 
 
+@lru_cache(maxsize=1 << 16)
+def _of_name(word: str) -> tuple[str, ...]:
+    """A name's word, and its runs of three letters, by which words that training lacks are like others."""
+    edged = f"^{word[:40]}$"
+    return (f"name:{word}", *(f"part:{edged[i : i + 3]}" for i in range(len(edged) - 2)))
+
+
 class Open:
-    """An open element: its and its ancestors' features, and how much text lies in it outside links, up to three deep."""
+    """An open element: its and its ancestors' features, how much text lies in it outside links, up to three deep, and
+    which of the elements apart it lies in, if any."""
 
-    __slots__ = ("tag", "parent", "features", "weight", "depth")
+    __slots__ = ("tag", "parent", "features", "weight", "depth", "apart")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Open | None, known: dict | None):
         self.tag, self.parent, self.weight = tag, parent, 0
         self.depth = parent.depth + 1 if parent else 1
-        own = [f for f in (f"in:{tag}", *(f"name:{w}" for w in names)) if known is None or f in known]
+        above = parent.apart if parent else ""
+        self.apart = "" if tag in WITHIN else above if above and above != "form" else tag if tag in APART else above
+        own = [f for f in (f"in:{tag}", *(f for w in names for f in _of_name(w))) if known is None or f in known]
         above = parent.features if parent else frozenset()
         # the same set where nothing is new: depth costs nothing
         self.features = above if above.issuperset(own) else above.union(own)
@@ -64,12 +82,14 @@ class Open:
 
 @dataclass
 class Block:
-    """A leaf block: its text, where in the page it begins, the innermost open element, characters inside links."""
+    """A leaf block: its text, where in the page it begins, the innermost open element, characters inside links, and
+    the inline element that its text begins in."""
 
     text: str
     at: int
     inside: Open | None
     linked: int
+    lead: str
 
 
 def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -120,20 +140,20 @@ def blocks(page: str, known: dict | None = None) -> Iterator[Block]:
     """The leaf blocks of a page. known: the features that are kept of open elements, all if None."""
     top: Open | None = None
     run: list[str] = []
-    at, begin, links, linked = 0, -1, 0, 0
+    at, begin, links, linked, lead = 0, -1, 0, 0, ""
     open_: Counter[str] = Counter()
 
     def leaf() -> Block | None:
-        nonlocal begin, linked
+        nonlocal begin, linked, lead
         text = " ".join(html.unescape("".join(run)).split())
-        out = Block(text, begin, top, linked) if text else None
+        out = Block(text, begin, top, linked, lead) if text else None
         node = top
         for _ in range(3 if out else 0):
             if node is not None:
                 node.weight += max(0, len(text) - linked)
                 node = node.parent
         run.clear()
-        begin, linked = -1, 0
+        begin, linked, lead = -1, 0, ""
         return out
 
     def add(piece: str, where: int) -> None:
@@ -167,6 +187,8 @@ def blocks(page: str, known: dict | None = None) -> Iterator[Block]:
         if tag in INLINE:
             if tag == "br":
                 add(" ", start)
+            elif begin < 0:
+                lead = "" if slash else tag
             continue
         if done := leaf():
             yield done
@@ -197,6 +219,10 @@ def blocks(page: str, known: dict | None = None) -> Iterator[Block]:
         yield done
 
 
+#: A name of one to three words before a colon, as before what readers say.
+SPEAKER = re.compile(r"\w+(?: \w+){0,2}:\s")
+
+
 def _bucket(part: float) -> int:
     return min(4, int(part * 5))
 
@@ -224,6 +250,12 @@ def _features(found: list[Block]) -> list[list[str]]:
             item.append("ends")
         if "©" in b.text or b.text.lower().startswith("copyright"):
             item.append("copyright")
+        if b.lead:
+            item.append(f"lead:{b.lead}")
+            if any(0 <= other < n and found[other].lead == b.lead for other in (k - 1, k + 1)):
+                item.append(f"leads:{b.lead}")
+        if SPEAKER.match(b.text):
+            item.append("speaker")
         item.append(f"place:{k * 4 // n}")
         inside = not own.isdisjoint(("in:article", "in:main"))
         item.append("page without article" if not marked else "inside" if inside else "outside")
@@ -244,12 +276,22 @@ def trained() -> Crf:
     for parts in training_pages():
         found, labels = labelled(parts)
         data.append((_features(found), labels))
-    return fit_crf(data)
+    return fit_crf(data, ridge=5e-4)
+
+
+def barred(found: list[Block]) -> list[bool]:
+    """Which blocks lie in elements that are no part of an article."""
+    apart = [b.inside.apart if b.inside else "" for b in found]
+    if not any(b.inside and not b.inside.features.isdisjoint(("in:article", "in:main")) for b in found):
+        size = {kind: sum(len(b.text) for b, a in zip(found, apart) if a == kind) for kind in ("form", "")}
+        if size["form"] > WHOLE * max(1, sum(size.values())):
+            apart = ["" if a == "form" else a for a in apart]
+    return [a != "" for a in apart]
 
 
 def main_text(page: str | None, model: Crf) -> str:
     found = list(blocks(page or "", model.index))
-    return "\n".join(b.text for b, keep in zip(found, model.decode(_features(found)), strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(found, model.decode(_features(found), barred(found)), strict=True) if keep)
 
 
 def extracted(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 
-PAGES = 480
+PAGES = 600
 
 
 def _words(rng: random.Random, low: int, high: int) -> str:
@@ -68,6 +68,10 @@ def _noise(rng: random.Random, kind: str) -> str:
     if kind == "sidebar":
         return rng.choice(["<aside>{}</aside>", '<div class="sidebar">{}</div>', '<aside id="secondary" class="widget-area">{}</aside>', '<div class="related-posts">{}</div>', '<section class="widget recommended">{}</section>']).format(f"<h3>{_words(rng, 1, 3)}</h3>" + rng.choice(["<ul>" + _links(rng, rng.randint(2, 6)) + "</ul>", p(4, 40), p(4, 12) + "<ul>" + _links(rng, 3) + "</ul>"]))
     if kind == "ad":
+        more = "".join(rng.choice("bcdfgklmnprstvx") for _ in range(rng.randint(1, 3)))
+        if rng.random() < 0.4:  # a name that holds the word
+            own = rng.choice([f"{more}ads", f"ads{more}", f"{more}-ad", f"ad-{more}", f"{more}advert", f"sponsor{more}", f"{more}promo"])
+            return rng.choice(["<div class='{}'>{}</div>", "<div id='{}'>{}</div>", "<section class='{}'><p>{}</p></section>", "<div class='{}'><p>{}</p></div>"]).format(own, _sentence(rng, 2, 40))
         return rng.choice(['<div class="ad">{}</div>', '<div class="ads-box">{}</div>', '<div id="advert-top">{}</div>', '<div class="sponsored">{}</div>', '<section class="promo banner">{}</section>', '<div class="advertisement"><p>{}</p></div>']).format(_sentence(rng, 3, 45))
     if kind == "notice":
         return rng.choice(['<div class="cookie-notice">{}</div>', '<div id="consent">{}</div>', '<div class="notice">{}</div>', '<div role="dialog" class="gdpr popup">{}</div>', '<div class="alert">{}</div>']).format(p(4, 40) + rng.choice(["", "<button>OK</button>"]))
@@ -75,6 +79,11 @@ def _noise(rng: random.Random, kind: str) -> str:
         return rng.choice(["<form action='/s'>{}</form>", '<form class="newsletter">{}</form>', '<div class="subscribe"><form>{}</form></div>', '<form id="search">{}</form>']).format(f"<label>{_words(rng, 1, 5)}</label><input>" + rng.choice(["", p(3, 30)]) + f"<button>{_words(rng, 1, 2)}</button>")
     if kind == "share":
         return rng.choice(['<div class="share">{}</div>', '<ul class="social-links">{}</ul>', '<div class="tags">{}</div>']).format(_links(rng, rng.randint(2, 5)))
+    if rng.random() < 0.4:  # readers' words by their form alone, under a name that is nothing but a name
+        name = "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+        one = rng.choice(["<p>{}: {}</p>", "<li><cite>{}</cite> {}</li>", "<div><b>{}</b> {}</div>", "<div><cite>{}</cite><p>{}</p></div>", "<li><strong>{}</strong><p>{}</p></li>"])
+        said = "".join(one.format(_words(rng, 1, 2).strip(".,"), _sentence(rng, 2, 25)) for _ in range(rng.randint(1, 6)))
+        return rng.choice(["<div class='{}'>{}</div>", "<ul class='{}'>{}</ul>", "<section id='{}'>{}</section>", "<ol class='{}'>{}</ol>"]).format(name, rng.choice(["", f"<h3>{_words(rng, 1, 3)}</h3>"]) + said)
     inside = "".join(rng.choice(['<div class="comment"><b>{}</b>{}</div>', "<li><cite>{}</cite>{}</li>", '<article class="comment"><h4>{}</h4>{}</article>']).format(_words(rng, 1, 2), p(2, 60)) for _ in range(rng.randint(1, 6)))
     return rng.choice(['<section id="comments">{}</section>', '<div class="comments">{}</div>', '<ol class="comment-list">{}</ol>', '<div id="disqus" class="reader-comments">{}</div>', '<section class="responses discussion">{}</section>']).format(f"<h3>{_words(rng, 1, 3)}</h3>" + inside)
 
@@ -124,6 +133,9 @@ def page(rng: random.Random) -> list[tuple[str, bool]]:
     """Parts of a body in order, and whether each belongs to the article."""
     parts: list[tuple[str, bool]] = [("<html><head><title>" + _words(rng, 2, 9) + "</title><style>p{}</style></head><body>", False)]
     kind = rng.random()
+    if kind < 0.03:  # text without any markup of its own
+        text = "\n".join(_sentence(rng, 3, 40) for _ in range(rng.randint(1, 4)))
+        return rng.choice([[(text, True)], [("<html><body>", False), (text, True), ("</body></html>", False)]])
     if kind < 0.15:
         return [*parts, *_table_page(rng), ("</body></html>", False)]
     marked = kind < 0.5
@@ -137,8 +149,8 @@ def page(rng: random.Random) -> list[tuple[str, bool]]:
         if k:
             parts.append((_noise(rng, rng.choice(["ad", "share", "sidebar", "form", "notice"])), False))
         parts.append((_article(rng), True))
-    if rng.random() < 0.3:
-        parts.append((_noise(rng, rng.choice(["share", "comments", "ad"])), False))
+    if rng.random() < 0.4:
+        parts.append((_noise(rng, rng.choice(["share", "comments", "comments", "ad"])), False))
     parts.append((close, False))
     parts += [(_bare(rng), False) for _ in range(rng.randint(0, 2) if not marked else int(rng.random() < 0.2))]
     parts += _outside(rng, AFTER, 0.35)
