@@ -112,9 +112,26 @@ def input_profile(df: DataFrame, keys: list[str], item: str, group: str) -> Data
     return told.withColumn("duplicates", F.col("rows") - F.col("unique_keys"))
 
 
+def _tells(rules: dict[str, Column]) -> list[Column]:
+    """How many rows there are, and for how many each rule is false or null."""
+    return [F.count("*").alias("__n"), *[F.count_if(~F.coalesce(test, F.lit(False))).alias(name) for name, test in rules.items()]]
+
+
+#: Under this name and a colon observed rules are found among the metrics of a query.
+OBSERVED = "rules"
+
+
+def with_rules(df: DataFrame, rules: dict[str, Column], name: str = "input") -> DataFrame:
+    """`df` itself, whose rules are counted as its rows pass, in whatever is done with them: no second pass.
+
+    Of a stream, a ProgressLog has the counts of each batch; `name` tells several places of one query apart.
+    """
+    return df.observe(f"{OBSERVED}:{name}", *_tells(rules))
+
+
 def quality_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, checked, broken: rows for which a rule is false or null."""
-    told = df.agg(F.count("*").alias("__n"), *[F.count_if(~F.coalesce(test, F.lit(False))).alias(name) for name, test in rules.items()])
+    told = df.agg(*_tells(rules))
     pairs = ", ".join(f"'{name}', `{name}`" for name in rules)
     return told.selectExpr("__n AS checked", f"stack({len(rules)}, {pairs}) AS (rule, broken)").select("rule", "checked", "broken")
 

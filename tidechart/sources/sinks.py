@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tidechart.operators.snapshots import OBSERVED
 from tidechart.sources.keyed import TABLE as TABLE
 from tidechart.sources.keyed import read_upserted as read_upserted
 from tidechart.sources.keyed import record_id, upsert
@@ -63,10 +64,14 @@ def import_archive(df: DataFrame, base: str, name: str, order_col: str) -> None:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Rows of streaming progress: query, batch, rows in, rates, milliseconds of the trigger."""
+    """Rows of streaming progress: query, batch, rows in, rates, milliseconds of the trigger.
+
+    And of rules that a stream is observed by (see with_rules): query, batch, place, rule, rows checked and broken.
+    """
 
     def __init__(self):
         self.rows: list[dict] = []
+        self.rules: list[dict] = []
 
     def onQueryStarted(self, event):
         pass
@@ -74,6 +79,11 @@ class ProgressLog(StreamingQueryListener):
     def onQueryProgress(self, event):
         p = event.progress
         self.rows.append({"query": p.name, "batch_id": p.batchId, "input_rows": p.numInputRows, "input_rps": p.inputRowsPerSecond, "processed_rps": p.processedRowsPerSecond, "duration_ms": (p.durationMs or {}).get("triggerExecution")})
+        for name, told in p.observedMetrics.items():
+            if name.startswith(f"{OBSERVED}:"):
+                counts = told.asDict()
+                checked, place = counts.pop("__n"), name.removeprefix(f"{OBSERVED}:")
+                self.rules += [{"query": p.name, "batch_id": p.batchId, "place": place, "rule": rule, "checked": checked, "broken": n} for rule, n in counts.items()]
 
     def onQueryIdle(self, event):
         pass
@@ -82,7 +92,9 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def flush(self, spark: SparkSession, base: str) -> None:
-        """Append what has gathered to the metrics table."""
-        rows, self.rows = self.rows, []
+        """Append what has gathered to the tables of metrics and of rules."""
+        (rows, self.rows), (rules, self.rules) = (self.rows, []), (self.rules, [])
+        if rules:
+            spark.createDataFrame(rules, "query string, batch_id long, place string, rule string, checked long, broken long").coalesce(1).write.mode("append").parquet(f"{base}/_rules")
         if rows:
             spark.createDataFrame(rows, "query string, batch_id long, input_rows long, input_rps double, processed_rps double, duration_ms long").coalesce(1).write.mode("append").parquet(f"{base}/_metrics")
