@@ -11,6 +11,32 @@ from tidechart.operators.ranking import lag_join, skip_rate
 from tidechart.operators.snapshots import completeness, dedup, dedup_latest
 
 
+def lifecycle_facts(charts: DataFrame) -> DataFrame:
+    """chart, item, best_rank, periods, last_period, first_period, recent: the last three (period, rank), newest first."""
+    own = charts.where(F.col("period").isNotNull())
+    back = W.partitionBy("chart", "item").orderBy(F.desc("period"))
+    last3 = own.withColumn("__r", F.row_number().over(back)).where("__r <= 3").groupBy("chart", "item").agg(F.sort_array(F.collect_list(F.struct("period", "rank")), asc=False).alias("recent"))
+    told = charts.groupBy("chart", "item").agg(F.min("rank").alias("best_rank"), F.count("period").alias("periods"), F.max("period").alias("last_period"), F.min("period").alias("first_period"))
+    return told.join(last3, ["chart", "item"], "left")
+
+
+def chart_ends(charts: DataFrame) -> DataFrame:
+    """chart, end, is_complete: the last period of each chart, and whether it is whole."""
+    own = charts.where(F.col("period").isNotNull())
+    ends = own.groupBy("chart").agg(F.max("period").alias("end"))
+    return ends.join(completeness(own, ["chart", "period"], "item", "rank", "chart_size").select("chart", F.col("period").alias("end"), "is_complete"), ["chart", "end"])
+
+
+def lifecycle_status(facts: DataFrame, ends: DataFrame, stable_range: int = 3) -> DataFrame:
+    """chart, item, status, best_rank, periods, last_period, first_period."""
+    r1, r2, r3 = (F.get("recent", F.lit(k))["rank"] for k in range(3))
+    spread = F.greatest(r1, r2, r3) - F.least(r1, r2, r3)
+    trend = F.when(F.col("periods") < 3, "insufficient_data").when((r3 > r2) & (r2 > r1), "rising").when((r3 < r2) & (r2 < r1), "falling").when(spread <= stable_range, "stable").otherwise("fluctuating")
+    left = (F.col("last_period") < F.col("end")) & F.col("is_complete")
+    status = F.when(F.coalesce(left, F.lit(False)), "left_chart").otherwise(trend)
+    return facts.join(ends, "chart", "left").select("chart", "item", status.alias("status"), "best_rank", "periods", "last_period", "first_period")
+
+
 def track_lifecycle(charts: DataFrame, stable_range: int = 3) -> DataFrame:
     """chart, item, status, best_rank, periods, last_period, first_period.
 
@@ -18,20 +44,7 @@ def track_lifecycle(charts: DataFrame, stable_range: int = 3) -> DataFrame:
     periods decide: rising, falling, stable (ranks within `stable_range`), fluctuating; fewer are
     insufficient_data. An item absent from the chart's last period is left_chart if that one is complete.
     """
-    own = charts.where(F.col("period").isNotNull())
-    back = W.partitionBy("chart", "item").orderBy(F.desc("period"))
-    last3 = own.withColumn("__r", F.row_number().over(back)).where("__r <= 3").groupBy("chart", "item").agg(*[F.max(F.when(F.col("__r") == k, F.col("rank"))).alias(f"r{k}") for k in (1, 2, 3)])
-    told = charts.groupBy("chart", "item").agg(F.min("rank").alias("best_rank"), F.count("period").alias("periods"), F.max("period").alias("last_period"), F.min("period").alias("first_period"))
-    ends = own.groupBy("chart").agg(F.max("period").alias("end"))
-    whole = completeness(own, ["chart", "period"], "item", "rank", "chart_size").select("chart", F.col("period").alias("end"), "is_complete")
-    joined = told.join(last3, ["chart", "item"], "left").join(ends.join(whole, ["chart", "end"]), "chart", "left")
-    spread = F.greatest("r1", "r2", "r3") - F.least("r1", "r2", "r3")
-    trend = (
-        F.when(F.col("periods") < 3, "insufficient_data").when((F.col("r3") > F.col("r2")) & (F.col("r2") > F.col("r1")), "rising")
-        .when((F.col("r3") < F.col("r2")) & (F.col("r2") < F.col("r1")), "falling").when(spread <= stable_range, "stable").otherwise("fluctuating")
-    )
-    left = (F.col("last_period") < F.col("end")) & F.col("is_complete")
-    return joined.select("chart", "item", F.when(F.coalesce(left, F.lit(False)), "left_chart").otherwise(trend).alias("status"), "best_rank", "periods", "last_period", "first_period")
+    return lifecycle_status(lifecycle_facts(charts), chart_ends(charts), stable_range)
 
 
 def exposures(lists: DataFrame) -> DataFrame:

@@ -104,6 +104,10 @@ def upsert(df: DataFrame, base: str, name: str, id_col: str, order_col: str, buc
         delete(spark, f"{root}/data/{left}")
 
 
+def has_table(spark: SparkSession, base: str, name: str) -> bool:
+    return bool(published(spark, f"{base}/{name}/_manifest", TABLE))
+
+
 def read_upserted(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The newest row of each id. Buckets of one file are read as they are; only the others are merged."""
     live = [r for r in published(spark, f"{base}/{name}/_manifest", TABLE) if r["live"]]
