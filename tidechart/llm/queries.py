@@ -1,6 +1,5 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
-import corpus_pipeline
 from tidechart.llm.bpe import op11_bpe
 from tidechart.llm.decontamination import op4_decontamination
 from tidechart.llm.fill_in_middle import op13_fill_in_middle
@@ -17,4 +16,3 @@ from tidechart.llm.substring_dedup import op1_substring_dedup
 from tidechart.llm.toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_jaccard_join, op4_decontamination, op5_lm_scores, op6_mixing, op7_sharding, op8_nearest, op9_toxicity, op10_secret_scans, op11_bpe, op12_importance, op13_fill_in_middle)}
-QUERIES["pipeline"] = corpus_pipeline.run
