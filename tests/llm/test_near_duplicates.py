@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_text_operators import plain_components
 from tidechart.llm.common import numbered
-from tidechart.llm.jaccard_join import joined
+from tidechart.llm.jaccard_join import _meetings, distinct_sets, joined
 
 
 def _word(rng):
@@ -79,3 +79,36 @@ def test_threshold_is_a_parameter(spark):
     assert {(r.id, r.n_shingles, r.component_id) for r in joined(own).collect()} == set(plain_components(rows))
     with pytest.raises(ValueError):
         joined(own, 5, 6, 10)
+
+
+def test_sets_of_a_block_meet_by_rare_shingles():
+    rng = np.random.default_rng(12)
+    for num, den in ((9, 10), (8, 10)):
+        base = rng.choice(10**6, 120, replace=False)
+        sets_ = []
+        for _ in range(60):
+            kept = base[rng.random(120) > rng.choice([0.0, 0.05, 0.1, 0.4])]
+            sets_.append(np.unique(np.concatenate([kept, rng.choice(10**6, rng.integers(0, 12))])))
+        sets_ = sorted(sets_, key=len) + [np.array([7]), np.array([7])]
+        met = _meetings(sets_, num, den)
+        assert all((near > i).all() for i, near in enumerate(met))
+        for i, a in enumerate(sets_):
+            for j in range(i + 1, len(sets_)):
+                common = len(np.intersect1d(a, sets_[j]))
+                if common * den >= (len(a) + len(sets_[j]) - common) * num:
+                    assert j in met[i]
+
+
+def test_unlinked_members_of_a_family_do_not_meet():
+    """Copies that each differ in a third of their shingles have too many of their own to link."""
+    rng = np.random.default_rng(13)
+    base = rng.choice(10**9, 300, replace=False)
+    sets_ = [np.unique(np.concatenate([base[rng.random(300) > 0.3], rng.choice(10**9, 90)])) for _ in range(500)]
+    assert sum(map(len, _meetings(sets_, 8, 10))) == 0
+
+
+def test_sets_are_told_apart_by_both_hashes(spark):
+    """Two sets with one hash are two, named by row numbers."""
+    rows = [(1, 3, 5, 1, 1), (2, 3, 5, 2, 1), (3, 3, 5, 1, 1), (4, 0, 0, 0, 0)]
+    named = distinct_sets(spark.createDataFrame(rows, "uid long, n long, hash long, hash2 long, n0 long"))
+    assert sorted((r.sid, r.hash2) for r in named.collect()) == [(1, 1), (2, 2)]

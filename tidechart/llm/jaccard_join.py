@@ -17,7 +17,9 @@ lists are skipped in blocks and whose answers are derived from similar sets' ans
 4. What stays in the lists gets the next pivot; after two rounds the rest is compared in blocks, with
    positions, sizes and bitmaps as upper bounds, and then exactly.
 
-Families and lists are cut into blocks of about BLOCK sets by hash, so no task holds a whole hot group. Nothing is
+Families and lists are cut into blocks of about BLOCK sets by hash, so no task holds a whole hot group; in a block of a
+family, sets meet only by shingles that few sets of the block hold. A set is named by the least row number that has it,
+and equal sets are told by two hashes. Nothing is
 dropped: the components are those of all pairs with similarity of at least the threshold.
 
 The threshold is num / den, a parameter like the shingle length `k`. op3 asks for three words and 0.9; the
@@ -95,7 +97,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(uid, n, sid, sid2, n0, counted): set size, two hashes of the set, and its counted shingles."""
+    """(uid, n, hash, hash2, n0, counted): set size, two hashes of the set, and its counted shingles."""
     limit = _limit(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +114,10 @@ def signatures(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN
                 n0 = np.bincount(doc[low], minlength=m)[:m] if len(doc) else np.zeros(m, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(p.first, m), pa.array(np.diff(at)), pa.array(sums[0].view(I64)), pa.array(sums[1].view(I64)), pa.array(n0.astype(np.int64)), _lists(h[low].view(I64), n0)],
-                    names=["uid", "n", "sid", "sid2", "n0", "counted"],
+                    names=["uid", "n", "hash", "hash2", "n0", "counted"],
                 )
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, n long, sid long, sid2 long, n0 long, counted array<long>")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, n long, hash long, hash2 long, n0 long, counted array<long>")
 
 
 def _prefixes(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -186,10 +188,38 @@ def _find(root: dict, x: int) -> int:
     return x
 
 
+def _meetings(sets_: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+    """For each set of a group the later ones that may link with it.
+
+    Shingles are put in order of how many sets of the group hold them. Linked sets share one of the first
+    n - ceil(t n) + 1 of either, so sets meet only where such shingles are held by both.
+    """
+    n = np.array([len(x) for x in sets_])
+    _, token, held = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((token, held[token], owner))
+    token, owner = token[order], owner[order]
+    place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+    first = (place < np.repeat(n + (-n * num // den) + 1, n)) & (held[token] > 1)
+    token, owner = token[first], owner[first]
+    by_token = np.lexsort((owner, token))
+    at, among = np.empty(len(token), np.int64), owner[by_token]
+    at[by_token] = np.arange(len(token))
+    # among[at + 1 : end] are the sets after `owner` that hold the shingle
+    end = np.searchsorted(token[by_token], token, side="right")
+    begins = np.searchsorted(owner, np.arange(len(n) + 1))
+    out = []
+    for a, b in zip(begins, begins[1:]):
+        lists = [among[x + 1 : y] for x, y in zip(at[a:b], end[a:b])]
+        out.append(np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64))
+    return out
+
+
 def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b): links between members of one family that are in different components so far.
 
-    Pairs are thinned out by size, by their distances to the pivot and by bitmaps before sets are intersected.
+    Sets meet by shingles that are rare in their block of the family. Pairs are then thinned out by size, by their
+    distances to the pivot and by bitmaps before sets are intersected.
     """
     members = _seated(families, "pivot", comps)
     rows = members.join(sets.select("sid", "n", "shingles"), "sid")
@@ -201,10 +231,9 @@ def family_links(families: DataFrame, sets: DataFrame, comps: DataFrame, num: in
         root: dict = {}
         out = []
         bits = np.stack([np.frombuffer(_bitmap(x).tobytes(), np.uint64) for x in sets_])
-        for i in range(len(group)):
+        for i, near in enumerate(_meetings(sets_, num, den)):
             last = np.searchsorted(n, n[i] * den // num + 1, side="right")
-            near = np.arange(i + 1, last)
-            near = near[comp[near] != comp[i]]
+            near = near[(near < last) & (comp[near] != comp[i])]
             near = near[(np.abs(far[near] - far[i]) <= (den - num) / den + 1e-9) & ((far[near] <= 1 - CORE) | (far[i] <= 1 - CORE)) & (side[near] | side[i])]
             if group["x"].iat[0] != group["y"].iat[0]:
                 near = near[block[near] != block[i]]
@@ -264,18 +293,27 @@ def rest_pairs(postings: DataFrame, sets: DataFrame, comps: DataFrame, num: int
     return with_bits.select("token", "x", "y", "block", "sid", "root", "n", "pos", "bits").groupBy("token", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
-def set_links(rows: DataFrame, sigs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b): links between distinct sets (by sid) that make the components of the join. rows: uid, text; sigs: of the same k, num and den."""
+def distinct_sets(sigs: DataFrame) -> DataFrame:
+    """(sid, hash, hash2, n, n0) of each distinct set that is not empty. Equal sets agree in both hashes; a set's name, sid,
+    is the least row number that has it, so sets never share a name, whatever their hashes."""
+    told = sigs.where("n > 0").groupBy("hash", "hash2").agg(F.min("uid").alias("sid"), F.first("n").alias("n"), F.first("n0").alias("n0"))
+    return stored(told, "sets_named")
+
+
+def set_links(rows: DataFrame, sigs: DataFrame, named: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(a, b): links between distinct sets (by sid) that make the components of the join.
+
+    rows: uid, text; sigs: of the same k, num and den; named: their distinct sets.
+    """
     family = _family(num, den)
-    reps = sigs.where("n > 0").groupBy("sid", "sid2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("n0").alias("n0"))
-    reps = stored(reps, "reps")
-    tokens = sigs.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select("sid", F.explode("counted").alias("token"))
+    reps = named.select("sid", "n", "n0")
+    tokens = sigs.join(reps.select(F.col("sid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("sid"), F.explode("counted").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     shared = tokens.join(counts.where("lo != hi").select("token", "df"), "token")
     by_set = stored(shared.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")), "shared")
     left = reps.join(by_set, "sid", "left").withColumn("own", F.col("n0") - F.coalesce(F.size("shared"), F.lit(0)))
     room = F.floor(F.col("n") * (den - num) / den) + 1
-    left = stored(left.where(F.col("own") < room).select("sid", F.col("rep").alias("uid"), "n", "own", F.transform(F.coalesce("shared", F.array().cast("array<struct<df:long,token:long>>")), lambda s: s["token"]).alias("shared")), "left")
+    left = stored(left.where(F.col("own") < room).select("sid", F.col("sid").alias("uid"), "n", "own", F.transform(F.coalesce("shared", F.array().cast("array<struct<df:long,token:long>>")), lambda s: s["token"]).alias("shared")), "left")
     ids = left.select("uid")
     texts = rows.join(F.broadcast(ids) if left.count() <= BROADCAST_ROWS else ids, "uid", "left_semi")
     sets = stored(_prefixes(left.join(texts.select("uid", "text"), "uid"), k, num, den), "sets")
@@ -314,10 +352,14 @@ def joined(rows: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) ->
     if not den * 6 < num * 10 <= den * 10:
         raise ValueError("the threshold has to be above 0.6 and 1 at most")
     sigs = stored(signatures(rows, k, num, den), "signatures")
-    roots = components(set_links(rows.select("uid", "text"), sigs, k, num, den))
-    own = rows.select(F.col("uid").alias("__u"), "id").join(sigs.select("uid", "n", "sid"), F.col("__u") == F.col("uid"))
-    label = F.coalesce("root", F.col("sid"))
-    labelled = stored(own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("uid", "id", "n", F.when(F.col("n") > 0, label).alias("label")), "labels")
+    named = distinct_sets(sigs)
+    roots = components(set_links(rows.select("uid", "text"), sigs, named, k, num, den))
+    of_set = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("hash", "hash2", F.coalesce("root", "sid").alias("label"))
+    # stored, so that the join with rows, of which many may have one set, is one of plain shuffles
+    of_set = stored(of_set, "set_labels")
+    own = rows.select(F.col("uid").alias("__u"), "id").join(sigs.select("uid", "n", "hash", "hash2"), F.col("__u") == F.col("uid"))
+    # rows without words have no set
+    labelled = stored(own.join(of_set, ["hash", "hash2"], "left").select("uid", "id", "n", F.when(F.col("n") > 0, F.col("label")).alias("label")), "labels")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid"))
     # stored, so that the join is one of plain shuffles, whose hot labels Spark can split
     least = stored(labelled.where("n > 0").groupBy("label").agg(first.alias("first")), "least")
