@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tidechart.operators.materialize import materialized
 from tidechart.operators.ranking import top_n
 
+#: Heads of lists are broadcast up to so many rows; beyond that Spark chooses.
+BROADCAST_ROWS = 50_000
+
 
 @dataclass(frozen=True)
 class Smoothed:
@@ -94,7 +97,8 @@ def best_cells(observed: DataFrame, regions: DataFrame, items: DataFrame, gains:
         lists = [items.orderBy(F.desc(g), item).limit(depth) for g in gains] + [items.orderBy(item).limit(depth)]
         heads = materialized(reduce(DataFrame.unionByName, lists).distinct(), "heads")
         # at most depth rows a list for each region, and one row for the bound
-        listed = score(regions.crossJoin(F.broadcast(heads)).withColumns(zero)).select(*names)
+        sent = F.broadcast(heads) if depth * len(lists) <= BROADCAST_ROWS else heads
+        listed = score(regions.crossJoin(sent).withColumns(zero)).select(*names)
         # a cell that is observed as well has its own score there, which is not below this one
         best = first.unionByName(listed).groupBy(region, item).agg(F.max(F.struct("score", *parts)).alias("__s")).select(region, item, "__s.*")
         done = materialized(top_n(best, [region], order, n), "best")
