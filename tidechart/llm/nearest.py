@@ -1,16 +1,18 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, results merged.
 
-Vectors are dealt to shards by id hash; the number of shards grows with the fourth root of the rows, their size with
-the rest, so the walks in all stay far from the square of the rows. Each shard builds a hierarchical graph over its distinct
-vectors (equal ones are one node with its ids in order): levels drawn from the vector, M links a node and level (2M
+Vectors are dealt to shards by their length, in bands, and within a band by id hash; the number of shards of a band
+grows with the fourth root of the rows, their size with the rest, so the walks in all stay far from the square of the
+rows. Each shard builds a hierarchical graph over its distinct vectors (equal ones are one node with its ids in order): levels drawn from the vector, M links a node and level (2M
 on the ground), chosen so that a link is not nearer to another link than to the node; neighbours lie in flat integer
 arrays, -1 where open. Nodes join in batches that each search the graph built so far and one another; queries of a
-block walk in step, so a hop is a few numpy calls for the whole block. A query's beam is doubled until all but one of its
-best stay the same: of a shard, twice its even share of the k nearest, and a few more. Every shard answers every block of queries with its k best; the answers of all shards are merged.
+block walk in step, so a hop is a few numpy calls for the whole block. A query's beam is doubled until its k best stay the
+same. Every shard answers every query with its k best; the answers of all shards are merged. A graph is
+loaded once by each task that asks it, and queries pass through.
 
-The measure is the inner product. Vectors get one more component, sqrt(R^2 - |x|^2), with R the greatest length,
-which turns largest inner product into nearest by angle on one sphere; the beam keeps its best by that, and scores
-are computed on the original vectors in double precision.
+The measure is the inner product. Vectors get one more component, sqrt(R^2 - |x|^2), with R the greatest length of their
+shard: that turns largest inner product into nearest by angle on one sphere, and a few long vectors do not crowd the
+others of all lengths into a point. The beam keeps its best by that, and scores are computed on the original vectors in
+double precision.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 components take no part; equal vectors are neighbours like others; repeated ids are kept as rows and may both be
@@ -20,6 +22,7 @@ returned; an empty table gives no rows; other columns are ignored, whatever thei
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +34,11 @@ from pyspark.sql import functions as F
 from tidechart.llm.common import stored, table
 
 K, EVERY = 20, 20
-#: There are as many shards as the fourth root of the rows over SHARD says, and more where one would have over MOST rows.
-SHARD, MOST = 1_500, 500_000
-LINKS, BUILD = 16, 64
-#: Queries of a block. Of them, as many walk in step as marks of seen nodes fit in SEEN bytes.
+#: Vectors of a band of lengths, a factor of BAND wide, have as many shards as the fourth root of their number over SHARD
+#: says, and more where one would have over MOST bytes.
+BAND, SHARD, MOST = 16, 1_500, 256 << 20
+LINKS, BUILD = 16, 96
+#: Queries that a task takes at once. Of them, as many walk in step as marks of seen nodes fit in SEEN bytes.
 BLOCK, SEEN = 4096, 32 << 20
 
 
@@ -54,7 +58,7 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, w
     """(nodes, similarities) of the `width` best found for each query by best-first walks in step, best first; -1 pads."""
     m, n = len(q), len(x)
     rows = np.arange(m)
-    seen = np.zeros((m, n), bool)
+    marks = np.zeros(m * n, bool)  # what a walk has seen
     ids = np.full((m, width), -1, np.int64)
     sim = np.full((m, width), -np.inf, np.float32)
     done = np.ones((m, width), bool)
@@ -62,7 +66,7 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, w
     ids[:, :s], done[:, :s] = starts, starts < 0
     sim[:, :s] = np.where(starts >= 0, np.einsum("md,msd->ms", q, x[starts]), -np.inf)
     r, c = np.nonzero(starts >= 0)
-    seen[r, starts[r, c]] = True
+    marks[r * n + starts[r, c]] = True
     order = np.argsort(-sim, axis=1, kind="stable")
     ids, sim, done = (np.take_along_axis(a, order, 1) for a in (ids, sim, done))
     live = rows
@@ -78,19 +82,17 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, w
         take = open_ & (np.cumsum(open_, axis=1) <= most)
         done[live] |= take
         r, c = np.nonzero(take)
-        near = links[ids[live[r], c]]
-        walk, node = np.repeat(live[r], near.shape[1]), near.ravel()
-        fresh = node >= 0
-        walk, node = walk[fresh], node[fresh]
-        fresh = ~seen[walk, node]
-        walk, node = walk[fresh], node[fresh]
-        if not len(walk):
+        near = links.take(ids[live[r], c], axis=0)
+        pair = (live[r, None] * n + near)[near >= 0]
+        pair = pair[~marks.take(pair)]
+        if not len(pair):
             continue
         # one of each pair, in order of the walks
-        pair = np.unique(walk * n + node)
-        walk, node = pair // n, pair % n
-        seen[walk, node] = True
-        score = np.einsum("ij,ij->i", q[walk], x[node])
+        pair.sort()
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
+        marks[pair] = True
+        walk, node = np.divmod(pair, n)
+        score = np.einsum("ij,ij->i", q.take(walk, axis=0), x.take(node, axis=0))
         better = score > sim[walk, -1]
         walk, node, score = walk[better], node[better], score[better]
         count = np.bincount(walk, minlength=m)
@@ -203,7 +205,7 @@ def build(x: np.ndarray, ids: np.ndarray, links: int = LINKS, width: int = BUILD
 def search(graph: Graph, q: np.ndarray, k: int, settle: int) -> np.ndarray:
     """Places in the given vectors of the k best found for each query, best first; -1 pads.
 
-    The beam of a query is doubled until all but one of its `settle` best stay the same.
+    The beam of a query is doubled until its `settle` best stay the same.
     """
     n = len(graph.x)
     out = np.full((len(q), k), -1, np.int64)
@@ -223,9 +225,9 @@ def search(graph: Graph, q: np.ndarray, k: int, settle: int) -> np.ndarray:
             out[todo] = np.where(best >= 0, graph.order[np.maximum(best, 0)], -1)
             if beam >= n:
                 break
-            # wider as long as more than one of the best is new
+            # wider as long as any of the best is new
             top = found[:, :settle]
-            moved = np.ones(len(todo), bool) if last is None else (top[:, :, None] != last[:, None, :]).all(2).sum(1) > 1
+            moved = np.ones(len(todo), bool) if last is None else (top[:, :, None] != last[:, None, :]).all(2).any(1)
             todo, start, last = todo[moved], found[moved, :8], top[moved]
             beam *= 2
     return out
@@ -241,9 +243,12 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return kept.where(F.size("v") == (length["d"] if length else 0))
 
 
-def _lifted(v: np.ndarray, radius2: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(radius2 - (v * v).sum(1), 0))
-    return (np.concatenate([v, rest[:, None]], axis=1) / np.sqrt(radius2)).astype(np.float32)
+def _lifted(v: np.ndarray) -> np.ndarray:
+    """Vectors over the greatest length among them, with what they lack to it as one more component."""
+    own = v / np.abs(v).max()
+    length2 = (own * own).sum(1)
+    rest = np.sqrt(length2.max() - length2)
+    return (np.concatenate([own, rest[:, None]], axis=1) / np.sqrt(length2.max())).astype(np.float32)
 
 
 def _distinct(v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,35 +261,72 @@ def _distinct(v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return v[first[order]], ids[first[order]], place[of.ravel()]
 
 
-GRAPH = "shard long, ids array<long>, node array<int>, v array<double>, place array<int>, level array<int>, links array<array<int>>"
-NONE = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+GRAPH = "shard int, ids array<long>, node array<int>, v array<double>, place array<int>, level array<int>, links array<array<int>>"
 
 
-def graphs(vectors: DataFrame, shards: int, radius2: float) -> DataFrame:
-    """A row for each shard: its ids, the node of each, the nodes' vectors, and the graph as flat arrays. vectors: id, v."""
+def dealt(vectors: DataFrame, shards: int | None = None) -> tuple[DataFrame, int]:
+    """(shard, id, v) and the number of shards. Lengths of a shard differ by a factor of BAND at most.
+
+    shards: how many the vectors would get, were they all of one length.
+    """
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    length = F.log(top) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top))) / 2
+    banded = vectors.withColumn("band", F.round(length / np.log(BAND)).cast("int"))
+    # doubles span 2^2098, so there are some 525 bands at most
+    counts = banded.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).orderBy("band").collect()
+    total = sum(r["n"] for r in counts)
+    first, at = {}, 0
+    for r in counts:
+        fit = shards * r["n"] / total if shards else max((r["n"] / SHARD) ** 0.25, r["n"] * r["d"] * 8 / MOST)
+        first[r["band"]] = (at, max(1, round(fit)))
+        at += first[r["band"]][1]
+    if not counts:
+        return vectors.select(F.lit(0).alias("shard"), "id", "v"), 0
+    begin, many = (F.create_map(*[F.lit(x) for band, told in first.items() for x in (band, told[i])])[F.col("band")] for i in (0, 1))
+    return banded.select((begin + F.pmod(F.xxhash64("id"), many)).cast("int").alias("shard"), "id", "v"), at
+
+
+def graphs(sharded: DataFrame) -> DataFrame:
+    """A row for each shard: its ids, the node of each, the nodes' vectors, and the graph as flat arrays. sharded: shard, id, v."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
         v, first, node = _distinct(np.stack(group["v"].to_list()), group["id"].to_numpy())
-        g = build(_lifted(v, radius2), first)
+        g = build(_lifted(v), first)
         row = {
             "shard": group["shard"].iat[0], "ids": group["id"].to_numpy(), "node": node.astype(np.int32), "v": v.ravel(), "place": g.order.astype(np.int32),
             "level": g.level.astype(np.int32), "links": [x.ravel().astype(np.int32) for x in g.layers],
         }
         return pd.DataFrame([row])
 
-    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
-    return dealt.groupBy("shard").applyInPandas(run, GRAPH)
+    return sharded.groupBy("shard").applyInPandas(run, GRAPH)
+
+
+@dataclass
+class Shard:
+    """One loaded row of `graphs`."""
+
+    graph: Graph
+    v: np.ndarray
+    ids: np.ndarray
+    node: np.ndarray
+
+    @classmethod
+    def of(cls, row: pd.Series) -> Shard:
+        ids, node, place, level = (np.asarray(row[c], np.int64) for c in ("ids", "node", "place", "level"))
+        v = np.asarray(row["v"]).reshape(len(place), -1)
+        layers = [np.asarray(x, np.int64).reshape(int((level >= i).sum()), -1) for i, x in enumerate(row["links"])]
+        return cls(Graph(_lifted(v)[place], layers, level, 0, place), v, ids, node)
 
 
-def answers(graph: Graph, v: np.ndarray, ids: np.ndarray, node: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, shards: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): up to k best ids of each query, other than its own, from one graph of `shards`.
+def answers(graph: Graph, v: np.ndarray, ids: np.ndarray, node: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): up to k best ids of each query, other than its own, from one graph.
 
     ids ascend; node: the place in v of each. A node answers with its k + 1 least ids, of which one may be the query's.
     """
-    size = np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-    settle = min(k, -(-2 * k // shards) + 4)
-    found = search(graph, np.concatenate([q / size, np.zeros((len(q), 1))], axis=1).astype(np.float32), k + 8, settle)
+    unit = q / np.abs(q).max(axis=1, keepdims=True)
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    found = search(graph, np.concatenate([unit, np.zeros((len(q), 1))], axis=1).astype(np.float32), k + 8, k)
     by_node = np.argsort(node, kind="stable")
     begin = np.searchsorted(node[by_node], np.arange(len(v) + 1))
     row, c = np.nonzero(found >= 0)
@@ -305,32 +347,33 @@ def answers(graph: Graph, v: np.ndarray, ids: np.ndarray, node: np.ndarray, q: n
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, shards: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query among vectors of other ids. Both: id, v.
 
-    A task holds one shard's graph and one block of queries.
+    A task loads the graph of one shard and sends queries through it, some at a time. Each shard has as many such tasks
+    as the session's parallelism takes, whatever the number of queries.
     """
-    vectors = stored(vectors, "vectors")
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    stats = vectors.select(length.alias("s")).agg(F.count("*").alias("n"), F.max("s").alias("r")).first()
-    radius2 = float(stats["r"] or 1.0)
-    shards = shards or max(1, round(max((stats["n"] / SHARD) ** 0.25, stats["n"] / MOST)))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    built = stored(graphs(vectors, shards, radius2), "graphs")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = built.select("*", every(blocks).alias("block"))
-    asked = queries.select(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).alias("block"), F.col("id").alias("query_id"), F.col("v").alias("q"), every(shards).alias("shard"))
-
-    def answer(key, one: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(right):
-            return NONE
-        row = one.iloc[0]
-        ids, node, place, level = (np.asarray(row[c], np.int64) for c in ("ids", "node", "place", "level"))
-        v = np.asarray(row["v"]).reshape(len(place), -1)
-        layers = [np.asarray(x, np.int64).reshape(int((level >= i).sum()), -1) for i, x in enumerate(row["links"])]
-        graph = Graph(_lifted(v, radius2)[place], layers, level, 0, place)
-        qid = right["query_id"].to_numpy()
-        r, own, score = answers(graph, v, ids, node, np.stack(right["q"].to_list()), qid, k, shards)
-        return pd.DataFrame({"query_id": qid[r], "id": own, "score": score})
-
-    found = left.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "query_id long, id long, score double")
+    sharded, shards = dealt(stored(vectors, "vectors"), shards)
+    parts = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // max(shards, 1)))
+    built = stored(graphs(sharded), "graphs")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = built.select("*", every(parts).alias("part"), F.lit(0).cast("long").alias("query_id"))
+    asked = queries.select(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int").alias("part"), F.col("id").alias("query_id"), F.col("v").alias("q"), every(max(shards, 1)).alias("shard"))
+    both = held.unionByName(asked, allowMissingColumns=True)
+    # the graph comes before the queries
+    placed = both.repartitionById(max(shards, 1) * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("shard", "part", F.col("ids").isNull())
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = None
+        for batch in batches:
+            starts = batch["ids"].notna().to_numpy()
+            for _, run in batch.groupby(np.cumsum(starts)):
+                if run["ids"].iat[0] is not None:
+                    shard, run = Shard.of(run.iloc[0]), run.iloc[1:]
+                for lo in range(0, len(run) if shard else 0, BLOCK):
+                    some = run.iloc[lo : lo + BLOCK]
+                    qid = some["query_id"].to_numpy(np.int64)
+                    r, own, score = answers(shard.graph, shard.v, shard.ids, shard.node, np.stack(some["q"].to_list()), qid, k)
+                    yield pd.DataFrame({"query_id": qid[r], "id": own, "score": score})
+
+    found = placed.mapInPandas(answer, "query_id long, id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
