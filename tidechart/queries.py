@@ -13,7 +13,7 @@ from tidechart.functions import scoring, text
 from tidechart.operators import detection, ranking, snapshots
 from tidechart.operators.materialize import materialized
 from tidechart.operators.smoothing import Smoothed
-from tidechart.plans import insights, popularity, regional, resolution, serving, similarity
+from tidechart.plans import insights, popularity, regional, resolution, search_index, serving, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -690,6 +690,27 @@ def item_search(rel: Rel) -> DataFrame:
     return serving.search(own, "Ré", "search_text", "p_retailprice", "p_partkey").select("p_partkey", "p_name", "p_retailprice")
 
 
+#: Words of names, looked for in all names; every word that a name has is a query.
+WORDS = f"words AS (SELECT DISTINCT w AS q FROM (SELECT unnest(string_split({SLUG.format('p_name')}, ' ')) AS w FROM {{part}}) x WHERE w <> '')"
+
+
+@query(f"""WITH {WORDS}, named AS (SELECT *, {SLUG.format('p_name')} AS st FROM {{part}})
+  SELECT * FROM (SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank, p_partkey, p_name FROM words JOIN named ON contains(st, q)) r WHERE rank <= 20""")
+def indexed_search(rel: Rel) -> DataFrame:
+    own = rel("part").withColumn("search_text", text.norm_text(F.col("p_name")))
+    words = own.select(F.explode(F.split("search_text", " ")).alias("q")).where("q <> ''")
+    index = search_index.build_index(own, "search_text", "p_partkey")
+    return search_index.search_many(own, index, words, "search_text", "p_retailprice", "p_partkey").select("q", "rank", "p_partkey", "p_name")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y%m%d%H') AS hour, region, count(*) FILTER (WHERE action = 'play') AS plays, count(*) FILTER (WHERE action = 'skip') AS skips, count(*) FILTER (WHERE action = 'like') AS likes, count(DISTINCT user_id) AS listeners FROM {listens} GROUP BY 1, 2")
+def listeners_by_hour(rel: Rel) -> DataFrame:
+    from tidechart.streaming.sketches import minute_sketches, rolled_up
+
+    hours = rolled_up(minute_sketches(rel("listens")), "hour", ("region",))
+    return hours.select(F.date_format("at", "yyyyMMddHH").alias("hour"), "region", "plays", "skips", "likes", "listeners")
+
+
 MERGE = TREND + ", " + LIVE.replace("item, count", "CAST(substr(item, 2) AS BIGINT) + 1 AS item, count") + """, top50 AS (SELECT * FROM ranked WHERE rank <= 50),
  ba AS (SELECT region, item, rank AS batch_rank, score / max(score) OVER (PARTITION BY region) AS batch, c_national / score AS s_n, c_trends / score AS s_t, c_mentions / score AS s_m, c_events / score AS s_e FROM top50),
  pl AS (SELECT region, item, (plays + 2 * likes) / nullif(max(plays + 2 * likes) OVER (PARTITION BY region), 0) AS live FROM lp),
