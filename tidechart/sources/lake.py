@@ -31,6 +31,13 @@ def read_raw(spark: SparkSession, base: str, topic: str, schema: T.StructType, s
     return raw.select(F.from_json("value", schema).alias("v"), "kafka_ts", "dt").select("v.*", "kafka_ts", "dt")
 
 
+def stream_options(kind: str, max_per_trigger: int) -> dict[str, object]:
+    """What a source is given besides its own options: how much a trigger takes, and where Kafka starts and goes on."""
+    if kind == "kafka":
+        return {"startingOffsets": "earliest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": max_per_trigger}
+    return {"maxFilesPerTrigger": max_per_trigger}
+
+
 def event_stream(spark: SparkSession, source: dict[str, str], max_per_trigger: int, schema: T.StructType | None = None) -> DataFrame:
     """A stream of raw rows. source: options of a reader, with its format under "format" and a path under "path".
 
@@ -39,11 +46,7 @@ def event_stream(spark: SparkSession, source: dict[str, str], max_per_trigger: i
     """
     options = dict(source)
     kind, path = options.pop("format"), options.pop("path", None)
-    reader = spark.readStream.format(kind)
-    if kind == "kafka":
-        reader = reader.option("startingOffsets", "earliest").option("failOnDataLoss", "false").option("maxOffsetsPerTrigger", max_per_trigger)
-    else:
-        reader = reader.option("maxFilesPerTrigger", max_per_trigger)
+    reader = spark.readStream.format(kind).options(**stream_options(kind, max_per_trigger))
     if schema is not None:
         reader = reader.schema(schema)
     reader = reader.options(**options)
