@@ -36,10 +36,14 @@ def once_each(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def plays_by_minute(events: DataFrame, region: str = "region", item: str = "item") -> DataFrame:
-    """window, region, item, plays, skips, likes, listeners (approximate), last_ts_ms. events: ts, ts_ms, user_id, action."""
+def plays_by_minute(events: DataFrame, region: str = "region", item: str = "item", exact: bool = False) -> DataFrame:
+    """window, region, item, plays, skips, likes, listeners, last_ts_ms. events: ts, ts_ms, user_id, action.
+
+    Listeners are approximate, as streams can count them, or `exact` in batches.
+    """
+    listeners = F.count_distinct("user_id") if exact else F.approx_count_distinct("user_id")
     count = lambda a: F.count_if(F.col("action") == a)
-    return events.groupBy(F.window("ts", "1 minute"), region, item).agg(count("play").alias("plays"), count("skip").alias("skips"), count("like").alias("likes"), F.approx_count_distinct("user_id").alias("listeners"), F.max("ts_ms").alias("last_ts_ms"))
+    return events.groupBy(F.window("ts", "1 minute"), region, item).agg(count("play").alias("plays"), count("skip").alias("skips"), count("like").alias("likes"), listeners.alias("listeners"), F.max("ts_ms").alias("last_ts_ms"))
 
 
 def plays_docs(counts: DataFrame, region: str = "region", item: str = "item") -> DataFrame:
