@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -38,6 +39,11 @@ def _letters() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is made once for a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     """Letters without their marks; null is empty."""
     return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), *_letters()), r"\p{Mn}+", "")
@@ -97,10 +103,10 @@ def clean_channel_name(c: Column) -> Column:
     return _or(n, own)
 
 
-def _is_artist(segment: Column, artists: Column) -> Column:
-    seg = compact(segment)
-    hit = F.exists(artists, lambda a: (F.length(compact(clean_channel_name(a))) >= 3) & (F.contains(seg, compact(clean_channel_name(a))) | F.contains(compact(clean_channel_name(a)), seg)))
-    return (F.length(seg) >= 2) & F.coalesce(hit, F.lit(False))
+def _is_artist(segment: Column, forms: Column) -> Column:
+    """Is a segment an artist's name? forms: compact names without what says channel."""
+    hit = _let(compact(segment), lambda seg: F.when(F.length(seg) >= 2, F.exists(forms, lambda a: (F.length(a) >= 3) & (F.contains(seg, a) | F.contains(a, seg)))))
+    return F.coalesce(hit, F.lit(False))
 
 
 def _halves(c: Column) -> Column:
@@ -113,24 +119,28 @@ def clean_video_title(title: Column, artists: Column) -> Column:
     Parts between pipes that are noise or name only the artist go; of "a - b" the side that is not the artist
     stays.
     """
-    names = split_artist_list(artists)
     full = F.coalesce(title, F.lit(""))
     parts = F.filter(F.transform(F.split(full, "[|｜]"), lambda x: _strip(x, QUOTES)), lambda x: x != "")
-    loud = F.filter(parts, lambda x: ~F.rlike(x, F.lit(_U + rf"\b(?:{VIDEO_WORDS})\b")))
-    keep = F.when(F.size(loud) > 0, loud).otherwise(F.slice(parts, 1, 1))
-    whole = F.transform(names, lambda a: compact(a))
+    noisy = lambda x: F.rlike(x, F.lit(_U + rf"\b(?:{VIDEO_WORDS})\b"))
+    keep = _let(parts, lambda p: _let(F.filter(p, lambda x: ~noisy(x)), lambda loud: F.when(F.size(loud) > 0, loud).otherwise(F.slice(p, 1, 1))))
+    named = lambda names: F.struct(F.transform(names, lambda a: compact(a)).alias("whole"), F.transform(names, lambda a: compact(clean_channel_name(a))).alias("forms"))
+
+    def sides(x: Column, n: Column, told: Callable[[Column, Column, Column], Column]) -> Column:
+        """`told` of the halves of x (halves, whether the left one is an artist, the right one)."""
+        return _let(_halves(x), lambda two: _let(F.struct(_is_artist(two[0], n["forms"]).alias("l"), _is_artist(F.get(two, F.lit(1)), n["forms"]).alias("r")), lambda is_: told(two, is_["l"], is_["r"])))
+
+    def song(x: Column, n: Column) -> Column:
+        mixed = sides(x, n, lambda two, left, right: (F.size(two) == 2) & (left != right))
+        return ~F.array_contains(n["whole"], compact(x)) & (mixed | ~_is_artist(x, n["forms"]))
 
-    def song(x: Column) -> Column:
-        two = _halves(x)
-        mixed = (F.size(two) == 2) & (_is_artist(two[0], names) != _is_artist(F.get(two, F.lit(1)), names))
-        return ~F.array_contains(whole, compact(x)) & (mixed | ~_is_artist(x, names))
+    def side(x: Column, n: Column) -> Column:
+        return sides(x, n, lambda two, left, right: F.when((F.size(two) == 2) & left & ~right, F.get(two, F.lit(1))).when((F.size(two) == 2) & right & ~left, two[0]).otherwise(x))
 
-    some = F.filter(keep, song)
-    chosen = F.coalesce(F.get(F.when(F.size(some) > 0, some).otherwise(keep), F.lit(0)), full)
-    two = _halves(chosen)
-    left, right = two[0], F.get(two, F.lit(1))
-    side = F.when((F.size(two) == 2) & _is_artist(left, names) & ~_is_artist(right, names), right).when((F.size(two) == 2) & _is_artist(right, names) & ~_is_artist(left, names), left).otherwise(chosen)
-    return clean_title(_strip(side, QUOTES))
+    def chosen(n: Column, kept: Column) -> Column:
+        return _let(F.filter(kept, lambda x: song(x, n)), lambda some: F.coalesce(F.get(F.when(F.size(some) > 0, some).otherwise(kept), F.lit(0)), full))
+
+    own = _let(split_artist_list(artists), named)
+    return clean_title(_strip(_let(own, lambda n: _let(keep, lambda kept: _let(chosen(n, kept), lambda x: side(x, n)))), QUOTES))
 
 
 def track_key(title: Column, artists: Column) -> Column:
@@ -173,27 +183,29 @@ LIST_TOP, LIST_PRAISE, LIST_SONGS = r"^top\s*\d+\s*", r"\s*(hay nhất|việt na
 def genre_bucket(genres: Column, title: Column, artists: Column) -> Column:
     """A common bucket for an array of genre names, with the title and artists as hints of origin."""
     joined = F.array_join(F.transform(F.filter(genres, lambda g: g.isNotNull() & (g != "")), lambda g: norm_text(g)), " | ")
-    joined = F.coalesce(joined, F.lit(""))
     accents = has_diacritics(title) | F.coalesce(F.exists(split_artist_list(artists), lambda a: has_diacritics(a)), F.lit(False))
 
-    def has(*words: str) -> Column:
-        out = F.contains(joined, F.lit(words[0]))
+    def has(text: Column, *words: str) -> Column:
+        out = F.contains(text, F.lit(words[0]))
         for w in words[1:]:
-            out = out | F.contains(joined, F.lit(w))
+            out = out | F.contains(text, F.lit(w))
+        return out
+
+    def first(text: Column, marked: Column, domestic: Column) -> Column:
+        out = F.when(domestic, F.lit("V-Pop")).otherwise(F.lit("Khác"))
+        for rule in reversed(GENRE_RULES):
+            bucket, applies = F.lit(rule["bucket"]), has(text, *rule["words"])
+            if "domestic_bucket" in rule:
+                bucket = F.when(domestic, F.lit(rule["domestic_bucket"])).otherwise(bucket)
+            if rule.get("only_without_accents"):
+                applies = applies & ~marked
+            if rule.get("only_without_viet"):
+                applies = applies & ~has(text, "viet")
+            out = F.when(applies, bucket).otherwise(out)
         return out
 
-    domestic = accents | has(*DOMESTIC_WORDS)
-    out = F.when(domestic, F.lit("V-Pop")).otherwise(F.lit("Khác"))
-    for rule in reversed(GENRE_RULES):
-        bucket, applies = F.lit(rule["bucket"]), has(*rule["words"])
-        if "domestic_bucket" in rule:
-            bucket = F.when(domestic, F.lit(rule["domestic_bucket"])).otherwise(bucket)
-        if rule.get("only_without_accents"):
-            applies = applies & ~accents
-        if rule.get("only_without_viet"):
-            applies = applies & ~has("viet")
-        out = F.when(applies, bucket).otherwise(out)
-    return out
+    told = F.struct(F.coalesce(joined, F.lit("")).alias("text"), accents.alias("marked"))
+    return _let(told, lambda t: _let(t["marked"] | has(t["text"], *DOMESTIC_WORDS), lambda domestic: first(t["text"], t["marked"], domestic)))
 
 
 def genre_hint(c: Column) -> Column:

@@ -51,6 +51,11 @@ def materialized(df: DataFrame, name: str = "rows") -> DataFrame:
     return written(df, f"{shared_folder(df.sparkSession)}/tidechart-{uuid.uuid4().hex}/{name}")
 
 
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """`df` in parts of some `rows`, by columns or evenly: small files of costly rows are not one task's work."""
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
 class Rounds:
     """Results of an iteration. Each is written; those that no later round can read are deleted."""
 
