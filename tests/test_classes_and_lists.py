@@ -19,3 +19,11 @@ def test_copies_are_members_and_names_pairs(spark):
     assert len(got) == 304
     assert sorted((r.block, r.a, r.b) for r in got if r.kind == "pair") == [("t", 1, 500)]
     assert {r.b: r.a for r in got if r.kind == "member"} == {**{i: 1 for i in range(1, 301)}, 500: 500, 501: 501, 502: 502}
+
+
+def test_runs_are_made_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(search_index, "ENTRIES", 100)
+    own = spark.range(1000).select("id", F.concat(F.lit("song "), F.col("id")).alias("text")).coalesce(1)
+    runs = search_index.letter_runs(own, "text", "id")
+    assert runs.rdd.getNumPartitions() == 10
+    assert runs.where("run = 'son'").count() == 1000 and runs.count() == runs.distinct().count()

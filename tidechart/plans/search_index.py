@@ -26,6 +26,8 @@ from tidechart.sources.sinks import write_view
 
 #: Letters of a run, and how many of a query's lists are intersected before texts are compared.
 RUN, LISTS = 3, 2
+#: Entries whose runs one task makes.
+ENTRIES = 50_000
 
 
 @dataclass
@@ -42,8 +44,10 @@ def _runs_of(text: str, n: int) -> Column:
 def letter_runs(catalog: DataFrame, text: str, key: str) -> DataFrame:
     """run, key: the runs of one to RUN letters of each entry, once each. A run that all hold is spread by key."""
     runs = F.array_distinct(F.concat(*[_runs_of(text, n) for n in range(1, RUN + 1)]))
-    rows = catalog.select(F.explode(runs).alias("run"), F.col(key).alias("key")).where("run <> ''").distinct()
-    return rows.repartitionByRange("run", "key").sortWithinPartitions("run", "key")
+    parts = max(1, -(-catalog.count() // ENTRIES))
+    own = catalog.select(F.col(text), F.col(key).alias("key")).repartition(parts, "key")
+    rows = own.select(F.explode(runs).alias("run"), "key").where("run <> ''").distinct()
+    return rows.repartitionByRange(parts, "run", "key").sortWithinPartitions("run", "key")
 
 
 def run_sizes(postings: DataFrame) -> DataFrame:
