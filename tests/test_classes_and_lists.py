@@ -21,6 +21,25 @@ def test_copies_are_members_and_names_pairs(spark):
     assert {r.b: r.a for r in got if r.kind == "member"} == {**{i: 1 for i in range(1, 301)}, 500: 500, 501: 501, 502: 502}
 
 
+def test_lists_of_similar_items(spark):
+    rng = random.Random(5)
+    artist = {i: rng.choice("xyz") for i in range(40)}
+    baskets = spark.createDataFrame([(f"b{b}", i, at, 1.0) for b in range(30) for at, i in enumerate(rng.sample(range(40), 5))], "basket string, item long, position long, w double")
+    items = spark.createDataFrame([(i, a) for i, a in artist.items()] + [(3, "w"), (4, "w")], "item long, artist string")
+    by = {i: {a, "w"} if i in (3, 4) else {a} for i, a in artist.items()}
+    sims = {(r.ka, r.kb): r.sim for r in similarity.pair_similarity(similarity.capped_baskets(baskets)).collect()}
+    want = {}
+    for i in range(40):
+        told = []
+        for j in range(40):
+            s = sims.get((min(i, j), max(i, j)), 0.0) + (0.15 if by[i] & by[j] else 0.0)
+            if i != j and s > 0:
+                told.append((-round(s, 9), j))
+        want[i] = [j for _, j in sorted(told)[:7]]
+    lists = similarity.similar_lists(baskets, items, k=7)
+    assert {r["item"]: [s.neighbour for s in r.similar] for r in lists.collect()} == want
+
+
 def test_runs_are_made_in_parts(spark, monkeypatch):
     monkeypatch.setattr(search_index, "ENTRIES", 100)
     own = spark.range(1000).select("id", F.concat(F.lit("song "), F.col("id")).alias("text")).coalesce(1)
