@@ -7,6 +7,21 @@ from tidechart.operators.ranking import over_best, ranked
 from tidechart.plans import serving
 
 
+def test_ranked_by_ranges(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), F.col("id") % 3)).alias("g"), (F.col("id") * 7919 % 50).alias("v"), "id")
+    got = {r["id"]: (r["rank"], r["size"]) for r in ranked(df, ["g"], [F.desc("v"), F.col("id")], "rank", "size", rows=100).collect()}
+    want = {}
+    for k in range(3):
+        own = sorted((i for i in range(3000) if i % 3 == k), key=lambda i: (-(i * 7919 % 50), i))
+        want |= {i: (at + 1, len(own)) for at, i in enumerate(own)}
+    assert got == want
+
+
+def test_over_best(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 0.0), (None, 2.0)], "g string, v double")
+    assert sorted(((r.g, r.v, r.o) for r in over_best(df, "v", ["g"], "o").collect()), key=repr) == [("a", 1.0, 0.25), ("a", 4.0, 1.0), ("b", 0.0, None), (None, 2.0, 1.0)]
+
+
 def test_forms_are_not_one_task(spark, small, monkeypatch):
     monkeypatch.setattr(queries, "FORMS_A_PART", 50)
     assert queries.QUERIES["title_forms"](spark, small).rdd.getNumPartitions() >= 4

@@ -9,6 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidechart.operators.materialize import materialized
+from tidechart.operators.ranking import ranked
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SPARK_WORDS = {"@epoch_us(": "unix_micros(", "@ts(": "timestamp(", "@double": "DOUBLE"}
@@ -80,18 +84,74 @@ def _names(sql: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", sql)
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def spark_sql(spark: SparkSession, sf_dir: str, sql: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
     """Run SQL text whose names in braces are tables or relations."""
     for word, spelled in SPARK_WORDS.items():
         sql = sql.replace(word, spelled)
-    frames = {n: spark_relation(spark, sf_dir, n) for n in dict.fromkeys(_names(sql))}
+    frames = {n: spark_relation(spark, sf_dir, n, known) for n in dict.fromkeys(_names(sql))}
     return spark.sql(sql, **frames)
 
 
-def spark_relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark_sql(spark, sf_dir, RELATIONS[name])
+def _chart_entries(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
+    """Only the first 50 of a snapshot are kept before their former ranks and sizes are told: both hang on no other row."""
+    top = """
+        SELECT chart_id, source, month_no, item, metric_value, rnk
+        FROM (SELECT *, row_number() OVER (PARTITION BY chart_id, month_no ORDER BY metric_value DESC, item) AS rnk
+              FROM (SELECT concat(c_mktsegment, '|', l_returnflag) AS chart_id, c_mktsegment AS source,
+                           CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month_no, l_partkey AS item,
+                           round(sum(l_extendedprice * (1 - l_discount)), 4) AS metric_value
+                    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+                    GROUP BY 1, 2, 3, 4) t) r
+        WHERE rnk <= 50"""
+    first = materialized(spark_sql(spark, sf_dir, top, known), "charts")
+    return spark.sql(
+        """
+        SELECT chart_id, source, concat(CAST((month_no - 1) DIV 12 AS STRING), '-', lpad(CAST((month_no - 1) % 12 + 1 AS STRING), 2, '0')) AS snapshot_id,
+               month_no, item, CAST(rnk AS INT) AS rank, CAST(count(*) OVER (PARTITION BY chart_id, month_no) AS INT) AS chart_size, metric_value,
+               CAST(CASE WHEN lag(month_no) OVER (PARTITION BY chart_id, item ORDER BY month_no) = month_no - 1
+                         THEN lag(rnk) OVER (PARTITION BY chart_id, item ORDER BY month_no) END AS INT) AS previous_rank
+        FROM {first}""",
+        first=first,
+    )
+
+
+def _country_charts(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
+    """Countries and years are few and their charts long, so ranks are counted by ranges."""
+    sums = """
+        SELECT n_name AS country, CAST(year(o_orderdate) AS STRING) AS period, l_partkey AS item,
+               round(sum(l_extendedprice * (1 - l_discount)), 4) AS metric_value
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+        GROUP BY 1, 2, 3"""
+    own = ranked(spark_sql(spark, sf_dir, sums, known), ["country", "period"], [F.desc("metric_value"), F.col("item")], "rank", "chart_size")
+    return materialized(own.select("country", "period", "item", "rank", "chart_size", "metric_value"), "charts")
+
+
+def _trend_obs(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
+    """The shares of the anchor are a row for each fine region; no window holds a region."""
+    shares = materialized(spark_relation(spark, sf_dir, "shares", known), "shares")
+    # one row
+    anchor = shares.groupBy(F.col("item").alias("anchor")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "anchor").limit(1).select("anchor")
+    weights = spark_sql(spark, sf_dir, "SELECT n_name AS fine, CAST(count(*) AS @double) AS fine_weight FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name", known)
+    told = shares.crossJoin(F.broadcast(anchor)).withColumn("is_anchor", F.col("item") == F.col("anchor"))
+    at_anchor = told.where("is_anchor").groupBy("fine").agg(F.max("share").alias("anchor_share"))
+    # a row for each fine region
+    own = told.join(F.broadcast(weights.join(at_anchor, "fine", "left")), "fine")
+    return own.select("fine", "coarse", "item", F.col("share").cast("double").alias("share"), "anchor_share", (F.col("share") > 0).alias("has_data"), "is_anchor", "fine_weight")
+
+
+#: Relations that Spark makes in a form of its own, with the rows of the text above.
+BUILT = {"chart_entries": _chart_entries, "country_charts": _country_charts, "trend_obs": _trend_obs}
+
+
+def spark_relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table or relation. known: those that are built already, by name; new ones are put there."""
+    known = {} if known is None else known
+    if name not in known:
+        if name in TABLES:
+            known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            known[name] = BUILT[name](spark, sf_dir, known) if name in BUILT else spark_sql(spark, sf_dir, RELATIONS[name], known)
+    return known[name]
 
 
 def duck(sql: str) -> str:

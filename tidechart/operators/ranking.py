@@ -6,12 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidechart.operators.materialize import materialized
+
+#: Rows that one task ranks.
+RANK_ROWS = 100_000
+
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group by a total order, with their rank."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", size: str | None = None, rows: int | None = None) -> DataFrame:
+    """`df` with the place of each row in its group by a total order, and the group's number of rows, where groups are few and long.
+
+    Rows are dealt to ranges of group and order, so no task holds a group; the counts of ranges tell where each begins.
+    """
+    own = materialized(df, "unranked")
+    # one task's rows in a range; shuffles by range and then by its number alone
+    parts = max(1, -(-own.count() // (rows or RANK_ROWS)))
+    dealt = materialized(own.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    group = W.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    told = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__of"), before.alias("__before"), F.sum("__n").over(group).alias("__size"))
+    inside = dealt.repartition(parts, "__part").withColumn("__in", F.row_number().over(W.partitionBy("__part", *by).orderBy(*order)))
+    same = F.col("__part") == F.col("__of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    # a row for each range of a group
+    out = inside.join(F.broadcast(told), same).withColumn(rank, (F.col("__before") + F.col("__in")).cast("int"))
+    return out.select(*df.columns, rank, *([F.col("__size").cast("int").alias(size)] if size else []))
+
+
+def over_best(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
+    """`df` with a column over its group's maximum; null where that is 0. Groups are few: their maxima are sent, no group is one task."""
+    best = df.groupBy(*by).agg(F.max(col).alias("__best")).select(*[F.col(c).alias(f"__by_{c}") for c in by], "__best")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return df.join(F.broadcast(best), same).select(*df.columns, F.try_divide(F.col(col), F.col("__best")).alias(out))
+
+
 def norm_by_max(col: str, by: list[str], floor: float | None = None) -> Column:
     """A column over its group's maximum; null where that is 0, unless `floor` bounds it."""
     top = F.max(col).over(W.partitionBy(*by))

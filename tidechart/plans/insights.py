@@ -7,9 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidechart.functions.scoring import placement_score
+from tidechart.operators.materialize import spread
 from tidechart.operators.ranking import lag_join, skip_rate
 from tidechart.operators.snapshots import completeness, dedup, dedup_latest
 
+#: Rows of charts whose life cycles one task tells.
+LIFE_ROWS = 100_000
+
 
 def lifecycle_facts(charts: DataFrame) -> DataFrame:
     """chart, item, best_rank, periods, last_period, first_period, recent: the last three (period, rank), newest first."""
@@ -44,7 +48,8 @@ def track_lifecycle(charts: DataFrame, stable_range: int = 3) -> DataFrame:
     periods decide: rising, falling, stable (ranks within `stable_range`), fluctuating; fewer are
     insufficient_data. An item absent from the chart's last period is left_chart if that one is complete.
     """
-    return lifecycle_status(lifecycle_facts(charts), chart_ends(charts), stable_range)
+    # a chart's items are dealt by number of rows, and stay where they are for all facts
+    return lifecycle_status(lifecycle_facts(spread(charts, LIFE_ROWS, "chart", "item")), chart_ends(charts), stable_range)
 
 
 def exposures(lists: DataFrame) -> DataFrame:
