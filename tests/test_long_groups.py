@@ -22,6 +22,15 @@ def test_over_best(spark):
     assert sorted(((r.g, r.v, r.o) for r in over_best(df, "v", ["g"], "o").collect()), key=repr) == [("a", 1.0, 0.25), ("a", 4.0, 1.0), ("b", 0.0, None), (None, 2.0, 1.0)]
 
 
+def test_merged_ranks_hold_no_region_in_a_task(spark):
+    batch = spark.createDataFrame([("r", i, i, float(9 - i), 1.0, 0.0, 0.0, 0.0) for i in range(1, 5)], "region string, item long, rank int, score double, c_national double, c_trends double, c_mentions double, c_events double")
+    plays = spark.createDataFrame([("r", 9, 3, 0)], "region string, item long, plays long, likes long")
+    mentions = spark.createDataFrame([("r", 4, 2.0)], "region string, item long, mentions double")
+    got = serving.merge_trending(batch, plays, mentions)
+    assert [r.item for r in got.orderBy("rank").collect()] == [9, 4, 1, 2, 3]
+    assert "row_number() windowspecdefinition(region" not in got._jdf.queryExecution().analyzed().toString()
+
+
 def test_forms_are_not_one_task(spark, small, monkeypatch):
     monkeypatch.setattr(queries, "FORMS_A_PART", 50)
     assert queries.QUERIES["title_forms"](spark, small).rdd.getNumPartitions() >= 4

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidechart.functions.text import norm_text
-from tidechart.operators.ranking import top_n
+from tidechart.operators.ranking import over_best, ranked, top_n
 
 PARTS = ("national", "trends", "mentions", "events")
 
@@ -19,18 +19,17 @@ def merge_trending(batch: DataFrame, plays: DataFrame, mentions: DataFrame, mode
     likes of the last minutes; mentions: region, item, mentions of the last days. Each side counts relative
     to its best in the region. Only positive scores are ranked. Modes: batch, realtime, merged.
     """
-    best = lambda c: F.try_divide(F.col(c), F.max(c).over(W.partitionBy("region")))
-    a = batch.select("region", "item", F.col("rank").alias("batch_rank"), best("score").alias("batch"), *[F.coalesce(F.try_divide(F.col(f"c_{p}"), F.col("score")), F.lit(0.0)).alias(f"s_{p}") for p in PARTS])
-    p = plays.withColumn("load", F.col("plays") + 2 * F.col("likes")).select("region", "item", best("load").alias("live"))
-    m = mentions.select("region", "item", best("mentions").alias("said"))
+    a = over_best(batch, "score", ["region"], "batch").select("region", "item", F.col("rank").alias("batch_rank"), "batch", *[F.coalesce(F.try_divide(F.col(f"c_{p}"), F.col("score")), F.lit(0.0)).alias(f"s_{p}") for p in PARTS])
+    p = over_best(plays.withColumn("load", F.col("plays") + 2 * F.col("likes")), "load", ["region"], "live").select("region", "item", "live")
+    m = over_best(mentions, "mentions", ["region"], "said").select("region", "item", "said")
     own = a.join(p, ["region", "item"], "full_outer").join(m, ["region", "item"], "full_outer").fillna(0.0, ["batch", "live", "said", *[f"s_{x}" for x in PARTS]])
     w = {"batch": (1.0, 0.0, 0.0), "realtime": (0.0, 0.8, 0.2), "merged": weights}[mode]
     part = {x: w[0] * F.col("batch") * F.col(f"s_{x}") for x in PARTS}
     part["mentions"] = part["mentions"] + w[2] * F.col("said")
     part["events"] = part["events"] + w[1] * F.col("live")
     scored = own.withColumns({f"p_{x}": part[x] for x in PARTS}).withColumn("score", sum(F.col(f"p_{x}") for x in PARTS)).where("score > 0")
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("region").orderBy(F.desc(F.round("score", 9)), "item")))
-    return ranked.select("region", "item", "score", "rank", "batch_rank", (F.col("batch_rank") - F.col("rank")).alias("rank_change"), *[f"p_{x}" for x in PARTS])
+    placed = ranked(scored, ["region"], [F.desc(F.round("score", 9)), F.col("item")])
+    return placed.select("region", "item", "score", "rank", "batch_rank", (F.col("batch_rank") - F.col("rank")).alias("rank_change"), *[f"p_{x}" for x in PARTS])
 
 
 def realtime_totals(plays: DataFrame, mentions: DataFrame, since: Column, mentions_since: Column) -> DataFrame:
