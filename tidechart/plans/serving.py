@@ -107,32 +107,42 @@ def system_kpis(totals: dict[str, DataFrame], evidence: DataFrame, trends: DataF
     return out.withColumn("weights", F.create_map(*[F.lit(x) for k, v in sorted(weights.items()) for x in (k, float(v))]))
 
 
-def recommend(seeds: DataFrame, similar: DataFrame | None, trending: DataFrame | None, n: int = 20, trend_weight: float = 0.35, popular: DataFrame | None = None, most_popular: int = 50) -> DataFrame:
+def recommend(seeds: DataFrame, similar: DataFrame | None, trending: DataFrame | None, n: int = 20, trend_weight: float = 0.35, popular: DataFrame | None = None, most_popular: int = 50, parts: int | None = None) -> DataFrame:
     """user_id, region, item, score, cf, trend, because, rank.
 
     seeds: user_id, region, item, w (decayed weight of what a user did); similar: item, neighbour, sim;
     trending: region, item, trend (0 to 1). Items already heard do not come back. Users of a region without trending items (all users, if
     there is no such view) get the `most_popular` first of `popular` (item, national_score) in their place.
+
+    What tells of a user comes to one place as lists, one for each seed, and is opened there: candidates of all seeds are
+    never written. parts: into how many parts users are dealt; it should grow with the seeds.
     """
+    kind = seeds.schema["item"].dataType
     users = seeds.select("user_id", "region").distinct()
+    listed = lambda item, value: F.collect_list(F.struct(F.col(item).alias("cand"), F.col(value).cast("double").alias("x")))
+    row = lambda df, what, item, w: df.select("user_id", "region", F.lit(what).alias("what"), item.cast(kind).alias("item"), w.cast("double").alias("w"), F.col("l.cand").alias("cands"), F.col("l.x").alias("xs"))
+    none = F.lit(None)
+    # a seed in one region of a user counts as heard in all
+    heard = seeds.select("user_id", "item").join(users, "user_id").withColumn("l", F.array(F.struct(F.col("item").alias("cand"), F.lit(0.0).alias("x"))))
+    told = row(heard, "heard", none, none)
     if similar is not None:
-        liked = seeds.where("w > 0").join(similar.select("item", "neighbour", "sim"), "item").withColumn("gain", F.col("w") * F.col("sim"))
-        cf = liked.groupBy("user_id", "region", F.col("neighbour").alias("cand")).agg(F.sum("gain").alias("cf"), F.max_by("item", F.struct("gain", "item")).alias("because"))
-        cf = cf.withColumn("cf", F.try_divide(F.col("cf"), F.max("cf").over(W.partitionBy("user_id"))))
-    else:
-        cf = users.select("user_id", "region", F.lit(None).cast(seeds.schema["item"].dataType).alias("cand"), F.lit(0.0).alias("cf"), F.lit(None).cast(seeds.schema["item"].dataType).alias("because")).limit(0)
-    hot = None
+        lists = similar.groupBy("item").agg(listed("neighbour", "sim").alias("l"))
+        told = told.unionByName(row(seeds.where("w > 0").join(lists, "item"), "like", F.col("item"), F.col("w")))
     if trending is not None:
-        hot = users.join(trending.select("region", F.col("item").alias("cand"), "trend"), "region")
+        told = told.unionByName(row(users.join(trending.groupBy("region").agg(listed("item", "trend").alias("l")), "region"), "hot", none, none))
     if popular is not None:
-        top = popular.orderBy(F.desc("national_score"), "item").limit(most_popular).select(F.col("item").alias("cand"), F.col("national_score").alias("trend"))
+        top = popular.orderBy(F.desc("national_score"), "item").limit(most_popular).agg(listed("item", "national_score").alias("l"))
         without = users if trending is None else users.join(trending.select("region").distinct(), "region", "left_anti")
-        # fifty rows at most, for users that have no other
-        fallback = without.join(F.broadcast(top))
-        hot = fallback if hot is None else hot.unionByName(fallback)
-    if hot is None:
-        hot = cf.select("user_id", "region", "cand", F.lit(0.0).alias("trend")).limit(0)
-    both = cf.join(hot, ["user_id", "region", "cand"], "full_outer").fillna(0.0, ["cf", "trend"])
-    fresh = both.join(seeds.select("user_id", F.col("item").alias("cand")), ["user_id", "cand"], "left_anti")
+        # one list of fifty, for users that have no other
+        told = told.unionByName(row(without.crossJoin(F.broadcast(top)), "hot", none, none))
+    own = told.repartition(parts, "user_id") if parts else told.repartition("user_id")
+    opened = own.select("user_id", "region", "what", "item", "w", F.explode(F.arrays_zip("cands", "xs")).alias("c")).select("user_id", "region", "what", "item", F.col("c.cands").alias("cand"), F.col("c.xs").alias("x"), (F.col("w") * F.col("c.xs")).alias("gain"))
+    is_ = lambda what: F.col("what") == what
+    both = opened.groupBy("user_id", "region", "cand").agg(
+        F.sum("gain").alias("cf"), F.max(F.when(is_("hot"), F.col("x"))).alias("trend"), F.max_by("item", F.when(is_("like"), F.struct("gain", "item"))).alias("because"),
+        F.max(is_("heard")).alias("heard"),
+    )
+    both = both.withColumn("cf", F.try_divide(F.col("cf"), F.max("cf").over(W.partitionBy("user_id")))).fillna(0.0, ["cf", "trend"])
+    fresh = both.where("NOT heard")
     scored = fresh.select("user_id", "region", F.col("cand").alias("item"), (F.col("cf") + trend_weight * F.col("trend")).alias("score"), "cf", "trend", "because")
     return top_n(scored, ["user_id"], [F.desc(F.round("score", 9)), F.col("item")], n)
