@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidechart.operators.materialize import materialized
 from tidechart.operators.ranking import ranked
 
+#: Orders that one task keeps while it reads their lines.
+ORDERS_A_PART = 50_000
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SPARK_WORDS = {"@epoch_us(": "unix_micros(", "@ts(": "timestamp(", "@double": "DOUBLE"}
 DUCK_WORDS = {"@epoch_us(": "epoch_us(", "@ts(": "(", "@double": "DOUBLE"}
@@ -92,6 +95,18 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str, known: dict[str, DataF
     return spark.sql(sql, **frames)
 
 
+def _sold(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
+    """Lines with what their order and customer say, joined and written once. Orders meet customers before the lines, which are many more."""
+    bought = """
+        SELECT o_orderkey, o_custkey, o_orderpriority, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month_no, c_mktsegment, c_nationkey
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+    lines = spark_sql(spark, sf_dir, "SELECT l_orderkey, l_partkey AS item, l_returnflag, l_extendedprice * (1 - l_discount) AS revenue FROM {lineitem}", known)
+    # a part's orders are few whatever their number, so they are hashed and the lines need no sort
+    parts = max(1, -(-spark_relation(spark, sf_dir, "orders", known).count() // ORDERS_A_PART))
+    own = spark_sql(spark, sf_dir, bought, known).repartition(parts, "o_orderkey").hint("shuffle_hash")
+    return materialized(lines.repartition(parts, "l_orderkey").join(own, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey"), "sold")
+
+
 def _chart_entries(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
     """Only the first 50 of a snapshot are kept before their former ranks and sizes are told: both hang on no other row."""
     top = """
@@ -103,18 +118,43 @@ def _chart_entries(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]
                     FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
                     GROUP BY 1, 2, 3, 4) t) r
         WHERE rnk <= 50"""
-    first = materialized(spark_sql(spark, sf_dir, top, known), "charts")
-    return spark.sql(
-        """
-        SELECT chart_id, source, concat(CAST((month_no - 1) DIV 12 AS STRING), '-', lpad(CAST((month_no - 1) % 12 + 1 AS STRING), 2, '0')) AS snapshot_id,
-               month_no, item, CAST(rnk AS INT) AS rank, CAST(count(*) OVER (PARTITION BY chart_id, month_no) AS INT) AS chart_size, metric_value,
+    return _entries(materialized(spark_sql(spark, sf_dir, top, known), "charts"))
+
+
+#: The name of a month.
+SNAPSHOT = "concat(CAST((month_no - 1) DIV 12 AS STRING), '-', lpad(CAST((month_no - 1) % 12 + 1 AS STRING), 2, '0'))"
+
+
+def _entries(first: DataFrame) -> DataFrame:
+    """Chart entries from the first 50 rows of snapshots."""
+    return first.sparkSession.sql(
+        f"""
+        SELECT chart_id, source, {SNAPSHOT} AS snapshot_id, month_no, item, CAST(rnk AS INT) AS rank, CAST(count(*) OVER (PARTITION BY chart_id, month_no) AS INT) AS chart_size, metric_value,
                CAST(CASE WHEN lag(month_no) OVER (PARTITION BY chart_id, item ORDER BY month_no) = month_no - 1
                          THEN lag(rnk) OVER (PARTITION BY chart_id, item ORDER BY month_no) END AS INT) AS previous_rank
-        FROM {first}""",
+        FROM {{first}}""",
         first=first,
     )
 
 
+def _latest_entries(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
+    """The entries of each chart's latest snapshot: no others tell them but those of the month before, for former ranks."""
+    sold = spark_relation(spark, sf_dir, "sold", known)
+    months = """
+        SELECT *, max(snapshot_id) OVER (PARTITION BY chart_id) AS last, max_by(month_no, snapshot_id) OVER (PARTITION BY chart_id) AS last_no
+        FROM (SELECT *, concat(c_mktsegment, '|', l_returnflag) AS chart_id, SNAPSHOT AS snapshot_id FROM (SELECT DISTINCT c_mktsegment, l_returnflag, month_no FROM {sold}) d) m"""
+    # a row or two for each chart
+    told = materialized(spark.sql(months.replace("SNAPSHOT", SNAPSHOT), sold=sold).where("month_no IN (last_no, last_no - 1)"), "months")
+    top = """
+        SELECT chart_id, source, month_no, item, metric_value, rnk
+        FROM (SELECT *, row_number() OVER (PARTITION BY chart_id, month_no ORDER BY metric_value DESC, item) AS rnk
+              FROM (SELECT chart_id, c_mktsegment AS source, month_no, item, round(sum(revenue), 4) AS metric_value FROM {near} GROUP BY 1, 2, 3, 4) t) r
+        WHERE rnk <= 50"""
+    near = sold.join(F.broadcast(told), ["month_no", "c_mktsegment", "l_returnflag"])
+    entries = _entries(materialized(spark.sql(top, near=near), "charts"))
+    return entries.join(F.broadcast(told.select("chart_id", "snapshot_id").where("snapshot_id = last")), ["chart_id", "snapshot_id"], "left_semi")
+
+
 def _country_charts(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
     """Countries and years are few and their charts long, so ranks are counted by ranges."""
     sums = """
@@ -128,7 +168,11 @@ def _country_charts(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame
 
 def _trend_obs(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) -> DataFrame:
     """The shares of the anchor are a row for each fine region; no window holds a region."""
-    shares = materialized(spark_relation(spark, sf_dir, "shares", known), "shares")
+    # regions go by number until they are summed; the rows of an item lie together, so counts by item are small before they are sent
+    places = materialized(spark_sql(spark, sf_dir, "SELECT n_nationkey, n_name AS fine, r_name AS coarse, min(n_nationkey) OVER (PARTITION BY n_name, r_name) AS place FROM {nation} JOIN {region} ON n_regionkey = r_regionkey", known), "places")
+    numbered = "SELECT l_partkey AS item, place, sum(l_quantity) AS share FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {places} ON s_nationkey = n_nationkey GROUP BY 1, 2"
+    sums = spark_sql(spark, sf_dir, numbered, {**known, "places": places}).repartition("item")
+    shares = materialized(sums.join(F.broadcast(places.select("place", "fine", "coarse").distinct()), "place").select("fine", "coarse", "item", "share"), "shares")
     # one row
     anchor = shares.groupBy(F.col("item").alias("anchor")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "anchor").limit(1).select("anchor")
     weights = spark_sql(spark, sf_dir, "SELECT n_name AS fine, CAST(count(*) AS @double) AS fine_weight FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name", known)
@@ -139,8 +183,8 @@ def _trend_obs(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame]) ->
     return own.select("fine", "coarse", "item", F.col("share").cast("double").alias("share"), "anchor_share", (F.col("share") > 0).alias("has_data"), "is_anchor", "fine_weight")
 
 
-#: Relations that Spark makes in a form of its own, with the rows of the text above.
-BUILT = {"chart_entries": _chart_entries, "country_charts": _country_charts, "trend_obs": _trend_obs}
+#: Relations that Spark makes in a form of its own, with the rows of the text above, or that only Spark reads.
+BUILT = {"sold": _sold, "chart_entries": _chart_entries, "latest_entries": _latest_entries, "country_charts": _country_charts, "trend_obs": _trend_obs}
 
 
 def spark_relation(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:

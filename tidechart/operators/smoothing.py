@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidechart.operators.materialize import materialized
@@ -53,6 +54,15 @@ class Smoothed:
         own = own.withColumn(out, self.share(F.col(self.value), F.col("prior"), F.col("total")))
         return own.select(*cells.columns, self.value, out, F.when(F.col("prior") > 0, F.col(out) / F.col("prior")).alias(f"{out}_lift"))
 
+    def lifts(self, out: str) -> DataFrame:
+        """The counts with out and out_lift of their own cells: rows of an item meet once, totals of regions are sent."""
+        whole = self.counts.agg(F.greatest(F.coalesce(F.sum(self.value), F.lit(0)), F.lit(1)).alias("__all"))
+        # one row, and a row for each region
+        own = self.counts.withColumn("__x", F.sum(self.value).over(W.partitionBy(self.item))).crossJoin(F.broadcast(whole)).join(F.broadcast(self.regions), self.region)
+        prior = F.col("__x") / F.col("__all")
+        own = own.withColumn(out, self.share(F.col(self.value), prior, F.col("total")))
+        return own.select(*self.counts.columns, out, F.when(prior > 0, F.col(out) / prior).alias(f"{out}_lift"))
+
     def tops(self, regions: DataFrame) -> DataFrame:
         """region, total, best: the greatest share of any item, for every region of `regions`.
 
@@ -69,28 +79,30 @@ class Smoothed:
 def merged_cells(region: str, item: str, **parts: tuple[DataFrame, str]) -> DataFrame:
     """region, item and a column for each part (frame, column): cells of any part, 0 where a part lacks them.
 
-    One aggregation stands for the outer joins of all parts. Values are not negative and a part has a cell once.
+    One aggregation stands for the outer joins of all parts. Values are not negative and a part has a cell once. Rows
+    are dealt by item, so what follows by item needs no other shuffle.
     """
     rows = [df.select(region, item, *[(F.col(own) if name == of else F.lit(None)).cast("double").alias(name) for name in parts]) for of, (df, own) in parts.items()]
-    return reduce(DataFrame.unionByName, rows).groupBy(region, item).agg(*[F.coalesce(F.max(name), F.lit(0.0)).alias(name) for name in parts])
+    return reduce(DataFrame.unionByName, rows).repartition(item).groupBy(region, item).agg(*[F.coalesce(F.max(name), F.lit(0.0)).alias(name) for name in parts])
 
 
 def best_cells(observed: DataFrame, regions: DataFrame, items: DataFrame, gains: list[str], score: Callable[[DataFrame], DataFrame], parts: list[str], region: str, item: str, n: int, depth: int = 256) -> DataFrame:
     """region, item, score, *parts, rank: the first n cells of each region by score, then item, of all its cells.
 
-    observed: region, item and what is observed of a cell, not negative. regions and items: a row for each, with what
-    scores need of them; `gains` are the columns of items. score: adds a column score, and `parts`, to cells with all
+    observed: region, item and what is observed of a cell, not negative; if it has the gains of its items as well, they
+    are not joined again. regions and items: a row for each, with what scores need of them; `gains` are the columns of items. score: adds a column score, and `parts`, to cells with all
     these columns; it does not fall as any observed or gain column rises.
 
     A cell that is not observed takes its place by the gains of its item alone. So items are taken from the heads of
     lists, one by each gain and one by item, `depth` of each: whatever is in none of them scores no more than the last
     places of all lists together. Where that bound reaches into a region's first n, the lists are read deeper.
     """
-    seen = [c for c in observed.columns if c not in (region, item)]
+    seen = [c for c in observed.columns if c not in (region, item, *gains)]
     order = [F.desc(F.round("score", 9)), F.col(item)]
     names = [region, item, "score", *parts]
     items, regions = materialized(items, "items"), materialized(regions, "regions")
-    told = score(observed.join(items, item).join(regions, region)).select(*names)
+    own = observed if set(gains) <= set(observed.columns) else observed.join(items, item)
+    told = score(own.join(regions, region)).select(*names)
     first = materialized(top_n(told, [region], order, n).drop("rank"), "observed")
     total, zero = items.count(), {c: F.lit(0.0) for c in seen}
     while True:
