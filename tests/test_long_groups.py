@@ -36,3 +36,12 @@ def test_forms_are_not_one_task(spark, small, monkeypatch):
     assert queries.QUERIES["title_forms"](spark, small).rdd.getNumPartitions() >= 4
     monkeypatch.setattr(queries, "FORMS_A_PART", 5)
     assert queries.QUERIES["event_forms"](spark, small).rdd.getNumPartitions() >= 4
+
+
+def test_ranked_sends_rows_once(spark):
+    df = spark.range(500).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 50).alias("v"), "id")
+    got = ranked(df, ["g"], [F.desc("v"), F.col("id")], "rank", rows=100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and plan.count("Window") <= 1
+    first = sorted((r.g, r["rank"], -r.v, r["id"]) for r in got.collect())
+    assert [x[:2] for x in first] == [(g, i + 1) for g in (0, 1) for i in range(250)] and first == sorted(first, key=lambda x: (x[0], x[2], x[3]))

@@ -21,21 +21,24 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank"
     """`df` with the place of each row in its group by a total order, and the group's number of rows, where groups are few and long.
 
     Rows are dealt to ranges of group and order, so no task holds a group; the counts of ranges tell where each begins.
+    A range is sorted and numbered as it is written, so rows are sent once.
     """
     own = materialized(df, "unranked")
-    # one task's rows in a range; shuffles by range and then by its number alone
+    # one task's rows in a range
     parts = max(1, -(-own.count() // (rows or RANK_ROWS)))
-    dealt = materialized(own.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    places = [F.col(c) for c in by] + order
+    # numbers rise by one within a range, from its own number in the upper 31 bits
+    sorted_ = own.repartitionByRange(parts, *places).sortWithinPartitions(*places).withColumn("__row", F.monotonically_increasing_id())
+    dealt = materialized(sorted_.withColumn("__part", F.shiftright("__row", 33)), "ranges")
+    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
     group = W.partitionBy(*by)
     before = F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    told = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__of"), before.alias("__before"), F.sum("__n").over(group).alias("__size"))
-    inside = dealt.repartition(parts, "__part").withColumn("__in", F.row_number().over(W.partitionBy("__part", *by).orderBy(*order)))
+    told = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__of"), before.alias("__before"), "__first", F.sum("__n").over(group).alias("__size"))
     same = F.col("__part") == F.col("__of")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     # a row for each range of a group
-    out = inside.join(F.broadcast(told), same).withColumn(rank, (F.col("__before") + F.col("__in")).cast("int"))
+    out = dealt.join(F.broadcast(told), same).withColumn(rank, (F.col("__before") + F.col("__row") - F.col("__first") + 1).cast("int"))
     return out.select(*df.columns, rank, *([F.col("__size").cast("int").alias(size)] if size else []))
 
 
