@@ -45,3 +45,13 @@ def test_ranked_sends_rows_once(spark):
     assert "Repartition" not in plan and plan.count("Window") <= 1
     first = sorted((r.g, r["rank"], -r.v, r["id"]) for r in got.collect())
     assert [x[:2] for x in first] == [(g, i + 1) for g in (0, 1) for i in range(250)] and first == sorted(first, key=lambda x: (x[0], x[2], x[3]))
+
+
+def test_merged_scores_are_rounded_before_the_sort(spark, monkeypatch):
+    orders = []
+    monkeypatch.setattr(serving, "ranked", lambda df, by, order: orders.extend(map(str, order)) or ranked(df, by, order))
+    batch = spark.createDataFrame([("r", 1, 1, 2.0, 1.0, 0.0, 0.0, 0.0)], "region string, item long, rank int, score double, c_national double, c_trends double, c_mentions double, c_events double")
+    plays = spark.createDataFrame([("r", 9, 3, 0)], "region string, item long, plays long, likes long")
+    mentions = spark.createDataFrame([("r", 4, 2.0)], "region string, item long, mentions double")
+    got = serving.merge_trending(batch, plays, mentions, "realtime")
+    assert "round(" not in orders[0] and [r.item for r in got.orderBy("rank").collect()] == [9, 4]

@@ -98,12 +98,13 @@ def best_cells(observed: DataFrame, regions: DataFrame, items: DataFrame, gains:
     places of all lists together. Where that bound reaches into a region's first n, the lists are read deeper.
     """
     seen = [c for c in observed.columns if c not in (region, item, *gains)]
-    order = [F.desc(F.round("score", 9)), F.col(item)]
+    # rounded beside the score, not anew in each comparison of a sort
+    order, rounded = [F.desc("__round"), F.col(item)], F.round("score", 9)
     names = [region, item, "score", *parts]
     items, regions = materialized(items, "items"), materialized(regions, "regions")
     own = observed if set(gains) <= set(observed.columns) else observed.join(items, item)
     told = score(own.join(regions, region)).select(*names)
-    first = materialized(top_n(told, [region], order, n).drop("rank"), "observed")
+    first = materialized(top_n(told.withColumn("__round", rounded), [region], order, n).drop("rank", "__round"), "observed")
     total, zero = items.count(), {c: F.lit(0.0) for c in seen}
     while True:
         lists = [items.orderBy(F.desc(g), item).limit(depth) for g in gains] + [items.orderBy(item).limit(depth)]
@@ -113,7 +114,7 @@ def best_cells(observed: DataFrame, regions: DataFrame, items: DataFrame, gains:
         listed = score(regions.crossJoin(sent).withColumns(zero)).select(*names)
         # a cell that is observed as well has its own score there, which is not below this one
         best = first.unionByName(listed).groupBy(region, item).agg(F.max(F.struct("score", *parts)).alias("__s")).select(region, item, "__s.*")
-        done = materialized(top_n(best, [region], order, n), "best")
+        done = materialized(top_n(best.withColumn("__round", rounded), [region], order, n).drop("__round"), "best")
         if depth >= total:
             return done
         ends = [df.agg(F.min(g).alias(g)) for g, df in zip(gains, lists)] + [lists[-1].agg(F.max(item).alias("__end"))]

@@ -28,7 +28,8 @@ def merge_trending(batch: DataFrame, plays: DataFrame, mentions: DataFrame, mode
     part["mentions"] = part["mentions"] + w[2] * F.col("said")
     part["events"] = part["events"] + w[1] * F.col("live")
     scored = own.withColumns({f"p_{x}": part[x] for x in PARTS}).withColumn("score", sum(F.col(f"p_{x}") for x in PARTS)).where("score > 0")
-    placed = ranked(scored, ["region"], [F.desc(F.round("score", 9)), F.col("item")])
+    # rounded once, not in each comparison of a sort
+    placed = ranked(scored.withColumn("__round", F.round("score", 9)), ["region"], [F.desc("__round"), F.col("item")])
     return placed.select("region", "item", "score", "rank", "batch_rank", (F.col("batch_rank") - F.col("rank")).alias("rank_change"), *[f"p_{x}" for x in PARTS])
 
 
